@@ -9,7 +9,7 @@ import numpy as np
 from ._arrays import U, groups, mix, prefix_hash, ranges, slice_hash
 
 SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = np.array([3, 5, 7, 11, 13, 17, 19, 23, 29, 31], U) * U(0x9E3779B97F4A7C15)
 
 

@@ -300,7 +300,7 @@ QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
 SQL = {
     "op3_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\t\n\v\f\r\x1c-\x20]+'), lambda x: x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\t-\r ]+'), lambda x: x <> '') AS ws FROM documents
 ), g AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
     ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS s FROM w
