@@ -22,13 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrays import U, flat, mix
-from ._graph import components
+from ._graph import components, in_blocks
 from ._spark import parts_for, stash, table, texts
 from ._words import blocks, shingles
 
@@ -223,17 +222,6 @@ def shared(row: np.ndarray, token: np.ndarray, rows: int, wide: int = 4096) -> n
     return out.astype(np.int64)
 
 
-def _in_blocks(members: DataFrame, key: str, count: str, most: int) -> DataFrame:
-    """Deal keys to pieces of work: (piece, side, pair). A key of over ``most`` rows is cut into blocks, and each two blocks meet once."""
-    n = F.ceil(F.col(count) / most).cast("int")
-    block = F.pmod(F.xxhash64("rep"), n).cast("int")
-    with_block = members.withColumn("blocks", n).withColumn("side", block)
-    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "side").alias("lo"), F.greatest(k, "side").alias("hi")))
-    )
-    return with_block.withColumn("at", F.explode(pairs)).withColumn("pair", F.col("at.lo") != F.col("at.hi"))
-
-
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """One row per document.
 
@@ -264,7 +252,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         down = open_.where(F.col("level") == level + 1)
         level_rows = down.join(large.select(F.col("path").alias("parent")), "parent").select("rep", "path", "parent")
-    cells = _in_blocks(found, "path", "m", LEAF).select("rep", F.xxhash64("path", "at").alias("cell"))
+    cells = in_blocks(found, "m", LEAF).select("rep", F.xxhash64("path", "at").alias("cell"))
     cells = cells.join(classes.select("rep", "n", "sample"), "rep")
     packs = parts_for(found.count(), 20_000)
     close = cells.groupBy(F.pmod("cell", F.lit(packs)).alias("pack")).applyInArrow(_branch(threshold), "a long, b long")
@@ -273,7 +261,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = cluster.join(classes.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "copies")
     members = stash(members, "members")
     sizes = stash(members.groupBy("cluster").agg(F.count("*").alias("m")), "clusters")
-    work = _in_blocks(members.join(sizes, "cluster"), "cluster", "m", PACK)
+    work = in_blocks(members.join(sizes, "cluster"), "m", PACK)
     packs = parts_for(members.count(), PACK)
     piece = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.xxhash64("cluster", "at"))
     work = work.select("rep", "cluster", "copies", "side", "pair", piece.alias("piece"))

@@ -20,12 +20,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrays import U, binary_array, flat, groups, heads, mix, prefix_hash, ranges, slice_hash, sliding
+from ._arrays import U, flat, groups, heads, mix, prefix_hash, ranges, slice_hash, sliding
 from ._spark import parts_for, stash, table, texts
 
 LENGTH = 100
