@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     return got or {"ratio": np.zeros(1 << bits), "weight": np.zeros(1 << bits), "line": np.zeros(2)}
 
 
-def _scores(model, bits: int):
+def _scores(model, keep: list[str], bits: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, w, (a, b) = (model.value[k] for k in ("ratio", "weight", "line"))
         both, square = r * w, r * r
@@ -183,17 +183,16 @@ def _scores(model, bits: int):
                 length = np.sqrt(np.bincount(row, square[place], minlength=j - i))
                 margin = np.bincount(row, both[place], minlength=j - i) / np.maximum(length, 1e-12)
                 score = 1 / (1 + np.exp(-np.clip(a * margin + b, -700, 700)))
-                keep = [c for c in range(batch.num_columns) if batch.schema.names[c] != "score"]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in keep], pa.array(score)], [*[batch.schema.names[c] for c in keep], "score"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in keep], pa.array(score)], [*keep, "score"])
 
     return go
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], text_out: bool = False, bits: int = BITS) -> DataFrame:
-    """(doc_id, score) of docs (doc_id, text), or with ``text_out`` every row of docs with its score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.mapInArrow(_scores(sent, bits), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score") + ", score double")
-    return out if text_out else out.select("doc_id", "score")
+def score(docs: DataFrame, model: dict[str, np.ndarray], keep: str = "doc_id", bits: int = BITS) -> DataFrame:
+    """(keep, score) of each row's ``text``; ``keep`` names one column of docs."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits numbers
+    kind = docs.schema[keep].dataType.simpleString()
+    return docs.select(keep, "text").mapInArrow(_scores(sent, [keep], bits), f"`{keep}` {kind}, score double")
 
 
 def held_out() -> F.Column:
