@@ -238,20 +238,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = stash(docs.mapInArrow(_sets(size, threshold, runs_for(miss, threshold)), fields), "sets")
     classes = stash(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sample").alias("sample"), F.first("paths").alias("paths")), "classes")
 
-    # Branches with company, from the root down; below the last level the blocks of pairs take over.
-    found, open_ = None, classes.select("rep", F.explode("paths").alias("p")).select("rep", "p.*")
-    open_ = stash(open_, "paths")
-    level_rows = open_.where("level = 0")
+    # Branches with company, from the root down. All rows of a path have one parent, so whether the parent was
+    # too large is settled for each path and not for each row; below the last level blocks of pairs take over.
+    found = large = None
+    paths = stash(classes.select("rep", F.explode("paths").alias("p")).select("rep", "p.*"), "paths")
     for level in range(LEVELS):
-        sizes = stash(level_rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-        company = stash(level_rows.join(sizes, "path").select("rep", "path", "m"), "company")
+        rows = paths.where(F.col("level") == level)
+        sizes = rows.groupBy("path").agg(F.count("*").alias("m"), F.first("parent").alias("parent")).where("m > 1")
+        sizes = stash(sizes if large is None else sizes.join(large, "parent"), "sizes")
+        company = stash(rows.select("rep", "path").join(sizes.select("path", "m"), "path"), "company")
         last = level == LEVELS - 1
         leaf = company if last else company.where(F.col("m") <= LEAF)
         found = leaf if found is None else found.unionByName(leaf)
-        if last or (large := sizes.where(F.col("m") > LEAF)).isEmpty():
+        large = sizes.where(F.col("m") > LEAF).select(F.col("path").alias("parent"))
+        if last or large.isEmpty():
             break
-        down = open_.where(F.col("level") == level + 1)
-        level_rows = down.join(large.select(F.col("path").alias("parent")), "parent").select("rep", "path", "parent")
     cells = in_blocks(found, "m", LEAF).select("rep", F.xxhash64("path", "at").alias("cell"))
     cells = cells.join(classes.select("rep", "n", "sample"), "rep")
     packs = parts_for(found.count(), 20_000)
