@@ -36,15 +36,14 @@ def resolved(calls: DataFrame, components: DataFrame, kind: str) -> DataFrame:
     For a name with a colon, plugins of the first part come before others. More than one candidate makes it heuristic.
     """
     own = components.where(F.col("type") == kind).select(F.col("id").alias("component_id"), F.col("name").alias("c_name"), "source")
-    calls = calls.withColumn("call", F.monotonically_increasing_id())
     short = F.when(F.col("name").contains(":"), F.substring_index("name", ":", -1))
-    names = calls.select("call", "name", F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("rank"), F.col("name").alias("c_name")), F.when(short.isNotNull(), F.struct(F.lit(1).alias("rank"), short.alias("c_name")))))).alias("n")).select("call", "name", "n.*")
+    names = calls.select("name").distinct().select("name", F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("rank"), F.col("name").alias("c_name")), F.when(short.isNotNull(), F.struct(F.lit(1).alias("rank"), short.alias("c_name")))))).alias("n")).select("name", "n.*")
     found = names.join(own, "c_name")
     plugin = F.concat(F.lit("plugin:"), F.substring_index("name", ":", 1))
     found = found.withColumn("rank", F.when((F.col("rank") == 1) & ~F.col("source").eqNullSafe(plugin), 2).otherwise(F.col("rank")))
-    best = Window.partitionBy("call")
+    best = Window.partitionBy("name")
     found = found.withColumn("best", F.min("rank").over(best)).where("rank = best").withColumn("candidates", F.count("*").over(best))
-    return calls.join(found.select("call", "component_id", F.when(F.col("candidates") > 1, "heuristic").otherwise("exact").alias("sure")), "call").drop("call")
+    return calls.join(found.select("name", "component_id", F.when(F.col("candidates") > 1, "heuristic").otherwise("exact").alias("sure")), "name")
 
 
 def invoked_by_name(calls: DataFrame, components: DataFrame, kind: str) -> DataFrame:
@@ -54,10 +53,10 @@ def invoked_by_name(calls: DataFrame, components: DataFrame, kind: str) -> DataF
 def invoked_hooks(events: DataFrame, components: DataFrame) -> DataFrame:
     """Hook events by their event's name, whatever its case; with several candidates and a known command, those whose command holds it or is held by it. Always heuristic."""
     own = components.where("type = 'hook'").select(F.col("id").alias("component_id"), F.lower("hook_event").alias("event"), "hook_commands")
-    fired = events.where("kind = 'hook'").withColumn("event", F.lower("hook_event")).withColumn("call", F.monotonically_increasing_id())
+    fired = events.where("kind = 'hook'").withColumn("event", F.lower("hook_event"))
     found = fired.join(own, "event")
     fits = F.coalesce(F.exists("hook_commands", lambda c: F.contains(c, F.col("text")) | F.contains(F.col("text"), c)), F.lit(False))
-    each = Window.partitionBy("call")
+    each = Window.partitionBy("session_id", "idx", "seq")
     found = found.withColumn("fits", fits).withColumn("n", F.count("*").over(each)).withColumn("any", F.max("fits").over(each))
     return mark(found.where("n = 1 OR NOT any OR fits"), "invoked", "heuristic", F.coalesce("text", "hook_event"))
 

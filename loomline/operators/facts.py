@@ -76,7 +76,7 @@ def extract(events: DataFrame, results: DataFrame) -> DataFrame:
     anchor = searched.groupBy(*key).agg(F.coalesce(F.min_by("key", F.when(F.col("kind") == "search", F.col("part_no"))), F.lit(T.CODE_KEY)).alias("key"), F.first("out").alias("text"), F.bool_or((F.col("kind") == "search") | (F.col("key") == T.CODE_KEY)).alias("any")).where("any").drop("any")
     reads = calls.where("tool_name = 'Read' AND out IS NOT NULL").withColumn("path", field("file_path")).where("path IS NOT NULL")
     stream = anchor.withColumn("op", F.lit("search")).unionByName(reads.select(*key, "path", "cwd", "tokens", F.lit("read").alias("op")), allowMissingColumns=True)
-    listing = calls.join(bash.select(*key, "command"), key, "left").join(call.select("command", "ls_only"), "command", "left")
+    listing = calls.withColumn("command", F.when(F.col("tool_name") == "Bash", field("command"))).join(call.select("command", "ls_only"), "command", "left")
     runs = windows.runs(listing.withColumn("ls", F.coalesce("ls_only", F.lit(False))), "ls", "NOT ls AND (tool_name <> 'Bash' OR command IS NOT NULL)")
     listed = runs.select("session_id", *SIDE, "idx", F.lit(0).alias("seq"), F.lit("mapping").alias("kind"), F.lit(T.LAYOUT_KEY).alias("key"), F.lit("ls chain").alias("raw"), F.lit("Bash").alias("tool"), F.col("tokens").alias("tokens_est"), F.lit("heuristic").alias("confidence"))
     every = merged(facts.unionByName(chain_reads(stream)).unionByName(listed))

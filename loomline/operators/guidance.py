@@ -58,11 +58,10 @@ def candidates(carriers: DataFrame, text: str = "text") -> DataFrame:
 
 
 def cleaned(raw: Column | str) -> Column:
-    """A candidate without punctuation around it; null for what is no relative path."""
+    """A candidate without punctuation around it; empty for what is no relative path."""
     raw = F.col(raw) if isinstance(raw, str) else raw
     bare = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^[`\"']+|[`\"']+$", ""), r"[.,:;!?]+$", "")
-    out = (bare == "") | F.contains(bare, F.lit(" ")) | bare.isin(".", "..") | bare.rlike(r"^(https?://|[~$/-])")
-    return F.when(~out, F.nullif(F.regexp_replace(bare, "/+$", ""), F.lit("")))
+    return F.regexp_extract(bare, r"^(?!\.\.?$)(?!https?://)([^ ~$/-][^ ]*?)/*$", 1)
 
 
 def _normal(base: Column, path: Column) -> Column:
@@ -85,36 +84,39 @@ def references(found: DataFrame, index: DataFrame, all_files: DataFrame) -> tupl
     a guess. Wild cards match the index. What lies on disk outside the index, and a name with several owners,
     is neither. edges: (repo_id, carrier, target, is_dir, context, raw, confidence); dead: (repo_id, carrier, raw, context).
     """
-    rows = found.withColumn("clean", cleaned("raw")).where("clean IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
-    base = F.regexp_replace("carrier", _DIR, "")
-    wild = F.col("clean").rlike(r"[*?\[]")
-    rows = rows.withColumn("wild", wild).withColumn("near", _normal(base, F.col("clean"))).withColumn("far", _normal(F.lit(""), F.col("clean")))
+    key = ["repo_id", "dir", "clean"]
+    rows = found.withColumn("clean", cleaned("raw")).where("clean <> ''").withColumn("dir", F.regexp_replace("carrier", _DIR, ""))
+    # What a candidate means depends on its directory and text alone, so each is resolved once.
+    asked = rows.select(*key).distinct().withColumn("wild", F.col("clean").rlike(r"[*?\[]")).withColumn("near", _normal(F.col("dir"), F.col("clean"))).withColumn("far", _normal(F.lit(""), F.col("clean")))
     here = index.select("repo_id", "path", "is_dir")
-    tries = rows.where("NOT wild").select("repo_id", "row", F.posexplode(F.array("near", "far")).alias("rank", "path")).where("path IS NOT NULL")
-    direct = tries.join(here, ["repo_id", "path"]).select("row", "rank", F.col("path").alias("target"), "is_dir", F.lit("exact").alias("confidence"))
-    names = index.where("NOT is_dir").groupBy("repo_id", "base").agg(F.count("*").alias("owners"), F.min("path").alias("target"))
+    hit = lambda df, target, is_dir, sure: df.select(*key, "rank", target.alias("target"), is_dir.alias("is_dir"), F.lit(sure).alias("confidence"))
+    nothing, no = F.lit(None).cast("string"), F.lit(False)
+    tries = asked.where("NOT wild").select(*key, F.posexplode(F.array("near", "far")).alias("rank", "path")).where("path IS NOT NULL")
+    direct = hit(tries.join(here, ["repo_id", "path"]), F.col("path"), F.col("is_dir"), "exact")
+    names = index.where("NOT is_dir").groupBy("repo_id", "base").agg(F.count("*").alias("owners"), F.min("path").alias("owner"))
     lone = ~F.contains("clean", F.lit("/")) & _looks_like_path(F.col("clean"))
-    named = rows.where(~F.col("wild") & lone).select("repo_id", "row", F.col("clean").alias("base")).join(names, ["repo_id", "base"])
-    named = named.select("row", F.lit(2).alias("rank"), F.when(F.col("owners") == 1, F.col("target")).alias("target"), F.lit(False).alias("is_dir"), F.lit("heuristic").alias("confidence"))
+    named = asked.where(~F.col("wild") & lone).withColumn("base", F.col("clean")).withColumn("rank", F.lit(2)).join(names, ["repo_id", "base"])
+    named = hit(named, F.when(F.col("owners") == 1, F.col("owner")), no, "heuristic")
     disk = all_files.select("repo_id", "path").unionByName(all_files.select("repo_id", F.explode(T.ancestors("path")).alias("path"))).distinct()
-    excluded = tries.join(disk, ["repo_id", "path"]).select("row", F.lit(3).alias("rank"), F.lit(None).cast("string").alias("target"), F.lit(False).alias("is_dir"), F.lit("exact").alias("confidence"))
+    excluded = hit(tries.withColumn("rank", F.lit(3)).join(disk, ["repo_id", "path"]), nothing, no, "exact")
     # A wild card meets only files with its own literal beginning's first directory, or all of its repository without one.
     pattern = lambda p: F.concat(F.lit("^"), F.replace(F.replace(F.replace(F.regexp_replace(p, r"([.+^$(){}|\\])", r"\\$1"), F.lit("**/"), F.lit("\u0001")), F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("$"))
-    globs = rows.where("wild").select("repo_id", "row", F.posexplode(F.array("near", "far")).alias("rank", "glob")).where("glob IS NOT NULL")
+    globs = asked.where("wild").select(*key, F.posexplode(F.array("near", "far")).alias("rank", "glob")).where("glob IS NOT NULL")
     globs = globs.withColumn("re", F.replace(pattern(F.col("glob")), F.lit("\u0001"), F.lit("(?:.*/)?")))
     fixed = F.substring_index("glob", "/", 1)
     globs = globs.withColumn("top", F.when(F.contains("glob", F.lit("/")) & ~fixed.rlike(r"[*?\[]"), fixed).otherwise(""))
     tops = here.withColumn("top", F.explode(F.array_distinct(F.array(F.lit(""), F.substring_index("path", "/", 1)))))
-    matched = globs.join(tops, ["repo_id", "top"]).where(F.col("path").rlike(F.col("re"))).select("row", "rank", F.col("path").alias("target"), "is_dir", F.lit("exact").alias("confidence"))
+    matched = hit(globs.join(tops, ["repo_id", "top"]).where(F.rlike("path", F.col("re"))), F.col("path"), F.col("is_dir"), "exact")
     hits = direct.unionByName(named).unionByName(excluded).unionByName(matched)
-    hits = hits.withColumn("best", F.min("rank").over(Window.partitionBy("row"))).where("rank = best")
-    edges = rows.join(hits.where("target IS NOT NULL"), "row")
+    hits = hits.withColumn("best", F.min("rank").over(Window.partitionBy(*key))).where("rank = best").drop("rank", "best").distinct()
+    edges = rows.join(hits.where("target IS NOT NULL"), key)
     edges = edges.groupBy("repo_id", "carrier", "target", "context").agg(F.min_by(F.struct("raw", "confidence", "is_dir"), "pos").alias("e")).select("repo_id", "carrier", "target", "context", "e.*")
-    missed = rows.where(~F.contains("clean", F.lit("<")) & ~F.contains("clean", F.lit(">"))).join(hits.select("row").distinct(), "row", "left_anti")
-    first = missed.select("repo_id", "row", F.explode(F.array_distinct(F.array_compact(F.array(_normal(base, F.substring_index("clean", "/", 1)), F.substring_index("clean", "/", 1))))).alias("path"))
-    rooted = first.join(here, ["repo_id", "path"], "left_semi").select("row").distinct().withColumn("rooted", F.lit(True))
-    dead = missed.join(rooted, "row", "left").where(_looks_like_path(F.col("clean")) | (F.contains("clean", F.lit("/")) & F.col("rooted")))
-    return edges, dead.select("repo_id", "carrier", F.col("clean").alias("raw"), "context").distinct()
+    missed = asked.where(~F.contains("clean", F.lit("<")) & ~F.contains("clean", F.lit(">"))).select(*key).join(hits.select(*key).distinct(), key, "left_anti")
+    start = F.substring_index("clean", "/", 1)
+    first = missed.select(*key, F.explode(F.array_distinct(F.array_compact(F.array(_normal(F.col("dir"), start), start)))).alias("path"))
+    rooted = first.join(here, ["repo_id", "path"], "left_semi").select(*key).distinct().withColumn("rooted", F.lit(True))
+    dead = missed.join(rooted, key, "left").where(_looks_like_path(F.col("clean")) | (F.contains("clean", F.lit("/")) & F.col("rooted")))
+    return edges, rows.join(dead.select(*key), key).select("repo_id", "carrier", F.col("clean").alias("raw"), "context").distinct()
 
 
 def reach(starts: DataFrame, edges: DataFrame, free: DataFrame | None = None, folder: str | None = None, most: int = 1000) -> DataFrame:

@@ -21,16 +21,15 @@ def occupancy(facts: DataFrame, events: DataFrame, window: list[str] = SIDE) ->
     windows over narrow rows, and never a range join.
     """
     key = ["session_id", *window]
-    marks = events.where("kind IN ('assistant_msg', 'compaction')").select(*key, "idx", F.when(F.col("kind") == "compaction", 0).otherwise(1).alias("rank"), F.lit(None).cast("long").alias("fact"))
-    facts = facts.withColumn("fact", F.monotonically_increasing_id())
-    rows = marks.unionByName(facts.select(*key, "idx", F.lit(2).alias("rank"), "fact"))
+    marks = events.where("kind IN ('assistant_msg', 'compaction')").select(*key, "idx", F.when(F.col("kind") == "compaction", 0).otherwise(1).alias("rank"))
+    rows = facts.withColumn("rank", F.lit(2)).unionByName(marks, allowMissingColumns=True)
     whole = Window.partitionBy(*key)
     # The compaction of a fact's own line does not cut it off, so it opens the next stretch before the fact.
     rows = rows.withColumn("stretch", F.count_if(F.col("rank") == 0).over(whole.orderBy("idx", "rank").rowsBetween(*SO_FAR)))
     after = Window.partitionBy(*key, "stretch").orderBy("idx").rangeBetween(1, Window.unboundedFollowing)
     rows = rows.withColumn("remaining", F.count_if(F.col("rank") == 1).over(after)).withColumn("turns", F.count_if(F.col("rank") == 1).over(whole))
-    turns = rows.where("rank = 2").select("fact", F.when(F.col("turns") > 0, F.col("remaining")).alias("remaining"))
-    return facts.join(turns, "fact").withColumn("occupancy_est", F.col("tokens_est") * F.col("remaining")).drop("fact", "remaining")
+    out = rows.where("rank = 2").withColumn("occupancy_est", F.when(F.col("turns") > 0, F.col("tokens_est") * F.col("remaining")))
+    return out.drop("rank", "stretch", "remaining", "turns")
 
 
 def context_samples(events: DataFrame) -> DataFrame:
@@ -41,14 +40,13 @@ def context_samples(events: DataFrame) -> DataFrame:
 
 def measured(rows: DataFrame, samples: DataFrame, compactions: DataFrame) -> DataFrame:
     """rows (session_id, idx, is_sidechain, ...) with ``occupancy``: the latest sample at or before idx since the last compaction; null in subagents."""
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    mark = lambda df, rank, tokens: df.select("session_id", "idx", F.lit(rank).alias("rank"), tokens.cast("long").alias("tokens"), F.lit(None).cast("long").alias("row"))
-    stream = mark(compactions, 0, F.lit(None)).unionByName(mark(samples, 1, F.col("tokens"))).unionByName(rows.select("session_id", "idx", F.lit(2).alias("rank"), F.lit(None).cast("long").alias("tokens"), "row"))
+    mark = lambda df, rank, tokens: df.select("session_id", "idx", F.lit(rank).alias("rank"), tokens.cast("long").alias("sample"))
+    stream = rows.withColumn("rank", F.lit(2)).unionByName(mark(compactions, 0, F.lit(None)).unionByName(mark(samples, 1, F.col("tokens"))), allowMissingColumns=True)
     order = Window.partitionBy("session_id").orderBy("idx", "rank").rowsBetween(*SO_FAR)
     stream = stream.withColumn("stretch", F.count_if(F.col("rank") == 0).over(order))
     held = Window.partitionBy("session_id", "stretch").orderBy("idx", "rank").rowsBetween(*SO_FAR)
-    stream = stream.withColumn("occupancy", F.last("tokens", ignorenulls=True).over(held)).where("rank = 2").select("row", "occupancy")
-    return rows.join(stream, "row").withColumn("occupancy", F.when(~F.col("is_sidechain"), F.col("occupancy"))).drop("row")
+    stream = stream.withColumn("occupancy", F.when(~F.col("is_sidechain"), F.last("sample", ignorenulls=True).over(held)))
+    return stream.where("rank = 2").drop("rank", "sample", "stretch")
 
 
 def latest_and_peak(samples: DataFrame) -> DataFrame:

@@ -251,8 +251,8 @@ def missed_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- costs and reports on orders: orders are sessions, line items are messages or usages, parts are components ---
 
-PRICES = [("Brand#1", 3.17, 15.39), ("Brand#17", 1.03, 5.21), ("Brand#2", 0.57, 2.63)]
-COSTS = """WITH prices(prefix, in_usd, out_usd) AS (VALUES ('Brand#1', 3.17::DOUBLE, 15.39::DOUBLE), ('Brand#17', 1.03, 5.21), ('Brand#2', 0.57, 2.63)),
+PRICES = [("Brand#1", 3.17031, 15.39017), ("Brand#17", 1.03013, 5.21007), ("Brand#2", 0.57019, 2.63023)]
+COSTS = """WITH prices(prefix, in_usd, out_usd) AS (VALUES ('Brand#1', 3.17031::DOUBLE, 15.39017::DOUBLE), ('Brand#17', 1.03013, 5.21007), ('Brand#2', 0.57019, 2.63023)),
 m AS (SELECT l_orderkey AS session_id, p_brand AS model, CAST(l_quantity * 1000 AS BIGINT) AS input, CAST(l_quantity * 10 AS BIGINT) AS output, CAST(l_linenumber * 499 AS BIGINT) AS cw, CAST(l_linenumber * 1999 AS BIGINT) AS cr FROM lineitem JOIN part ON p_partkey = l_partkey),
 b AS (SELECT model, arg_max(in_usd, length(prefix)) AS i, arg_max(out_usd, length(prefix)) AS o FROM (SELECT DISTINCT model FROM m) JOIN prices ON starts_with(model, prefix) GROUP BY model),
 c AS (SELECT m.*, i, ((input + cw * 1.25::DOUBLE + cr * 0.1::DOUBLE) * i + output * o) / 1e6 AS cost, input + cw + cr AS context FROM m LEFT JOIN b ON b.model = m.model),

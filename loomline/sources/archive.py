@@ -84,7 +84,7 @@ def source_gone(sessions: DataFrame, units: DataFrame) -> DataFrame:
 
 def coverage(sessions: DataFrame, markers: DataFrame) -> DataFrame:
     """One row: sessions, those with extracted facts, and their tool output."""
-    done = markers.where("name = 'facts'").select("session_id", "tool_output_tokens").dropDuplicates(["session_id"])
+    done = markers.where("name = 'facts'").groupBy("session_id").agg(F.max("tool_output_tokens").alias("tool_output_tokens"))
     return sessions.select("session_id").join(done, "session_id", "left").agg(F.count("*").alias("sessions"), F.count("tool_output_tokens").alias("covered"), F.coalesce(F.sum("tool_output_tokens"), F.lit(0)).alias("tool_output_tokens"))
 
 

@@ -33,6 +33,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"), "value")
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, size, modified) of files below ``path``, without reading them; Spark's readers pass over files of no bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
 def _session(path: str) -> F.Column:
     """A subagent's file lies in <session>/subagents/; a session's own file bears its name."""
     below = F.regexp_extract(path, r"([^/]+)/subagents/[^/]+$", 1)
@@ -40,7 +46,7 @@ def _session(path: str) -> F.Column:
 
 
 def session_units(files: DataFrame) -> DataFrame:
-    """(session_id, modified, size, files): latest change and total size of a session's files."""
+    """(session_id, modified, size, files) of listed files: latest change and total size of a session's files."""
     own = files.where(F.endswith("name", F.lit(".jsonl")))
     return own.groupBy(_session("path").alias("session_id")).agg(F.max("modified").alias("modified"), F.sum("size").alias("size"), F.count("*").alias("files"))
 
