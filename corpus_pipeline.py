@@ -55,14 +55,15 @@ def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the passages of 100 bytes or more that also start earlier in the corpus."""
-    spans = suffix_dedup.suffix_dedup(docs).where("n_removed > 0").groupBy("doc_id").agg(F.max_by("spans", "n_bytes").alias("spans"))
-    spans = stash(spans, "spans")
-    changed = docs.join(spans, "doc_id").where("text is not null").select(F.struct(*docs.columns).alias("row"), "text", "spans")
+    spans = suffix_dedup.suffix_dedup(docs).where("n_removed > 0").groupBy("doc_id").agg(F.max_by("spans", "n_bytes").alias("__spans"))
+    spans = stash(spans.withColumnRenamed("doc_id", "__id"), "spans")
+    mine = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text").isNotNull()
+    changed = docs.join(spans, mine).select(F.struct(*docs.columns).alias("row"), "text", F.col("__spans").alias("spans"))
     row = docs.schema.simpleString()
     changed = changed.mapInArrow(_whole_characters, f"row {row}, kept string")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     changed = changed.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
-    same = docs.join(spans.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    same = docs.join(spans.select("__id"), mine, "left_anti")
     return same.unionByName(changed)
 
 

@@ -34,9 +34,18 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id inside the operators, so that it comes after all others; results have null again.
+NO_ID = (1 << 63) - 1
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) alone, null texts as empty: other columns never reach a Python worker."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """(id, text) alone, null texts as empty and null ids as NO_ID: other columns never reach a Python worker."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def with_nulls(df: DataFrame, *ids: str) -> DataFrame:
+    """df with null for NO_ID in its id columns."""
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in ids or ("doc_id",)})
 
 
 def parts_for(rows: int, each: int) -> int:

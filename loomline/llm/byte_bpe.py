@@ -8,7 +8,7 @@ How it scales. Each row is encoded alone: one pass, no shuffle. Pre-tokens are f
 classes over whole blocks of text, and each distinct one is looked up once a block. The hash table is as
 large as the vocabulary, is built once by the driver and travels with the task.
 
-Cases. Null text counts as empty and has no tokens. Special tokens are ordinary text. Repeated rows and
+Cases. Null ids stay null; null text counts as empty and has no tokens. Special tokens are ordinary text. Repeated rows and
 ids stay, each on its own. An empty table gives no rows; extra columns are not read.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._arrays import U, flat, groups, mix, prefix_hash, slice_hash
 from ._memo import Memo
-from ._spark import table, texts
+from ._spark import table, texts, with_nulls
 
 #: Unicode's White_Space.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -248,7 +248,7 @@ def _texts(path: str, encoder):
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>)."""
     encoder = docs.sparkSession.sparkContext.broadcast(Encoder.read(path))
-    return texts(docs, id_col, text_col).mapInArrow(_ids(path, encoder), "doc_id long, ids array<int>")
+    return with_nulls(texts(docs, id_col, text_col).mapInArrow(_ids(path, encoder), "doc_id long, ids array<int>"))
 
 
 def decode(ids: DataFrame, path: str) -> DataFrame:
@@ -260,7 +260,7 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode in one pass: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     encoder = docs.sparkSession.sparkContext.broadcast(Encoder.read(path))
-    return texts(docs, id_col, text_col).mapInArrow(_digests(path, encoder), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_nulls(texts(docs, id_col, text_col).mapInArrow(_digests(path, encoder), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ How it scales. A vector travels once per block and cell. A cell of more than CEL
 that meet in pairs, so a large group of near copies is spread over tasks. Tasks return counts and a spanning
 forest, never pairs. The number of grid coordinates grows with the label's size, so cells stay small.
 
-Cases. Vectors that are null, zero, or hold null or non-finite components, and those without a label, link with
+Cases. Vectors that are null, zero, or hold null or non-finite components, and those without a label or an id, link with
 nothing and stay. Vectors of different length never meet. Equal rows count once; rows that share an id are one
 vector with the links of all. An empty table gives no rows; extra columns are not read.
 """

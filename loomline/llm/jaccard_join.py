@@ -13,7 +13,7 @@ forest's components hold all links, as the sample lets pass what is alike to wit
 component is compared exactly, once, with whole sets, again in blocks, counting links in place.
 
 Cases. Words are runs of lower-case text between white space; fewer words than ``size`` make one shingle.
-Texts without words, null ones too, have an empty set, which links with nothing, not even its like.
+A null id comes after all others. Texts without words, null ones too, have an empty set, which links with nothing, not even its like.
 Rows that share an id and a set count as copies. Extra columns are not read. An empty table gives no rows.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._arrays import U, flat, mix
 from ._graph import components, in_blocks
-from ._spark import parts_for, stash, table, texts
+from ._spark import parts_for, stash, table, texts, with_nulls
 from ._words import blocks, shingles
 
 SIZE, THRESHOLD = 5, 0.8
@@ -274,10 +274,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per_class = classes.select("k1", "k2", "n", "rep", "copies").join(counts, "rep", "left").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
     out = sets.select("doc_id", "k1", "k2", "n").join(stash(per_class, "per-class"), ["k1", "k2", "n"], "left")
     top = F.coalesce("component", "rep", "doc_id")
-    return out.select(
+    out = out.select(
         "doc_id", F.coalesce("rep", "doc_id").alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_linked_texts"), top.alias("component_id"), (F.col("doc_id") == top).alias("kept"),
     )
+    return with_nulls(out, "doc_id", "class_id", "component_id")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ meets each shard in a task of its own, that builds the shard's tree and walks it
 returns the k best of each query, and a window over k rows per shard picks the final ones. With a stated
 query set the work is its size times the table's, in pieces of fixed size.
 
-Cases. Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of another length
+Cases. Rows without an id and vectors that are null, zero, or hold null or non-finite components take no part. Vectors of another length
 are no candidates of a query. Equal rows count once. Ties go to the smaller id. Fewer candidates than k give fewer rows, an empty table
 none. Extra columns are not read.
 """

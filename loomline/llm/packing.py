@@ -6,7 +6,7 @@ windows and a rest at once, so only (document, start, length, checksum) is shuff
 by a hash into shards of about SHARD pieces; each shard packs alone. Its last few windows are the only ones
 badly filled, which at this size is far below one part in a hundred.
 
-Cases. Null text counts as empty; an empty text has one id, the end mark. Rows that share an id are packed
+Cases. Null text counts as empty, null ids stay null; an empty text has one id, the end mark. Rows that share an id are packed
 each on its own. Ties go by (length, doc_id, start). An empty table gives no rows; extra columns are not read.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._arrays import flat, prefix_hash, slice_hash
 from ._memo import Memo
-from ._spark import parts_for, stash, table, texts
+from ._spark import parts_for, stash, table, texts, with_nulls
 from ._words import blocks, words
 
 WINDOW, END = 2048, 1
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     pieces = stash(texts(docs, id_col, text_col).mapInArrow(_pieces(path, window, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     shards = parts_for(pieces.count(), SHARD)
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
-    return pieces.groupBy("shard").applyInArrow(_pack(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return with_nulls(pieces.groupBy("shard").applyInArrow(_pack(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from all of them; a fifth of these only turns margins into probabilities.
 How it scales. The fit is one task of fixed size. Scoring is one pass over the texts without a shuffle; the
 weights are 2**BITS numbers, whatever the corpus.
 
-Cases. Null text counts as empty; a text without words has margin 0 and so the model's base rate. A document
+Cases. Null ids stay null and are never labelled; null text counts as empty; a text without words has margin 0 and so the model's base rate. A document
 with several labels takes the mean, a null label is none. If only one class is labelled, or none, every score is
 that share (0.5 for none). Rows that share an id are scored each by its own text. Extra columns are not read.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrays import U, flat, mix, prefix_hash, slice_hash
-from ._spark import table, texts
+from ._spark import table, texts, with_nulls
 from ._words import blocks, words
 
 BITS, SAMPLE = 18, 12_000
@@ -196,14 +196,14 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], keep: str = "doc_id", b
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model that never saw the held-out fold."""
     docs = texts(table(spark, sf_dir, "documents"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    out = score(docs, train(docs, labels.where(~held_out())))
+    out = with_nulls(score(docs, train(docs, labels.where(~held_out()))))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 

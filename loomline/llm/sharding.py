@@ -12,7 +12,7 @@ is dealt record by record instead, so a group of any size cannot unbalance the s
 How it scales. Only (id, size, checksum, digest) moves. Windows run inside ranges, over narrow rows. The driver
 sees one row per range, the sample (some twenty keys a range) and the few large groups, at most 100 per shard.
 
-Cases. Null text counts as empty, size 1. Rows that share id and text are neighbours in the order. An empty
+Cases. A null id comes after all others; null text counts as empty, size 1. Rows that share id and text are neighbours in the order. An empty
 table gives no rows; extra columns are not read. Ties cannot matter: equal keys are equal rows.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._spark import parts_for, stash, table, texts
+from ._spark import parts_for, stash, table, texts, with_nulls
 
 SHARDS = 8
 #: Rows of a range, keys sampled for each, and parts of a shard's share from which a group is split.
@@ -105,7 +105,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     out = out.withColumn("shard", F.least(F.lit(shards - 1), F.floor(begin.cast("decimal(38,0)") * shards / F.lit(max(total, 1)).cast("decimal(20,0)"))).cast("int")).withColumn("index", F.col("index") + F.col("i"))
     out = stash(out.select("doc_id", "size", "text_crc32", "shard", "index"), "sharded")
     first = out.groupBy("shard").agg(F.min("index").alias("first"))
-    return out.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("index") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = out.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("index") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return with_nulls(out)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

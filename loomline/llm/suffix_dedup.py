@@ -9,7 +9,7 @@ first as a whole. The class leaders are dealt to shards by value. A shard sorts
 leader. A value with more than SPLIT leaders is cut over several shards; these shards also return the
 digests of their distinct windows, and ranges of digests are merged by binary search over the shards' runs.
 
-Cases. Null text counts as empty; a text shorter than ``length`` has no window and stays whole. Rows that
+Cases. A null id comes after all others; null text counts as empty; a text shorter than ``length`` has no window and stays whole. Rows that
 share an id share their spans, clipped to each row's text. An empty table gives an empty result. Only the id
 and text columns are read, so names of other columns cannot clash. The order of occurrences is (id, start).
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrays import U, flat, groups, heads, mix, prefix_hash, ranges, slice_hash, sliding
-from ._spark import parts_for, stash, table, texts
+from ._spark import parts_for, stash, table, texts, with_nulls
 
 LENGTH = 100
 #: Bytes of a gram. Longer grams repeat less by chance, but leave fewer grams in a window and so more runs.
@@ -373,7 +373,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = texts(docs, id_col, text_col)
     spans = repeated_spans(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("own"))
     joined = squeezed(docs).join(spans, "doc_id", "left")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept binary")
+    return with_nulls(joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept binary"))
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
