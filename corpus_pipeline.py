@@ -42,7 +42,7 @@ def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             raw, kept, at = text.encode(), [], 0
             for s in spans:
-                a, b = s["a"], s["b"]
+                a, b = min(s["a"], len(raw)), min(s["b"], len(raw))
                 while a < b and raw[a] & 0xC0 == 0x80:
                     a += 1
                 while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
