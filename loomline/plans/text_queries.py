@@ -251,7 +251,7 @@ def shell_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(shell.mutations(shell.segments(c)), "command").select("k", "path", "label")
 
 
-@query(CMD + """ SELECT CAST(k AS BIGINT) AS k, CASE WHEN k % 6 = 0 THEN 3 WHEN k % 6 IN (2, 4) THEN 2 ELSE 1 END AS segments, CASE WHEN k % 6 = 1 THEN 1 ELSE 0 END AS searches, CASE WHEN k % 6 = 4 THEN 1 ELSE 0 END AS layouts, false AS ls_only FROM k WHERE k % 6 <> 5""")
+@query(CMD + """ SELECT CAST(k AS BIGINT) AS k, CAST(CASE WHEN k % 6 = 0 THEN 3 WHEN k % 6 IN (2, 4) THEN 2 ELSE 1 END AS BIGINT) AS segments, CAST(CASE WHEN k % 6 = 1 THEN 1 ELSE 0 END AS BIGINT) AS searches, CAST(CASE WHEN k % 6 = 4 THEN 1 ELSE 0 END AS BIGINT) AS layouts, false AS ls_only FROM k WHERE k % 6 <> 5""")
 def shell_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _commands(spark, sf_dir).select("k", "command").distinct()
     return c.join(shell.call_summary(shell.segments(c)), "command").select("k", "segments", "searches", "layouts", "ls_only")
