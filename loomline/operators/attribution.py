@@ -133,3 +133,36 @@ def missed_hooks(sessions: DataFrame, uses: DataFrame, components: DataFrame) ->
     seen = uses.where("state = 'invoked' AND count > 0").select("session_id", "component_id")
     missed = asked.join(seen, ["session_id", "component_id"], "left_anti").groupBy("component_id").agg(F.count("*").alias("missed"))
     return due.join(missed, "component_id", "left").select("component_id", F.coalesce("missed", F.lit(0)).alias("missed"))
+
+#: Fixed value: how a message begins that brings a skill's text into context.
+EXPANSION = "Base directory for this skill:"
+
+
+def expanded_skills(events: DataFrame, components: DataFrame) -> DataFrame:
+    """Skills loaded by a message that gives their directory: the directory's name is the skill's; among several, those whose own directory ends the given one. A directory of no skill's name may still be one's by path."""
+    said = events.where((F.col("kind") == "user_msg") & F.startswith(T.strip("text"), F.lit(EXPANSION)))
+    given = F.regexp_extract(T.strip("text"), rf"^{EXPANSION}[ \t]*([^\r\n]*)", 1)
+    said = said.withColumn("dir", F.regexp_replace(T.strip(given), "/+$", "")).withColumn("name", F.element_at(F.split("dir", "/"), -1))
+    own = components.where("type = 'skill'").select(F.col("id").alias("component_id"), F.col("name").alias("c_name"), F.regexp_replace("path", "/[^/]+$", "").alias("home"))
+    each = Window.partitionBy("dir")
+    dirs = said.select("dir", "name").distinct()
+    named = dirs.join(own, F.col("name") == F.col("c_name")).withColumn("fits", F.coalesce(F.endswith("dir", F.col("home")), F.lit(False)))
+    named = named.withColumn("any", F.max("fits").over(each)).where("fits OR NOT any").withColumn("n", F.count("*").over(each))
+    # A directory that ends with a skill's home has that home among its own endings, so this is a join by equality too.
+    steps = F.split("dir", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, k, F.size(steps)), "/"))
+    other = dirs.join(named.select("dir"), "dir", "left_anti").withColumn("home", F.explode(ends)).join(own, "home").withColumn("n", F.count("*").over(each))
+    found = named.select("dir", "component_id", "n").unionByName(other.select("dir", "component_id", "n"))
+    return mark(said.join(found, "dir"), "loaded", F.when(F.col("n") > 1, "heuristic").otherwise("exact"), F.col("dir"))
+
+
+def always_loaded(first_events: DataFrame, components: DataFrame) -> DataFrame:
+    """Guidance that is in context from the start, at each session's first event; a registry's few rows per session, by nature."""
+    own = components.where("type = 'guide' AND context = 'static' AND NOT missing").select(F.col("id").alias("component_id"))
+    return mark(first_events.join(own, how="cross"), "loaded", "exact")
+
+
+def loaded_by_shell(reads: DataFrame, files: DataFrame, components: DataFrame) -> DataFrame:
+    """Paths (session_id, repo_id, idx, seq, path) that shell commands read, if the repository has such a file; heuristic."""
+    there = reads.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    return loaded_by_path(there, components, "heuristic")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 
-#: Directories left out of the index, and endings that make a word look like a path.
-SKIPPED = [".git", "node_modules", ".venv", "venv", "__pycache__", ".context-render", "dist", "build"]
+#: Directories left out of the index besides hidden ones, and endings that make a word look like a path.
+SKIPPED = [".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "build"]
 ENDINGS = [".py", ".md", ".yaml", ".yml", ".toml", ".json", ".sql", ".txt", ".sh", ".cfg", ".ini"]
 GUIDE = "CLAUDE.md"
 _DIR, _BASE = r"/?[^/]*$", r"^.*/"
