@@ -51,6 +51,6 @@ def shingles(at: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, n
         return of[keep], out[keep]
 
 
-def blocks(at: np.ndarray, data: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(at: np.ndarray, data: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for i, j in groups(at, limit):
         yield i, j, at[i : j + 1] - at[i], data[at[i] : at[j]]

@@ -36,7 +36,7 @@ SIZE, THRESHOLD = 5, 0.8
 MISS = 1e-6
 LEVELS, LEAF, BINS = 3, 1000, 128
 #: Sets compared in one piece of work.
-PACK = 2000
+PACK = 1500
 
 
 def runs_for(miss: float, threshold: float) -> int:
@@ -90,7 +90,7 @@ def _sets(size: int, threshold: float, runs: int):
         for batch in batches:
             at, data = flat(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
-            for i, j, offsets, part in blocks(at, data, 1 << 19):
+            for i, j, offsets, part in blocks(at, data):
                 row, token = shingles(offsets, part, size)
                 rows = j - i
                 n = np.bincount(row, minlength=rows)
@@ -175,10 +175,16 @@ def _exact(size: int, threshold: float):
         expand = zstandard.ZstdDecompressor().decompress
         t = t.sort_by([("cluster", "ascending"), ("rep", "ascending")])
         cluster, ids, weight, side, pair = (t.column(c).to_numpy() for c in ("cluster", "rep", "copies", "side", "pair"))
-        raw = [expand(z) for z in t.column("z").to_pylist()]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-        row, token = shingles(at, np.frombuffer(b"".join(raw), np.uint8), size)
-        n = np.bincount(row, minlength=len(raw))
+        z = t.column("z").combine_chunks()
+        found = []
+        for k in range(0, len(z), 50):
+            raw = [expand(x.as_py()) for x in z.slice(k, 50)]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+            for i, _, offsets, part in blocks(at, np.frombuffer(b"".join(raw), np.uint8)):
+                row, token = shingles(offsets, part, size)
+                found.append((row + (k + i), token))
+        row, token = (np.concatenate(c) for c in zip(*found, strict=True))
+        n = np.bincount(row, minlength=len(z))
         links, near = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         a, b = [], []
         edges = np.append(np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1])), len(cluster))

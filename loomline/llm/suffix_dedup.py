@@ -31,9 +31,9 @@ LENGTH = 100
 #: Bytes of a gram. Longer grams repeat less by chance, but leave fewer grams in a window and so more runs.
 GRAM = 36
 #: Bytes of text worked on at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Runs of text in a shard, and leaders of one value above which that value is cut over several shards.
-SHARD, SPLIT = 20_000, 10_000
+SHARD, SPLIT = 8_000, 4_000
 
 
 # --- windows by their least gram ------------------------------------------------------------------
