@@ -158,7 +158,7 @@ def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "u
     revisit = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
     keyed = keyed.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("first"), revisit.alias("revisit"))
     keyed = keyed.mapInArrow(_shard_of(bounds), "page_id long, url string, html string, first long, revisit boolean, shard int")
-    keyed = keyed.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "url", "html")
+    keyed = keyed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "url", "html")
     fs, folder = place(uri)
     fs.create_dir(folder, recursive=True)
     files = sorted((r.asDict() for r in keyed.mapInArrow(_write(uri, roll), "file string, records long, bytes long, sha256 string").collect()), key=lambda r: r["file"])
