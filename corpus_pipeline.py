@@ -22,7 +22,7 @@ from loomline.llm._spark import shared_dir, stash, table, texts
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it learns from every label, as held-out rows only serve to judge it."""
+    """Documents that the classifier does not reject. It learns from the labels of documents outside the held-out fold, as the query does."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~quality.held_out())
     model = quality.train(texts(table(spark, sf_dir, "documents")), labels)
     scored = quality.score(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text")), model, keep="row")
