@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import stash
+from ._spark import drop, stash
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,14 +17,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = stash(both.unionAll(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).select("u", "c"), "labels")
+    labels = written = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).select("u", "c"), "labels")
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
         step = labels.join(near, "u").select("u", F.least("c", "m").alias("m"), "c")
         jump = labels.select(F.col("u").alias("m"), F.col("c").alias("j"))
         after = stash(step.join(jump, "m").select("u", F.least("m", "j").alias("c"), (F.least("m", "j") < F.col("c")).alias("moved")), "labels")
-        labels = after.select("u", "c")
+        drop(written)
+        labels, written = after.select("u", "c"), after
         if after.where("moved").isEmpty():
+            drop(both)
             return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 

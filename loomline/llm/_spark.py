@@ -29,9 +29,21 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     Lineage ends there, so a lost executor costs no recomputation, and a join against the reread table
     has an exchange on both sides, which is what adaptive execution needs to split a skewed key.
     """
-    path = f"{shared_dir(df.sparkSession)}/loomline/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loomline/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files when their plans are collected, and a long job should not keep them all
+    return out
+
+
+def drop(*stashed: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in stashed:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: Stands for a null id inside the operators, so that it comes after all others; results have null again.

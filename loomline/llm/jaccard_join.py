@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._arrays import U, flat, mix
 from ._graph import components, in_blocks
-from ._spark import parts_for, stash, table, texts, with_nulls
+from ._spark import drop, parts_for, stash, table, texts, with_nulls
 from ._words import blocks, shingles
 
 SIZE, THRESHOLD = 5, 0.8
@@ -241,18 +241,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     docs = texts(docs, id_col, text_col).withColumn("text", F.lower("text"))
     fields = "doc_id long, k1 long, k2 long, n int, sample binary, paths array<struct<level:byte,parent:long,path:long>>"
-    sets = stash(docs.mapInArrow(_sets(size, threshold, runs_for(miss, threshold)), fields), "sets")
-    classes = stash(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sample").alias("sample"), F.first("paths").alias("paths")), "classes")
+    found = stash(docs.mapInArrow(_sets(size, threshold, runs_for(miss, threshold)), fields), "found")
+    sets = stash(found.select("doc_id", "k1", "k2", "n"), "sets")
+    classes = stash(found.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sample").alias("sample"), F.first("paths").alias("paths")), "classes")
+    drop(found)
 
     # Branches with company, from the root down. All rows of a path have one parent, so whether the parent was
     # too large is settled for each path and not for each row; below the last level blocks of pairs take over.
     found = large = None
-    paths = stash(classes.select("rep", F.explode("paths").alias("p")).select("rep", "p.*"), "paths")
+    written = []
     for level in range(LEVELS):
-        rows = paths.where(F.col("level") == level)
+        own = F.filter("paths", lambda p: p.level == level)  # noqa: B023
+        rows = classes.select("rep", F.explode(own).alias("p")).select("rep", "p.*")
         sizes = rows.groupBy("path").agg(F.count("*").alias("m"), F.first("parent").alias("parent")).where("m > 1")
         sizes = stash(sizes if large is None else sizes.join(large, "parent"), "sizes")
         company = stash(rows.select("rep", "path").join(sizes.select("path", "m"), "path"), "company")
+        written += [sizes, company]
         last = level == LEVELS - 1
         leaf = company if last else company.where(F.col("m") <= LEAF)
         found = leaf if found is None else found.unionByName(leaf)
@@ -263,7 +267,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cells = cells.join(classes.select("rep", "n", "sample"), "rep")
     packs = parts_for(found.count(), 20_000)
     close = cells.groupBy(F.pmod("cell", F.lit(packs)).alias("pack")).applyInArrow(_branch(threshold), "a long, b long")
-    cluster = components(stash(close.distinct(), "close"))
+    close = stash(close.distinct(), "close")
+    drop(*written)
+    cluster = components(close)
 
     members = cluster.join(classes.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "copies")
     members = stash(members, "members")
@@ -275,10 +281,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     work = squeezed(docs).withColumnRenamed("doc_id", "rep").join(work, "rep")
     exact = stash(work.groupBy("piece").applyInArrow(_exact(size, threshold), "rep long, links long, texts long, a long, b long, edge boolean"), "links")
     counts = exact.where("not edge").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
+    drop(close)
     tree = components(exact.where("edge").select("a", "b"))
 
     per_class = classes.select("k1", "k2", "n", "rep", "copies").join(counts, "rep", "left").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
-    out = sets.select("doc_id", "k1", "k2", "n").join(stash(per_class, "per-class"), ["k1", "k2", "n"], "left")
+    per_class = stash(per_class, "per-class")
+    drop(classes, members, sizes, exact)
+    out = sets.join(per_class, ["k1", "k2", "n"], "left")
     top = F.coalesce("component", "rep", "doc_id")
     out = out.select(
         "doc_id", F.coalesce("rep", "doc_id").alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrays import U, flat, groups, heads, mix, prefix_hash, ranges, slice_hash, sliding
-from ._spark import parts_for, stash, table, texts, with_nulls
+from ._spark import drop, parts_for, stash, table, texts, with_nulls
 
 LENGTH = 100
 #: Bytes of a gram. Longer grams repeat less by chance, but leave fewer grams in a window and so more runs.
@@ -316,11 +316,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     repeated = stash(seen.groupBy("value").agg(F.sum("n").alias("n")).where("n > 1").select("value"), "values")
     found = docs.mapInArrow(_occurrences(length, gram), "value long, key long, doc_id long, start long, n int, several boolean")
     found = stash(found.join(repeated, "value"), "runs")
+    drop(repeated)
 
     first = F.min(F.struct("doc_id", "start")).alias("lead")
     classes = stash(found.groupBy("value", "key", "n").agg(first, F.count("*").alias("members"), F.max("several").alias("several")), "classes")
     copies = found.join(classes.where("members > 1").select("value", "key", "n", "lead"), ["value", "key", "n"])
     copies = copies.where("doc_id <> lead.doc_id or start <> lead.start").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("b"))
+    copies = stash(copies, "copies")
+    drop(found)
 
     per_value = stash(classes.groupBy("value").agg(F.count("*").alias("leaders"), F.max("several").alias("odd")).where("leaders > 1 or odd"), "leaders")
     leaders = per_value.agg(F.sum("leaders")).first()[0] or 0
@@ -333,8 +336,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     own = own.groupBy("doc_id").agg(F.collect_list("own").alias("own"))
     segments = squeezed(docs).join(own, "doc_id").mapInArrow(_leaders(length), "shard long, cut boolean, doc_id long, start long, n int, bytes binary")
     inside = stash(segments.groupBy("shard").applyInArrow(_shard(length), "doc_id long, a long, b long, digest binary, shard long"), "inside")
+    drop(classes, per_value)
     far = inside.where("digest is not null")
-    ranges_ = parts_for(far.count(), 200_000)
+    ranges_ = parts_for(far.count(), 20_000)
     across = far.withColumn("range", F.pmod(F.xxhash64("digest"), F.lit(ranges_))).groupBy("range").applyInArrow(_merge(length), "doc_id long, a long, b long")
     return copies.unionByName(inside.where("digest is null").select("doc_id", "a", "b")).unionByName(across)
 
