@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import jaccard_join, packing, quality, suffix_dedup
-from loomline.llm._spark import shared_dir, stash, table, texts
+from loomline.llm._spark import numbered, shared_dir, stash, table, texts
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each group of near duplicates."""
+    """One document, that of least id, of each group of near duplicates; rows that share an id are documents of their own."""
+    rows = numbered(docs)
+    if rows is not None:
+        rest = jaccard_join.jaccard_join(rows, "__row").where("kept").select(F.col("doc_id").alias("__row"))
+        return rows.join(rest, "__row", "left_semi").drop("__row")
     rest = jaccard_join.jaccard_join(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(rest, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 

@@ -55,6 +55,18 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "__row") -> DataFrame | None:
+    """docs with a number of its own for each row, in the order of (id, digest of the text), or None if no two rows share an id.
+
+    Null ids count as one id and come last. Rows alike in both follow one another in any order; the random third key
+    only spreads them.
+    """
+    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
+        return None
+    rows = docs.orderBy(F.col(id_col).asc_nulls_last(), F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.rand(1))
+    return stash(rows.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def with_nulls(df: DataFrame, *ids: str) -> DataFrame:
     """df with null for NO_ID in its id columns."""
     return df.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in ids or ("doc_id",)})

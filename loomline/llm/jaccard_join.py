@@ -14,7 +14,7 @@ component is compared exactly, once, with whole sets, again in blocks, counting
 
 Cases. Words are runs of lower-case text between white space; fewer words than ``size`` make one shingle.
 A null id comes after all others. Texts without words, null ones too, have an empty set, which links with nothing, not even its like.
-Rows that share an id and a set count as copies. Extra columns are not read. An empty table gives no rows.
+Rows that share an id, null or not, stay rows of their own: those with one set count as copies, and one row of a component is kept. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._arrays import U, flat, mix
 from ._graph import components, in_blocks
-from ._spark import drop, parts_for, stash, table, texts, with_nulls
+from ._spark import drop, numbered, parts_for, stash, table, texts, with_nulls
 from ._words import blocks, shingles
 
 SIZE, THRESHOLD = 5, 0.8
@@ -232,14 +232,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document.
 
     class_id: least id of the documents with the same set. n_links: other documents linked, copies included.
-    n_linked_texts: classes linked. component_id: least id reachable by links. kept: doc_id = component_id.
+    n_linked_texts: classes linked. component_id: least id reachable by links. kept: the first row, by (id, text), of its component.
     """
     from .suffix_dedup import squeezed
 
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies in (0, 1]")
     spark = docs.sparkSession
-    docs = texts(docs, id_col, text_col).withColumn("text", F.lower("text"))
+    docs = texts(docs, id_col, text_col)
+    rows = numbered(docs)
+    if rows is not None:  # from here to the end a row's number stands for its id
+        docs = rows.select(F.col("__row").alias("doc_id"), "text")
+    docs = docs.withColumn("text", F.lower("text"))
     fields = "doc_id long, k1 long, k2 long, n int, sample binary, paths array<struct<level:byte,parent:long,path:long>>"
     found = stash(docs.mapInArrow(_sets(size, threshold, runs_for(miss, threshold)), fields), "found")
     sets = stash(found.select("doc_id", "k1", "k2", "n"), "sets")
@@ -252,10 +256,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     written = []
     for level in range(LEVELS):
         own = F.filter("paths", lambda p: p.level == level)  # noqa: B023
-        rows = classes.select("rep", F.explode(own).alias("p")).select("rep", "p.*")
-        sizes = rows.groupBy("path").agg(F.count("*").alias("m"), F.first("parent").alias("parent")).where("m > 1")
+        steps = classes.select("rep", F.explode(own).alias("p")).select("rep", "p.*")
+        sizes = steps.groupBy("path").agg(F.count("*").alias("m"), F.first("parent").alias("parent")).where("m > 1")
         sizes = stash(sizes if large is None else sizes.join(large, "parent"), "sizes")
-        company = stash(rows.select("rep", "path").join(sizes.select("path", "m"), "path"), "company")
+        company = stash(steps.select("rep", "path").join(sizes.select("path", "m"), "path"), "company")
         written += [sizes, company]
         last = level == LEVELS - 1
         leaf = company if last else company.where(F.col("m") <= LEAF)
@@ -293,6 +297,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", F.coalesce("rep", "doc_id").alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_linked_texts"), top.alias("component_id"), (F.col("doc_id") == top).alias("kept"),
     )
+    if rows is not None:
+        columns = out.columns
+        for c in ("doc_id", "class_id", "component_id"):
+            out = out.join(rows.select(F.col("__row").alias(c), F.col("doc_id").alias("__id")), c).drop(c).withColumnRenamed("__id", c)
+        out = out.select(*columns)
     return with_nulls(out, "doc_id", "class_id", "component_id")
 
 

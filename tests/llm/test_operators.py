@@ -129,6 +129,26 @@ def test_jaccard_join(docs, none, monkeypatch, leaf, pack):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
+def odd_ids():
+    """Texts under null and shared ids: near and exact copies of a document with an id, clean ones, and rows alike in all."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(n))
+    base, clean, twin, other = say(200), say(60), say(60), say(60)
+    return [(3, base), (None, base + " tail"), (None, clean), (None, twin), (None, twin), (None, None), (7, other), (7, say(50)), (7, twin), (8, base)]
+
+
+def test_jaccard_join_tells_rows_of_one_id_apart(spark):
+    rows = odd_ids()
+    _, links, comp = brute_links([(k, t) for k, (_, t) in enumerate(rows)], 5, 0.8)
+    first = {}
+    for k, (i, _) in enumerate(rows):
+        first[comp[k]] = min(first.get(comp[k], (True, 0)), (i is None, i or 0))
+    want = sorted((str(i), len(links[k]), str(None if first[comp[k]][0] else first[comp[k]][1])) for k, (i, _) in enumerate(rows))
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_links, str(r.component_id)) for r in got) == want
+    assert sum(r.kept for r in got) == len(first)
+
+
 # --- 4 ---
 
 

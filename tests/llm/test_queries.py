@@ -52,3 +52,15 @@ def test_pipeline_stages_take_odd_rows(spark, sf_dir, tmp_path):
             out = f(spark, rows, sf_dir)
             assert out.columns == rows.columns or name == "packing"
             out.collect()
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, sf_dir):
+    import corpus_pipeline as p
+    from tests.llm.test_operators import odd_ids
+
+    rows = odd_ids()
+    _, _, comp = brute_links([(k, t) for k, (_, t) in enumerate(rows)], 5, 0.8)
+    got = p.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    groups = {rows[k][1]: comp[k] for k in range(len(rows))}
+    assert sorted(groups[r.text] for r in got) == sorted(set(comp.values()))
+    assert (3, rows[0][1]) in [tuple(r) for r in got]
