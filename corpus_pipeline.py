@@ -59,9 +59,17 @@ def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the passages of 100 bytes or more that also start earlier in the corpus."""
-    spans = suffix_dedup.suffix_dedup(docs).where("n_removed > 0").groupBy("doc_id").agg(F.max_by("spans", "n_bytes").alias("__spans"))
-    spans = stash(spans.withColumnRenamed("doc_id", "__id"), "spans")
-    mine = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text").isNotNull()
+    rows = numbered(docs)
+    if rows is not None:
+        return _cut_out(rows, "__row").drop("__row")
+    return _cut_out(docs, "doc_id")
+
+
+def _cut_out(docs: DataFrame, by: str) -> DataFrame:
+    """without_repeats for docs whose rows differ in ``by``."""
+    spans = suffix_dedup.suffix_dedup(docs, by).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    spans = stash(spans, "spans")
+    mine = F.col(by).eqNullSafe(F.col("__id")) & F.col("text").isNotNull()
     changed = docs.join(spans, mine).select(F.struct(*docs.columns).alias("row"), "text", F.col("__spans").alias("spans"))
     row = docs.schema.simpleString()
     changed = changed.mapInArrow(_whole_characters, f"row {row}, kept string")

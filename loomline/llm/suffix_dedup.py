@@ -10,7 +10,7 @@ leader. A value with more than SPLIT leaders is cut over several shards; these s
 digests of their distinct windows, and ranges of digests are merged by binary search over the shards' runs.
 
 Cases. A null id comes after all others; null text counts as empty; a text shorter than ``length`` has no window and stays whole. Rows that
-share an id share their spans, clipped to each row's text. An empty table gives an empty result. Only the id
+share an id, null or not, are texts of their own, in the order of their texts. An empty table gives an empty result. Only the id
 and text columns are read, so names of other columns cannot clash. The order of occurrences is (id, start).
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrays import U, flat, groups, heads, mix, prefix_hash, ranges, slice_hash, sliding
-from ._spark import drop, parts_for, stash, table, texts, with_nulls
+from ._spark import drop, numbered, parts_for, stash, table, texts, with_nulls
 
 LENGTH = 100
 #: Bytes of a gram. Longer grams repeat less by chance, but leave fewer grams in a window and so more runs.
@@ -375,9 +375,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans array<struct<a,b>>, kept binary): each text without its repeated bytes."""
     docs = texts(docs, id_col, text_col)
+    rows = numbered(docs)
+    if rows is not None:  # from here to the end a row's number stands for its id
+        docs = rows.select(F.col("__row").alias("doc_id"), "text")
     spans = repeated_spans(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("own"))
     joined = squeezed(docs).join(spans, "doc_id", "left")
-    return with_nulls(joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept binary"))
+    out = joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept binary")
+    if rows is not None:
+        columns = out.columns
+        out = out.withColumnRenamed("doc_id", "__row").join(rows.select("__row", "doc_id"), "__row").select(*columns)
+    return with_nulls(out)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,22 @@ def test_suffix_dedup(docs, monkeypatch, length, gram, split, block):
         assert got[i].n_removed == want[i].sum() and len(got[i].spans) == (np.diff(np.append(0, want[i].astype(int))) == 1).sum()
 
 
+def odd_repeats():
+    """A null-id text that repeats a passage of a document with an id, clean null-id texts, texts that share an id, and rows alike in all."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(n))
+    passage, twin = say(60), say(60)
+    return [(3, say(90) + passage), (None, say(90) + passage + say(40)), (None, say(250)), (None, twin), (None, twin), (7, say(250)), (7, say(40) + passage), (None, None), (None, "short"), (None, "short")]
+
+
+def test_suffix_dedup_tells_rows_of_one_id_apart(spark):
+    rows = sorted(odd_repeats(), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    want = brute_spans([(k, t) for k, (_, t) in enumerate(rows)], 100)
+    left = sorted((str(i), np.frombuffer((t or "").encode(), np.uint8)[~want[k]].tobytes()) for k, (i, t) in enumerate(rows))
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(odd_repeats(), "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), bytes(r.kept)) for r in got) == left
+
+
 @pytest.mark.parametrize(("n", "letters"), [(0, 1), (1, 1), (9, 1), (300, 2), (700, 4)])
 def test_suffix_array(n, letters):
     b = np.random.default_rng(n).integers(97, 97 + letters, n).astype(np.uint8)

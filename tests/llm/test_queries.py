@@ -64,3 +64,15 @@ def test_pipeline_keeps_one_row_of_each_group(spark, sf_dir):
     groups = {rows[k][1]: comp[k] for k in range(len(rows))}
     assert sorted(groups[r.text] for r in got) == sorted(set(comp.values()))
     assert (3, rows[0][1]) in [tuple(r) for r in got]
+
+
+def test_pipeline_cuts_each_row_of_an_id_by_itself(spark, sf_dir):
+    import corpus_pipeline as p
+    from tests.llm.test_operators import odd_repeats
+
+    rows = odd_repeats()
+    got = p.without_repeats(spark, spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, n_chars long"), sf_dir).collect()
+    assert len(got) == len(rows)
+    texts = [r.text for r in got]
+    assert rows[2][1] in texts and rows[5][1] in texts  # clean texts under null and under a shared id
+    assert sorted(t for t in texts if t in ("", rows[3][1])) == ["", rows[3][1]] and texts.count("short") == 2 and texts.count(None) == 1
