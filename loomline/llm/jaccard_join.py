@@ -2,8 +2,9 @@
 
 A run of the join walks a tree of shared tokens. At each node a set chooses tokens whose hash, fresh for the
 run and the node, falls below 1 / (threshold * size), 1 / threshold tokens on average, and goes down the
-branch of each. Two sets that are alike to the threshold meet below a node with probability of about two thirds; RUNS runs leave
-less than a pair in a million apart. A branch of at most LEAF sets is compared by brute force; a larger one
+branch of each. Two sets that are alike to the threshold share a chosen token, on average one at least, with a probability of 1 - 1/e
+or more; at the last level, when every branch before is large, a run still brings them together with more than a third, and the
+runs leave less than a pair in a million apart there. A branch of at most LEAF sets is compared by brute force; a larger one
 splits again, and what is still large at the last level is compared in blocks of pairs, so nothing is capped.
 
 How it scales. Equal sets are one class and take part once. Paths come from each text alone, in one pass;
@@ -39,12 +40,16 @@ LEVELS, LEAF, BINS = 3, 1000, 128
 PACK = 1500
 
 
-def runs_for(miss: float, threshold: float) -> int:
-    """Runs after which a pair at the threshold has met with probability 1 - miss, at the first level.
+def runs_for(miss: float, levels: int = LEVELS) -> int:
+    """Runs after which a pair at the threshold has met with probability 1 - miss, even if it must meet at the last level.
 
-    Such a pair of like size shares 2t / (1 + t) of a set, so it shares 2 / (1 + t) chosen tokens on average.
+    Such a pair shares threshold * size tokens of the larger set at least, so below each node it shares one chosen token on
+    average at least; it stays apart if none of these leads to a meeting at the level below.
     """
-    return int(np.ceil(np.log(miss) / -(2 / (1 + threshold))))
+    apart = 0.0
+    for _ in range(levels):
+        apart = np.exp(apart - 1)
+    return int(np.ceil(np.log(miss) / np.log(apart)))
 
 
 def chosen(row: np.ndarray, token: np.ndarray, n: np.ndarray, threshold: float, runs: int, levels: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -245,7 +250,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         docs = rows.select(F.col("__row").alias("doc_id"), "text")
     docs = docs.withColumn("text", F.lower("text"))
     fields = "doc_id long, k1 long, k2 long, n int, sample binary, paths array<struct<level:byte,parent:long,path:long>>"
-    found = stash(docs.mapInArrow(_sets(size, threshold, runs_for(miss, threshold)), fields), "found")
+    found = stash(docs.mapInArrow(_sets(size, threshold, runs_for(miss)), fields), "found")
     sets = stash(found.select("doc_id", "k1", "k2", "n"), "sets")
     classes = stash(found.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sample").alias("sample"), F.first("paths").alias("paths")), "classes")
     drop(found)

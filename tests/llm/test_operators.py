@@ -165,6 +165,18 @@ def test_jaccard_join_tells_rows_of_one_id_apart(spark):
     assert sum(r.kept for r in got) == len(first)
 
 
+def test_runs_reach_the_last_level():
+    """A text inside one 1.25 times its size shares one chosen token on average, and all branches before the last level may be large."""
+    rng = np.random.default_rng(6)
+    row, n, apart = np.repeat([0, 1], [200, 250]), np.array([200, 250]), 0
+    for _ in range(1500):
+        token = rng.integers(0, 1 << 63, 250).astype(np.uint64)
+        at, _, path = jaccard_join.chosen(row, np.concatenate([token[:200], token]), n, 0.8, 1, jaccard_join.LEVELS)[-1]
+        apart += not len(np.intersect1d(path[at == 0], path[at == 1]))
+    assert 0.5 < apart / 1500 < 0.7
+    assert (apart / 1500) ** jaccard_join.runs_for(1e-6) < 4e-6  # the rate is measured to within 0.03
+
+
 # --- 4 ---
 
 
