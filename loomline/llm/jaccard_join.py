@@ -274,7 +274,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
     cells = in_blocks(found, "m", LEAF).select("rep", F.xxhash64("path", "at").alias("cell"))
     cells = cells.join(classes.select("rep", "n", "sample"), "rep")
-    packs = parts_for(found.count(), 20_000)
+    packs = parts_for(found.agg(F.sum(F.ceil(F.col("m") / LEAF))).first()[0] or 0, 20_000)  # rows of cells: one for each block that a row meets
     close = cells.groupBy(F.pmod("cell", F.lit(packs)).alias("pack")).applyInArrow(_branch(threshold), "a long, b long")
     close = stash(close.distinct(), "close")
     drop(*written)

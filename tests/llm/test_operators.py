@@ -177,6 +177,19 @@ def test_runs_reach_the_last_level():
     assert (apart / 1500) ** jaccard_join.runs_for(1e-6) < 4e-6  # the rate is measured to within 0.03
 
 
+def test_packs_count_the_rows_of_cells(spark, monkeypatch):
+    """A family of near copies larger than LEAF: a row stands in one cell for each block of its branch, and packs are counted by cells."""
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join([*words[: 5 * i], f"x{i}", *words[5 * i :]])) for i in range(40)]
+    cells, counted = [], []
+    in_blocks, parts_for = jaccard_join.in_blocks, jaccard_join.parts_for
+    monkeypatch.setattr(jaccard_join, "LEAF", 10)
+    monkeypatch.setattr(jaccard_join, "in_blocks", lambda *a: cells.append(in_blocks(*a)) or cells[-1])
+    monkeypatch.setattr(jaccard_join, "parts_for", lambda n, each: counted.append((n, len(cells) == 1 and cells[0].count())) or parts_for(n, each))
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.kept for r in got) == 1 and counted[0][0] == counted[0][1] > 40
+
+
 # --- 4 ---
 
 
