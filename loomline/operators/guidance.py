@@ -119,8 +119,8 @@ def references(found: DataFrame, index: DataFrame, all_files: DataFrame) -> tupl
     return edges, rows.join(dead.select(*key), key).select("repo_id", "carrier", F.col("clean").alias("raw"), "context").distinct()
 
 
-def reach(starts: DataFrame, edges: DataFrame, free: DataFrame | None = None, folder: str | None = None, most: int = 1000) -> DataFrame:
-    """(repo_id, node, hop, via, kind): what can be reached from starts (repo_id, node), by least hops.
+def reach(starts: DataFrame, edges: DataFrame, free: DataFrame | None = None, folder: str | None = None, most: int | None = None) -> DataFrame:
+    """(repo_id, node, hop, via, kind): what can be reached from starts (repo_id, node), by least hops; all of it, or what lies within ``most`` hops if given.
 
     edges (repo_id, source, target, kind) cost a hop; ``free`` ones (repo_id, source, target) cost none and are followed within a
     hop. Each round joins only the newest nodes and is written to the shared folder, so lineage and work stay with the frontier.
@@ -148,7 +148,7 @@ def reach(starts: DataFrame, edges: DataFrame, free: DataFrame | None = None, fo
             newest = seen.where(F.col("hop") == hop - 1)
             new = newest.join(edges.withColumnRenamed("source", "node").withColumnRenamed("kind", "how"), key).select("repo_id", F.col("target").alias("node"), F.lit(hop).alias("hop"), F.col("node").alias("via"), F.col("how").alias("kind"))
             new = typed(best(new.join(seen, key, "left_anti")))
-            if hop > most or new.isEmpty():
+            if (most is not None and hop > most) or new.isEmpty():
                 return seen
         frontier, step = new, step + 1
 

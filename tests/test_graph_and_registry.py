@@ -138,3 +138,13 @@ def test_since_and_lookup(spark):
     for prefix in ("ab", "x"):
         with pytest.raises(LookupError):
             reports.by_prefix(s, prefix)
+
+
+def test_reach_has_no_limit_of_its_own(spark, tmp_path):
+    import inspect
+
+    edges = spark.createDataFrame([("r", str(k), str(k + 1), "reference") for k in range(6)], "repo_id string, source string, target string, kind string")
+    starts = spark.createDataFrame([("r", "0")], "repo_id string, node string")
+    assert inspect.signature(guidance.reach).parameters["most"].default is None  # a chain of over 1000 hops takes minutes
+    assert guidance.reach(starts, edges, folder=str(tmp_path / "all")).count() == 7
+    assert guidance.reach(starts, edges, folder=str(tmp_path / "two"), most=2).count() == 3
