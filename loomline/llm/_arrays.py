@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,6 +82,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Bytes up to which a slice is hashed with all others at once.
+SHORT = 256
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice: eight bytes at a time are mixed in, so no pattern of bytes makes two slices collide; long ones go through BLAKE2."""
+    size = end - start
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(U) + U(0x51ED270B))
+        live, k = np.flatnonzero(size <= SHORT), 0
+        while len(live):
+            word = words[start[live] + k].view(U).ravel()
+            left = np.minimum(size[live] - k, 8).astype(U)
+            word &= np.where(left > U(0), ~U(0) >> (U(64) - np.maximum(left, U(1)) * U(8)), U(0))
+            out[live] = mix(out[live] * U(0x9FB21C651E98DF25) + word)
+            k += 8
+            live = live[size[live] > k]
+    far = np.flatnonzero(size > SHORT)
+    for i in far.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def unlike(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which slices a[i : i + size] and b[j : j + size] differ, as indices."""
+    wa, wb = (np.lib.stride_tricks.sliding_window_view(np.concatenate([x, np.zeros(8, np.uint8)]), 8) for x in (a, b))
+    bad, live, k = np.zeros(len(i), bool), np.flatnonzero((size > 0) & (size <= SHORT)), 0
+    while len(live):
+        gap = wa[i[live] + k].view(U).ravel() ^ wb[j[live] + k].view(U).ravel()
+        left = np.minimum(size[live] - k, 8).astype(U)
+        bad[live] |= (gap & (~U(0) >> (U(64) - left * U(8)))) != 0
+        k += 8
+        live = live[size[live] > k]
+    for x in np.flatnonzero(size > SHORT).tolist():
+        bad[x] = not np.array_equal(a[i[x] : i[x] + size[x]], b[j[x] : j[x] + size[x]])
+    return np.flatnonzero(bad)
+
+
 def sliding(op: np.ufunc, a: np.ndarray, width: int) -> np.ndarray:
     """op over every ``width`` neighbours, in log2(width) passes."""
     have = 1

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from ._arrays import U, groups, mix, prefix_hash, ranges, slice_hash
+from ._arrays import U, groups, hashes, mix, ranges
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -34,7 +34,7 @@ def shingles(at: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, n
         start, end, row = words(at, data)
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(0, U)
-        h = slice_hash(prefix_hash(data), start, end)
+        h = hashes(data, start, end)
         per = np.bincount(row, minlength=len(at) - 1)
         first = np.concatenate([[0], np.cumsum(per)[:-1]])
         count = np.where(per >= size, per - size + 1, (per > 0).astype(np.int64))

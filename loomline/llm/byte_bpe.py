@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._arrays import U, flat, groups, mix, prefix_hash, slice_hash
+from ._arrays import U, flat, groups, hashes, mix
 from ._memo import Memo
 from ._spark import table, texts, with_nulls
 
@@ -165,8 +165,7 @@ class Encoder:
         for t, i in self.ranks.items():
             self.by_id[i] = t
         at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
-        with np.errstate(over="ignore"):
-            keys = slice_hash(prefix_hash(np.frombuffer(b"".join(tokens), np.uint8)), at[:-1], at[1:])
+        keys = hashes(np.frombuffer(b"".join(tokens), np.uint8), at[:-1], at[1:])
         self.table = PerfectHash(keys)
         self.slot_id = np.zeros(len(keys), np.int64)
         self.slot_id[self.table.find(keys)] = ids
@@ -190,9 +189,7 @@ class Encoder:
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
         end = np.append(start[1:], len(data))
-        with np.errstate(over="ignore"):
-            keys = slice_hash(prefix_hash(data), start, end)
-        ids, per = self.memo.encode(keys, start, end, data, self._encode)
+        ids, per = self.memo.encode(hashes(data, start, end), start, end, data, self._encode)
         return ids, np.bincount(np.searchsorted(at, start, "right") - 1, per, minlength=len(at) - 1).astype(np.int64)
 
     def decode(self, ids: list[int]) -> bytes:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrays import flat, prefix_hash, slice_hash
+from ._arrays import flat, hashes
 from ._memo import Memo
 from ._spark import parts_for, stash, table, texts, with_nulls
 from ._words import blocks, words
@@ -54,9 +54,7 @@ def token_ids(path: str, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray,
     start, end, row = words(at, data)
     if not len(start):
         return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
-    with np.errstate(over="ignore"):
-        keys = slice_hash(prefix_hash(data), start, end)
-    ids, per = memo.encode(keys, start, end, data, encode)
+    ids, per = memo.encode(hashes(data, start, end), start, end, data, encode)
     return ids, np.bincount(row, per, minlength=len(at) - 1).astype(np.int64)
 
 
