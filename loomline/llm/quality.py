@@ -15,14 +15,14 @@ that share (0.5 for none). Rows that share an id are scored each by its own text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrays import U, flat, mix, prefix_hash, slice_hash
+from ._arrays import U, flat, hashes, mix
 from ._spark import table, texts, with_nulls
 from ._words import blocks, words
 
@@ -50,12 +50,12 @@ def indicators(at: np.ndarray, data: np.ndarray, bits: int = BITS) -> tuple[np.n
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        w = slice_hash(prefix_hash(data), start, end)
+        w = hashes(data, start, end)
         kind = KINDS[data]
         new = np.append(True, kind[1:] != kind[:-1])
         new[start] = True
         at_new = np.flatnonzero(new)
-        s = slice_hash(prefix_hash(kind[at_new]), np.searchsorted(at_new, start), np.searchsorted(at_new, end))
+        s = hashes(kind[at_new], np.searchsorted(at_new, start), np.searchsorted(at_new, end))
         same = row[1:] == row[:-1]
         three = same[1:] & same[:-1]
         equal = same & (w[1:] == w[:-1])
@@ -172,30 +172,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     return got or {"ratio": np.zeros(1 << bits), "weight": np.zeros(1 << bits), "line": np.zeros(2)}
 
 
-def _scores(model, keep: list[str], bits: int):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, w, (a, b) = (model.value[k] for k in ("ratio", "weight", "line"))
+def scores(model: dict[str, np.ndarray], spark: SparkSession, bits: int = BITS) -> Callable[[Column], Column]:
+    """A function of a text column: the score of each text, null ones as empty."""
+    sent = spark.sparkContext.broadcast(model)  # 2**bits numbers
+
+    @F.arrow_udf("double")
+    def score(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        r, w, (a, b) = (sent.value[k] for k in ("ratio", "weight", "line"))
         both, square = r * w, r * r
-        for batch in batches:
-            at, data = flat(batch.column("text"))
+        for own in text:
+            at, data = flat(own)
+            out = [np.zeros(0)]
             for i, j, offsets, part in blocks(at, data):
                 row, place = indicators(offsets, part, bits)
                 length = np.sqrt(np.bincount(row, square[place], minlength=j - i))
                 margin = np.bincount(row, both[place], minlength=j - i) / np.maximum(length, 1e-12)
-                score = 1 / (1 + np.exp(-np.clip(a * margin + b, -700, 700)))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in keep], pa.array(score)], [*keep, "score"])
+                out.append(1 / (1 + np.exp(-np.clip(a * margin + b, -700, 700))))
+            yield pa.array(np.concatenate(out))
 
-    return go
+    return score
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], keep: str = "doc_id", bits: int = BITS) -> DataFrame:
     """(keep, score) of each row's ``text``; ``keep`` names one column of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits numbers
-    kind = docs.schema[keep].dataType.simpleString()
-    return docs.select(keep, "text").mapInArrow(_scores(sent, [keep], bits), f"`{keep}` {kind}, score double")
+    return docs.select(keep, scores(model, docs.sparkSession, bits)("text").alias("score"))
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
