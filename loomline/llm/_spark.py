@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,10 +34,14 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomline/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the plan runs once, so its shuffle files may go as soon as it has ended
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stashed_at = path
-    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files when their plans are collected, and a long job should not keep them all
     return out
 
 
@@ -46,24 +53,34 @@ def drop(*stashed: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def modest(spark: SparkSession) -> None:
+    """Rows that go to a Python worker at once: a tenth of Spark's own number, unless the session has set one, as a row here is a whole text."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
 #: Stands for a null id inside the operators, so that it comes after all others; results have null again.
 NO_ID = (1 << 63) - 1
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) alone, null texts as empty and null ids as NO_ID: other columns never reach a Python worker."""
+    modest(docs.sparkSession)
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "__row") -> DataFrame | None:
-    """docs with a number of its own for each row, in the order of (id, digest of the text), or None if no two rows share an id.
+def numbered(docs: DataFrame, id_col: str = "doc_id", then: Column | None = None, name: str = "__row") -> DataFrame | None:
+    """docs with a number of its own for each row, in the order of (id, ``then``, by default a digest of the text), or None if no two rows share an id.
 
     Null ids count as one id and come last. Rows alike in both follow one another in any order; the random third key
     only spreads them.
     """
     if docs.groupBy(id_col).count().where("count > 1").isEmpty():
         return None
-    rows = docs.orderBy(F.col(id_col).asc_nulls_last(), F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.rand(1))
+    rows = docs.orderBy(F.col(id_col).asc_nulls_last(), F.md5(F.coalesce(F.col("text"), F.lit(""))) if then is None else then, F.rand(1))
     return stash(rows.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 

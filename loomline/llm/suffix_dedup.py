@@ -3,11 +3,12 @@
 How it scales. Every window of ``length`` bytes is known by the least hash among its GRAM-byte grams, so
 equal windows always carry the same value; neighbouring windows with one value form a run. Values that
 occur once in the corpus cannot hold a repeated window, so only runs of repeated values go on (exact: no
-repeated window is ever lost). Runs with equal bytes form a class; each member but the first repeats the
-first as a whole. The class leaders are dealt to shards by value. A shard sorts the suffixes of its runs
+repeated window is ever lost). A bit map of the repeated values, of bounded size, keeps most of the other runs
+out of the shuffle. Runs with equal bytes form a class; each member but the first repeats the
+first as a whole, so copies are gathered before any text moves. The class leaders are dealt to shards of about SHARD bytes by value. A shard sorts the suffixes of its runs
 (Larsson-Sadakane refinement), takes common prefixes (Kasai) and finds windows that start earlier in another
-leader. A value with more than SPLIT leaders is cut over several shards; these shards also return the
-digests of their distinct windows, and ranges of digests are merged by binary search over the shards' runs.
+leader. A value whose leaders hold over SPLIT bytes is cut over several shards; these shards also return the
+digests of their distinct windows, and for each range of digests the shards' sorted runs are merged by binary search.
 
 Cases. A null id comes after all others; null text counts as empty; a text shorter than ``length`` has no window and stays whole. Rows that
 share an id, null or not, are texts of their own, in the order of their texts. An empty table gives an empty result. Only the id
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrays import U, flat, groups, heads, mix, prefix_hash, ranges, slice_hash, sliding
+from ._arrays import U, flat, groups, hashes, heads, prefix_hash, ranges, slice_hash, sliding
+from ._sieve import Sieve, sieve
 from ._spark import drop, numbered, parts_for, stash, table, texts, with_nulls
 
 LENGTH = 100
@@ -32,8 +34,8 @@ LENGTH = 100
 GRAM = 36
 #: Bytes of text worked on at a time.
 BLOCK = 1 << 18
-#: Runs of text in a shard, and leaders of one value above which that value is cut over several shards.
-SHARD, SPLIT = 8_000, 4_000
+#: Bytes of runs in a shard, and in the leaders of one value above which that value is cut over several shards.
+SHARD, SPLIT = 1 << 20, 1 << 19
 
 
 # --- windows by their least gram ------------------------------------------------------------------
@@ -84,21 +86,6 @@ def runs(at: np.ndarray, data: np.ndarray, length: int, gram: int) -> tuple[np.n
         return row, start, n, value.view(np.int64), several & (n > 1)
 
 
-def run_hash(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice, mixed word by word."""
-    padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    out = mix(size.astype(U) + U(0x51ED270B))
-    with np.errstate(over="ignore"):
-        for k in range(0, int(size.max(initial=0)), 8):
-            live = np.flatnonzero(size > k)
-            word = words[start[live] + k].view(U).ravel()
-            left = np.minimum(size[live] - k, 8).astype(U)
-            word = word & (~U(0) >> (U(64) - left * U(8)))
-            out[live] = mix(out[live] * U(0x9FB21C651E98DF25) + word)
-    return out
-
-
 def _values(length: int, gram: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,15 +98,17 @@ def _values(length: int, gram: int):
     return go
 
 
-def _occurrences(length: int, gram: int):
+def _occurrences(length: int, gram: int, repeated: Sieve | None):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, data = flat(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             for own, offsets, cut, first in pieces(ids, at, data, length):
-                row, start, n, value, several = runs(offsets, cut, length, gram)
+                found = runs(offsets, cut, length, gram)
+                k = np.flatnonzero(repeated.may(found[3])) if repeated else slice(None)
+                row, start, n, value, several = (c[k] for c in found)
                 if len(row):
-                    key = run_hash(cut, start, n + length - 1)
+                    key = hashes(cut, start, start + n + length - 1)
                     cols = [value, key.view(np.int64), own[row], start - offsets[row] + first, n.astype(np.int32), several]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["value", "key", "doc_id", "start", "n", "several"])
 
@@ -242,27 +231,44 @@ def _shard(length: int):
     return go
 
 
+def _find(names: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, found) of digests (hi, lo) in sorted names, by binary search over the first half and steps over its ties."""
+    k = np.searchsorted(names[0], hi)
+    last = len(names[0]) - 1
+    while True:
+        on = (k <= last) & (names[0][np.minimum(k, last)] == hi) & (names[1][np.minimum(k, last)] < lo) if last >= 0 else np.zeros(len(k), bool)
+        if not on.any():
+            break
+        k = k + on
+    found = (k <= last) & (names[0][np.minimum(k, last)] == hi) & (names[1][np.minimum(k, last)] == lo) if last >= 0 else np.zeros(len(k), bool)
+    return k, found
+
+
 def _merge(length: int):
     def go(t: pa.Table) -> pa.Table:
-        """Each shard's windows form a sorted run; a run is looked up in the leaders so far by binary search."""
-        digest = np.frombuffer(flat(t.column("digest"))[1].tobytes(), "S16") if len(t) else np.zeros(0, "S16")
+        """Each shard's windows form a sorted run; one run after another is looked up among the leaders so far, which keep the earliest place of each window."""
+        words = np.frombuffer(flat(t.column("digest"))[1].tobytes(), ">u8").astype(U)
+        hi, lo = words[::2], words[1::2]
         doc, a, shard = (t.column(c).to_numpy() for c in ("doc_id", "a", "shard"))
-        hi, lo = (np.frombuffer(digest.tobytes(), ">u8")[k::2].astype(U) for k in (0, 1))
-        names = np.unique(np.stack([hi, lo], 1), axis=0) if len(hi) else np.zeros((0, 2), U)
-        base = np.searchsorted(names[:, 0], hi)
-        while True:  # equal first halves are next to one another
-            off = (base + 1 < len(names)) & (names[np.minimum(base, len(names) - 1), 1] != lo)
-            if not off.any():
-                break
-            base = base + off
-        best_doc, best_a = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).max)
-        for s in np.unique(shard):
-            own = np.flatnonzero(shard == s)
-            k = base[own]
-            less = (doc[own] < best_doc[k]) | ((doc[own] == best_doc[k]) & (a[own] < best_a[k]))
-            best_doc[k[less]], best_a[k[less]] = doc[own][less], a[own][less]
-        late = (doc != best_doc[base]) | (a != best_a[base])
-        return pa.table({"doc_id": doc[late], "a": a[late], "b": a[late] + length})
+        order = np.lexsort((lo, hi, shard))
+        hi, lo, doc, a, shard = (c[order] for c in (hi, lo, doc, a, shard))
+        names = np.zeros((2, 0), U)
+        best = np.zeros((2, 0), np.int64)
+        late: list[np.ndarray] = []
+        edges = np.append(heads(shard), len(shard))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            k, found = _find(names, hi[i:j], lo[i:j])
+            at = i + np.flatnonzero(found)
+            k_at = k[found]
+            sooner = (doc[at] < best[0][k_at]) | ((doc[at] == best[0][k_at]) & (a[at] < best[1][k_at]))
+            own = np.stack([doc[at], a[at]])
+            late.append(np.where(sooner, best[:, k_at], own))
+            best[:, k_at] = np.where(sooner, own, best[:, k_at])
+            new = i + np.flatnonzero(~found)
+            names = np.insert(names, k[~found], np.stack([hi[new], lo[new]]), axis=1)
+            best = np.insert(best, k[~found], np.stack([doc[new], a[new]]), axis=1)
+        d, at = np.concatenate(late, axis=1) if late else np.zeros((2, 0), np.int64)
+        return pa.table({"doc_id": d, "a": at, "b": at + length})
 
     return go
 
@@ -270,22 +276,27 @@ def _merge(length: int):
 # --- the job --------------------------------------------------------------------------------------
 
 
-def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+def _compress(found: Sieve | None, inside: bool):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        for k in range(0, len(batch), 1000):
-            part = batch.slice(k, 1000)
-            at, data = flat(part.column("text"))
-            raw = data.tobytes()
-            z = [squeeze(raw[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(z, pa.binary())], ["doc_id", "z"])
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for k in range(0, len(batch), 1000):
+                part = batch.slice(k, 1000)
+                if found is not None:
+                    part = part.filter(pa.array(found.may(part.column("doc_id").to_numpy()) == inside))
+                at, data = flat(part.column("text"))
+                raw = data.tobytes()
+                z = [squeeze(raw[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(z, pa.binary())], ["doc_id", "z"])
+
+    return go
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
-    """(doc_id, z): texts as they travel through a shuffle."""
-    return docs.mapInArrow(_compress, "doc_id long, z binary")
+def squeezed(docs: DataFrame, found: Sieve | None = None, inside: bool = True) -> DataFrame:
+    """(doc_id, z): texts as they travel through a shuffle; with a sieve, those whose id may be in it, or else those whose id is not."""
+    return docs.mapInArrow(_compress(found, inside), "doc_id long, z binary")
 
 
 def _leaders(length: int):
@@ -309,12 +320,12 @@ def _leaders(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, a, b): byte ranges of docs (doc_id, text) that also occur earlier; ranges may overlap or touch."""
+    """(doc_id, spans array<struct<a,b>>): the byte ranges of docs (doc_id, text), whose ids differ, that also occur earlier; rows without any are left out."""
     if not 0 < gram <= length:
         raise ValueError("a gram has 1 to length bytes")
     seen = docs.select("text").mapInArrow(_values(length, gram), "value long, n int")
     repeated = stash(seen.groupBy("value").agg(F.sum("n").alias("n")).where("n > 1").select("value"), "values")
-    found = docs.mapInArrow(_occurrences(length, gram), "value long, key long, doc_id long, start long, n int, several boolean")
+    found = docs.mapInArrow(_occurrences(length, gram, sieve(repeated)), "value long, key long, doc_id long, start long, n int, several boolean")
     found = stash(found.join(repeated, "value"), "runs")
     drop(repeated)
 
@@ -325,22 +336,46 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     copies = stash(copies, "copies")
     drop(found)
 
-    per_value = stash(classes.groupBy("value").agg(F.count("*").alias("leaders"), F.max("several").alias("odd")).where("leaders > 1 or odd"), "leaders")
-    leaders = per_value.agg(F.sum("leaders")).first()[0] or 0
-    shards = parts_for(leaders, SHARD)
-    cells = F.ceil(F.col("leaders") / SPLIT)
-    cut = F.col("leaders") > SPLIT
+    size = F.sum(F.col("n").cast("long") + F.lit(length - 1)).alias("bytes")
+    per_value = stash(classes.groupBy("value").agg(F.count("*").alias("leaders"), size, F.max("several").alias("odd")).where("leaders > 1 or odd").select("value", "bytes"), "leaders")
+    shards = parts_for(per_value.agg(F.sum("bytes")).first()[0] or 0, SHARD)
+    cells = F.ceil(F.col("bytes") / SPLIT)
+    cut = F.col("bytes") > SPLIT
     # A cut value's shards lie beyond the others, each with its own number.
-    shard = F.when(cut, F.lit(shards) + F.pmod(F.xxhash64("value"), F.lit(1 << 40)) * 4096 + F.pmod(F.xxhash64("lead"), cells)).otherwise(F.pmod(F.xxhash64("value"), F.lit(shards)))
+    shard = F.when(cut, F.lit(shards) + F.xxhash64("value", F.pmod(F.xxhash64("lead"), cells)).bitwiseAND(F.lit((1 << 62) - 1))).otherwise(F.pmod(F.xxhash64("value"), F.lit(shards)))
     own = classes.join(per_value, "value").select(F.col("lead.doc_id").alias("doc_id"), F.struct(shard.alias("shard"), cut.alias("cut"), F.col("lead.start").alias("start"), "n").alias("own"))
-    own = own.groupBy("doc_id").agg(F.collect_list("own").alias("own"))
-    segments = squeezed(docs).join(own, "doc_id").mapInArrow(_leaders(length), "shard long, cut boolean, doc_id long, start long, n int, bytes binary")
-    inside = stash(segments.groupBy("shard").applyInArrow(_shard(length), "doc_id long, a long, b long, digest binary, shard long"), "inside")
+    own = stash(own.groupBy("doc_id").agg(F.collect_list("own").alias("own")), "own")
     drop(classes, per_value)
+    segments = squeezed(docs, sieve(own.select("doc_id"))).join(own, "doc_id").mapInArrow(_leaders(length), "shard long, cut boolean, doc_id long, start long, n int, bytes binary")
+    inside = stash(segments.groupBy("shard").applyInArrow(_shard(length), "doc_id long, a long, b long, digest binary, shard long"), "inside")
+    drop(own)
     far = inside.where("digest is not null")
     ranges_ = parts_for(far.count(), 20_000)
     across = far.withColumn("range", F.pmod(F.xxhash64("digest"), F.lit(ranges_))).groupBy("range").applyInArrow(_merge(length), "doc_id long, a long, b long")
-    return copies.unionByName(inside.where("digest is null").select("doc_id", "a", "b")).unionByName(across)
+    spans = copies.unionByName(inside.where("digest is null").select("doc_id", "a", "b")).unionByName(across)
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("own"))
+    spans = stash(spans.mapInArrow(_unite, "doc_id long, spans array<struct<a:long,b:long>>"), "spans")
+    drop(copies, inside)
+    return spans
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each row in order, those that overlap or touch made one."""
+    span = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    for batch in batches:
+        own = batch.column("own")
+        at = own.offsets.to_numpy()
+        a, b = (own.values.field(c).to_numpy() for c in ("a", "b"))
+        lo, hi, ends = [], [], [0]
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            order = i + np.argsort(a[i:j], kind="stable")
+            x, y = a[order], np.maximum.accumulate(b[order])
+            first = np.flatnonzero(np.append(True, x[1:] > y[:-1]))
+            lo.append(x[first])
+            hi.append(y[np.append(first[1:], len(x)) - 1])
+            ends.append(ends[-1] + len(first))
+        both = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in (lo, hi)], fields=list(span)) if lo else pa.array([], span)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both)], ["doc_id", "spans"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,17 +386,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(batch), 500):
             part = batch.slice(k, 500)
             out = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "spans", "kept")}
-            for doc, z, own in zip(part.column("doc_id").to_pylist(), part.column("z").to_pylist(), part.column("own"), strict=True):
+            for doc, z, own in zip(part.column("doc_id").to_pylist(), part.column("z").to_pylist(), part.column("spans").to_pylist(), strict=True):
                 text = expand(z)
-                spans, at, kept = [], 0, []
-                if own.is_valid:
-                    flat_own = own.values
-                    lo, hi = (np.minimum(flat_own.field(c).to_numpy(), len(text)) for c in ("a", "b"))
-                    order = np.argsort(lo, kind="stable")
-                    lo, hi = lo[order], np.maximum.accumulate(hi[order])
-                    first = np.flatnonzero(np.append(True, lo[1:] > hi[:-1]))
-                    last = np.append(first[1:], len(lo)) - 1
-                    spans = [(a, b) for a, b in zip(lo[first].tolist(), hi[last].tolist(), strict=True) if a < b]
+                spans, at, kept = [(x["a"], x["b"]) for x in own or []], 0, []
                 for a, b in spans:
                     kept.append(text[at:a])
                     at = b
@@ -378,8 +405,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = numbered(docs)
     if rows is not None:  # from here to the end a row's number stands for its id
         docs = rows.select(F.col("__row").alias("doc_id"), "text")
-    spans = repeated_spans(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("own"))
-    joined = squeezed(docs).join(spans, "doc_id", "left")
+    spans = repeated_spans(docs, length, gram)
+    found = sieve(spans.select("doc_id"))
+    joined = squeezed(docs, found).join(spans, "doc_id", "left")
+    if found is not None:  # texts that lose nothing stay where they are
+        joined = joined.unionByName(squeezed(docs, found, inside=False), allowMissingColumns=True)
     out = joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept binary")
     if rows is not None:
         columns = out.columns
