@@ -3,15 +3,16 @@
 Records are range-partitioned by id, at boundaries drawn from a sample in proportion to size, and sorted. Each
 shard writes gzip members, one a record, and rolls to the next file when the compressed size reaches a limit.
 Headers, lengths and digests are made anew from the payload. A file is written under a temporary name
-and renamed when whole; its bytes depend on the records alone, so a second attempt at a task writes the same file.
-The manifest, renamed into place last, commits the run: files it does not name do not count.
+and renamed when whole; its bytes depend on the records alone, so a second attempt at a task writes the same file, and finds it if the first got so far.
+The manifest is a table of one row a file, written by Spark below ``manifest``; its success marker, which comes last, commits the run: files
+it does not name do not count.
 
 Of records with equal payloads the one of smallest id is a response and the others revisit it, from
 ``revisit_from`` bytes on.
 
-How it scales. Digests are grouped with partial aggregation; only those with company join back, and the written
-table lets adaptive execution split a hot one. The writer streams its rows, the reader its files. The driver sees
-the boundaries and one manifest row a file.
+How it scales. Digests are grouped with partial aggregation over narrow rows, and what revisits another is settled there; a
+page's html is shuffled once, to its shard, where the note that it revisits sorts right before it. The writer streams its rows, the reader its
+files. The driver sees DRAWS sampled ids a shard, of SHARDS shards at most; manifest rows stay on the executors.
 
 Cases. Null html is an empty payload, a null url an empty one; line breaks in a url are escaped. Rows that share an
 id and payload are responses alike. A null id is written as such and counts as larger than all. An empty table writes an
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,8 +37,10 @@ from .sharding import DRAWS, draw, quantiles
 
 #: Compressed bytes from which a file is closed, and payload bytes of a shard.
 ROLL, SHARD = 64 << 20, 64 << 20
+#: Shards at most; beyond it they hold more bytes and roll over more files.
+SHARDS = 20_000
 DATE = "2000-01-01T00:00:00Z"
-MANIFEST = "manifest.json"
+MANIFEST = "manifest"
 
 
 def place(uri: str):
@@ -101,7 +103,10 @@ class Roller:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temp, f"{self.folder}/{self.name}")
+            if self.fs.get_file_info(f"{self.folder}/{self.name}").type.name == "NotFound":
+                self.fs.move(self.temp, f"{self.folder}/{self.name}")
+            else:  # an earlier attempt has written the same bytes
+                self.fs.delete_file(self.temp)
             self.done.append({"file": self.name, "records": self.records, "bytes": self.size, "sha256": self.sha.hexdigest()})
             self.out, self.seq = None, self.seq + 1
 
@@ -112,7 +117,7 @@ FILE = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.i
 def _write(uri: str, roll: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = place(uri)
-        own = None
+        own, noted = None, (None, None, None)
         for batch in batches:
             for k in range(0, len(batch), 200):
                 for row in batch.slice(k, 200).to_pylist():
@@ -121,7 +126,11 @@ def _write(uri: str, roll: int):
                             own.close()
                             yield pa.RecordBatch.from_pylist(own.done, FILE)
                         own = Roller(fs, folder, row["shard"], roll)
-                    own.add(row["page_id"], record(row["page_id"], row["url"], row["html"].encode(), row["first"], row["revisit"]))
+                    if not row["page"]:
+                        noted = row["page_id"], row["digest"], row["first"]
+                        continue
+                    revisit = row["digest"] is not None and noted[:2] == (row["page_id"], row["digest"])
+                    own.add(row["page_id"], record(row["page_id"], row["url"], row["html"].encode(), noted[2] if revisit else None, revisit))
         if own:
             own.close()
             yield pa.RecordBatch.from_pylist(own.done, FILE)
@@ -140,33 +149,33 @@ def _shard_of(bounds: list[int]):
     return go
 
 
-def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 0, roll: int = ROLL, shard_bytes: int = SHARD) -> list[dict]:
-    """Write one record per row to the folder ``uri``; returns the manifest."""
+def write(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 0, roll: int = ROLL, shard_bytes: int = SHARD) -> DataFrame:
+    """Write one record per row to the folder ``uri``; returns the manifest: file, records, bytes, sha256."""
+    spark = pages.sparkSession
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    keyed = pages.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
-    rows = stash(keyed.select("page_id", "digest", "size"), "digests")
-    many = rows.where(F.col("size") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    many = stash(many, "repeated")
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    shards = parts_for(total, shard_bytes)
-    if shards > 1:
-        sampled = draw(rows.where("page_id is not null").withColumn("weight", F.col("size") + 1), "page_id", "weight", total, DRAWS * shards)
-        bounds = quantiles(sampled, shards)
-    else:
-        bounds = []
-    keyed = keyed.drop("size").join(many, "digest", "left")
-    revisit = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
-    keyed = keyed.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("first"), revisit.alias("revisit"))
-    keyed = keyed.mapInArrow(_shard_of(bounds), "page_id long, url string, html string, first long, revisit boolean, shard int")
-    keyed = keyed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "url", "html")
+    size = F.octet_length("html").cast("long")
+    digest_of = F.when(size >= revisit_from, F.sha1("html"))
+    rows = stash(pages.select("page_id", digest_of.alias("digest"), size.alias("size")), "digests")
+    many = rows.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    notes = rows.join(stash(many, "repeated"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
+    total = rows.agg(F.coalesce(F.sum(F.col("size") + 1), F.lit(0))).first()[0]
+    shards = min(SHARDS, parts_for(total, shard_bytes))
+    bounds = quantiles(draw(rows.where("page_id is not null").withColumn("weight", F.col("size") + 1), "page_id", "weight", total, DRAWS * shards), shards)
+    both = notes.withColumn("page", F.lit(False)).unionByName(pages.withColumn("digest", digest_of).withColumn("page", F.lit(True)), allowMissingColumns=True)
+    both = both.select("page_id", "digest", "page", "first", "url", "html").mapInArrow(_shard_of(bounds), "page_id long, digest string, page boolean, first long, url string, html string, shard int")
+    both = both.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "page", "url", "html")
     fs, folder = place(uri)
     fs.create_dir(folder, recursive=True)
-    files = sorted((r.asDict() for r in keyed.mapInArrow(_write(uri, roll), "file string, records long, bytes long, sha256 string").collect()), key=lambda r: r["file"])
-    temp = f"{folder}/.{MANIFEST}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(temp) as out:
-        out.write(json.dumps(files).encode())
-    fs.move(temp, f"{folder}/{MANIFEST}")
-    return files
+    both.mapInArrow(_write(uri, roll), "file string, records long, bytes long, sha256 string").write.parquet(f"{uri}/{MANIFEST}")
+    return manifest(spark, uri)
+
+
+def manifest(spark: SparkSession, uri: str) -> DataFrame:
+    """The committed files of a folder."""
+    fs, folder = place(uri)
+    if fs.get_file_info(f"{folder}/{MANIFEST}/_SUCCESS").type.name == "NotFound":
+        raise FileNotFoundError(f"{uri} holds no committed run")
+    return spark.read.schema("file string, records long, bytes long, sha256 string").parquet(f"{uri}/{MANIFEST}")
 
 
 def members(stream, block: int = 1 << 20) -> Iterator[bytes]:
@@ -228,10 +237,8 @@ def _read(uri: str, with_payload: bool):
 
 def read(spark: SparkSession, uri: str, payload: bool = True) -> DataFrame:
     """One row per record of the committed files: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (responses only)."""
-    fs, folder = place(uri)
-    with fs.open_input_stream(f"{folder}/{MANIFEST}", compression=None) as f:
-        files = [(x["file"],) for x in json.loads(f.read())]
-    listed = spark.createDataFrame(files, "file string").repartition(max(1, len(files)))
+    files = manifest(spark, uri)
+    listed = files.select("file").repartition(max(1, min(files.count(), SHARDS)), "file")
     return listed.mapInArrow(_read(uri, payload), "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
