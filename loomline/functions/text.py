@@ -113,7 +113,9 @@ def within(path: Column | str, base: Column | str) -> Column:
 
 def path_in_text(path: Column, text: Column, cwd: Column) -> Column:
     """The path, or its form relative to ``cwd``, occurs in the text."""
-    return F.contains(text, path) | (F.startswith(path, F.concat(cwd, F.lit("/"))) & F.contains(text, relative_path(path, cwd)))
+    base = F.regexp_replace(cwd, "/+$", "")
+    below = F.startswith(path, F.concat(base, F.lit("/"))) & F.contains(text, relative_path(path, base))
+    return F.contains(text, path) | F.coalesce(below & (cwd != ""), F.lit(False))
 
 
 def ancestors(path: Column | str) -> Column:

@@ -23,14 +23,14 @@ def search_parts(calls: DataFrame, pattern: str = "pattern", glob: str = "glob")
     return parts.select(
         "*", F.when(F.col("c.structure"), "mapping").otherwise("search").alias("kind"),
         F.when(F.col("c.structure"), T.CODE_KEY).otherwise(T.canonical_key(word)).alias("key"),
-        F.left(T.scrub(F.when(F.col("c.structure"), F.col("part")).otherwise(word)), F.lit(RAW)).alias("raw"), F.col("c.confidence").alias("confidence"),
+        F.left(T.scrub(T.strip("part")), F.lit(RAW)).alias("raw"), F.when(F.col("c.structure"), F.col("c.confidence")).otherwise("exact").alias("confidence"),
     ).drop("c", "part")
 
 
 def merged(facts: DataFrame) -> DataFrame:
-    """One fact per (session, idx, kind, key): tokens added, heuristic if any is, the first raw and tool."""
+    """One fact per (session, idx, kind, key): tokens added, heuristic if any is, the first raw and tool, by seq and, where the facts have one, by no."""
     key = ["session_id", *SIDE, "idx", "kind", "key"]
-    first = F.min_by(F.struct("raw", "tool"), "seq")
+    first = F.min_by(F.struct("raw", "tool"), F.struct("seq", "no") if "no" in facts.columns else F.col("seq"))
     out = facts.groupBy(*key).agg(first.alias("f"), F.sum("tokens_est").alias("tokens_est"), F.max("confidence").alias("confidence"))
     return out.select(*key, "f.raw", "f.tool", "tokens_est", "confidence")
 
@@ -38,49 +38,67 @@ def merged(facts: DataFrame) -> DataFrame:
 def chain_reads(stream: DataFrame, window: list[str] = SIDE) -> DataFrame:
     """Reads of files that the last search of their window turned up, if another search follows.
 
-    stream: (session_id, window, idx, seq, op search or read, key, path, cwd, text, tokens). Only positions go through
-    the window; the search's text is joined back for the reads that need it.
+    stream: (session_id, window, idx, seq, op search or read, key, path, cwd, text, tokens, and root where known). Paths below root are
+    given relative to it. Only positions go through the window; the search's text is joined back for the reads that need it.
     """
     key = ["session_id", *window]
     at = F.struct("idx", "seq")
     order = Window.partitionBy(*key).orderBy("idx", "seq")
-    narrow = stream.select(*key, "idx", "seq", "op", "path", "cwd", "tokens").withColumn("here", F.when(F.col("op") == "search", at))
+    root = F.col("root") if "root" in stream.columns else F.lit(None).cast("string").alias("root")
+    narrow = stream.select(*key, "idx", "seq", "op", "path", "cwd", "tokens", root).withColumn("here", F.when(F.col("op") == "search", at))
     narrow = narrow.withColumn("last", F.last("here", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     narrow = narrow.withColumn("next", F.first("here", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
     reads = narrow.where("op = 'read' AND last IS NOT NULL AND next IS NOT NULL").withColumn("s_idx", F.col("last.idx")).withColumn("s_seq", F.col("last.seq"))
     found = stream.where("op = 'search'").select(F.col("session_id").alias("s_id"), F.col("idx").alias("s_idx"), F.col("seq").alias("s_seq"), F.col("key").alias("key"), F.col("text").alias("found"))
     hit = reads.join(found, (reads.session_id == found.s_id) & (reads.s_idx == found.s_idx) & (reads.s_seq == found.s_seq))
-    hit = hit.where(T.path_in_text(F.col("path"), F.col("found"), F.coalesce("cwd", F.lit(""))))
-    return hit.select(*key, reads.idx, reads.seq, F.lit("chain_read").alias("kind"), "key", F.left(F.col("path"), F.lit(RAW)).alias("raw"), F.lit("Read").alias("tool"), F.col("tokens").alias("tokens_est"), F.lit("heuristic").alias("confidence"))
+    hit = hit.where(T.path_in_text(F.col("path"), F.col("found"), F.col("cwd")))
+    raw = F.coalesce(T.relative_path("path", F.regexp_replace("root", "/+$", "")), "path")
+    return hit.select(*key, reads.idx, reads.seq, F.lit("chain_read").alias("kind"), "key", F.left(T.scrub(raw), F.lit(RAW)).alias("raw"), F.lit("Read").alias("tool"), F.col("tokens").alias("tokens_est"), F.lit("heuristic").alias("confidence"))
 
 
-def extract(events: DataFrame, results: DataFrame) -> DataFrame:
-    """All facts of typed events and their first results, merged and with occupancy."""
+def looked_for(calls: DataFrame, key: list[str]) -> DataFrame:
+    """calls (key, tool_name, items, out, tokens) as one row for each thing they looked for, in order ``no``: kind, key, raw, tool, tokens_est, confidence.
+
+    A result's tokens go in even shares to all that its call looked for.
+    """
+    rows = calls.select(*key, "tool_name", "out", "tokens", F.inline("items"))
+    alternatives = F.when(F.col("layout").isNull(), T.alternatives("pattern")).otherwise(F.array(F.col("layout")))
+    rows = rows.select("*", F.posexplode(alternatives).alias("part_no", "part")).withColumn("c", T.syntax_class("part", F.col("glob")))
+    layout, structure = F.col("layout").isNotNull(), F.col("c.structure")
+    word = F.coalesce("c.keyword", "part")
+    rows = rows.select(
+        *key, "out", "tokens", F.struct("seg_no", "probe_no", "part_no").alias("no"), F.when(layout | structure, "mapping").otherwise("search").alias("kind"),
+        F.when(layout, F.lit(T.LAYOUT_KEY)).when(structure, F.lit(T.CODE_KEY)).otherwise(T.canonical_key(word)).alias("of"),
+        F.left(T.scrub(T.strip("part")), F.lit(RAW)).alias("raw"), F.when((F.col("tool_name") == "Bash") & (layout | structure), "Bash").otherwise(F.col("label")).alias("tool"),
+        F.when(~layout & structure, F.col("c.confidence")).otherwise(F.col("confidence")).alias("confidence"), F.count("*").over(Window.partitionBy(*key)).alias("n"),
+    )
+    return rows.withColumnRenamed("of", "key").withColumn("tokens_est", T.even_share("tokens", "n"))
+
+
+def extract(events: DataFrame, results: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """All facts of typed events and their first results, merged and with occupancy; roots (session_id, root) make chain reads relative to their repository."""
     key = ["session_id", *SIDE, "idx", "seq"]
     field = lambda p: F.get_json_object("tool_input", f"$.{p}")
     good = F.when(~F.coalesce("result_error", F.lit(False)), F.col("result_text"))
     calls = events.where("kind = 'tool_use'").join(results, ["session_id", "tool_use_id"], "left").withColumn("out", good)
-    calls = calls.withColumn("tokens", F.coalesce(T.token_estimate("out"), F.lit(0))).select(*key, "tool_name", "tool_input", "cwd", "out", "tokens")
-    own = calls.where(F.col("tool_name").isin("Grep", "Glob")).withColumn("pattern", field("pattern")).where("pattern <> ''").withColumn("glob", F.col("tool_name") == "Glob")
-    own = search_parts(own).withColumn("tool", F.col("tool_name")).withColumn("n", F.col("parts"))
-    bash = calls.where("tool_name = 'Bash'").withColumn("command", field("command")).where("command IS NOT NULL")
-    segs = shell.segments(bash)
-    call = shell.call_summary(segs)
-    looked = search_parts(bash.join(shell.searches(segs), "command")).withColumn("tool", F.col("label"))
-    layouts = bash.join(call.where("layouts > 0"), "command").select(*key, "out", "tokens", "layouts", F.lit("mapping").alias("kind"), F.lit(T.LAYOUT_KEY).alias("key"), F.left("command", F.lit(RAW)).alias("raw"), F.lit("heuristic").alias("confidence"), F.lit("Bash").alias("tool"), F.lit(1 << 20).alias("part_no"))
-    cols = [*key, "out", "tokens", "kind", "key", "raw", "confidence", "tool", "part_no"]
-    shelled = looked.select(*cols).unionByName(layouts.select(*cols))
-    shelled = shelled.withColumn("n", F.count("*").over(Window.partitionBy(*key)))
-    searched = own.select(*cols, "n").unionByName(shelled.select(*cols, "n")).withColumn("tokens_est", T.even_share("tokens", "n"))
-    facts = searched.select(*key, "kind", "key", "raw", "tool", "tokens_est", "confidence")
-    anchor = searched.groupBy(*key).agg(F.coalesce(F.min_by("key", F.when(F.col("kind") == "search", F.col("part_no"))), F.lit(T.CODE_KEY)).alias("key"), F.first("out").alias("text"), F.bool_or((F.col("kind") == "search") | (F.col("key") == T.CODE_KEY)).alias("any")).where("any").drop("any")
+    calls = calls.withColumn("tokens", F.coalesce(T.token_estimate("out"), F.lit(0))).withColumn("command", F.when(F.col("tool_name") == "Bash", field("command")))
+    calls = calls.withColumn("pattern", F.when(F.col("tool_name").isin("Grep", "Glob"), F.nullif(field("pattern"), F.lit(""))))
+    said = shell.digest(shell.segments(calls.where("command IS NOT NULL"))).select("command", "items", "ls_only")
+    asked = F.array(F.struct(F.lit(0).alias("seg_no"), F.lit(0).alias("probe_no"), F.col("tool_name").alias("label"), "pattern", (F.col("tool_name") == "Glob").alias("glob"), F.lit(None).cast("string").alias("layout"), F.lit("exact").alias("confidence")))
+    calls = calls.join(said, "command", "left").withColumn("items", F.when(F.col("pattern").isNotNull(), asked).otherwise(F.col("items")))
+    every = looked_for(calls, key)
+    first = F.min_by("key", F.when(F.col("kind") == "search", F.col("no")))
+    anchor = every.groupBy(*key).agg(F.coalesce(first, F.lit(T.CODE_KEY)).alias("key"), F.first("out").alias("text"), F.bool_or((F.col("kind") == "search") | (F.col("key") == T.CODE_KEY)).alias("any")).where("any").drop("any")
     reads = calls.where("tool_name = 'Read' AND out IS NOT NULL").withColumn("path", field("file_path")).where("path IS NOT NULL")
     stream = anchor.withColumn("op", F.lit("search")).unionByName(reads.select(*key, "path", "cwd", "tokens", F.lit("read").alias("op")), allowMissingColumns=True)
-    listing = calls.withColumn("command", F.when(F.col("tool_name") == "Bash", field("command"))).join(call.select("command", "ls_only"), "command", "left")
-    runs = windows.runs(listing.withColumn("ls", F.coalesce("ls_only", F.lit(False))), "ls", "NOT ls AND (tool_name <> 'Bash' OR command IS NOT NULL)")
-    listed = runs.select("session_id", *SIDE, "idx", F.lit(0).alias("seq"), F.lit("mapping").alias("kind"), F.lit(T.LAYOUT_KEY).alias("key"), F.lit("ls chain").alias("raw"), F.lit("Bash").alias("tool"), F.col("tokens").alias("tokens_est"), F.lit("heuristic").alias("confidence"))
-    every = merged(facts.unionByName(chain_reads(stream)).unionByName(listed))
-    return windows.occupancy(every, events)
+    if roots is not None:
+        stream = stream.join(roots.select("session_id", "root"), "session_id", "left")
+    runs = windows.runs(calls.withColumn("ls", F.coalesce("ls_only", F.lit(False))), "ls", "NOT ls AND (tool_name <> 'Bash' OR command IS NOT NULL)")
+    ritual = runs.select("session_id", *SIDE, "idx", F.lit(0).alias("seq"), F.lit("mapping").alias("kind"), F.lit(T.LAYOUT_KEY).alias("key"), F.lit("ls chain").alias("raw"), F.lit("Bash").alias("tool"), F.col("tokens").alias("tokens_est"), F.lit("heuristic").alias("confidence"))
+    last = F.struct(F.lit(1 << 21).alias("seg_no"), F.lit(0).alias("probe_no"), F.lit(0).alias("part_no"))
+    facts = every.select(*key, "kind", "key", "raw", "tool", "tokens_est", "confidence", "no")
+    joined = facts.unionByName(chain_reads(stream).withColumn("no", last)).unionByName(ritual.withColumn("no", last))
+    return windows.occupancy(merged(joined), events)
 
 
 def tool_output_tokens(events: DataFrame) -> DataFrame:

@@ -33,6 +33,18 @@ RG_VALUE_FLAGS = [
     "--replace", "--sort", "--sortr", "--colors", "--pre", "--ignore-file",
     "--context-separator",
 ]
+#: What searches as grep does, flags of fd that take the next word, and predicates of find that do.
+GREPS = ["grep", "egrep", "fgrep", "rg", "ag"]
+FD_VALUE_FLAGS = [
+    "-e", "-E", "-t", "-d", "-j", "-S", "-o",
+    "--extension", "--exclude", "--type", "--max-depth", "--min-depth",
+    "--search-path", "--threads", "--size", "--owner", "--base-directory",
+]
+FIND_VALUE_FLAGS = [
+    "-path", "-ipath", "-wholename", "-iwholename", "-regex", "-iregex",
+    "-maxdepth", "-mindepth", "-size", "-mtime", "-mmin", "-newer", "-user",
+    "-group", "-perm", "-printf", "-fprintf", "-exec", "-execdir", "-ok",
+]
 PATTERN_FLAGS = ["-e", "-f", "--regexp", "--file"]
 READERS, WHOLE_READERS = ["cat", "head", "tail", "less", "more", "grep", "rg"], ["cat", "head", "tail", "less", "more"]
 GIT_REWRITES = ["checkout", "restore", "pull", "merge", "rebase"]
@@ -135,7 +147,7 @@ def whole_reads(segs: DataFrame) -> DataFrame:
 def mutations(segs: DataFrame) -> DataFrame:
     """(command, seg_no, path, label): files a segment changes; path is null for git commands that may rewrite any."""
     pairs = F.transform(F.sequence(F.lit(1), F.size("argv")), lambda k: F.struct(F.get("argv", k - 1).alias("w"), F.get("argv", k).alias("next")))
-    bare, joined = r"^\d?>>?$", r"^\d?>>?(.+)$"
+    bare, joined = r"^\d?>>?$", r"^\d?>>?(.+)$"  # fixed values: a redirection, and one with its file
     to = F.transform(F.filter(pairs, lambda p: p.w.rlike(r"^\d?>>?")), lambda p: F.when(p.w.rlike(bare), p.next).otherwise(F.regexp_extract(p.w, joined, 1)))
     to = F.filter(_paths(F.array_compact(to)), lambda w: w != "/dev/null")
     redirected = segs.select("command", "seg_no", F.explode(to).alias("path"), F.col("head").alias("label"))
@@ -155,40 +167,118 @@ def commits(segs: DataFrame) -> DataFrame:
     return segs.where(F.col("git")[0] == "commit").select("command").distinct()
 
 
-def searches(segs: DataFrame) -> DataFrame:
-    """(command, seg_no, label, pattern, glob): patterns that grep, rg, git grep, find and fd look for.
+def _fold(words: Column, start: dict[str, Column], step) -> Column:
+    """words folded into a struct; ``step`` (state, word) gives the fields that change."""
+    zero = F.struct(*[v.alias(k) for k, v in start.items()])
+    return F.aggregate(words, zero, lambda a, w: F.struct(*[{**{k: a[k] for k in start}, **step(a, w)}[k].alias(k) for k in start]))
+
+
+def _case(*cases: tuple[Column, Column], otherwise: Column) -> Column:
+    out = None
+    for when, then in cases:
+        out = F.when(when, then) if out is None else out.when(when, then)
+    return out.otherwise(otherwise)
+
+
+def _grep(args: Column, rg: Column) -> Column:
+    """struct<pattern, paths, recursive, dropped>: what a grep looks for. Inverted matches and patterns from files are dropped."""
+    takes = lambda w: w.isin(GREP_VALUE_FLAGS) | (rg & w.isin(RG_VALUE_FLAGS))
+    dash = lambda w: F.startswith(w, F.lit("-")) & (F.length(w) > 1)
+    long = lambda w: F.startswith(w, F.lit("--"))
+
+    def step(a: Column, w: Column) -> dict[str, Column]:
+        value = a["next"] != ""  # this word belongs to the flag before it
+        flag, plain = ~value & dash(w), ~value & ~dash(w)
+        own = flag & ~takes(w) & ~long(w)  # letters of a cluster
+        return {
+            "pattern": _case((value & (a["next"] == "pattern"), F.coalesce(a["pattern"], w)), (plain & a["pattern"].isNull(), w), otherwise=a["pattern"]),
+            "paths": a["paths"] + F.when(plain & a["pattern"].isNotNull(), 1).otherwise(0),
+            "recursive": a["recursive"] | (flag & long(w) & ((w == "--recursive") | F.startswith(w, F.lit("--include")))) | (own & w.rlike("[rR]")),
+            "dropped": a["dropped"] | (flag & w.isin("--invert-match", "--file", "-f")) | (own & w.contains("v")),
+            "next": _case((flag & w.isin("-e", "--regexp"), F.lit("pattern")), (flag & takes(w), F.lit("value")), otherwise=F.lit("")),
+        }
+
+    start = {"pattern": F.lit(None).cast("string"), "paths": F.lit(0), "recursive": F.lit(False), "dropped": F.lit(False), "next": F.lit("")}
+    return _fold(args, start, step)
+
+
+def _find(args: Column) -> Column:
+    """struct<names, dirs, pruned>: names that a find looks for, and whether it asks for directories; what ! or -not precedes does not count."""
+
+    def step(a: Column, w: Column) -> dict[str, Column]:
+        value = a["next"] != ""
+        turn = ~value & w.isin("!", "-not")
+        name, kind = ~value & w.isin("-name", "-iname"), ~value & (w == "-type")
+        return {
+            "names": F.when(value & (a["next"] == "name") & ~a["negated"], F.concat(a["names"], F.array(w))).otherwise(a["names"]),
+            "dirs": a["dirs"] | (value & (a["next"] == "type") & (w == "d") & ~a["negated"]),
+            "pruned": a["pruned"] | (~value & (w == "-prune")),
+            "negated": turn | (a["negated"] & (name | kind | (~value & w.isin("(", ")")))),
+            "next": _case((name, F.lit("name")), (kind, F.lit("type")), (~value & w.isin(FIND_VALUE_FLAGS), F.lit("value")), otherwise=F.lit("")),
+        }
 
-    A filter in mid-pipe without paths or recursion looks through output and not for a word of the project, so it is
-    left out; so are inverted matches and patterns from files.
+    start = {"names": F.expr("cast(array() as array<string>)"), "dirs": F.lit(False), "pruned": F.lit(False), "negated": F.lit(False), "next": F.lit("")}
+    return _fold(args, start, step)
+
+
+def _fd(args: Column) -> Column:
+    """The pattern of an fd; null if it runs a command before it gives one."""
+
+    def step(a: Column, w: Column) -> dict[str, Column]:
+        live = ~a["done"] & ~a["skip"]
+        flag = F.startswith(w, F.lit("-"))
+        return {
+            "pattern": F.when(live & ~flag, w).otherwise(a["pattern"]),
+            "done": a["done"] | (live & (~flag | w.isin("-x", "--exec", "-X", "--exec-batch"))),
+            "skip": live & w.isin(FD_VALUE_FLAGS),
+        }
+
+    return _fold(args, {"pattern": F.lit(None).cast("string"), "done": F.lit(False), "skip": F.lit(False)}, step)["pattern"]
+
+
+def quoted(words: Column) -> Column:
+    """Words joined as a shell would read them again."""
+    plain = lambda w: w.rlike(r"^[A-Za-z0-9_@%+=:,./-]+$")
+    return F.array_join(F.transform(words, lambda w: F.when(plain(w), w).otherwise(F.concat(F.lit("'"), F.replace(w, F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))), " ")
+
+
+def digest(segs: DataFrame) -> DataFrame:
+    """(command, segments, listings, ls_only, items array<struct<seg_no, probe_no, label, pattern, glob, layout, confidence>>): one row per command.
+
+    An item's pattern is what grep and its like, git grep, find and fd search; a filter in mid-pipe without paths or recursion looks through
+    output and not for a word of the project, so it is left out. An item's layout is a tree or a find for directories as it was written, or, as a heuristic,
+    two or more listings of directories; its pattern is null then.
     """
-    args = F.when(F.col("git")[0] == "grep", F.slice("git", F.lit(2), F.size("git"))).otherwise(_args())
-    label = F.when(F.col("git")[0] == "grep", F.lit("git grep")).otherwise(F.col("head"))
-    segs = segs.withColumn("args", args).withColumn("label", label)
-    grep = segs.where(F.col("label").isin("grep", "rg", "git grep"))
-    flags = F.when(F.col("label") == "rg", F.array(*map(F.lit, GREP_VALUE_FLAGS + RG_VALUE_FLAGS))).otherwise(F.array(*map(F.lit, GREP_VALUE_FLAGS)))
-    words = plain_words(F.col("args"), flags)
-    at = F.array_position("args", "-e") + F.array_position("args", "--regexp")
-    given = F.when(at > 0, F.get("args", at.cast("int")))
-    recursive = F.exists("args", lambda w: w.rlike(r"^-[A-Za-z]*[rR]|^--recursive$"))
-    paths = F.size(words) - F.when(given.isNull(), 1).otherwise(0)
-    unwanted = F.exists("args", lambda w: w.rlike(r"^-[A-Za-z]*v[A-Za-z]*$") | w.isin("--invert-match", "-f", "--file"))
-    filtering = piped("sep") & (paths <= 0) & ~recursive
-    grep = grep.where(~unwanted & ~filtering).select("command", "seg_no", "label", F.coalesce(given, F.get(words, F.lit(0))).alias("pattern"), F.lit(False).alias("glob"))
-    find = segs.where((F.col("head") == "find") & ~F.array_contains("args", "-prune"))
-    hits = F.transform(F.sequence(F.lit(0), F.size("args") - 1), lambda k: F.when(F.get("args", k).isin("-name", "-iname") & ~F.coalesce(F.get("args", k - 1).isin("!", "-not"), F.lit(False)), F.get("args", k + 1)))
-    find = find.where(F.size("args") > 0).select("command", "seg_no", "label", F.explode(F.array_compact(hits)).alias("pattern"), F.lit(True).alias("glob"))
-    fd = segs.where(F.col("head").isin("fd", "fdfind") & ~F.arrays_overlap("args", F.array(F.lit("-x"), F.lit("-X"), F.lit("--exec"), F.lit("--exec-batch"))))
-    fd = fd.select("command", "seg_no", F.lit("fd").alias("label"), F.get(plain_words(F.col("args"), ["-e", "-t", "-E", "-d", "--extension", "--type", "--exclude", "--max-depth"]), F.lit(0)).alias("pattern"), F.lit(True).alias("glob"))
-    return grep.unionByName(find).unionByName(fd).where("pattern <> ''")
+    git = F.coalesce(F.col("git")[0] == "grep", F.lit(False))
+    args = F.when(git, F.slice("git", F.lit(2), F.size("git"))).otherwise(_args())
+    grep = git | F.col("head").isin(GREPS)
+    segs = segs.withColumn("args", args).withColumn("label", F.when(git, F.lit("git grep")).otherwise(F.col("head")))
+    segs = segs.withColumn("g", F.when(grep, _grep(F.col("args"), F.col("head") == "rg"))).withColumn("f", F.when(F.col("head") == "find", _find(F.col("args"))))
+    filtering = piped("sep") & (F.col("g.paths") == 0) & ~F.col("g.recursive")
+    none = F.expr("cast(array() as array<string>)")
+    names = F.when(F.col("f.pruned"), none).otherwise(F.col("f.names"))
+    patterns = F.when(grep, F.array(F.when(~F.col("g.dropped") & ~filtering, F.col("g.pattern")))).when(F.col("head") == "find", names).when(F.col("head") == "fd", F.array(_fd(F.col("args"))))
+    found = F.filter(F.coalesce(patterns, none), lambda p: p.isNotNull() & (p != ""))
+    listing = F.col("head") == "ls"
+    layout = (F.col("head") == "tree") | F.coalesce(F.col("f.dirs") & (F.size(names) == 0), F.lit(False))
+    raw = F.when(layout | listing, quoted(F.col("argv")))
+    own = F.struct("seg_no", listing.alias("ls"), layout.alias("layout"), raw.alias("raw"), "label", (~grep).alias("glob"), found.alias("found"))
+    per = segs.groupBy("command").agg(F.array_sort(F.collect_list(own)).alias("s"))
+    item = lambda no, probe, label, pattern, glob, shown, sure: F.struct(no.alias("seg_no"), probe.alias("probe_no"), label.alias("label"), pattern.cast("string").alias("pattern"), glob.alias("glob"), F.left(T.scrub(shown.cast("string")), F.lit(200)).alias("layout"), F.lit(sure).alias("confidence"))
+    empty = F.expr("cast(array() as array<struct<seg_no:int,probe_no:int,label:string,pattern:string,glob:boolean,layout:string,confidence:string>>)")
+    null, zero = F.lit(None), F.lit(0)
+    searched = F.flatten(F.transform("s", lambda x: F.when(x.layout, F.array(item(x.seg_no, zero, x.label, null, F.lit(False), x.raw, "exact"))).otherwise(F.transform(x.found, lambda p, k: item(x.seg_no, k, x.label, p, x["glob"], null, "exact")))))
+    listed = F.filter("s", lambda x: x.ls)
+    several = F.when(F.size(listed) >= 2, F.array(item(F.lit(1 << 20), zero, F.lit("ls"), null, F.lit(False), F.array_join(F.transform(listed, lambda x: x.raw), "; "), "heuristic"))).otherwise(empty)
+    return per.select("command", F.size("s").cast("long").alias("segments"), F.size(listed).cast("long").alias("listings"), ((F.size("s") == 1) & (F.size(listed) == 1)).alias("ls_only"), F.concat(searched, several).alias("items"))
+
+
+def searches(segs: DataFrame) -> DataFrame:
+    """(command, seg_no, probe_no, label, pattern, glob) of the segments' searches."""
+    return digest(segs).select("command", F.inline("items")).where("pattern IS NOT NULL").drop("layout", "confidence")
 
 
 def call_summary(segs: DataFrame) -> DataFrame:
     """Per command: searches, layout probes (tree, find for directories, two ls or more), and whether it only lists."""
-    args = _args()
-    tree = (F.col("head") == "tree") | ((F.col("head") == "find") & F.array_contains(args, "d") & F.array_contains(args, "-type") & ~F.arrays_overlap(args, F.array(F.lit("-name"), F.lit("-iname"))))
-    per = segs.groupBy("command").agg(F.count("*").alias("segments"), F.count_if(F.col("head") == "ls").alias("ls"), F.count_if(tree).alias("layouts"))
-    found = searches(segs).groupBy("command").agg(F.count("*").alias("searches"))
-    out = per.join(found, "command", "left").withColumn("searches", F.coalesce("searches", F.lit(0)))
-    layouts = F.col("layouts") + F.when(F.col("ls") >= 2, 1).otherwise(0)
-    only = (F.col("ls") == F.col("segments")) & (F.col("ls") == 1)
-    return out.select("command", "segments", "searches", layouts.alias("layouts"), only.alias("ls_only"))
+    count = lambda c: F.size(F.filter("items", lambda x: x[c].isNotNull())).cast("long")
+    return digest(segs).select("command", "segments", count("pattern").alias("searches"), count("layout").alias("layouts"), "ls_only")
