@@ -1,8 +1,9 @@
 """Which registered components a session loaded or invoked.
 
-Components are (id, type, name, source, path, states, hook_event, hook_commands, miss_when, missing, ...). Marks are
-(session_id, component_id, state, idx, seq, confidence, summary); a state is registered, loaded or invoked. Joins are by
-equality, so that the dimension may be broadcast when it is small and shuffled when it is not.
+Components are (repo_id, id, type, name, source, path, states, hook_event, hook_commands, miss_when, missing, ...). Marks are
+(session_id, component_id, state, idx, seq, confidence, summary); a state is registered, loaded or invoked. What sessions did carries
+the repo_id of its session, and meets the components of that repository only. Joins are by
+equality, so that the dimension may be broadcast when it is small and shuffled when it is not. ``attribute`` puts all of them together.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 
+from . import shell
+
+#: Tools that change a file.
+EDITORS = ["Edit", "Write", "MultiEdit", "NotebookEdit"]
 MARK = ["session_id", "component_id", "state", "idx", "seq", "confidence", "summary"]
 
 
@@ -22,39 +27,43 @@ def mark(rows: DataFrame, state: str, confidence: str | Column, summary: Column
 
 
 def registered(first_events: DataFrame, components: DataFrame) -> DataFrame:
-    """Every session with events has every component that is not missing: one row each, at the session's first event.
-
-    The result is sessions times components by its nature; components are a registry and not a table that grows with the sessions.
-    """
-    own = components.where("NOT missing").select(F.col("id").alias("component_id"))
-    return mark(first_events.join(own, how="cross"), "registered", "exact")
+    """Every session with events has every component of its repository that is not missing: one row each, at the session's first event."""
+    own = components.where("NOT missing").select("repo_id", F.col("id").alias("component_id"))
+    return mark(first_events.join(own, "repo_id"), "registered", "exact", "registered in manifest")
 
 
 def resolved(calls: DataFrame, components: DataFrame, kind: str) -> DataFrame:
-    """calls (..., name) with the components of that type they name: exact name first, else the part after the last colon.
+    """calls (..., repo_id, name) with the components of that type they name: exact name first, else the part after the last colon.
 
     For a name with a colon, plugins of the first part come before others. More than one candidate makes it heuristic.
     """
-    own = components.where(F.col("type") == kind).select(F.col("id").alias("component_id"), F.col("name").alias("c_name"), "source")
-    short = F.when(F.col("name").contains(":"), F.substring_index("name", ":", -1))
-    names = calls.select("name").distinct().select("name", F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("rank"), F.col("name").alias("c_name")), F.when(short.isNotNull(), F.struct(F.lit(1).alias("rank"), short.alias("c_name")))))).alias("n")).select("name", "n.*")
-    found = names.join(own, "c_name")
+    own = components.where(F.col("type") == kind).select("repo_id", F.col("id").alias("component_id"), F.col("name").alias("c_name"), "source")
+    short = F.when(F.col("name").contains(":"), F.regexp_replace("name", "^[^:]*:", ""))
+    names = calls.select("repo_id", "name").distinct().select("repo_id", "name", F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("rank"), F.col("name").alias("c_name")), F.when(short.isNotNull(), F.struct(F.lit(1).alias("rank"), short.alias("c_name")))))).alias("n")).select("repo_id", "name", "n.*")
+    found = names.join(own, ["repo_id", "c_name"])
     plugin = F.concat(F.lit("plugin:"), F.substring_index("name", ":", 1))
     found = found.withColumn("rank", F.when((F.col("rank") == 1) & ~F.col("source").eqNullSafe(plugin), 2).otherwise(F.col("rank")))
-    best = Window.partitionBy("name")
+    best = Window.partitionBy("repo_id", "name")
     found = found.withColumn("best", F.min("rank").over(best)).where("rank = best").withColumn("candidates", F.count("*").over(best))
-    return calls.join(found.select("name", "component_id", F.when(F.col("candidates") > 1, "heuristic").otherwise("exact").alias("sure")), "name")
+    return calls.join(found.select("repo_id", "name", "component_id", F.when(F.col("candidates") > 1, "heuristic").otherwise("exact").alias("sure")), ["repo_id", "name"])
 
 
-def invoked_by_name(calls: DataFrame, components: DataFrame, kind: str) -> DataFrame:
-    return mark(resolved(calls, components, kind), "invoked", F.col("sure"), F.col("name"))
+def invoked_by_name(calls: DataFrame, components: DataFrame, kind: str, summary: Column | None = None) -> DataFrame:
+    return mark(resolved(calls, components, kind), "invoked", F.col("sure"), F.col("name") if summary is None else summary)
+
+
+def invoked_servers(calls: DataFrame, components: DataFrame) -> DataFrame:
+    """Calls of a server's tool: the tool's name holds the server's."""
+    own = calls.withColumn("server", T.server_tool("tool_name").server).where("server IS NOT NULL")
+    named = components.where("type = 'server'").select("repo_id", F.col("name").alias("server"), F.col("id").alias("component_id"), F.count("*").over(Window.partitionBy("repo_id", "name")).alias("n"))
+    return mark(own.join(named, ["repo_id", "server"]), "invoked", F.when(F.col("n") > 1, "heuristic").otherwise("exact"), F.col("tool_name"))
 
 
 def invoked_hooks(events: DataFrame, components: DataFrame) -> DataFrame:
     """Hook events by their event's name, whatever its case; with several candidates and a known command, those whose command holds it or is held by it. Always heuristic."""
-    own = components.where("type = 'hook'").select(F.col("id").alias("component_id"), F.lower("hook_event").alias("event"), "hook_commands")
+    own = components.where("type = 'hook'").select("repo_id", F.col("id").alias("component_id"), F.lower("hook_event").alias("event"), "hook_commands")
     fired = events.where("kind = 'hook'").withColumn("event", F.lower("hook_event"))
-    found = fired.join(own, "event")
+    found = fired.join(own, ["repo_id", "event"])
     fits = F.coalesce(F.exists("hook_commands", lambda c: F.contains(c, F.col("text")) | F.contains(F.col("text"), c)), F.lit(False))
     each = Window.partitionBy("session_id", "idx", "seq")
     found = found.withColumn("fits", fits).withColumn("n", F.count("*").over(each)).withColumn("any", F.max("fits").over(each))
@@ -63,34 +72,35 @@ def invoked_hooks(events: DataFrame, components: DataFrame) -> DataFrame:
 
 def loaded_by_path(reads: DataFrame, components: DataFrame, confidence: str = "exact") -> DataFrame:
     """Reads (..., path) of a component's own file."""
-    own = components.where("path IS NOT NULL").select(F.col("id").alias("component_id"), "path")
-    return mark(reads.join(own, "path"), "loaded", confidence, F.col("path"))
+    own = components.where("path IS NOT NULL").select("repo_id", F.col("id").alias("component_id"), "path")
+    return mark(reads.join(own, ["repo_id", "path"]), "loaded", confidence, F.col("path"))
 
 
 def loaded_by_directory(touched: DataFrame, components: DataFrame) -> DataFrame:
-    """Paths touched below a directory whose guidance file is a component: each path meets its own ancestors, by equality."""
-    own = components.where("path LIKE '%/%'").select(F.col("id").alias("component_id"), F.regexp_replace("path", "/[^/]+$", "").alias("dir"))
-    return mark(touched.withColumn("dir", F.explode(T.ancestors("path"))).join(own, "dir"), "loaded", "heuristic", F.col("path"))
+    """Paths touched, or directories worked in, at or below a directory whose guidance file is a component: each meets itself and its own ancestors, by equality."""
+    own = components.where("path LIKE '%/%'").select("repo_id", F.col("id").alias("component_id"), F.regexp_replace("path", "/[^/]+$", "").alias("dir"))
+    return mark(touched.withColumn("dir", F.explode(F.concat(T.ancestors("path"), F.array("path")))).join(own, ["repo_id", "dir"]), "loaded", "heuristic", F.col("path"))
 
 
 def skill_file_reads(reads: DataFrame, components: DataFrame) -> DataFrame:
-    """Reads of <name>/SKILL.md of skills whose path is not known."""
-    named = reads.where(F.endswith("path", F.lit("SKILL.md"))).withColumn("name", F.element_at(F.split("path", "/"), -2))
-    own = components.where("type = 'skill'").select(F.col("id").alias("component_id"), "name")
-    return mark(named.join(own, "name"), "loaded", "heuristic", F.col("path"))
+    """Reads of <name>/SKILL.md by the skill's name alone, wherever the file lies."""
+    named = reads.where(F.endswith("path", F.lit("SKILL.md"))).withColumn("name", F.try_element_at(F.split("path", "/"), F.lit(-2)))
+    own = components.where("type = 'skill'").select("repo_id", F.col("id").alias("component_id"), "name")
+    return mark(named.join(own, ["repo_id", "name"]), "loaded", "heuristic", F.col("path"))
 
 
 def first_per_session(marks: DataFrame, extra: DataFrame) -> DataFrame:
-    """marks, and those of ``extra`` whose component has no earlier mark in the session: one at most."""
-    both = marks.withColumn("own", F.lit(0)).unionByName(extra.withColumn("own", F.lit(1)))
+    """marks, and those of ``extra`` whose component has no earlier mark in the session: one at most. On one event, extra comes first."""
+    both = marks.withColumn("own", F.lit(1)).unionByName(extra.withColumn("own", F.lit(0)))
     order = Window.partitionBy("session_id", "component_id").orderBy("idx", "seq", "own")
-    return both.withColumn("no", F.row_number().over(order)).where("own = 0 OR no = 1").drop("own", "no")
+    return both.withColumn("no", F.row_number().over(order)).where("own = 1 OR no = 1").drop("own", "no")
 
 
 def applicable(marks: DataFrame, components: DataFrame) -> DataFrame:
-    """Marks in a state that their component can be in."""
-    own = components.select(F.col("id").alias("component_id"), "states")
-    return marks.join(own, "component_id").where(F.array_contains("states", F.col("state"))).select(marks.columns)
+    """Marks in a state that their component can be in; marks with a repo_id meet the components of that repository."""
+    key = ["repo_id", "component_id"] if "repo_id" in marks.columns else ["component_id"]
+    own = components.withColumnRenamed("id", "component_id").select(*key, "states")
+    return marks.join(own, key).where(F.array_contains("states", F.col("state"))).select(marks.columns)
 
 
 def usages(marks: DataFrame, shown: int = 50) -> DataFrame:
@@ -127,12 +137,25 @@ def commit_counts(calls: DataFrame, committing: DataFrame) -> DataFrame:
 
 
 def missed_hooks(sessions: DataFrame, uses: DataFrame, components: DataFrame) -> DataFrame:
-    """(component_id, missed): sessions with commits in which a hook that should see them was never invoked."""
-    due = components.where("type = 'hook' AND miss_when = 'git_commit'").select(F.col("id").alias("component_id"))
-    asked = sessions.where("commits > 0").select("session_id").join(due, how="cross")
+    """(repo_id, component_id, missed): sessions (session_id, repo_id, commits) with commits in which a hook that should see them was never invoked.
+
+    Sessions with commits less those in which the hook was seen: no pair of session and hook is ever made.
+    """
+    due = components.where("type = 'hook' AND miss_when = 'git_commit'").select("repo_id", F.col("id").alias("component_id")).distinct()
+    asked = sessions.where("commits > 0").select("session_id", "repo_id")
+    total = asked.groupBy("repo_id").agg(F.countDistinct("session_id").alias("sessions"))
+    seen = uses.where("state = 'invoked' AND count > 0").select("session_id", "component_id").join(asked, "session_id").join(due, ["repo_id", "component_id"], "left_semi")
+    seen = seen.groupBy("repo_id", "component_id").agg(F.countDistinct("session_id").alias("seen"))
+    out = due.join(total, "repo_id", "left").join(seen, ["repo_id", "component_id"], "left")
+    return out.select("repo_id", "component_id", (F.coalesce("sessions", F.lit(0)) - F.coalesce("seen", F.lit(0))).alias("missed"))
+
+
+def session_misses(sessions: DataFrame, uses: DataFrame, components: DataFrame) -> DataFrame:
+    """(session_id, component_id): for sessions with commits, each due hook of the repository that never ran. For reports on few sessions; totals come from missed_hooks."""
+    due = components.where("type = 'hook' AND miss_when = 'git_commit'").select("repo_id", F.col("id").alias("component_id"))
     seen = uses.where("state = 'invoked' AND count > 0").select("session_id", "component_id")
-    missed = asked.join(seen, ["session_id", "component_id"], "left_anti").groupBy("component_id").agg(F.count("*").alias("missed"))
-    return due.join(missed, "component_id", "left").select("component_id", F.coalesce("missed", F.lit(0)).alias("missed"))
+    return sessions.where("commits > 0").select("session_id", "repo_id").join(due, "repo_id").join(seen, ["session_id", "component_id"], "left_anti").select("session_id", "component_id")
+
 
 #: Fixed value: how a message begins that brings a skill's text into context.
 EXPANSION = "Base directory for this skill:"
@@ -143,26 +166,69 @@ def expanded_skills(events: DataFrame, components: DataFrame) -> DataFrame:
     said = events.where((F.col("kind") == "user_msg") & F.startswith(T.strip("text"), F.lit(EXPANSION)))
     given = F.regexp_extract(T.strip("text"), rf"^{EXPANSION}[ \t]*([^\r\n]*)", 1)
     said = said.withColumn("dir", F.regexp_replace(T.strip(given), "/+$", "")).withColumn("name", F.element_at(F.split("dir", "/"), -1))
-    own = components.where("type = 'skill'").select(F.col("id").alias("component_id"), F.col("name").alias("c_name"), F.regexp_replace("path", "/[^/]+$", "").alias("home"))
-    each = Window.partitionBy("dir")
-    dirs = said.select("dir", "name").distinct()
-    named = dirs.join(own, F.col("name") == F.col("c_name")).withColumn("fits", F.coalesce(F.endswith("dir", F.col("home")), F.lit(False)))
+    own = components.where("type = 'skill'").select("repo_id", F.col("id").alias("component_id"), "name", F.regexp_replace("path", "/[^/]+$", "").alias("home"))
+    each = Window.partitionBy("repo_id", "dir")
+    dirs = said.where("dir <> ''").select("repo_id", "dir", "name").distinct()
+    named = dirs.join(own, ["repo_id", "name"]).withColumn("fits", F.coalesce(F.endswith("dir", F.col("home")), F.lit(False)))
     named = named.withColumn("any", F.max("fits").over(each)).where("fits OR NOT any").withColumn("n", F.count("*").over(each))
     # A directory that ends with a skill's home has that home among its own endings, so this is a join by equality too.
     steps = F.split("dir", "/")
     ends = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, k, F.size(steps)), "/"))
-    other = dirs.join(named.select("dir"), "dir", "left_anti").withColumn("home", F.explode(ends)).join(own, "home").withColumn("n", F.count("*").over(each))
-    found = named.select("dir", "component_id", "n").unionByName(other.select("dir", "component_id", "n"))
-    return mark(said.join(found, "dir"), "loaded", F.when(F.col("n") > 1, "heuristic").otherwise("exact"), F.col("dir"))
+    other = dirs.join(named.select("repo_id", "dir"), ["repo_id", "dir"], "left_anti").withColumn("home", F.explode(ends)).join(own.drop("name"), ["repo_id", "home"]).withColumn("n", F.count("*").over(each))
+    found = named.select("repo_id", "dir", "component_id", "n").unionByName(other.select("repo_id", "dir", "component_id", "n"))
+    return mark(said.join(found, ["repo_id", "dir"]), "loaded", F.when(F.col("n") > 1, "heuristic").otherwise("exact"), F.col("dir"))
 
 
 def always_loaded(first_events: DataFrame, components: DataFrame) -> DataFrame:
-    """Guidance that is in context from the start, at each session's first event; a registry's few rows per session, by nature."""
-    own = components.where("type = 'guide' AND context = 'static' AND NOT missing").select(F.col("id").alias("component_id"))
-    return mark(first_events.join(own, how="cross"), "loaded", "exact")
+    """Guidance of the repository that is in context from the start, at each session's first event."""
+    own = components.where("type = 'guide' AND context = 'static' AND NOT missing").select("repo_id", F.col("id").alias("component_id"))
+    return mark(first_events.join(own, "repo_id"), "loaded", "exact")
 
 
 def loaded_by_shell(reads: DataFrame, files: DataFrame, components: DataFrame) -> DataFrame:
     """Paths (session_id, repo_id, idx, seq, path) that shell commands read, if the repository has such a file; heuristic."""
     there = reads.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
     return loaded_by_path(there, components, "heuristic")
+
+
+def attribute(events: DataFrame, results: DataFrame, components: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
+    """All marks of typed events and their first results.
+
+    sessions: (session_id, repo_id, root). files: (repo_id, path) of what exists, against which paths read by shell commands are held.
+    A component's own path is relative to its repository, and so are paths before they meet it; those outside meet nothing.
+    """
+    at = ["session_id", "repo_id", "root", "idx", "seq"]
+    components = components.where("NOT missing")
+    events = events.join(sessions.select("session_id", "repo_id", "root"), "session_id")
+    first = events.groupBy("session_id", "repo_id").agg(F.min(F.struct("idx", "seq")).alias("at")).select("session_id", "repo_id", "at.idx", "at.seq")
+    field = lambda p: F.get_json_object("tool_input", f"$.{p}")
+    calls = events.where("kind = 'tool_use'").join(results, ["session_id", "tool_use_id"], "left").withColumn("ok", F.coalesce(~F.col("result_error"), F.lit(False)))
+    tool = F.col("tool_name")
+    inside = lambda c: T.path_under(c, F.col("root"))
+
+    skills = calls.where((tool == "Skill") & F.col("ok")).select(*at, field("skill").alias("name")).where("name IS NOT NULL")
+    agents = calls.where(tool.isin("Task", "Agent")).select(*at, "tool_name", field("subagent_type").alias("name")).where("name IS NOT NULL")
+    said = events.where("kind = 'user_msg' AND NOT is_sidechain").select(*at, T.command_name("text").alias("name")).where("name IS NOT NULL")
+    marks = invoked_by_name(skills, components, "skill", F.format_string("Skill(%s) completed", "name"))
+    marks = marks.unionByName(invoked_by_name(agents, components, "agent", F.format_string("%s(subagent_type=%s)", "tool_name", "name")))
+    marks = marks.unionByName(invoked_by_name(said, components, "command", F.concat(F.lit("/"), "name")))
+    marks = marks.unionByName(invoked_servers(calls, components)).unionByName(invoked_hooks(events, components))
+
+    read = calls.where((tool == "Read") & F.col("ok")).select(*at, field("file_path").alias("target")).where("target IS NOT NULL")
+    own_path = components.where(F.col("type").isin("file", "guide"))
+    loaded = loaded_by_path(read.withColumn("path", inside(F.col("target"))).where("path IS NOT NULL"), own_path)
+    loaded = loaded.unionByName(skill_file_reads(read.withColumn("path", F.col("target")), components))
+    bash = calls.where(tool == "Bash").withColumn("command", field("command")).where("command IS NOT NULL")
+    segs = shell.segments(bash.where("ok"))
+    shelled = bash.where("ok").join(shell.read_paths(segs).select("command", "path"), "command").withColumn("path", inside(T.absolute_path("path", "cwd"))).where("path IS NOT NULL")
+    loaded = loaded.unionByName(loaded_by_shell(shelled.select(*at, "path").distinct(), files, own_path))
+    target = F.coalesce(field("file_path"), field("notebook_path"))
+    touched = calls.where(tool.isin(EDITORS)).select(*at, inside(target).alias("path")).unionByName(bash.select(*at, inside(F.col("cwd")).alias("path"))).where("path IS NOT NULL")
+    loaded = loaded.unionByName(loaded_by_directory(touched, components.where("type = 'guide' AND context <> 'static'")))
+    loaded = loaded.unionByName(expanded_skills(events, components)).unionByName(always_loaded(first, components))
+
+    expansion = (F.col("kind") == "user_msg") & F.startswith("text", F.lit(EXPANSION))
+    tagged = events.where(F.col("attribution_skill").isNotNull() & ~F.coalesce(expansion, F.lit(False))).select(*at, F.col("attribution_skill").alias("name"))
+    tagged = mark(resolved(tagged, components, "skill"), "loaded", F.col("sure"), F.concat(F.lit("attributionSkill="), "name"))
+    able = lambda rows: applicable(rows.join(sessions.select("session_id", "repo_id"), "session_id"), components).select(*MARK)
+    return able(marks).unionByName(first_per_session(able(loaded), able(tagged))).unionByName(registered(first, components))

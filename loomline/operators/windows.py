@@ -125,6 +125,13 @@ def timeline(sources: list[DataFrame]) -> DataFrame:
     return rows.withColumn("no", F.row_number().over(Window.partitionBy("session_id").orderBy("idx", "seq", "source_no")))
 
 
+def session_bounds(stats: DataFrame) -> DataFrame:
+    """Rows for a timeline at a session's two ends, before and behind all others; stats: (session_id, version, tokens)."""
+    start = stats.select("session_id", F.lit(-1).cast("long").alias("idx"), F.lit(0).alias("seq"), F.lit("session_start").alias("kind"), F.concat(F.lit("version "), F.coalesce("version", F.lit("?"))).alias("detail"))
+    end = stats.select("session_id", F.lit(10**9).cast("long").alias("idx"), F.lit(0).alias("seq"), F.lit("session_end").alias("kind"), F.format_string("%d tokens", F.coalesce("tokens", F.lit(0))).alias("detail"))
+    return start.unionByName(end)
+
+
 def with_stale_rows(rows: DataFrame, stale: DataFrame) -> DataFrame:
     """A timeline (session_id, no, idx, detail) with a row after each mutating line's rows, and a note on the first row at each close."""
     opened = stale.groupBy("session_id", F.col("mutate_idx").alias("idx")).agg(F.count("*").alias("n"))
