@@ -161,7 +161,7 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all executors share; a local master may do without."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import tempfile
 
@@ -189,6 +189,20 @@ def imports(lines: DataFrame) -> DataFrame:
     return own.where(F.col("target").isNotNull() & (F.contains("target", F.lit("/")) | _looks_like_path(F.col("target")))).select("repo_id", "carrier", "target").distinct()
 
 
+def resolved_imports(links: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, external) of imports: those whose target is a file of the repository, and the others."""
+    files = index.where("NOT is_dir").select("repo_id", F.col("path").alias("target"))
+    return links.join(files, ["repo_id", "target"], "left_semi"), links.join(files, ["repo_id", "target"], "left_anti")
+
+
+def imports_beyond(starts: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
+    """(repo_id, node) that imports name one step beyond ``depth``, and that therefore stay out."""
+    held = import_closure(starts, edges, depth)
+    last = held.where(F.col("hop") == depth).select("repo_id", F.col("node").alias("carrier"))
+    beyond = edges.join(last, ["repo_id", "carrier"]).select("repo_id", F.col("target").alias("node")).distinct()
+    return beyond.join(held.select("repo_id", "node"), ["repo_id", "node"], "left_anti")
+
+
 def import_closure(starts: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
     """What imports lead to within ``depth`` steps."""
     return reach(starts, edges.select("repo_id", F.col("carrier").alias("source"), "target", F.lit("reference").alias("kind")), most=depth)
@@ -197,13 +211,17 @@ def import_closure(starts: DataFrame, edges: DataFrame, depth: int = 5) -> DataF
 def classified_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs (..., text) as lines (line_no from 1, text, kind): code, blank, structural, heading or prose; routing needs references and comes from ``routed``.
 
-    A line is code inside a fence, known from the parity of fence lines before it, a fold over one document's own lines.
+    Fence lines in pairs enclose code, the last one to the end. Marks for all lines are laid out stretch by stretch, so the work is linear in a document's lines.
     """
     lines = F.split(F.regexp_replace(text, r"(\r\n|\r|\n)\z", ""), "\r\n|\r|\n")
-    start = F.struct(F.expr("cast(array() as array<boolean>)").alias("code"), F.lit(False).alias("open"))
     fence = lambda line: F.startswith(F.trim(line), F.lit("```"))
-    fold = F.aggregate(lines, start, lambda a, line: F.struct(F.concat(a.code, F.array(a.open | fence(line))).alias("code"), (a.open != fence(line)).alias("open")))
-    rows = docs.select("*", F.posexplode(F.arrays_zip(lines.alias("line"), fold.code.alias("code"))).alias("at", "l")).drop(text)
+    rows = docs.withColumn("__lines", lines).withColumn("__at", F.array_compact(F.transform("__lines", lambda line, k: F.when(fence(line), k))))
+    n, pairs = F.size("__lines"), F.ceil(F.size("__at") / 2).cast("int")
+    begin = lambda k: F.get("__at", 2 * k)
+    end = lambda k: F.coalesce(F.get("__at", 2 * k + 1), n - 1)
+    stretch = lambda k: F.concat(F.array_repeat(F.lit(False), begin(k) - F.when(k > 0, end(k - 1)).otherwise(-1) - 1), F.array_repeat(F.lit(True), end(k) - begin(k) + 1))
+    code = F.when(pairs > 0, F.concat(F.flatten(F.transform(F.sequence(F.lit(0), pairs - 1), stretch)), F.array_repeat(F.lit(False), n - 1 - end(pairs - 1)))).otherwise(F.array_repeat(F.lit(False), n))
+    rows = rows.select("*", F.posexplode(F.arrays_zip(F.col("__lines").alias("line"), code.alias("code"))).alias("at", "l")).drop(text, "__lines", "__at")
     line, bare = F.col("l.line"), F.trim(F.col("l.line"))
     kind = F.when(F.col("l.code"), "code").when(T.strip(line) == "", "blank").when(~bare.rlike(r"[^|\-:=+ ]"), "structural").when(F.startswith(bare, F.lit("#")), "heading").otherwise("prose")
     return rows.withColumn("line_no", F.col("at") + 1).withColumn("kind", kind).withColumn("text", line).drop("l", "at")
@@ -225,17 +243,25 @@ def label_quality(text: Column, raws: Column, targets: Column) -> Column:
 
 
 def carrier_rollup(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Per document: lines of each kind, the share of prose, prose before the first routing line, tokens."""
+    """Per document: lines of each kind, the share of prose, prose before the first routing line, tokens; with a column ``label``, routing lines that are bare or echo their path."""
     is_ = lambda k: F.col("kind") == k
     first = F.min(F.when(is_("routing"), F.col("line_no"))).over(Window.partitionBy(*keys))
     rows = lines.withColumn("first", first)
+    named = [F.count_if(is_("routing") & (F.col("label") == k)).alias(k) for k in ("bare", "echo")] if "label" in lines.columns else []
     said = F.count_if(F.col("kind").isin("routing", "prose", "heading"))
     return rows.groupBy(*keys).agg(
         *[F.count_if(is_(k)).alias(k) for k in ("routing", "prose", "heading", "structural", "code", "blank")], F.round(F.try_divide(F.count_if(is_("prose")), said), 4).alias("prose_share"),
-        F.count_if(is_("prose") & (F.col("first").isNull() | (F.col("line_no") < F.col("first")))).alias("prose_before_routing"), F.sum(T.token_estimate("text")).alias("tokens"),
+        F.count_if(is_("prose") & (F.col("first").isNull() | (F.col("line_no") < F.col("first")))).alias("prose_before_routing"), F.sum(T.token_estimate("text")).alias("tokens"), *named,
     )
 
 
+def labelled(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Routed lines with the quality of their label; found: (repo_id, carrier, line_no, raw, target)."""
+    refs = found.groupBy("repo_id", "carrier", "line_no").agg(F.collect_set("raw").alias("raws"), F.collect_set("target").alias("hit"))
+    out = lines.join(refs, ["repo_id", "carrier", "line_no"], "left")
+    return out.withColumn("label", F.when(F.col("kind") == "routing", label_quality(F.col("text"), F.col("raws"), F.col("hit")))).drop("raws", "hit")
+
+
 def duplicate_routes(edges: DataFrame) -> DataFrame:
     """Targets that one carrier leads to from several lines."""
     return edges.where("target <> carrier").groupBy("repo_id", "carrier", "target").agg(F.countDistinct("line_no").alias("lines")).where("lines > 1")
@@ -286,6 +312,27 @@ def map_rollup(cover: DataFrame) -> DataFrame:
     )
 
 
+def file_rollup(index: DataFrame, reached: DataFrame) -> DataFrame:
+    """Per repository: all files, those that guidance leads to, how many at each hop, the deepest, and those beyond three."""
+    hops = index.where("NOT is_dir").select("repo_id", "path").join(reached.select("repo_id", F.col("node").alias("path"), "hop"), ["repo_id", "path"], "left")
+    at = hops.groupBy("repo_id", "hop").agg(F.count("*").alias("n"))
+    spread = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("hop").isNotNull(), F.struct("hop", "n")))))
+    return at.groupBy("repo_id").agg(
+        F.sum("n").alias("files"), F.coalesce(F.sum(F.when(F.col("hop").isNotNull(), F.col("n"))), F.lit(0)).alias("reached"), spread.alias("hops"),
+        F.max("hop").alias("deepest"), F.coalesce(F.sum(F.when(F.col("hop") > 3, F.col("n"))), F.lit(0)).alias("beyond_three"),
+    )
+
+
+def unreached(cover: DataFrame) -> DataFrame:
+    """Code files that guidance does not lead to, the costliest to find first."""
+    return cover.where("NOT reachable").orderBy(F.desc("tokens"), F.desc("searches"), F.desc(F.coalesce("defs", F.lit(0))), "path")
+
+
+def searched_though_reached(cover: DataFrame) -> DataFrame:
+    """Code files that sessions searched for although guidance leads to them."""
+    return cover.where("reachable AND searches > 0").orderBy(F.desc("tokens"), "path")
+
+
 def search_costs(facts: DataFrame, index: DataFrame) -> DataFrame:
     """(repo_id, path, tokens, searches): a file opened from a search takes on that key's searches and their tokens."""
     opened = facts.where("kind = 'chain_read'").select("repo_id", "key", F.col("raw").alias("path")).distinct()
