@@ -1,19 +1,18 @@
-"""The archive: which sessions to ingest, and a sink that replaces whole sessions.
+"""The archive: which sessions to ingest, and tables to which ingests are appended.
 
-Tables are Parquet folders partitioned by ``bucket``, a hash of the session. A write rewrites only the buckets of its
-sessions. Sessions whose transcripts are gone stay.
+A table is a Parquet folder with a part for each ingest; a list of (session, ingest) is written last and commits it. Of each session the
+latest committed ingest counts, so an ingest replaces whole sessions without rewriting anything, and what a lost attempt left behind is never
+seen. Sessions whose transcripts are gone stay.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 
-BUCKETS = 64
+INGESTS = "ingests"
 
 
 def to_ingest(units: DataFrame, sessions: DataFrame, markers: DataFrame, versions: dict[str, int]) -> DataFrame:
@@ -30,9 +29,18 @@ def to_ingest(units: DataFrame, sessions: DataFrame, markers: DataFrame, version
 
 
 def ingest_summary(units: DataFrame, gated: DataFrame, health: DataFrame) -> DataFrame:
-    """One row: new, updated, skipped, degraded."""
+    """One row: new, updated, skipped, degraded, and failed: sessions that were to be ingested but gave no line that could be read."""
     rows = units.select("session_id").join(gated.select("session_id", "reason"), "session_id", "left").join(health.select("session_id", "parse_status"), "session_id", "left")
-    return rows.agg(F.count_if(F.col("reason") == "new").alias("new"), F.count_if(F.col("reason").isin("changed", "outdated")).alias("updated"), F.count_if(F.col("reason").isNull()).alias("skipped"), F.count_if(F.col("reason").isNotNull() & (F.col("parse_status") == "degraded")).alias("degraded"))
+    due, read = F.col("reason").isNotNull(), F.col("parse_status").isNotNull()
+    return rows.agg(
+        F.count_if((F.col("reason") == "new") & read).alias("new"), F.count_if(F.col("reason").isin("changed", "outdated") & read).alias("updated"), F.count_if(~due).alias("skipped"),
+        F.count_if(due & (F.col("parse_status") == "degraded")).alias("degraded"), F.count_if(due & ~read).alias("failed"),
+    )
+
+
+def quarantined(lines: DataFrame) -> DataFrame:
+    """(session_id, stream, line_no, raw) of lines that are no JSON object, as they stand."""
+    return lines.where("v IS NULL").select("session_id", "stream", "line_no", F.left("raw", F.lit(200)).alias("raw"))
 
 
 def session_rows(stats: DataFrame, health: DataFrame, units: DataFrame, costs: DataFrame) -> DataFrame:
@@ -47,30 +55,34 @@ def unsure_if_unsupported(rows: DataFrame, health: DataFrame) -> DataFrame:
     return rows.join(known, "session_id", "left").withColumn("confidence", F.when(F.col("known"), F.col("confidence")).otherwise("heuristic")).drop("known")
 
 
-def replace_sessions(spark: SparkSession, path: str, rows: DataFrame, ids: DataFrame, buckets: int = BUCKETS) -> None:
-    """Replace all rows of the sessions ``ids`` in the table at ``path`` by ``rows``; run twice it gives the same.
-
-    The new content of touched buckets is staged beside the table before any bucket is overwritten, since a table cannot be read
-    while it is rewritten.
-    """
-    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int").alias("bucket")
-    rows = rows.select("*", bucket)
-    touched = ids.select("session_id", bucket)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hadoop):
-        old = spark.read.schema(rows.schema).parquet(path)
-        kept = old.join(touched.select("bucket").distinct(), "bucket", "left_semi").join(touched.select("session_id"), "session_id", "left_anti")
-        rows = rows.unionByName(kept)
-    stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
-    rows.write.parquet(stage)
-    fresh = spark.read.schema(rows.schema).parquet(stage)
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    # A bucket that lost its last row is not in the new content, so its old rows are cleared here.
-    emptied = touched.select("bucket").distinct().join(fresh.select("bucket").distinct(), "bucket", "left_anti")
-    for r in emptied.collect():  # at most one row per bucket
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={r[0]}"), True)
-    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(stage), True)
+def next_ingest(spark: SparkSession, path: str) -> int:
+    """A number above all committed ones."""
+    done = _read(spark, f"{path}/{INGESTS}")
+    return 0 if done is None else done.agg(F.max("ingest")).first()[0] + 1
+
+
+def append(path: str, ingest: int, ids: DataFrame, tables: dict[str, DataFrame]) -> None:
+    """Write the rows of one ingest, table by table, and last of all its sessions ``ids``; done twice with one number it gives the same."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}/ingest={ingest}")
+    ids.select("session_id").distinct().write.mode("overwrite").parquet(f"{path}/{INGESTS}/ingest={ingest}")
+
+
+def current(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table's rows of each session's latest committed ingest."""
+    latest = spark.read.parquet(f"{path}/{INGESTS}").groupBy("session_id").agg(F.max("ingest").alias("ingest"))
+    return spark.read.parquet(f"{path}/{name}").join(latest, ["session_id", "ingest"]).drop("ingest")
+
+
+def compact(spark: SparkSession, path: str, names: list[str], to: str) -> None:
+    """The current rows as the first ingest of a new archive at ``to``."""
+    ids = spark.read.parquet(f"{path}/{INGESTS}").select("session_id")
+    append(to, 0, ids, {name: current(spark, path, name) for name in names})
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
 
 
 def sessions_since(sessions: DataFrame, start) -> DataFrame:

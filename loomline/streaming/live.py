@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomline.functions import text as T
-from loomline.sources import archive
 
 
 def live_occupancy(samples: DataFrame, configured: int = 200_000) -> DataFrame:
@@ -43,17 +42,17 @@ STALE = "session_id string, w string, path string, read_idx long, mutate_idx lon
 def live_stale(ops: DataFrame, idle_ms: int = 3_600_000, as_of_end: bool = True) -> DataFrame:
     """Stale windows as they close, from a stream of (session_id, w, idx, seq, op, path, tokens).
 
-    State per session: the copies in context and the stale ones. With ``as_of_end`` a session idle for ``idle_ms`` emits
-    what was never read again. Rows at or behind the last position acted on come out with outcome late.
+    State per session: the copies in context, the stale ones, and the last position (idx, seq) acted on. With ``as_of_end`` a session idle for
+    ``idle_ms`` emits what was never read again, and its state goes. Rows at or behind the last position come out with outcome late.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, stale, last = ({}, {}, -1)
+        held, stale, last = ({}, {}, (-1, -1))
         if state.exists:
             raw = state.get
             held = {(w, p): (i, t) for w, p, i, t in zip(raw[0], raw[1], raw[2], raw[3], strict=True)}
             stale = {(w, p): (i, t, m) for w, p, i, t, m in zip(raw[4], raw[5], raw[6], raw[7], raw[8], strict=True)}
-            last = raw[9]
+            last = (raw[9], raw[10])
         out = []
 
         def close(k: tuple, at: int | None, outcome: str) -> None:
@@ -65,9 +64,11 @@ def live_stale(ops: DataFrame, idle_ms: int = 3_600_000, as_of_end: bool = True)
                 close(k, None, "never-re-read")
             state.remove()
         else:
-            rows = pd.concat(batches).sort_values(["idx", "seq"])
+            rows = pd.concat(batches).sort_values(["idx", "seq"], kind="stable")
+            ended = last
             for r in rows.itertuples():
-                if r.idx <= last:
+                ended = max(ended, (int(r.idx), int(r.seq)))
+                if (r.idx, r.seq) <= last:
                     out.append((key[0], r.w, r.path, r.idx, None, None, "late", None))
                     continue
                 k = (r.w, r.path)
@@ -83,55 +84,79 @@ def live_stale(ops: DataFrame, idle_ms: int = 3_600_000, as_of_end: bool = True)
                     for x in [x for x in held if r.path is None or pd.isna(r.path) or x[1] == r.path]:
                         i, t = held.pop(x)
                         stale.setdefault(x, (i, t, r.idx))
-            last = max(last, int(rows["idx"].max()))
+            last = ended
             h, s = list(held.items()), list(stale.items())
             state.update((
                 [k[0] for k, _ in h], [k[1] for k, _ in h], [int(v[0]) for _, v in h], [int(v[1]) for _, v in h],
-                [k[0] for k, _ in s], [k[1] for k, _ in s], [int(v[0]) for _, v in s], [int(v[1]) for _, v in s], [int(v[2]) for _, v in s], last,
+                [k[0] for k, _ in s], [k[1] for k, _ in s], [int(v[0]) for _, v in s], [int(v[1]) for _, v in s], [int(v[2]) for _, v in s], *last,
             ))
             if as_of_end:
                 state.setTimeoutDuration(idle_ms)
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in STALE.split(", ")])
         yield frame.astype({c: "Int64" for c in ("read_idx", "mutate_idx", "close_idx", "read_tokens_est")})
 
-    memory = "hw array<string>, hp array<string>, hi array<long>, ht array<long>, sw array<string>, sp array<string>, si array<long>, st array<long>, sm array<long>, last long"
+    memory = "hw array<string>, hp array<string>, hi array<long>, ht array<long>, sw array<string>, sp array<string>, si array<long>, st array<long>, sm array<long>, idx long, seq long"
     rows = ops.select(F.col("session_id").cast("string").alias("session_id"), F.col("w").cast("string").alias("w"), "idx", "seq", "op", "path", "tokens")
     return rows.groupBy("session_id").applyInPandasWithState(step, STALE, memory, "append", GroupStateTimeout.ProcessingTimeTimeout if as_of_end else GroupStateTimeout.NoTimeout)
 
 
-NEEDS = "session_id string, idx long, key string, path string, tokens long"
+NEEDS = "session_id string, idx long, key string, path string, tokens long, late boolean"
 
 
-def live_chain_reads(stream: DataFrame) -> DataFrame:
-    """Reads of files that the last search turned up, out as soon as the next search follows; stream as for operators.facts.chain_reads, with one window column w."""
+def _turned_up(path: str, text: str, cwd: str | None) -> bool:
+    """The path, or its form below cwd, stands in the text."""
+    base = (cwd or "").rstrip("/") + "/"
+    return path in text or bool(cwd) and path.startswith(base) and path[len(base) :] in text
+
+
+def live_chain_reads(stream: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+    """Reads of files that the last search turned up, out as soon as the next search follows; stream as for operators.facts.chain_reads, with one window column w.
+
+    A window idle for ``idle_ms`` gives up its state with the reads that no search followed. Rows at or behind the last position acted on
+    come out as late, without a key.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, name, idx, keys, paths, tokens = state.get if state.exists else ("", "", [], [], [], [])
-        idx, keys, paths, tokens = map(list, (idx, keys, paths, tokens))
         out = []
-        for r in pd.concat(batches).sort_values(["idx", "seq"]).itertuples():
-            if r.op == "search":
-                out += [(key[0], *x) for x in zip(idx, keys, paths, tokens, strict=True)]
-                idx, keys, paths, tokens = [], [], [], []
-                text, name = r.text, r.key
-            elif name and r.path in text:
-                idx.append(int(r.idx))
-                keys.append(name)
-                paths.append(r.path)
-                tokens.append(int(r.tokens))
-        state.update((text, name, idx, keys, paths, tokens))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in NEEDS.split(", ")])
-
-    rows = stream.select(F.col("session_id").cast("string").alias("session_id"), F.col("w").cast("string").alias("w"), "idx", "seq", "op", "key", "path", "text", "tokens")
-    return rows.groupBy("session_id", "w").applyInPandasWithState(step, NEEDS, "text string, key string, idx array<long>, keys array<string>, paths array<string>, tokens array<long>", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            text, name, idx, keys, paths, tokens, *last = state.get if state.exists else ("", "", [], [], [], [], -1, -1)
+            idx, keys, paths, tokens, last = list(idx), list(keys), list(paths), list(tokens), tuple(last)
+            ended = last
+            for r in pd.concat(batches).sort_values(["idx", "seq"], kind="stable").itertuples():
+                ended = max(ended, (int(r.idx), int(r.seq)))
+                if (r.idx, r.seq) <= last:
+                    out.append((key[0], int(r.idx), None, r.path, None, True))
+                elif r.op == "search":
+                    out += [(key[0], *x, False) for x in zip(idx, keys, paths, tokens, strict=True)]
+                    idx, keys, paths, tokens = [], [], [], []
+                    text, name = r.text or "", r.key
+                elif name and r.path and _turned_up(r.path, text, r.cwd):
+                    idx.append(int(r.idx))
+                    keys.append(name)
+                    paths.append(r.path if not r.root else r.path.removeprefix(r.root.rstrip("/") + "/"))
+                    tokens.append(int(r.tokens))
+            state.update((text, name, idx, keys, paths, tokens, *ended))
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in NEEDS.split(", ")]).astype({"idx": "Int64", "tokens": "Int64"})
+
+    root = F.col("root") if "root" in stream.columns else F.lit(None).cast("string").alias("root")
+    rows = stream.select(F.col("session_id").cast("string").alias("session_id"), F.col("w").cast("string").alias("w"), "idx", "seq", "op", "key", "path", "text", "cwd", root, "tokens")
+    memory = "text string, key string, idx array<long>, keys array<string>, paths array<string>, tokens array<long>, last_idx long, last_seq long"
+    return rows.groupBy("session_id", "w").applyInPandasWithState(step, NEEDS, memory, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def archive_writer(path: str):
-    """For foreachBatch: replace the sessions of a micro-batch in the archive; a repeated batch changes nothing."""
+    """For foreachBatch: add a micro-batch's rows to the table at ``path``; a repeated batch writes over itself, so nothing is there twice."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        archive.replace_sessions(batch.sparkSession, path, batch, batch.select("session_id").distinct())
-        batch.unpersist()
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def archived(spark: SparkSession, path: str, key: tuple[str, ...] = ("session_id", "idx", "seq")) -> DataFrame:
+    """All rows that were written; of rows with one key, that of the latest batch."""
+    order = Window.partitionBy(*key).orderBy(F.desc("batch"))
+    return spark.read.parquet(path).withColumn("no", F.row_number().over(order)).where("no = 1").drop("no", "batch")
