@@ -239,12 +239,12 @@ def merged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(E + """, s AS (SELECT session_id, min(ts) AS started_at, count(CASE WHEN event_type = 'error' THEN 1 END) AS commits FROM e GROUP BY session_id),
 d AS (SELECT DISTINCT k % 5 AS c FROM e), asked AS (SELECT s.session_id, d.c FROM s, d WHERE s.commits > 0),
 seen AS (SELECT DISTINCT session_id, k % 5 AS c FROM e WHERE event_type = 'purchase')
-SELECT CAST(d.c AS VARCHAR) AS component_id, count(a.c) AS missed FROM d LEFT JOIN (SELECT * FROM asked EXCEPT SELECT * FROM seen) a ON a.c = d.c GROUP BY d.c""")
+SELECT 'r' AS repo_id, CAST(d.c AS VARCHAR) AS component_id, count(a.c) AS missed FROM d LEFT JOIN (SELECT * FROM asked EXCEPT SELECT * FROM seen) a ON a.c = d.c GROUP BY d.c""")
 def missed_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = session_events(spark, sf_dir)
-    sessions = e.groupBy("session_id").agg(F.count_if(F.col("event_type") == "error").alias("commits"))
+    sessions = e.groupBy("session_id").agg(F.count_if(F.col("event_type") == "error").alias("commits")).withColumn("repo_id", F.lit("r"))
     hook = (F.col("k") % 5).cast("string")
-    components = e.select(hook.alias("id")).distinct().withColumn("type", F.lit("hook")).withColumn("miss_when", F.lit("git_commit"))
+    components = e.select(hook.alias("id")).distinct().withColumn("type", F.lit("hook")).withColumn("miss_when", F.lit("git_commit")).withColumn("repo_id", F.lit("r"))
     uses = e.where("event_type = 'purchase'").groupBy("session_id", hook.alias("component_id")).agg(F.count("*").alias("count")).withColumn("state", F.lit("invoked"))
     return attribution.missed_hooks(sessions, uses, components)
 
@@ -303,15 +303,20 @@ def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 @query(USES + """, w AS (SELECT u.component_id, sum(CASE WHEN state = 'invoked' THEN count ELSE 0 END) AS invoked, sum(CASE WHEN state = 'loaded' THEN count ELSE 0 END) AS loaded, max(confidence) AS confidence,
     max(CASE WHEN state IN ('invoked', 'loaded') THEN started_at END) AS last_used FROM u JOIN s ON s.session_id = u.session_id WHERE started_at >= TIMESTAMP '1996-01-01' GROUP BY u.component_id),
-r AS (SELECT c.id, c.type, c.can_invoke, coalesce(w.invoked, 0) AS invoked, coalesce(w.loaded, 0) AS loaded, w.last_used, w.confidence FROM c LEFT JOIN w ON w.component_id = c.id),
+g AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 9 = 0),
+x AS (SELECT component_id, count(DISTINCT session_id) AS n FROM u WHERE state = 'invoked' AND session_id % 9 = 0 GROUP BY component_id),
+r AS (SELECT c.id, c.type, c.can_invoke, CASE WHEN c.type = 'hook' THEN (SELECT n FROM g) - coalesce((SELECT x.n FROM x WHERE x.component_id = c.id), 0) ELSE 0 END AS missed, coalesce(w.invoked, 0) AS invoked, coalesce(w.loaded, 0) AS loaded, w.last_used, w.confidence FROM c LEFT JOIN w ON w.component_id = c.id),
 p AS (SELECT *, CASE WHEN can_invoke THEN invoked ELSE loaded END AS primary_count, coalesce(epoch(TIMESTAMP '1998-08-02') - epoch(last_used) > (epoch(TIMESTAMP '1998-08-02') - epoch(TIMESTAMP '1996-01-01')) * 2 / 3, false) AS stale FROM r),
 t AS (SELECT *, CASE WHEN NOT EXISTS (SELECT 1 FROM s WHERE started_at >= TIMESTAMP '1996-01-01') THEN 'no data' WHEN type = 'hook' THEN CASE WHEN invoked = 0 THEN 'never triggered' WHEN primary_count <= 2 OR stale THEN 'low-use' ELSE 'active' END
     WHEN invoked + loaded = 0 THEN 'unused' WHEN primary_count <= 2 OR stale THEN 'low-use' ELSE 'active' END AS base FROM p)
-SELECT id AS component_id, type, CAST(invoked AS BIGINT) AS invoked, CAST(loaded AS BIGINT) AS loaded, CAST(primary_count AS BIGINT) AS primary_count, last_used, CAST(0 AS BIGINT) AS missed, confidence,
-  base || CASE WHEN NOT can_invoke AND invoked + loaded > 0 AND base <> 'never triggered' THEN ' (loaded)' ELSE '' END AS status FROM t""")
+SELECT id AS component_id, type, CAST(invoked AS BIGINT) AS invoked, CAST(loaded AS BIGINT) AS loaded, CAST(primary_count AS BIGINT) AS primary_count, last_used, CAST(missed AS BIGINT) AS missed, confidence,
+  base || CASE WHEN type = 'hook' AND invoked > 0 AND missed > 0 THEN ' (' || missed || ' MISS)' ELSE '' END || CASE WHEN NOT can_invoke AND invoked + loaded > 0 AND base <> 'never triggered' THEN ' (loaded)' ELSE '' END AS status FROM t""")
 def window_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ninth session commits, and all hooks should see that."""
     sessions, uses, components = _archive(spark, sf_dir)
-    missed = components.where("type = 'hook'").select(F.col("id").alias("component_id"), F.lit(0).cast("long").alias("missed"))
+    committed = sessions.select("session_id", F.lit("r").alias("repo_id"), F.when(F.col("session_id") % 9 == 0, 1).otherwise(0).alias("commits"))
+    hooks = components.withColumn("repo_id", F.lit("r")).withColumn("miss_when", F.when(F.col("type") == "hook", "git_commit"))
+    missed = attribution.missed_hooks(committed, uses, hooks).select("component_id", "missed")
     return reports.window_report(sessions, uses, components, missed, START, AS_OF)
 
 

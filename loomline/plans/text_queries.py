@@ -48,14 +48,19 @@ def search_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_parts(rows).select("p_partkey", "part_no", "parts", "kind", "key")
 
 
-@query("""WITH u AS (SELECT page_id, '/repo/docs/' || (page_id % 7) || '/../x/./p' || page_id || '.md' AS path FROM pages)
-SELECT page_id, '/repo/docs/x/p' || page_id || '.md' AS whole, 'docs/x/p' || page_id || '.md' AS below, page_id % 2 = 0 AS in_docs, 'docs,docs/x' AS above FROM u""")
+@query("""WITH u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p, page_id % 3 AS r FROM pages),
+s AS (SELECT page_id, r, list_filter(string_split(p, '/'), lambda x: x <> '' AND x <> '.') AS steps FROM u)
+SELECT page_id, '/w/r' || r || '/' || array_to_string(steps, '/') AS whole, CASE WHEN r < 2 THEN array_to_string(steps, '/') END AS below, CASE WHEN r < 2 THEN len(steps) > 1 END AS in_site,
+  CASE WHEN r < 2 THEN array_to_string(list_transform(range(1, len(steps)), lambda n: array_to_string(steps[1:n], '/')), ',') END AS above FROM s""")
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("page_id")
-    path = F.concat(F.lit("docs/"), (n % 7).cast("string"), F.lit("/../x/./p"), n.cast("string"), F.lit(".md"))
-    below = T.path_under(path, F.lit("/repo"))
-    base = F.when(n % 2 == 0, F.lit("docs")).otherwise(F.lit("doc"))
-    return table(spark, sf_dir, "pages").select("page_id", T.absolute_path(path, F.lit("/repo")).alias("whole"), below.alias("below"), T.within(below, base).alias("in_docs"), F.array_join(T.ancestors(below), ",").alias("above"))
+    """The pages' addresses as paths below one of three roots, written with a detour; two of the roots are known."""
+    r = F.col("page_id") % 3
+    root = F.format_string("/w/r%d", r)
+    path = F.concat(F.lit("x/../"), F.regexp_replace("url", "^[a-z]+://", ""))
+    whole = T.absolute_path(path, root)
+    rows = table(spark, sf_dir, "pages").select("page_id", whole.alias("whole"), T.path_under(whole, F.when(r < 2, root).otherwise("/w/other")).alias("below"))
+    site = F.substring_index("below", "/", 1)
+    return rows.select("page_id", "whole", "below", (T.within("below", site) & (F.col("below") != site)).alias("in_site"), F.array_join(T.ancestors("below"), ",").alias("above"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber || '-' || CASE WHEN l_linenumber % 4 = 0 THEN CAST(l_linenumber + CAST(l_quantity AS BIGINT) - 1 AS VARCHAR) ELSE 'end' END END AS lines,
@@ -142,17 +147,18 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.to_ingest(units, have, markers, {"facts": 2, "stale": 3})
 
 
-@query("""SELECT count(CASE WHEN o_orderkey % 3 = 0 THEN 1 END) AS new, count(CASE WHEN o_orderkey % 3 <> 0 AND (o_orderkey % 5 = 0 OR o_orderkey % 7 = 0) THEN 1 END) AS updated,
-  count(CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN 1 END) AS skipped, count(CASE WHEN o_orderstatus = 'F' AND (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0) THEN 1 END) AS degraded FROM orders""")
+@query("""SELECT count(CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 11 <> 0 THEN 1 END) AS new, count(CASE WHEN o_orderkey % 3 <> 0 AND (o_orderkey % 5 = 0 OR o_orderkey % 7 = 0) AND o_orderkey % 11 <> 0 THEN 1 END) AS updated,
+  count(CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN 1 END) AS skipped, count(CASE WHEN o_orderstatus = 'F' AND o_orderkey % 11 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0) THEN 1 END) AS degraded,
+  count(CASE WHEN o_orderkey % 11 = 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0) THEN 1 END) AS failed FROM orders""")
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    health = o.select(F.col("o_orderkey").alias("session_id"), F.when(F.col("o_orderstatus") == "F", "degraded").otherwise("ok").alias("parse_status"))
+    health = o.select(F.col("o_orderkey").alias("session_id"), F.when(F.col("o_orderstatus") == "F", "degraded").otherwise("ok").alias("parse_status")).where("session_id % 11 <> 0")
     return archive.ingest_summary(o.select(F.col("o_orderkey").alias("session_id")), _gate(spark, sf_dir), health)
 
 
-@query("SELECT c_custkey AS session_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS session_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def source_gone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.source_gone(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id")))
+    return archive.source_gone(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id")), table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("session_id")))
 
 
 @query("""SELECT count(*) AS sessions, count(l.l_orderkey) AS covered, CAST(coalesce(sum(l.t), 0) AS BIGINT) AS tool_output_tokens FROM orders LEFT JOIN (SELECT l_orderkey, max(CAST(l_quantity AS BIGINT)) AS t FROM lineitem WHERE l_linenumber = 2 GROUP BY l_orderkey) l ON l.l_orderkey = o_orderkey""")
@@ -167,44 +173,43 @@ def facts_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
-        n.cast("string").alias("id"), F.lit("skill").alias("type"), F.format_string("s%d", n % 400).alias("name"), F.when(n % 3 == 0, F.format_string("plugin:p%d", n % 4)).alias("source"), F.format_string("d%d/f%d.md", n % 20, n).alias("path"),
-        F.lower("p_brand").alias("hook_event"), F.array(F.format_string("run %d", n % 3)).alias("hook_commands"), F.when(n % 2 == 0, F.array(F.lit("loaded"), F.lit("invoked"))).otherwise(F.array(F.lit("loaded"))).alias("states"), F.lit(False).alias("missing"),
+        F.format_string("r%d", n % 2).alias("repo_id"), n.cast("string").alias("id"), F.lit("skill").alias("type"), F.format_string("s%d", n % 400).alias("name"), F.when(n % 3 == 0, F.format_string("plugin:p%d", n % 4)).alias("source"), F.format_string("d%d/f%d.md", F.floor(n / 8), n % 4).alias("path"),
+        F.format_string("event%d", F.floor(n / 10)).alias("hook_event"), F.array(F.format_string("run %d", n % 3)).alias("hook_commands"), F.when(n % 2 == 0, F.array(F.lit("loaded"), F.lit("invoked"))).otherwise(F.array(F.lit("loaded"))).alias("states"), F.lit(False).alias("missing"),
     )
 
 
-COMPONENTS = "WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey AS n, 's' || (p_partkey % 400) AS name, CASE WHEN p_partkey % 3 = 0 THEN 'plugin:p' || (p_partkey % 4) END AS source, 'd' || (p_partkey % 20) AS dir, 'd' || (p_partkey % 20) || '/f' || p_partkey || '.md' AS path, lower(p_brand) AS ev FROM part)"
+COMPONENTS = "WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey AS n, p_partkey % 2 AS r, 's' || (p_partkey % 400) AS name, CASE WHEN p_partkey % 3 = 0 THEN 'plugin:p' || (p_partkey % 4) END AS source, 'd' || (p_partkey // 8) AS dir, 'd' || (p_partkey // 8) || '/f' || (p_partkey % 4) || '.md' AS path, 'event' || (p_partkey // 10) AS ev FROM part)"
 
 
 @query(COMPONENTS + """, k AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 's' || (o_orderkey % 500) ELSE 'p' || (o_orderkey % 4) || ':s' || (o_orderkey % 500) END AS name FROM orders),
-x AS (SELECT k.o_orderkey, c.id, CASE WHEN k.name = c.name THEN 0 WHEN c.source = 'plugin:' || string_split(k.name, ':')[1] THEN 1 ELSE 2 END AS rank FROM k JOIN c ON c.name = string_split(k.name, ':')[-1]),
+x AS (SELECT k.o_orderkey, c.id, CASE WHEN k.name = c.name THEN 0 WHEN c.source = 'plugin:' || string_split(k.name, ':')[1] THEN 1 ELSE 2 END AS rank FROM k JOIN c ON c.name = string_split(k.name, ':')[-1] AND c.r = k.o_orderkey // 7 % 2),
 b AS (SELECT *, min(rank) OVER (PARTITION BY o_orderkey) AS best FROM x)
 SELECT o_orderkey AS session_id, id AS component_id, 'invoked' AS state, CASE WHEN count(*) OVER (PARTITION BY o_orderkey) > 1 THEN 'heuristic' ELSE 'exact' END AS confidence FROM b WHERE rank = best""")
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     name = F.when(k % 2 == 0, F.format_string("s%d", k % 500)).otherwise(F.format_string("p%d:s%d", k % 4, k % 500))
-    calls = table(spark, sf_dir, "orders").select(k.alias("session_id"), F.lit(0).alias("idx"), F.lit(0).alias("seq"), name.alias("name"))
+    calls = table(spark, sf_dir, "orders").select(k.alias("session_id"), F.format_string("r%d", F.floor(k / 7) % 2).alias("repo_id"), F.lit(0).alias("idx"), F.lit(0).alias("seq"), name.alias("name"))
     return attribution.invoked_by_name(calls, _components(spark, sf_dir), "skill").select("session_id", "component_id", "state", "confidence")
 
 
-@query(COMPONENTS + """, e AS (SELECT o_orderkey, 'brand#' || (o_orderkey % 25 + 1) AS ev, CASE WHEN o_orderkey % 4 <> 0 THEN 'sh run ' || (o_orderkey % 4) END AS cmd FROM orders WHERE o_orderkey % 50 < 5),
-x AS (SELECT e.o_orderkey, c.id, coalesce(contains(e.cmd, 'run ' || (c.n % 3)), false) AS fits FROM e JOIN c ON c.ev = e.ev), y AS (SELECT *, count(*) OVER (PARTITION BY o_orderkey) AS n, bool_or(fits) OVER (PARTITION BY o_orderkey) AS fitting FROM x)
+@query(COMPONENTS + """, e AS (SELECT o_orderkey, 'event' || (o_orderkey % 300) AS ev, o_orderkey // 3 % 2 AS r, CASE WHEN o_orderkey % 4 <> 0 THEN 'sh run ' || (o_orderkey % 4) END AS cmd FROM orders),
+x AS (SELECT e.o_orderkey, c.id, coalesce(contains(e.cmd, 'run ' || (c.n % 3)), false) AS fits FROM e JOIN c ON c.ev = e.ev AND c.r = e.r), y AS (SELECT *, count(*) OVER (PARTITION BY o_orderkey) AS n, bool_or(fits) OVER (PARTITION BY o_orderkey) AS fitting FROM x)
 SELECT o_orderkey AS session_id, id AS component_id, 'heuristic' AS confidence FROM y WHERE n = 1 OR NOT fitting OR fits""")
 def hook_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    e = table(spark, sf_dir, "orders").where(k % 50 < 5).select(k.alias("session_id"), F.lit(0).alias("idx"), F.lit(0).alias("seq"), F.lit("hook").alias("kind"), F.format_string("BRAND#%d", k % 25 + 1).alias("hook_event"), F.when(k % 4 != 0, F.format_string("sh run %d", k % 4)).alias("text"))
+    e = table(spark, sf_dir, "orders").select(k.alias("session_id"), F.format_string("r%d", F.floor(k / 3) % 2).alias("repo_id"), F.lit(0).alias("idx"), F.lit(0).alias("seq"), F.lit("hook").alias("kind"), F.format_string("EVENT%d", k % 300).alias("hook_event"), F.when(k % 4 != 0, F.format_string("sh run %d", k % 4)).alias("text"))
     own = _components(spark, sf_dir).withColumn("type", F.lit("hook"))
     return attribution.invoked_hooks(e, own).select("session_id", "component_id", "confidence")
 
 
-@query(COMPONENTS + """, r AS (SELECT l_orderkey, l_linenumber, 'd' || (l_partkey % 20) || '/f' || l_partkey || '.md' AS path FROM lineitem WHERE l_quantity > 25),
-d AS (SELECT l_orderkey, l_linenumber, 'd' || (l_partkey % 20) AS dir FROM lineitem WHERE l_partkey % 100 = 7)
-SELECT l_orderkey AS session_id, id AS component_id, l_linenumber AS idx, 'exact' AS confidence FROM r JOIN c ON c.path = r.path UNION ALL SELECT l_orderkey, id, l_linenumber, 'heuristic' FROM d JOIN c ON c.dir = d.dir WHERE c.n < 100""")
+@query(COMPONENTS + """, l AS (SELECT l_orderkey, l_linenumber, l_suppkey % 2 AS r, 'd' || (l_partkey // 8) AS dir, 'd' || (l_partkey // 8) || '/f' || (l_partkey % 4) || '.md' AS path FROM lineitem)
+SELECT l_orderkey AS session_id, id AS component_id, l_linenumber AS idx, 'exact' AS confidence FROM l JOIN c ON c.path = l.path AND c.r = l.r UNION ALL SELECT l_orderkey, id, l_linenumber, 'heuristic' FROM l JOIN c ON c.dir = l.dir AND c.r = l.r""")
 def path_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _components(spark, sf_dir)
     n = F.col("l_partkey")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("idx"), F.lit(0).alias("seq"), F.format_string("d%d/f%d.md", n % 20, n).alias("path"), "l_quantity", n)
-    read = attribution.loaded_by_path(rows.where("l_quantity > 25"), c)
-    touched = attribution.loaded_by_directory(rows.where(n % 100 == 7), c.where(F.col("id").cast("long") < 100))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("idx"), F.lit(0).alias("seq"), F.format_string("r%d", F.col("l_suppkey") % 2).alias("repo_id"), F.format_string("d%d/f%d.md", F.floor(n / 8), n % 4).alias("path"))
+    read = attribution.loaded_by_path(rows, c)
+    touched = attribution.loaded_by_directory(rows, c)
     return read.unionByName(touched).select("session_id", "component_id", "idx", "confidence")
 
 
@@ -313,22 +318,28 @@ def static_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- guidance graph: pages lead to pages that share a link ---
 
 
-@query("SELECT raw, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS raw FROM pages) GROUP BY raw")
+@query("SELECT raw, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\" )]+)\"', 1)) AS raw FROM pages) GROUP BY raw")
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("raw"))
+    """The links of a page as a guidance document would write them, found again."""
+    hrefs = F.regexp_extract_all("html", F.lit('href="([^" )]+)"'), 1)
+    text = F.array_join(F.transform(hrefs, lambda h: F.concat(F.lit("- [x]("), h, F.lit(")"))), "\n")
+    links = guidance.candidates(table(spark, sf_dir, "pages").select("page_id", text.alias("text"))).where("context = 'link'")
     return links.groupBy("raw").agg(F.countDistinct("page_id").alias("pages"))
 
 
-@query("""WITH RECURSIVE g AS (SELECT n_nationkey AS s, (n_nationkey * 7 + 3) % 40 AS t FROM nation UNION SELECT s_suppkey % 40, (s_suppkey * 3 + s_nationkey) % 40 FROM supplier),
-r(node, hop) AS (SELECT 0, 0 UNION SELECT g.t, r.hop + 1 FROM r JOIN g ON g.s = r.node WHERE r.hop < 40)
+@query("""WITH RECURSIVE n AS (SELECT max(s_suppkey) + 1 AS n FROM supplier), g AS (SELECT s_suppkey AS s, (s_suppkey * 3 + s_nationkey) % n AS t, s_suppkey % 5 = 0 AS free FROM supplier, n UNION SELECT s_suppkey, (s_suppkey * 2) % n, false FROM supplier, n),
+r(node, hop) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_suppkey % 50 = 1 UNION SELECT g.t, r.hop + CASE WHEN g.free THEN 0 ELSE 1 END FROM r JOIN g ON g.s = r.node WHERE r.hop < 40)
 SELECT CAST(node AS VARCHAR) AS node, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY node""")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
-    a = n.select(F.col("n_nationkey").alias("s"), ((F.col("n_nationkey") * 7 + 3) % 40).alias("t"))
-    b = s.select((F.col("s_suppkey") % 40).cast("int").alias("s"), ((F.col("s_suppkey") * 3 + F.col("s_nationkey")) % 40).cast("int").alias("t"))
-    edges = a.unionByName(b).distinct().select(F.lit("r").alias("repo_id"), F.col("s").cast("string").alias("source"), F.col("t").cast("string").alias("target"), F.lit("reference").alias("kind"))
-    starts = n.where("n_nationkey = 0").select(F.lit("r").alias("repo_id"), F.lit("0").alias("node"))
-    return guidance.reach(starts, edges).select("node", "hop")
+    """Suppliers lead to one another; every fifth's first edge is free."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    n = s.agg(F.max(k) + 1).first()[0]
+    edge = lambda to: s.select(F.lit("r").alias("repo_id"), k.cast("string").alias("source"), (to % n).cast("long").cast("string").alias("target"), k)
+    one, two = edge(k * 3 + F.col("s_nationkey")), edge(k * 2)
+    paid = one.where(k % 5 != 0).unionByName(two).drop("s_suppkey").distinct().withColumn("kind", F.lit("reference"))
+    starts = s.where(k % 50 == 1).select(F.lit("r").alias("repo_id"), k.cast("string").alias("node"))
+    return guidance.reach(starts, paid, one.where(k % 5 == 0).drop("s_suppkey")).select("node", "hop")
 
 
 LINES = r"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n\z', ''), chr(10))) AS line, unnest(range(1, len(string_split(regexp_replace(text, '\n\z', ''), chr(10))) + 1)) AS line_no FROM documents),
@@ -379,25 +390,72 @@ def dead_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir)[2]
 
 
+def _costs(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
+    """Line items as facts: returned ones opened the file of their part, the others searched by its key."""
+    n = F.col("l_partkey")
+    path = F.format_string("m%d/f%d.py", n % 3, n)
+    rows = table(spark, sf_dir, "lineitem").select(F.format_string("r%d", n % 10).alias("repo_id"), F.when(F.col("l_returnflag") == "R", "chain_read").otherwise("search").alias("kind"), F.format_string("k%d", n).alias("key"), path.alias("raw"), F.col("l_quantity").cast("long").alias("tokens_est"))
+    return guidance.search_costs(rows, index)
+
+
+def _reached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    index, edges, _ = _edges(spark, sf_dir)
+    starts = index.where("path = 'CLAUDE.md'").select("repo_id", F.col("path").alias("node"))
+    links = edges.select("repo_id", F.col("carrier").alias("source"), "target", F.lit("reference").alias("kind"))
+    return index, guidance.reach(starts, links, guidance.guide_chain(index))
+
+
+COST = """, l AS (SELECT l_partkey AS n, l_returnflag = 'R' AS opened, CAST(l_quantity AS BIGINT) AS t FROM lineitem), cost AS (SELECT n, CAST(coalesce(sum(CASE WHEN NOT opened THEN t END), 0) AS BIGINT) AS tokens,
+  greatest(count(CASE WHEN NOT opened THEN 1 END), 1) AS searches FROM l GROUP BY n HAVING bool_or(opened))"""
+
+
+@query(TREE + COST + " SELECT f.repo_id, f.path, CASE WHEN f.n % 11 = 0 THEN NULL WHEN f.n % 2 = 0 THEN 3 ELSE 1 END AS defs, coalesce(tokens, 0) AS tokens, coalesce(searches, 0) AS searches FROM f LEFT JOIN cost ON cost.n = f.n WHERE f.n % 4 <> 0")
+def unreached_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, reached = _reached(spark, sf_dir)
+    cover = guidance.coverage(index, reached, guidance.symbol_counts(_tree(spark, sf_dir)), _costs(spark, sf_dir, index))
+    return guidance.unreached(cover).select("repo_id", "path", "defs", "tokens", "searches")
+
+
+@query(TREE + " SELECT repo_id, CAST(count(*) + 1 AS BIGINT) AS files, CAST(count(CASE WHEN n % 4 = 0 THEN 1 END) + 1 AS BIGINT) AS reached, CASE WHEN bool_or(n % 4 = 0) THEN 1 ELSE 0 END AS deepest, CAST(0 AS BIGINT) AS beyond_three, CAST(1 AS BIGINT) AS at_start FROM f GROUP BY repo_id")
+def file_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guidance.file_rollup(*_reached(spark, sf_dir)).select("repo_id", "files", "reached", "deepest", "beyond_three", F.try_element_at("hops", F.lit(0)).alias("at_start"))
+
+
+@query(TREE + """, l AS (SELECT 'r' || (p_partkey % 10) AS repo_id, p_partkey AS n, CASE p_partkey % 3 WHEN 0 THEN 'bare' WHEN 1 THEN 'echo' ELSE 'said' END AS label FROM part WHERE p_partkey % 4 = 0)
+SELECT repo_id, count(*) AS routing, count(CASE WHEN label = 'bare' THEN 1 END) AS bare, count(CASE WHEN label = 'echo' THEN 1 END) AS echo, CAST(1 AS BIGINT) AS prose, CAST(1 AS BIGINT) AS prose_before_routing FROM l GROUP BY repo_id""")
+def routing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A guide for each repository: a line for every fourth part's file, with no label, one that repeats the path, or one that says more."""
+    n = F.col("p_partkey")
+    path = F.format_string("m%d/f%d.py", n % 3, n)
+    label = F.when(n % 3 == 0, F.lit("- ")).when(n % 3 == 1, F.format_string("m%d f%d: ", n % 3, n)).otherwise(F.lit("orders: "))
+    line = F.when(n % 4 == 0, F.struct(n.alias("n"), F.concat(label, path).alias("line")))
+    own = table(spark, sf_dir, "part").groupBy(F.format_string("r%d", n % 10).alias("repo_id")).agg(F.array_sort(F.collect_list(line)).alias("l")).where("size(l) > 0")
+    docs = own.select("repo_id", F.lit("CLAUDE.md").alias("carrier"), F.concat(F.lit("what lies where\n"), F.array_join(F.col("l.line"), "\n")).alias("text"))
+    files = _tree(spark, sf_dir)
+    lines = guidance.classified_lines(docs)
+    found = guidance.candidates(lines)
+    edges, _ = guidance.references(found, guidance.file_index(files), files.select("repo_id", "path"))
+    per_line = found.join(edges.select("repo_id", "carrier", "raw", "target"), ["repo_id", "carrier", "raw"]).select("repo_id", "carrier", "line_no", "raw", "target").distinct()
+    lines = guidance.labelled(guidance.routed(lines, per_line), per_line)
+    return guidance.carrier_rollup(lines, ["repo_id", "carrier"]).select("repo_id", "routing", "bare", "echo", "prose", "prose_before_routing")
+
+
 @query(TREE + """ SELECT repo_id, count(*) AS code_files, count(CASE WHEN n % 4 = 0 THEN 1 END) AS reached_files, CAST(sum(CASE WHEN n % 11 = 0 THEN 0 WHEN n % 2 = 0 THEN 3 ELSE 1 END) AS BIGINT) AS symbols,
   CAST(coalesce(sum(CASE WHEN n % 4 = 0 AND n % 11 <> 0 THEN 3 END), 0) AS BIGINT) AS reached_symbols, count(CASE WHEN n % 11 = 0 THEN 1 END) AS unparsed FROM f GROUP BY repo_id""")
 def map_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, edges, _ = _edges(spark, sf_dir)
+    index, reached = _reached(spark, sf_dir)
     files = _tree(spark, sf_dir)
-    starts = index.where("path = 'CLAUDE.md'").select("repo_id", F.col("path").alias("node"))
-    links = edges.select("repo_id", F.col("carrier").alias("source"), "target", F.lit("reference").alias("kind"))
-    reached = guidance.reach(starts, links, guidance.guide_chain(index))
-    costs = index.select("repo_id", "path", F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("searches")).limit(0)
-    return guidance.map_rollup(guidance.coverage(index, reached, guidance.symbol_counts(files), costs)).select("repo_id", "code_files", "reached_files", "symbols", "reached_symbols", "unparsed")
+    cover = guidance.coverage(index, reached, guidance.symbol_counts(files), _costs(spark, sf_dir, index))
+    return guidance.map_rollup(cover).select("repo_id", "code_files", "reached_files", "symbols", "reached_symbols", "unparsed")
 
 
-@query("""WITH f AS (SELECT 'r' || (l_suppkey % 4) AS repo_id, CASE WHEN l_returnflag = 'R' THEN 'chain_read' ELSE 'search' END AS kind, 'k' || (l_partkey % 30) AS key, 'd/f' || (l_partkey % 60) || '.py' AS raw, CAST(l_quantity AS BIGINT) AS t FROM lineitem),
+@query("""WITH f AS (SELECT 'r' || (l_suppkey % 4) AS repo_id, CASE WHEN l_returnflag = 'R' THEN 'chain_read' ELSE 'search' END AS kind, 'k' || (l_partkey % 30) AS key, 'd/f' || l_partkey || '.py' AS raw, CAST(l_quantity AS BIGINT) AS t FROM lineitem),
 o AS (SELECT DISTINCT repo_id, key, raw FROM f WHERE kind = 'chain_read'), s AS (SELECT repo_id, key, sum(t) AS t, count(*) AS n FROM f WHERE kind = 'search' GROUP BY ALL)
-SELECT o.repo_id, o.raw AS path, CAST(coalesce(sum(s.t), 0) AS BIGINT) AS tokens, CAST(sum(greatest(coalesce(s.n, 0), 1)) AS BIGINT) AS searches FROM o LEFT JOIN s ON s.repo_id = o.repo_id AND s.key = o.key WHERE CAST(regexp_extract(o.raw, '[0-9]+') AS INTEGER) < 50 GROUP BY o.repo_id, o.raw""")
+SELECT o.repo_id, o.raw AS path, CAST(coalesce(sum(s.t), 0) AS BIGINT) AS tokens, CAST(sum(greatest(coalesce(s.n, 0), 1)) AS BIGINT) AS searches FROM o LEFT JOIN s ON s.repo_id = o.repo_id AND s.key = o.key WHERE CAST(regexp_extract(o.raw, '[0-9]+') AS INTEGER) % 3 <> 0 GROUP BY o.repo_id, o.raw""")
 def search_cost_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.format_string("r%d", F.col("l_suppkey") % 4).alias("repo_id"), F.when(F.col("l_returnflag") == "R", "chain_read").otherwise("search").alias("kind"), F.format_string("k%d", F.col("l_partkey") % 30).alias("key"), F.format_string("d/f%d.py", F.col("l_partkey") % 60).alias("raw"), F.col("l_quantity").cast("long").alias("tokens_est"))
-    n = table(spark, sf_dir, "part").where("p_partkey < 50").select(F.format_string("d/f%d.py", "p_partkey").alias("path"))
-    files = n.join(rows.select("repo_id").distinct(), how="cross").unionByName(rows.select("repo_id", F.lit("d/f0.py").alias("path")).distinct()).distinct()
+    rows = table(spark, sf_dir, "lineitem").select(F.format_string("r%d", F.col("l_suppkey") % 4).alias("repo_id"), F.when(F.col("l_returnflag") == "R", "chain_read").otherwise("search").alias("kind"), F.format_string("k%d", F.col("l_partkey") % 30).alias("key"), F.format_string("d/f%d.py", F.col("l_partkey")).alias("raw"), F.col("l_quantity").cast("long").alias("tokens_est"))
+    every = F.explode(F.array(*[F.lit(f"r{k}") for k in range(4)]))  # files of the parts not divisible by three, in each repository
+    files = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(every.alias("repo_id"), F.format_string("d/f%d.py", "p_partkey").alias("path"))
     return guidance.search_costs(rows, guidance.file_index(files))
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomline.plans import session_queries, text_queries  # noqa: F401
+from loomline.plans import lifecycle_queries, session_queries, text_queries  # noqa: F401
 from loomline.plans.registry import QUERIES, SQL
 from tests.conftest import same
 

@@ -101,15 +101,21 @@ def test_stale_cases(spark):
     assert got == {("a", 0, 1, 3, "re-read", "exact"), ("a", 3, 5, 6, "compacted", "heuristic"), ("b", 4, 5, 6, "compacted", "heuristic")}
 
 
-def test_replace_is_idempotent(spark, tmp_path):
+def test_appended_ingests_replace_sessions(spark, tmp_path):
+    """The latest committed ingest of a session counts; one written twice changes nothing, and one without its list of sessions is never seen."""
     path = str(tmp_path / "t")
     a = spark.createDataFrame([("s1", 1), ("s1", 2), ("s2", 3)], "session_id string, v long")
+    assert archive.next_ingest(spark, path) == 0
     for _ in range(2):
-        archive.replace_sessions(spark, path, a, a.select("session_id").distinct(), 4)
-    one = archive.snapshot(spark.read.parquet(path))
-    assert one[0] == 3
+        archive.append(path, 0, a, {"rows": a})
+    now = lambda: sorted(map(tuple, archive.current(spark, path, "rows").collect()))
+    assert archive.snapshot(archive.current(spark, path, "rows"))[0] == 3 and archive.next_ingest(spark, path) == 1
     b = spark.createDataFrame([("s1", 9)], "session_id string, v long")
-    archive.replace_sessions(spark, path, b, b.select("session_id"), 4)
-    assert sorted((r.session_id, r.v) for r in spark.read.parquet(path).collect()) == [("s1", 9), ("s2", 3)]
-    archive.replace_sessions(spark, path, b.where("false"), b.select("session_id"), 4)
-    assert [(r.session_id, r.v) for r in spark.read.parquet(path).collect()] == [("s2", 3)]
+    archive.append(path, 1, b, {"rows": b})
+    assert now() == [("s1", 9), ("s2", 3)]
+    b.withColumn("v", b.v + 1).write.parquet(f"{path}/rows/ingest=2")
+    assert now() == [("s1", 9), ("s2", 3)]
+    archive.append(path, 2, b, {"rows": b.where("false")})
+    assert now() == [("s2", 3)]
+    archive.compact(spark, path, ["rows"], str(tmp_path / "u"))
+    assert [tuple(r) for r in archive.current(spark, str(tmp_path / "u"), "rows").collect()] == [("s2", 3)]
