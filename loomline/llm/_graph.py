@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import drop, stash
@@ -30,13 +30,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 
-def in_blocks(members: DataFrame, count: str, most: int, by: str = "rep") -> DataFrame:
-    """Rows dealt to pieces of work, for all pairs inside a group of ``count`` rows.
+def in_blocks(members: DataFrame, blocks: Column, by: str = "rep") -> DataFrame:
+    """Rows dealt to pieces of work, for all pairs inside each group.
 
-    A group of over ``most`` rows is cut into blocks by a hash of ``by``, and each two blocks meet once, at (lo, hi);
+    A group is cut into ``blocks`` by a hash of ``by``, and each two blocks meet once, at (lo, hi);
     side is the row's block, and ``pair`` tells that two different blocks meet, so that only rows of different sides count.
     """
-    blocks = F.ceil(F.col(count) / most).cast("int")
+    blocks = F.greatest(blocks, F.lit(1)).cast("int")
     with_block = members.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64(by), blocks).cast("int"))
     pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "side").alias("lo"), F.greatest(k, "side").alias("hi")))

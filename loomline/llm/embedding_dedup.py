@@ -2,17 +2,18 @@
 
 Unit vectors are rotated at random and cut into blocks of coordinates. If two lie within squared distance
 2 - 2 * threshold, then in some block they lie within that block's part of it. So each block is joined alone:
-vectors meet in cells, as wide as the block's radius, over as many of its coordinates as the label's size asks
-for, and in half of the neighbouring cells. Inside a cell, pairs within the block's part are candidates, and
+vectors meet in cells, as wide as the block's radius, over one of its coordinates and one more each time the label's size
+doubles beyond GRID, and in half of the neighbouring cells. Inside a cell, pairs within the block's part are candidates, and
 each is verified on the original vectors in double precision. A pair counts in the first block that offers it.
 
 How it scales. A vector travels once per block and cell. A cell of more than CELL vectors is cut into blocks of rows
 that meet in pairs, so a large group of near copies is spread over tasks. Tasks return counts and a spanning
-forest, never pairs. The number of grid coordinates grows with the label's size, so cells stay small.
+forest, never pairs. The number of grid coordinates grows with the label's size, up to the block's width, so cells stay small where vectors spread. Rows with
+equal vectors under one label are one class, compared once, whose copies count as links.
 
-Cases. Vectors that are null, zero, or hold null or non-finite components, and those without a label or an id, link with
-nothing and stay. Vectors of different length never meet. Equal rows count once; rows that share an id are one
-vector with the links of all. An empty table gives no rows; extra columns are not read.
+Cases. Vectors that are null, zero, or hold null or non-finite components, and those without a label, link with
+nothing and stay. Vectors of different length never meet. Labels may be of any type that casts to text. Every row is a vector of its own, those
+that share an id too; a null id comes after all others, and one row of a component is kept. An empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import components, in_blocks
-from ._spark import parts_for, stash, table
+from ._spark import NO_ID, numbered, parts_for, stash, table, with_nulls
 from ._vectors import matrix, sound
 
 THRESHOLD, BLOCKS = 0.93, 8
-#: Vectors compared at a time, and the label size from which a cell goes by one more coordinate (three at most).
+#: Vectors compared at a time, and the label size from which a cell goes by a second coordinate, by a third at twice that, and so on.
 CELL, GRID = 2048, 32_768
 
 
@@ -68,7 +69,7 @@ def _cells(threshold: float, blocks: int):
                 n = len(key)
                 item = pa.StructArray.from_arrays([pa.array(np.stack(key, 1).ravel()), pa.array(np.tile(np.array(block, np.int32), len(x))), pa.array(np.tile(np.array(home), len(x)))], ["code", "block", "home"])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(x) + 1, n, dtype=np.int32)), item)
-                yield pa.RecordBatch.from_arrays([own.column("rep"), own.column("label"), own.column("embedding"), lists], ["rep", "label", "embedding", "cells"])
+                yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("rep", "copies", "label", "embedding")], lists], ["rep", "copies", "label", "embedding", "cells"])
 
     return go
 
@@ -124,7 +125,7 @@ def _compare(threshold: float, blocks: int):
         keys = ["label", "size", "block", "code", "pair", "lo", "hi"]
         t = t.sort_by([(c, "ascending") for c in [*keys, "rep"]])
         cols = [t.column(c).to_numpy(zero_copy_only=False) for c in keys]
-        ids, home, side = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "home", "side"))
+        ids, home, side, copies = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "home", "side", "copies"))
         new = np.append(True, np.zeros(len(t) - 1, bool))
         for c in cols:
             new[1:] |= c[1:] != c[:-1]
@@ -135,9 +136,9 @@ def _compare(threshold: float, blocks: int):
                 continue
             x = matrix(t.column("embedding").slice(s, e - s))
             i, j = linked(x, home[s:e], side[s:e], bool(cols[4][s]), int(cols[2][s]), threshold, blocks)
-            keep = ids[s + i] != ids[s + j]
-            i, j = i[keep], j[keep]
-            count = np.bincount(i, minlength=e - s) + np.bincount(j, minlength=e - s)
+            count = np.zeros(e - s, np.int64)
+            np.add.at(count, i, copies[s + j])
+            np.add.at(count, j, copies[s + i])
             k = np.flatnonzero(count)
             rep.append(ids[s + k])
             links.append(count[k])
@@ -155,30 +156,42 @@ def _compare(threshold: float, blocks: int):
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, blocks: int = BLOCKS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per id."""
+    """(vec_id, n_links, component_id, kept), one row per row."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies in (0, 1]")
-    rows = vectors.select(F.col(id_col).cast("long").alias("rep"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
-    fit = rows.where(sound("embedding") & F.col("label").isNotNull() & F.col("rep").isNotNull()).distinct()
+    rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("embedding"))
+    able = sound("embedding") & F.col("label").isNotNull()
+    same = [F.when(able, F.xxhash64("label", "embedding", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    rows = rows.select("vec_id", "label", "embedding", *same)
+    alone = numbered(rows, "vec_id", F.struct("label", "h1", "h2", F.xxhash64("embedding")))
+    rows = rows.withColumn("row", F.col("vec_id")) if alone is None else alone.withColumnRenamed("__row", "row")
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    fit = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     fit = stash(fit, "vectors")
     per_label = fit.groupBy("label").agg(F.count("*").alias("n"))
-    grid = F.least(F.lit(3), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / GRID)))).cast("int")
-    fit = fit.join(per_label.select("label", grid.alias("grid")), "label").select("rep", "label", "embedding", "grid")
-    kind = vectors.schema[vector_col].dataType.simpleString()
-    cells = fit.mapInArrow(_cells(threshold, blocks), f"rep long, label long, embedding {kind}, cells array<struct<code:long,block:int,home:boolean>>")
-    cells = cells.select("rep", "label", "embedding", F.size("embedding").alias("size"), F.explode("cells").alias("c")).select("rep", "label", "embedding", "size", "c.*")
+    grid = (1 + F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / GRID)))).cast("int")
+    cells = fit.join(per_label.select("label", grid.alias("grid")), "label").select("rep", "copies", "label", "embedding", "grid")
+    cells = cells.mapInArrow(_cells(threshold, blocks), f"rep long, copies long, label string, embedding {kind}, cells array<struct<code:long,block:int,home:boolean>>")
+    cells = cells.select("rep", "copies", "label", "embedding", F.size("embedding").alias("size"), F.explode("cells").alias("c")).select("rep", "copies", "label", "embedding", "size", "c.*")
     key = ["label", "size", "block", "code"]
-    sizes = stash(cells.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1"), "cells")
-    work = in_blocks(cells.join(sizes, key), "m", CELL).select("rep", *key, "embedding", "home", "side", "pair", "at.lo", "at.hi")
+    sizes = stash(cells.groupBy(*key).agg(F.count("*").alias("m"), F.max("home").alias("lived")).where("m > 1 and lived").drop("lived"), "cells")
+    work = in_blocks(cells.join(sizes, key), F.ceil(F.col("m") / CELL)).select("rep", "copies", *key, "embedding", "home", "side", "pair", "at.lo", "at.hi")
     packs = parts_for(sizes.agg(F.sum("m")).first()[0] or 0, CELL)
     # A cell that was cut has as many pieces as pairs of its blocks; a small one shares its task.
     piece = F.pmod(F.xxhash64(*key, "lo", "hi"), F.lit(4 * packs))
     found = stash(work.groupBy(piece.alias("piece")).applyInArrow(_compare(threshold, blocks), "rep long, links long, a long, b long, edge boolean"), "links")
     counts = found.where("not edge").groupBy("rep").agg(F.sum("links").alias("links"))
     tree = components(found.where("edge").select("a", "b"))
-    out = rows.select("rep").distinct().join(counts, "rep", "left").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
-    top = F.coalesce("component", "rep")
-    return out.select(F.col("rep").alias("vec_id"), F.coalesce("links", F.lit(0)).alias("n_links"), top.alias("component_id"), F.coalesce(F.col("rep") == top, F.lit(True)).alias("kept"))
+    per_class = fit.select("h1", "h2", "rep", "copies").join(counts, "rep", "left").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
+    top = F.coalesce("component", "rep", "row")
+    out = rows.select("vec_id", "row", "h1", "h2").join(stash(per_class, "per-class"), ["h1", "h2"], "left")
+    out = out.select("vec_id", "row", (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), top.alias("top"))
+    kept = (F.col("row") == F.col("top")).alias("kept")
+    if alone is None:
+        out = out.select("vec_id", "n_links", F.col("top").alias("component_id"), kept)
+    else:
+        out = out.join(rows.select(F.col("row").alias("top"), F.col("vec_id").alias("component_id")), "top").select("vec_id", "n_links", "component_id", kept)
+    return with_nulls(out, "vec_id", "component_id")
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,12 @@ or more; at the last level, when every branch before is large, a run still bring
 runs leave less than a pair in a million apart there. A branch of at most LEAF sets is compared by brute force; a larger one
 splits again, and what is still large at the last level is compared in blocks of pairs, so nothing is capped.
 
-How it scales. Equal sets are one class and take part once. Paths come from each text alone, in one pass;
-what is shuffled is one number per path. Branches with one set go at once. Brute force inside a branch looks
+How it scales. Equal sets are one class and take part once. The first level's paths come from each text alone, in one pass;
+what is shuffled is one number per path. Deeper paths are made only for the sets of branches that split. Branches with one set go at once, and of small branches with the same
+sets one is compared. Brute force inside a branch looks
 at small samples of the sets (one-permutation minima) and returns a spanning forest, never all pairs; the
 forest's components hold all links, as the sample lets pass what is alike to within six deviations. Then each
-component is compared exactly, once, with whole sets, again in blocks, counting links in place.
+component is compared exactly, once, with whole sets, again in blocks of bounded rows and words, counting links in place.
 
 Cases. Words are runs of lower-case text between white space; fewer words than ``size`` make one shingle.
 A null id comes after all others. Texts without words, null ones too, have an empty set, which links with nothing, not even its like.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ._arrays import U, flat, mix
 from ._graph import components, in_blocks
+from ._sieve import may, sieve
 from ._spark import drop, numbered, parts_for, stash, table, texts, with_nulls
 from ._words import blocks, shingles
 
@@ -36,8 +38,8 @@ SIZE, THRESHOLD = 5, 0.8
 #: Share of pairs at the threshold that may stay apart.
 MISS = 1e-6
 LEVELS, LEAF, BINS = 3, 1000, 128
-#: Sets compared in one piece of work.
-PACK = 1500
+#: Sets, and shingles, compared in one piece of work.
+PACK, TOKENS = 1500, 1 << 21
 
 
 def runs_for(miss: float, levels: int = LEVELS) -> int:
@@ -52,31 +54,30 @@ def runs_for(miss: float, levels: int = LEVELS) -> int:
     return int(np.ceil(np.log(miss) / np.log(apart)))
 
 
-def chosen(row: np.ndarray, token: np.ndarray, n: np.ndarray, threshold: float, runs: int, levels: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level: (row, parent path, path)."""
+def limits(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Hash up to which a token of a set of n is chosen; a set of one token always chooses it."""
+    bar = np.minimum(1 / (threshold * np.maximum(n, 1)), 1.0)
+    return ((bar * (1 << 53)).astype(U) - U(1) << U(11)) | U(0x7FF)
+
+
+def first_paths(row: np.ndarray, token: np.ndarray, n: np.ndarray, threshold: float, runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, path): the tokens that each row chooses at the root, in every run. Tokens are well mixed, so a run's hash is a product with its own odd number."""
     with np.errstate(over="ignore"):
-        bar = np.full(len(n), 1.0)
-        np.divide(1.0, threshold * n, out=bar, where=n > 0)
-        # 53 bits keep the comparison in whole numbers; a set of one token always chooses it.
-        limit = (np.minimum(bar, 1.0) * (1 << 53)).astype(U)
-        first = np.searchsorted(row, np.arange(len(n)))
-        out, at, path = [], [], []
-        for r in range(runs):
-            h = mix(token ^ mix(np.array([r + 1], U) * U(0xA0761D6478BD642F)))
-            hit = np.flatnonzero((h >> U(11)) <= limit[row])
+        bar = limits(n, threshold)[row]
+        at, path = [], []
+        for odd in (mix(np.arange(1, runs + 1).astype(U) * U(0xA0761D6478BD642F)) | U(1)).reshape(-1, 1):
+            hit = np.flatnonzero(token * odd <= bar)
             at.append(row[hit])
-            path.append(mix(token[hit] + U(0x2545F4914F6CDD1D) * U(r + 1)))
-        at, path = np.concatenate(at), np.concatenate(path)
-        out.append((at, np.zeros(len(path), U), path))
-        for _ in range(1, levels):
-            count = n[at]
-            k = np.repeat(first[at] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
-            parent = np.repeat(path, count)
-            h = mix(token[k] ^ mix(parent))
-            hit = np.flatnonzero((h >> U(11)) <= limit[row[k]])
-            at, parent, path = row[k[hit]], parent[hit], mix(parent[hit] * U(31) + token[k[hit]])
-            out.append((at, parent, path))
-        return out
+            path.append(mix(token[hit] + odd))
+        return np.concatenate(at), np.concatenate(path)
+
+
+def next_paths(token: np.ndarray, parents: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the parent, path): the tokens that one set chooses below each of its paths."""
+    with np.errstate(over="ignore"):
+        bar = limits(np.array([len(token)]), threshold)
+        k, of = np.nonzero(mix(token[None, :] ^ mix(parents)[:, None]) <= bar)
+        return k, mix(parents[k] * U(31) + token[of])
 
 
 def samples(row: np.ndarray, token: np.ndarray, rows: int, bins: int = BINS) -> np.ndarray:
@@ -90,6 +91,26 @@ def samples(row: np.ndarray, token: np.ndarray, rows: int, bins: int = BINS) ->
     return np.where(least == ~U(0), U(0), byte).astype(np.uint8).reshape(rows, bins)
 
 
+def _below(size: int, threshold: float):
+    """Paths one level down of (rep, z, parents)."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for rep, z, parents in zip(batch.column("rep").to_pylist(), batch.column("z").to_pylist(), batch.column("parents"), strict=True):
+                text = np.frombuffer(expand(z), np.uint8)
+                _, token = shingles(np.array([0, len(text)]), text, size)
+                own = parents.values.to_numpy().view(U)
+                for k in range(0, len(own), step := max(1, (1 << 20) // max(len(token), 1))):
+                    _, path = next_paths(token, own[k : k + step], threshold)
+                    path = np.unique(path).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(path), rep)), pa.array(path)], ["rep", "path"])
+
+    return go
+
+
 def _sets(size: int, threshold: float, runs: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,19 +124,13 @@ def _sets(size: int, threshold: float, runs: int):
                     sums = np.zeros((2, rows), U)
                     for k, salt in enumerate((0x1B873593, 0xE6546B64)):
                         np.add.at(sums[k], row, mix(token + U(salt)))
-                paths = chosen(row, token, n, threshold, runs, LEVELS)
-                where = np.concatenate([p[0] for p in paths])
+                where, path = first_paths(row, token, n, threshold, runs)
                 order = np.argsort(where, kind="stable")
-                item = pa.StructArray.from_arrays([
-                    pa.array(np.concatenate([np.full(len(p[0]), k, np.int8) for k, p in enumerate(paths)])[order]),
-                    pa.array(np.concatenate([p[1] for p in paths])[order].view(np.int64)),
-                    pa.array(np.concatenate([p[2] for p in paths])[order].view(np.int64)),
-                ], ["level", "parent", "path"])
                 ends = np.searchsorted(where[order], np.arange(rows + 1)).astype(np.int32)
                 sample = samples(row, token, rows)
                 fixed = pa.array([x.tobytes() for x in sample], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j]), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(n.astype(np.int32)), fixed, pa.ListArray.from_arrays(pa.array(ends), item)],
+                    [pa.array(ids[i:j]), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(n.astype(np.int32)), fixed, pa.ListArray.from_arrays(pa.array(ends), pa.array(path[order].view(np.int64)))],
                     ["doc_id", "k1", "k2", "n", "sample", "paths"],
                 )
 
@@ -249,53 +264,61 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if rows is not None:  # from here to the end a row's number stands for its id
         docs = rows.select(F.col("__row").alias("doc_id"), "text")
     docs = docs.withColumn("text", F.lower("text"))
-    fields = "doc_id long, k1 long, k2 long, n int, sample binary, paths array<struct<level:byte,parent:long,path:long>>"
-    found = stash(docs.mapInArrow(_sets(size, threshold, runs_for(miss)), fields), "found")
-    sets = stash(found.select("doc_id", "k1", "k2", "n"), "sets")
-    classes = stash(found.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sample").alias("sample"), F.first("paths").alias("paths")), "classes")
+    found = stash(docs.mapInArrow(_sets(size, threshold, runs_for(miss)), "doc_id long, k1 long, k2 long, n int, sample binary, paths array<long>"), "found")
+    key = ["k1", "k2", "n"]
+    sets = stash(found.select("doc_id", *key), "sets")
+    reps = stash(sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    more = sets.join(reps.where("copies > 1"), key).where("doc_id <> rep").select("doc_id")
+    copies, some = sieve(more), found.where("n > 0")
+    classes = some.where(may(copies, "doc_id")).join(more, "doc_id", "left_anti")
+    classes = stash((classes if copies is None else classes.unionByName(some.where(~may(copies, "doc_id")))).withColumnRenamed("doc_id", "rep").select("rep", "n", "sample", "paths"), "classes")
     drop(found)
 
-    # Branches with company, from the root down. All rows of a path have one parent, so whether the parent was
-    # too large is settled for each path and not for each row; below the last level blocks of pairs take over.
-    found = large = None
-    written = []
+    # Branches with company, from the root down; what is too large at the last level is compared in blocks.
+    steps, found, written = classes.select("rep", F.explode("paths").alias("path")), None, []
     for level in range(LEVELS):
-        own = F.filter("paths", lambda p: p.level == level)  # noqa: B023
-        steps = classes.select("rep", F.explode(own).alias("p")).select("rep", "p.*")
-        sizes = steps.groupBy("path").agg(F.count("*").alias("m"), F.first("parent").alias("parent")).where("m > 1")
-        sizes = stash(sizes if large is None else sizes.join(large, "parent"), "sizes")
-        company = stash(steps.select("rep", "path").join(sizes.select("path", "m"), "path"), "company")
-        written += [sizes, company]
+        same = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
+        sizes = steps.groupBy("path").agg(F.count("*").alias("m"), *same).where("m > 1")
+        # Branches of the same sets are compared once; a large one that still splits does so in each run anew.
         last = level == LEVELS - 1
+        again = F.lit(0).cast("long") if last else F.when(F.col("m") > LEAF, F.col("path")).otherwise(0)
+        sizes = stash(sizes.groupBy("m", "s1", "s2", again.alias("again")).agg(F.min("path").alias("path")).select("path", "m"), "sizes")
+        company = stash(steps.where(may(sieve(sizes.select("path")), "path")).join(sizes, "path"), "company")
+        written += [sizes, company]
         leaf = company if last else company.where(F.col("m") <= LEAF)
         found = leaf if found is None else found.unionByName(leaf)
-        large = sizes.where(F.col("m") > LEAF).select(F.col("path").alias("parent"))
-        if last or large.isEmpty():
+        split = company.where(F.col("m") > LEAF)
+        if last or split.isEmpty():
             break
-    cells = in_blocks(found, "m", LEAF).select("rep", F.xxhash64("path", "at").alias("cell"))
+        split = stash(split.groupBy("rep").agg(F.collect_list("path").alias("parents")), "split")
+        own = squeezed(docs, sieve(split.select("rep"))).withColumnRenamed("doc_id", "rep").join(split, "rep")
+        steps = stash(own.mapInArrow(_below(size, threshold), "rep long, path long"), "steps")
+        written += [split, steps]
+    cells = in_blocks(found, F.ceil(F.col("m") / LEAF)).select("rep", F.xxhash64("path", "at").alias("cell"))
     cells = cells.join(classes.select("rep", "n", "sample"), "rep")
     packs = parts_for(found.agg(F.sum(F.ceil(F.col("m") / LEAF))).first()[0] or 0, 20_000)  # rows of cells: one for each block that a row meets
     close = cells.groupBy(F.pmod("cell", F.lit(packs)).alias("pack")).applyInArrow(_branch(threshold), "a long, b long")
     close = stash(close.distinct(), "close")
     drop(*written)
     cluster = components(close)
+    drop(close)
 
-    members = cluster.join(classes.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "copies")
+    members = cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(reps.select("rep", "copies", "n"), "rep")
     members = stash(members, "members")
-    sizes = stash(members.groupBy("cluster").agg(F.count("*").alias("m")), "clusters")
-    work = in_blocks(members.join(sizes, "cluster"), "m", PACK)
-    packs = parts_for(members.count(), PACK)
+    sizes = stash(members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")), "clusters")
+    work = in_blocks(members.join(sizes, "cluster"), F.ceil(F.greatest(F.col("m") / PACK, F.col("tokens") / TOKENS)))
+    whole = sizes.agg(F.sum("m"), F.sum("tokens")).first()
+    packs = max(parts_for(whole[0] or 0, PACK), parts_for(whole[1] or 0, TOKENS))
     piece = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.xxhash64("cluster", "at"))
     work = work.select("rep", "cluster", "copies", "side", "pair", piece.alias("piece"))
-    work = squeezed(docs).withColumnRenamed("doc_id", "rep").join(work, "rep")
+    work = squeezed(docs, sieve(members.select("rep"))).withColumnRenamed("doc_id", "rep").join(work, "rep")
     exact = stash(work.groupBy("piece").applyInArrow(_exact(size, threshold), "rep long, links long, texts long, a long, b long, edge boolean"), "links")
     counts = exact.where("not edge").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    drop(close)
     tree = components(exact.where("edge").select("a", "b"))
 
-    per_class = classes.select("k1", "k2", "n", "rep", "copies").join(counts, "rep", "left").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
+    per_class = reps.join(counts, "rep", "left").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
     per_class = stash(per_class, "per-class")
-    drop(classes, members, sizes, exact)
+    drop(classes, reps, members, sizes, exact)
     out = sets.join(per_class, ["k1", "k2", "n"], "left")
     top = F.coalesce("component", "rep", "doc_id")
     out = out.select(
