@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,16 @@ def in_blocks(members: DataFrame, blocks: Column, by: str = "rep") -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "side").alias("lo"), F.greatest(k, "side").alias("hi")))
     )
     return with_block.withColumn("at", F.explode(pairs)).withColumn("pair", F.col("at.lo") != F.col("at.hi"))
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least index reachable from each of n by the links i-j."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low

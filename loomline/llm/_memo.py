@@ -29,10 +29,11 @@ class Memo:
     later pieces are then encoded each time.
     """
 
-    def __init__(self, most: int = 1_200_000) -> None:
+    def __init__(self, most: int = 400_000) -> None:
         self.most = most
-        self.tables = [(np.zeros(0, U), np.zeros(0, np.int64))] * 2  # the large one and the fresh one: keys, numbers of entries
-        self.at, self.size, self.start, self.count = (Growing(np.int64) for _ in range(4))
+        self.tables = [(np.zeros(0, U), np.zeros(0, np.int32))] * 2  # the large one and the fresh one: keys, numbers of entries
+        self.at, self.start = Growing(np.int64), Growing(np.int64)
+        self.size, self.count = Growing(np.int32), Growing(np.int32)
         self.text, self.ids = Growing(np.uint8), Growing(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -47,7 +48,7 @@ class Memo:
 
     def keep(self, keys: np.ndarray, raw: list[bytes], count: np.ndarray, ids: np.ndarray) -> None:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
-        entry = np.arange(self.at.n, self.at.n + len(keys))
+        entry = np.arange(self.at.n, self.at.n + len(keys), dtype=np.int32)
         for column, first, n in ((self.at, self.text.n, size), (self.start, self.ids.n, count)):
             column.add(first + np.cumsum(n) - n)
         self.size.add(size)
@@ -57,7 +58,7 @@ class Memo:
         large, fresh = self.tables
         fresh = _merged(fresh, (keys, entry))
         if len(fresh[0]) > max(20_000, len(large[0]) // 4):
-            large, fresh = _merged(large, fresh), (np.zeros(0, U), np.zeros(0, np.int64))
+            large, fresh = _merged(large, fresh), (np.zeros(0, U), np.zeros(0, np.int32))
         self.tables = [large, fresh]
 
     def encode(self, keys: np.ndarray, first: np.ndarray, end: np.ndarray, data: np.ndarray, encode: Callable[[list[bytes], np.ndarray], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:

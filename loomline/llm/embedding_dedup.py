@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._graph import components, in_blocks
+from ._graph import components, in_blocks, roots
 from ._spark import NO_ID, numbered, parts_for, stash, table, with_nulls
 from ._vectors import matrix, sound
 
@@ -74,19 +74,6 @@ def _cells(threshold: float, blocks: int):
     return go
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Least index reachable from each of n by the links i-j."""
-    label = np.arange(n)
-    while True:
-        low = label.copy()
-        np.minimum.at(low, i, label[j])
-        np.minimum.at(low, j, label[i])
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
 def linked(x: np.ndarray, home: np.ndarray, side: np.ndarray, cut: bool, block: int, threshold: float, blocks: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i < j) that this cell and block are the first to offer."""
     norm = np.linalg.norm(x, axis=1)

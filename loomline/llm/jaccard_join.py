@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrays import U, flat, mix
-from ._graph import components, in_blocks
+from ._graph import components, in_blocks, roots
 from ._sieve import may, sieve
 from ._spark import drop, numbered, parts_for, stash, table, texts, with_nulls
 from ._words import blocks, shingles
@@ -38,6 +38,8 @@ SIZE, THRESHOLD = 5, 0.8
 #: Share of pairs at the threshold that may stay apart.
 MISS = 1e-6
 LEVELS, LEAF, BINS = 3, 1000, 128
+#: Rows of branches, with their samples, in one task.
+CELLS = 50_000
 #: Sets, and shingles, compared in one piece of work.
 PACK, TOKENS = 1500, 1 << 21
 
@@ -178,7 +180,12 @@ def _branch(threshold: float):
             k = np.flatnonzero(root != np.arange(len(root)))
             a.append(own[k])
             b.append(own[root[k]])
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+        # Families meet in many branches: what leaves the task is one forest over all of them, at most a row a set.
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        names, k = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = roots(len(names), k[: len(a)], k[len(a) :])
+        far = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"a": names[far], "b": names[root[far]]})
 
     return go
 
@@ -296,7 +303,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         written += [split, steps]
     cells = in_blocks(found, F.ceil(F.col("m") / LEAF)).select("rep", F.xxhash64("path", "at").alias("cell"))
     cells = cells.join(classes.select("rep", "n", "sample"), "rep")
-    packs = parts_for(found.agg(F.sum(F.ceil(F.col("m") / LEAF))).first()[0] or 0, 20_000)  # rows of cells: one for each block that a row meets
+    packs = parts_for(found.agg(F.sum(F.ceil(F.col("m") / LEAF))).first()[0] or 0, CELLS)  # rows of cells: one for each block that a row meets
     close = cells.groupBy(F.pmod("cell", F.lit(packs)).alias("pack")).applyInArrow(_branch(threshold), "a long, b long")
     close = stash(close.distinct(), "close")
     drop(*written)
