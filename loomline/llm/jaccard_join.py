@@ -5,7 +5,8 @@ run and the node, falls below 1 / (threshold * size), 1 / threshold tokens on av
 branch of each. Two sets that are alike to the threshold share a chosen token, on average one at least, with a probability of 1 - 1/e
 or more; at the last level, when every branch before is large, a run still brings them together with more than a third, and the
 runs leave less than a pair in a million apart there. A branch of at most LEAF sets is compared by brute force; a larger one
-splits again, and what is still large at the last level is compared in blocks of pairs, so nothing is capped.
+splits again, and what is still large at the last level is compared in blocks of pairs, so nothing is capped. A large branch whose sets
+are all in one candidate component by then need not be split: they meet anyway when components are compared.
 
 How it scales. Equal sets are one class and take part once. The first level's paths come from each text alone, in one pass;
 what is shuffled is one number per path. Deeper paths are made only for the sets of branches that split. Branches with one set go at once, and of small branches with the same
@@ -38,6 +39,8 @@ SIZE, THRESHOLD = 5, 0.8
 #: Share of pairs at the threshold that may stay apart.
 MISS = 1e-6
 LEVELS, LEAF, BINS = 3, 1000, 128
+#: One in so many large branches is split before the others.
+EARLY = 8
 #: Rows of branches, with their samples, in one task.
 CELLS = 50_000
 #: Sets, and shingles, compared in one piece of work.
@@ -281,34 +284,57 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = stash((classes if copies is None else classes.unionByName(some.where(~may(copies, "doc_id")))).withColumnRenamed("doc_id", "rep").select("rep", "n", "sample", "paths"), "classes")
     drop(found)
 
-    # Branches with company, from the root down; what is too large at the last level is compared in blocks.
-    steps, found, written = classes.select("rep", F.explode("paths").alias("path")), None, []
-    for level in range(LEVELS):
+    def branches(steps: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+        """(leaves, large) of steps (rep, path): rows (rep, path, m) of branches with company, small ones and, unless last, those that split."""
         same = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
         sizes = steps.groupBy("path").agg(F.count("*").alias("m"), *same).where("m > 1")
         # Branches of the same sets are compared once; a large one that still splits does so in each run anew.
-        last = level == LEVELS - 1
         again = F.lit(0).cast("long") if last else F.when(F.col("m") > LEAF, F.col("path")).otherwise(0)
         sizes = stash(sizes.groupBy("m", "s1", "s2", again.alias("again")).agg(F.min("path").alias("path")).select("path", "m"), "sizes")
         company = stash(steps.where(may(sieve(sizes.select("path")), "path")).join(sizes, "path"), "company")
-        written += [sizes, company]
-        leaf = company if last else company.where(F.col("m") <= LEAF)
-        found = leaf if found is None else found.unionByName(leaf)
-        split = company.where(F.col("m") > LEAF)
-        if last or split.isEmpty():
-            break
-        split = stash(split.groupBy("rep").agg(F.collect_list("path").alias("parents")), "split")
-        own = squeezed(docs, sieve(split.select("rep"))).withColumnRenamed("doc_id", "rep").join(split, "rep")
-        steps = stash(own.mapInArrow(_below(size, threshold), "rep long, path long"), "steps")
-        written += [split, steps]
-    cells = in_blocks(found, F.ceil(F.col("m") / LEAF)).select("rep", F.xxhash64("path", "at").alias("cell"))
-    cells = cells.join(classes.select("rep", "n", "sample"), "rep")
-    packs = parts_for(found.agg(F.sum(F.ceil(F.col("m") / LEAF))).first()[0] or 0, CELLS)  # rows of cells: one for each block that a row meets
-    close = cells.groupBy(F.pmod("cell", F.lit(packs)).alias("pack")).applyInArrow(_branch(threshold), "a long, b long")
-    close = stash(close.distinct(), "close")
+        written.extend([sizes, company])
+        return (company, company.limit(0)) if last else (company.where(F.col("m") <= LEAF), company.where(F.col("m") > LEAF))
+
+    def below(large: DataFrame) -> DataFrame:
+        """The leaves under large branches (rep, path); what is too large at the last level is compared in blocks."""
+        out = None
+        for level in range(1, LEVELS):
+            parents = stash(large.groupBy("rep").agg(F.collect_list("path").alias("parents")), "parents")
+            own = squeezed(docs, sieve(parents.select("rep"))).withColumnRenamed("doc_id", "rep").join(parents, "rep")
+            steps = stash(own.mapInArrow(_below(size, threshold), "rep long, path long"), "steps")
+            written.extend([parents, steps])
+            leaves, large = branches(steps, level == LEVELS - 1)
+            out = leaves if out is None else out.unionByName(leaves)
+            if level < LEVELS - 1 and large.isEmpty():
+                break
+        return out
+
+    def compared(leaves: DataFrame) -> DataFrame:
+        """(a, b): a forest of the candidate links inside leaves (rep, path, m)."""
+        cells = in_blocks(leaves, F.ceil(F.col("m") / LEAF)).select("rep", F.xxhash64("path", "at").alias("cell"))
+        cells = cells.join(classes.select("rep", "n", "sample"), "rep")
+        packs = parts_for(leaves.agg(F.sum(F.ceil(F.col("m") / LEAF))).first()[0] or 0, CELLS)  # rows of cells: one for each block that a row meets
+        found = cells.groupBy(F.pmod("cell", F.lit(packs)).alias("pack")).applyInArrow(_branch(threshold), "a long, b long")
+        return stash(found.distinct(), "close")
+
+    written: list[DataFrame] = []
+    leaves, large = branches(classes.select("rep", F.explode("paths").alias("path")), False)
+    if large.isEmpty():
+        close = compared(leaves)
+    else:
+        # A few of the large branches go first. Sets that these bring into one component meet there, whole, in the end; so of the
+        # others only those go on that still hold sets of several components.
+        early = F.pmod(F.xxhash64("path"), F.lit(EARLY)) == 0
+        close = compared(leaves.unionByName(below(large.where(early))))
+        label = components(close).select(F.col("node").alias("rep"), "component")
+        rest = stash(large.where(~early).join(label, "rep", "left").select("path", "rep", F.coalesce("component", "rep").alias("component")), "rest")
+        open_ = rest.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("path")
+        rest = stash(rest.join(open_, "path", "left_semi").select("rep", "path"), "open")
+        written += [rest]
+        if not rest.isEmpty():
+            close = close.unionByName(compared(below(rest)))
     drop(*written)
     cluster = components(close)
-    drop(close)
 
     members = cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(reps.select("rep", "copies", "n"), "rep")
     members = stash(members, "members")

@@ -108,12 +108,20 @@ def test_sharding(docs, none):
     assert sharding.shard(none).count() == 0
 
 
-def test_sharding_is_even_and_splits_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("share", [3, 40])
+def test_sharding_is_even_and_keeps_groups_whole(spark, monkeypatch, share):
+    """A group of a third of all rows is larger than a shard and is cut; smaller ones stay whole."""
     monkeypatch.setattr(sharding, "RANGE", 50)
-    rows = [(i, "copy" if i % 3 == 0 else f"text {i} " + "z" * (i % 40)) for i in range(3000)]
+    rows = [(i, "copy" * 15 if i % share == 0 else f"pair {i % 700} " if i % 5 == 0 else f"text {i} " + "z" * (i % 40)) for i in range(3000)] + [(None, "copy" * 15)]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     sizes = [sum(r.size for r in got if r.shard == s) for s in range(8)]
-    assert max(sizes) - min(sizes) < 0.02 * sum(sizes) / 8
+    assert len(got) == len(rows) and max(sizes) - min(sizes) < 0.02 * sum(sizes) / 8
+    of = dict(rows)
+    homes = {}
+    for r in got:
+        homes.setdefault(of[r.doc_id], set()).add(r.shard)
+        assert r.slot < sum(x.shard == r.shard for x in got)
+    assert {t for t, h in homes.items() if len(h) > 1} == ({"copy" * 15} if share == 3 else set())
     assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in sharding.shard(spark.createDataFrame(rows[::-1], "doc_id long, text string")).collect()}
 
 
@@ -171,12 +179,29 @@ def test_runs_reach_the_last_level():
     row, n, apart = np.repeat([0, 1], [200, 250]), np.array([200, 250]), 0
     for _ in range(1500):
         token = rng.integers(0, 1 << 63, 250).astype(np.uint64)
-        at, _, path = jaccard_join.chosen(row, np.concatenate([token[:200], token]), n, 0.8, 1, jaccard_join.LEVELS)[-1]
-        apart += not len(np.intersect1d(path[at == 0], path[at == 1]))
+        sets = token[:200], token
+        at, path = jaccard_join.first_paths(row, np.concatenate(sets), n, 0.8, 1)
+        paths = [path[at == k] for k in (0, 1)]
+        for _ in range(1, jaccard_join.LEVELS):
+            paths = [jaccard_join.next_paths(sets[k], paths[k], 0.8)[1] for k in (0, 1)]
+        apart += not len(np.intersect1d(*paths))
     assert 0.5 < apart / 1500 < 0.7
     assert (apart / 1500) ** jaccard_join.runs_for(1e-6) < 4e-6  # the rate is measured to within 0.03
 
 
+def test_runs_are_independent_of_each_other():
+    """At the root, the share of pairs at the threshold that stay apart falls by e with each run."""
+    rng = np.random.default_rng(8)
+    row, n, apart = np.repeat([0, 1], [200, 200]), np.array([200, 200]), np.zeros(4)
+    for _ in range(1500):
+        token = rng.integers(0, 1 << 63, 222).astype(np.uint64)  # 178 in common: 0.8 of 222
+        for k in range(4):
+            at, path = jaccard_join.first_paths(row, np.concatenate([token[:200], token[22:]]), n, 0.8, k + 1)
+            apart[k] += not np.isin(path[at == 0], path[at == 1]).any()
+    share = apart / 1500
+    assert (np.abs(share - np.exp(-178 / 160 * np.arange(1, 5))) < 0.04).all()
+
+
 def test_packs_count_the_rows_of_cells(spark, monkeypatch):
     """A family of near copies larger than LEAF: a row stands in one cell for each block of its branch, and packs are counted by cells."""
     words = [f"w{k}" for k in range(300)]
@@ -185,9 +210,21 @@ def test_packs_count_the_rows_of_cells(spark, monkeypatch):
     in_blocks, parts_for = jaccard_join.in_blocks, jaccard_join.parts_for
     monkeypatch.setattr(jaccard_join, "LEAF", 10)
     monkeypatch.setattr(jaccard_join, "in_blocks", lambda *a: cells.append(in_blocks(*a)) or cells[-1])
-    monkeypatch.setattr(jaccard_join, "parts_for", lambda n, each: counted.append((n, len(cells) == 1 and cells[0].count())) or parts_for(n, each))
+    monkeypatch.setattr(jaccard_join, "parts_for", lambda n, each: (each == jaccard_join.CELLS and counted.append((n, cells[-1].count()))) or parts_for(n, each))
     got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sum(r.kept for r in got) == 1 and counted[0][0] == counted[0][1] > 40
+    assert sum(r.kept for r in got) == 1 and all(n == rows for n, rows in counted) and max(n for n, _ in counted) > 40
+
+
+@pytest.mark.parametrize("early", [1, 2, 10**6])
+def test_large_branches_in_two_goes(spark, monkeypatch, early):
+    """Families that share a passage with all others meet in large branches only; whichever of these go first, no link is lost."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 4)
+    monkeypatch.setattr(jaccard_join, "EARLY", early)
+    shared = [f"s{k}" for k in range(60)]
+    rows = [(10 * f + c, " ".join([*shared, *[f"f{f}w{k}" for k in range(200)], f"x{c}"])) for f in range(6) for c in range(7)]
+    _, links, comp = brute_links(rows, 5, 0.8)
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_links, r.component_id) for r in got} == {(i, len(links[i]), comp[i]) for i, _ in rows} and sum(r.kept for r in got) == 6
 
 
 # --- 4 ---
@@ -229,6 +266,17 @@ def test_embedding_dedup(spark, vecs, monkeypatch, cell, grid):
     assert embedding_dedup.embedding_dedup(vecs.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_copies_and_shared_ids(spark):
+    rng = np.random.default_rng(4)
+    base, other = rng.standard_normal((2, 16))
+    rows = [(i, base.tolist(), "a") for i in range(40)] + [(None, (base + 0.01).tolist(), "a"), (7, other.tolist(), "a"), (7, other.tolist(), "b"), (None, None, "a"), (99, base.tolist(), None)]
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == 5
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == sorted(
+        [(str(i), 40, "0") for i in range(40)] + [("None", 40, "0"), ("7", 0, "7"), ("7", 0, "7"), ("None", 0, "None"), ("99", 0, "99")]
+    )
+
+
 # --- 5 ---
 
 
@@ -237,7 +285,8 @@ def test_warc(spark, tmp_path):
     df = spark.createDataFrame([(*p, "d", True) for p in pages], "page_id long, url string, html string, digest string, revisit boolean")
     one = warc.write(df, str(tmp_path / "a"), roll=2000, shard_bytes=40_000)
     two = warc.write(df.repartition(7), str(tmp_path / "b"), roll=2000, shard_bytes=40_000)
-    assert one == two and len(one) > 4 and not list((tmp_path / "a").glob("*.tmp"))
+    one, two = (sorted(map(tuple, m.collect())) for m in (one, two))
+    assert one == two and len(one) > 4 and not list((tmp_path / "a").glob(".*.tmp"))
     first = {}
     for i, _, h in pages:
         first.setdefault((h or "").encode(), i)
@@ -254,13 +303,35 @@ def test_warc(spark, tmp_path):
 
 def test_warc_reports_damage(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "text " * 50)], "page_id long, url string, html string")
-    (name,) = [f["file"] for f in warc.write(df, str(tmp_path / "a"))]
+    (name,) = [f["file"] for f in warc.write(df, str(tmp_path / "a")).collect()]
     raw = (tmp_path / "a" / name).read_bytes()
     (tmp_path / "a" / name).write_bytes(raw[:-20])
     with pytest.raises(Exception, match="ends inside a record"):
         warc.read(spark, str(tmp_path / "a")).collect()
 
 
+def test_warc_writes_over_what_an_earlier_attempt_left(spark, tmp_path):
+    """A file that a lost task had already renamed stays; without its marker the manifest counts for nothing."""
+    df = spark.createDataFrame([(k, "u", f"text {k} " * 50) for k in range(9)], "page_id long, url string, html string")
+    names = {f.file for f in warc.write(df, str(tmp_path / "a")).collect()}
+    left = {n: (tmp_path / "a" / n).stat().st_mtime_ns for n in names}
+    import shutil
+
+    shutil.rmtree(tmp_path / "a" / "manifest")
+    with pytest.raises(FileNotFoundError):
+        warc.read(spark, str(tmp_path / "a"))
+    warc.write(df, str(tmp_path / "a"))
+    assert {n: (tmp_path / "a" / n).stat().st_mtime_ns for n in names} == left and warc.read(spark, str(tmp_path / "a")).count() == 9
+
+
+def test_warc_of_shared_and_null_ids(spark, tmp_path):
+    rows = [(5, "u", "same"), (5, "v", "same"), (5, "w", "own"), (9, "x", "same"), (None, "y", "same"), (None, "z", "alone"), (None, "z", "alone")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a"))
+    got = sorted((r.url, r.page_id, r.record_type, r.refers_to) for r in warc.read(spark, str(tmp_path / "a")).collect())
+    one = "response"
+    assert got == [("u", 5, one, None), ("v", 5, one, None), ("w", 5, one, None), ("x", 9, "revisit", 5), ("y", None, "revisit", 5), ("z", None, one, None), ("z", None, one, None)]
+
+
 # --- 6 ---
 
 
@@ -285,6 +356,24 @@ def test_nearest(vecs, monkeypatch, factor, shard, least):
     assert nearest.nearest(vecs.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("shard", [8192, 64])
+def test_nearest_gives_ties_to_the_smaller_id(spark, monkeypatch, shard):
+    """Sixty copies of a vector and queries that are nearer to nothing else; at factor one the result is exact."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(nearest, "SHARD", shard)
+    rng = np.random.default_rng(1)
+    hot, rest = rng.standard_normal(24), rng.standard_normal((400, 24)) * 0.3
+    rows = [(1000 + k, hot.tolist()) for k in range(60)] + [(2001 + k, v.tolist()) for k, v in enumerate(rest)] + [(1040, hot.tolist())]
+    rows += [(5000 + k, np.roll(np.tile([1.0, -1.0], 12), k % 2).tolist()) for k in range(60)]  # equal scores of unequal vectors
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, factor=1.0).collect()
+    vec = {i: np.array(v) for i, v in rows}
+    for q in [i for i in vec if i % 20 == 0]:
+        score = {i: float(np.add.reduce([a * b for a, b in zip(v, vec[q], strict=True)])) for i, v in vec.items() if i != q}
+        want = sorted(score, key=lambda i: (-round(score[i], 9), i))[:20]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
 # --- 7 ---
 
 NOTES = ["'s", " ", "  ", "\n", "'", "'re", "ll", "don't", "é", "中文", "１２", "12", "\t", "!", "!'s", " 's", " ", "😀", "a", "'LL", "'d", "\r\n", "\x1c", "<|endoftext|>", "́", "x" * 50]
@@ -330,6 +419,33 @@ def test_perfect_hash():
 # --- 8 ---
 
 
+def test_naive_bayes_hinge_model_by_brute_force():
+    """Ratios and weights on a small table against a plain count and a slow search for the optimum of the same objective."""
+    rng = np.random.default_rng(2)
+    size, n = 12, 60
+    y = (rng.random(n) < 0.5).astype(float)
+    rows = [np.flatnonzero(rng.random(size) < np.where(np.arange(size) < 6, 0.2 + 0.5 * t, 0.7 - 0.5 * t)) for t in y]
+    held = np.arange(n) % 5 == 0
+    r, w, a, b = quality.fit(rows, y, held, size)
+    count = {c: [1.0 + sum(k in rows[i] for i in range(n) if not held[i] and y[i] == c) for k in range(size)] for c in (0, 1)}
+    want = [np.log(count[1][k] / sum(count[1])) - np.log(count[0][k] / sum(count[0])) for k in range(size)]
+    assert np.allclose(r, want)
+    train = np.flatnonzero(~held)
+    x = np.zeros((len(train), size))
+    for i, k in enumerate(train):
+        x[i, rows[k]] = np.array(want)[rows[k]] / max(np.linalg.norm(np.array(want)[rows[k]]), 1e-12)
+    t = 2 * y[train] - 1
+    share = y[train].mean()
+    cost = np.where(t > 0, 0.5 / share, 0.5 / (1 - share))
+    loss = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - t * (x @ v))).sum()
+    v, best = np.zeros(size), np.inf
+    for k in range(1, 20_001):
+        live = t * (x @ v) < 1
+        v = v - (v - ((cost * t)[live, None] * x[live]).sum(0)) / k
+        best = min(best, loss(v))
+    assert loss(w) <= best * 1.02 and a > 0 and np.isfinite(b)
+
+
 def test_quality(spark, sf_dir):
     got = quality.op8_quality_classifier(spark, sf_dir).toPandas()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas()
@@ -417,3 +533,79 @@ def test_chat(spark):
     assert got[3, "ann"].rendered == "<|assistant|>\nme<|end|>\n" * 2 + "<|user name=unknown|>\nwho<|end|>\n"
     parts = chat.rotate(spark.createDataFrame([(1, k, "ab"[k % 2], "t") for k in range(10)], "conv_id long, turn long, role string, text string"), part=4).collect()
     assert sorted(r.n_turns for r in parts) == [2, 2, 4, 4, 4, 4]
+
+
+def test_chat_parts_make_the_view(spark):
+    """Parts of any size, put together, are the one-part view, masks included; turn numbers may leave gaps, repeat or be null."""
+    rng = random.Random(5)
+    rows = [(c, rng.choice([None, *range(40)]), rng.choice(["ann", "bob", "system"]), "t" * rng.randint(0, 9)) for c in (1, None) for _ in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {(r.conv_id, r.speaker): r for r in chat.rotate(df).collect()}
+    parts = {}
+    for r in sorted(chat.rotate(df, part=7).collect(), key=lambda r: r.part):
+        parts.setdefault((r.conv_id, r.speaker), []).append(r)
+    assert parts.keys() == whole.keys()
+    for k, own in parts.items():
+        assert "".join(r.rendered for r in own) == whole[k].rendered and ",".join(r.mask for r in own if r.mask) == whole[k].mask
+        assert [r.start for r in own] == np.cumsum([0, *[len(r.rendered) for r in own]])[:-1].tolist()
+
+
+# --- what they share ---
+
+
+def thue_morse(n):
+    a, b = b"a", b"b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [3, 7, 10, 11])
+def test_hashes_of_thue_morse_strings_differ(n):
+    """A polynomial hash modulo two to the 64th gives these pairs one value, whatever its base."""
+    a, b = thue_morse(n)
+    h = _arrays.hashes(np.frombuffer(a + b, np.uint8), np.array([0, len(a)]), np.array([len(a), 2 * len(a)]))
+    assert h[0] != h[1]
+
+
+def test_memo_looks_at_bytes():
+    """Pieces under one key stay what they are, in one block and over several."""
+    from loomline.llm._memo import Memo
+
+    words = [f"{k}-{'x' * (k % 300)}".encode() for k in range(600)]
+    at = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    data = np.frombuffer(b"".join(words), np.uint8)
+    want = [x for w in words for x in (len(w), w[0])]
+    own = lambda pieces, _: [[len(p), p[0]] for p in pieces]
+    for keys in (np.zeros(600, np.uint64), np.arange(600, dtype=np.uint64) % 7, _arrays.hashes(data, at[:-1], at[1:])):
+        memo = Memo()
+        for _ in range(2):
+            got = [memo.encode(keys[i : i + 50], at[i : i + 50], at[i + 1 : i + 51], data, own)[0] for i in range(0, 600, 50)]
+            assert np.concatenate(got).tolist() == want
+
+
+def test_encoders_tell_thue_morse_texts_apart(spark):
+    import public_tokenizers
+
+    a, b = (x.decode() for x in thue_morse(10))
+    rows = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert {r.doc_id: bytes(r.bytes).decode() for r in byte_bpe.decode(byte_bpe.encode(rows, path), path).collect()} == {1: a, 2: b}
+    both = packing.pack(rows, public_tokenizers.path("word_bpe_49k.json"), window=1 << 16).collect()
+    assert len({r.ids_crc32 for r in both}) == 2
+
+
+def test_sieve_loses_nothing(spark):
+    from loomline.llm import _sieve
+
+    own = spark.range(0, 100_000, 7)
+    found = _sieve.sieve(own)
+    kept = spark.range(100_000).where(_sieve.may(found, "id"))
+    assert kept.join(own, "id", "left_semi").count() == own.count() and kept.count() < 30_000
+
+
+def test_sieve_of_too_large_a_table(spark, monkeypatch):
+    from loomline.llm import _sieve
+
+    monkeypatch.setattr(_sieve, "MOST", 4)
+    assert _sieve.sieve(spark.range(100)) is None and spark.range(3).where(_sieve.may(None, "id")).count() == 3
