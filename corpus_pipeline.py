@@ -10,23 +10,21 @@ was null stays so. Empty tables pass through. Extra columns pass through all sta
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomline.llm import jaccard_join, packing, quality, suffix_dedup
-from loomline.llm._spark import numbered, shared_dir, stash, table, texts
+from loomline.llm._sieve import may, sieve
+from loomline.llm._spark import NO_ID, drop, numbered, stash, table, texts
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from the labels of documents outside the held-out fold, as the query does."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~quality.held_out())
     model = quality.train(texts(table(spark, sf_dir, "documents")), labels)
-    scored = quality.score(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text")), model, keep="row")
-    return scored.where(F.col("score") >= quality.CUT).select("row.*")
+    return docs.where(quality.scores(model, spark)("text") >= quality.CUT)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,22 +37,25 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(rest, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 
-def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their spans, each span drawn in to whole characters."""
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            raw, kept, at = text.encode(), [], 0
-            for s in spans:
-                a, b = min(s["a"], len(raw)), min(s["b"], len(raw))
-                while a < b and raw[a] & 0xC0 == 0x80:
-                    a += 1
-                while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
-                    b -= 1
-                kept.append(raw[at:a])
-                at = b
-            out.append(b"".join([*kept, raw[at:]]).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "kept"])
+@F.arrow_udf(StringType())
+def _whole_characters(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without their spans, each span drawn in to whole characters; null for those that have none."""
+    out = []
+    for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        if text is None or not own:
+            out.append(None)
+            continue
+        raw, kept, at = text.encode(), [], 0
+        for s in own:
+            a, b = min(s["a"], len(raw)), min(s["b"], len(raw))
+            while a < b and raw[a] & 0xC0 == 0x80:
+                a += 1
+            while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+                b -= 1
+            kept.append(raw[at:a])
+            at = b
+        out.append(b"".join([*kept, raw[at:]]).decode())
+    return pa.array(out, pa.string())
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,17 +67,19 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def _cut_out(docs: DataFrame, by: str) -> DataFrame:
-    """without_repeats for docs whose rows differ in ``by``."""
-    spans = suffix_dedup.suffix_dedup(docs, by).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    spans = stash(spans, "spans")
-    mine = F.col(by).eqNullSafe(F.col("__id")) & F.col("text").isNotNull()
-    changed = docs.join(spans, mine).select(F.struct(*docs.columns).alias("row"), "text", F.col("__spans").alias("spans"))
-    row = docs.schema.simpleString()
-    changed = changed.mapInArrow(_whole_characters, f"row {row}, kept string")
-    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    changed = changed.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
-    same = docs.join(spans.select("__id"), mine, "left_anti")
-    return same.unionByName(changed)
+    """without_repeats for docs whose rows differ in ``by``. Only texts that may lose something are shuffled."""
+    ids = texts(docs, by)
+    spans = suffix_dedup.repeated_spans(ids)
+    found = sieve(spans.select("doc_id"))
+    key = docs.withColumn("__id", F.coalesce(F.col(by), F.lit(NO_ID)))
+    spans = spans.withColumnRenamed("doc_id", "__id")
+    spans = spans.withColumnRenamed("spans", "__spans")
+    changed = key.where(may(found, "__id")).join(spans, "__id", "left").withColumn("__kept", _whole_characters("text", "__spans"))
+    new = {"text": F.coalesce("__kept", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("__kept").cast(docs.schema["n_chars"].dataType), "n_chars")
+    changed = changed.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return changed if found is None else key.where(~may(found, "__id")).drop("__id").unionByName(changed)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -97,12 +100,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result is written to the shared folder and read again, and goes once the next one stands."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        path = f"{shared_dir(spark)}/loomline/stage-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stash(stage(spark, docs, sf_dir), "stage")
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
 
 
