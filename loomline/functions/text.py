@@ -32,6 +32,7 @@ def token_estimate(c: Column | str) -> Column:
 
 def scrub(c: Column | str) -> Column:
     """Without terminal control sequences, then without the remaining control characters but tab and newline."""
+    # Fixed value: the pattern.
     whole = F.regexp_replace(_c(c), rf"{ESC}\[[0-9;?]*[ -/]*[@-~]|{ESC}\][^{BEL}{ESC}]*(?:{BEL}|{ESC}\\)?", "")
     return F.regexp_replace(whole, r"[\x00-\x08\x0b-\x1f\x7f\x{80}-\x{9f}]", "")
 
@@ -62,6 +63,7 @@ def folded(c: Column | str) -> Column:
 
 def syntax_class(part: Column | str, glob: Column) -> Column:
     """struct<structure boolean, keyword string, confidence string>: whether a search part probes syntax, or what word remains of it."""
+    # Fixed value: the pattern.
     text = strip(F.regexp_replace(_c(part), r"\\[A-Za-z][*+?]?|\{\d*,?\d*\}|[\^$]", " "))
     out = lambda s, k, c: F.struct(F.lit(s).alias("structure"), k.cast("string").alias("keyword"), F.lit(c).alias("confidence"))
     none = F.lit(None)
@@ -137,6 +139,7 @@ def boilerplate(c: Column | str) -> Column:
 
 def command_name(c: Column | str) -> Column:
     """The command that a message invokes, by marker or leading slash; null for none."""
+    # Fixed value: the pattern.
     marked = F.regexp_extract(strip(c), r"^<command-name>/?([^<\s]+)</command-name>", 1)
     slashed = F.regexp_extract(_c(c), r"^/+([^\s/]\S*)", 1)
     return F.nullif(F.when(marked != "", marked).otherwise(slashed), F.lit(""))
@@ -144,12 +147,14 @@ def command_name(c: Column | str) -> Column:
 
 def server_tool(c: Column | str) -> Column:
     """struct<server, tool> of a server tool's name; null for others."""
+    # Fixed value: the pattern.
     name, pattern = _c(c), r"^mcp__([^_]+(?:_[^_]+)*?)__(.+)$"
     return F.when(name.rlike(pattern), F.struct(F.regexp_extract(name, pattern, 1).alias("server"), F.regexp_extract(name, pattern, 2).alias("tool")))
 
 
 def commit_confirmed(c: Column | str) -> Column:
     """A result that shows a commit was made."""
+    # Fixed value: the pattern.
     return _c(c).rlike(r"\[[^\]]+ [0-9a-f]{7,}\]|files? changed")
 
 

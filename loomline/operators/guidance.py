@@ -41,6 +41,7 @@ def _looks_like_path(c: Column) -> Column:
 
 def candidates(carriers: DataFrame, text: str = "text") -> DataFrame:
     """carriers exploded to (raw, context, pos): links, inline code, words of prose that look like paths, and what stands in fences."""
+    # Fenced blocks, links, inline code.
     fence, link, code = r"(?s)```.*?(?:```|\z)", r"\[[^\]]*\]\(([^)\s]+)\)", r"`([^`\n]+)`"
     words = lambda t: F.filter(
         F.transform(F.split(t, r"[\s,;()|]+"), lambda w: F.regexp_replace(F.regexp_replace(w, r"^[`*\"'<>\[\]]+|[`*\"'<>\[\]]+$", ""), r"/+$|[.,:;!?]+$", "")),
