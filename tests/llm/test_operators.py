@@ -609,3 +609,38 @@ def test_sieve_of_too_large_a_table(spark, monkeypatch):
 
     monkeypatch.setattr(_sieve, "MOST", 4)
     assert _sieve.sieve(spark.range(100)) is None and spark.range(3).where(_sieve.may(None, "id")).count() == 3
+
+
+def test_empty_tables(spark, none):
+    """No rows give no rows, of the same columns."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert suffix_dedup.suffix_dedup(none).count() == 0 and byte_bpe.round_trip(none, path).count() == 0 and byte_bpe.decode(byte_bpe.encode(none, path), path).count() == 0
+    assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_texts_longer_than_a_block(spark):
+    """Texts of half a megabyte, with and without white space: near copies link, ids equal another encoder's, pieces cover all ids, scores do not depend on the neighbours."""
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rng = random.Random(7)
+    long = " ".join(f"{rng.choice(WORDS)}{rng.randint(0, 99)}" for _ in range(90_000))
+    rows = [(1, long), (2, long + " one more"), (3, "x" * 300_000), (4, "short text of six words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.n_links, r.component_id) for r in jaccard_join.jaccard_join(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)}
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    other = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in byte_bpe.encode(df.where("doc_id <> 3"), path).collect():
+        assert r.ids == other.encode_ordinary(dict(rows)[r.doc_id])
+    words = public_tokenizers.path("word_bpe_49k.json")
+    own = {i: len(Tokenizer.from_file(words).encode(t, add_special_tokens=False).ids) + 1 for i, t in rows if i != 3}
+    got = packing.pack(df.where("doc_id <> 3"), words).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got} == own
+    model = {"ratio": np.linspace(-1, 1, 1 << quality.BITS), "weight": np.linspace(2, -1, 1 << quality.BITS), "line": np.array([1.0, 0.1])}
+    together = {r.doc_id: r.score for r in quality.score(df.coalesce(1), model).collect()}
+    assert all(abs(quality.score(df.where(f"doc_id = {i}"), model).first().score - together[i]) < 1e-12 for i, _ in rows)
