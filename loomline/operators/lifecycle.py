@@ -27,9 +27,8 @@ class Registry:
     prices: DataFrame
 
 
-def extracted(lines: DataFrame, units: DataFrame, registry: Registry) -> dict[str, DataFrame]:
-    """The archive's tables from parsed lines: sessions, uses, facts, stale, markers, reads."""
-    events = transcripts.events(lines)
+def extracted(lines: DataFrame, events: DataFrame, units: DataFrame, registry: Registry) -> dict[str, DataFrame]:
+    """The archive's tables from parsed lines and their events: sessions, uses, facts, stale, markers, reads."""
     results = transcripts.first_results(events)
     health = transcripts.session_health(lines, events)
     owned = transcripts.owned_sessions(health.select("session_id", "cwd"), registry.repos).select("session_id", "repo_id", "root")
@@ -80,9 +79,10 @@ def sync(spark: SparkSession, folder: str, path: str, registry: Registry, force:
         gated = units.withColumn("reason", F.lit("new"))
     due = units.join(gated.select("session_id"), "session_id", "left_semi")
     lines = transcripts.parsed_lines(transcripts.transcript_lines(transcripts.read_files(spark, folder)).join(due.select("session_id"), "session_id", "left_semi"))
-    summary = archive.ingest_summary(units, gated, transcripts.session_health(lines, transcripts.events(lines))).collect()  # one row, taken before the gate moves
-    tables = extracted(lines, due, registry) | {"quarantine": archive.quarantined(lines)}
-    archive.append(path, ingest, due, tables)
+    events = transcripts.events(lines).persist()  # read by every table below
+    summary = archive.ingest_summary(units, gated, transcripts.session_health(lines, events)).collect()  # one row, taken before the gate moves
+    archive.append(path, ingest, due, extracted(lines, events, due, registry) | {"quarantine": archive.quarantined(lines)})
+    events.unpersist()
     return spark.createDataFrame(summary)
 
 
