@@ -162,7 +162,7 @@ class Piece:
         conv = np.repeat(np.arange(self.n), self.size)
         order = np.lexsort((conv, turn[1], turn[0], pos))
         begin = heads(pos[order], turn[0][order], turn[1][order])
-        stop = np.append(begin[1:], len(order))
+        stop = np.append(begin, len(order))[1:]
         self.posting: list[int] = []
         self.of = np.zeros(len(order), np.int64)
         self.of[order] = np.repeat(np.arange(len(begin)), stop - begin)
