@@ -5,8 +5,8 @@ run and the node, falls below 1 / (threshold * size), 1 / threshold tokens on av
 branch of each. Two sets that are alike to the threshold share a chosen token, on average one at least, with a probability of 1 - 1/e
 or more; at the last level, when every branch before is large, a run still brings them together with more than a third, and the
 runs leave less than a pair in a million apart there. A branch of at most LEAF sets is compared by brute force; a larger one
-splits again, and what is still large at the last level is compared in blocks of pairs, so nothing is capped. A large branch whose sets
-are all in one candidate component by then need not be split: they meet anyway when components are compared.
+splits again, and what is still large at the last level is compared in blocks of pairs, so nothing is capped. One branch in EARLY goes
+first. Of the others, those whose sets are all in one candidate component by then go no further: these sets meet anyway when components are compared.
 
 How it scales. Equal sets are one class and take part once. The first level's paths come from each text alone, in one pass;
 what is shuffled is one number per path. Deeper paths are made only for the sets of branches that split. Branches with one set go at once, and of small branches with the same
@@ -39,7 +39,7 @@ SIZE, THRESHOLD = 5, 0.8
 #: Share of pairs at the threshold that may stay apart.
 MISS = 1e-6
 LEVELS, LEAF, BINS = 3, 1000, 128
-#: One in so many large branches is split before the others.
+#: One in so many branches is compared before the others.
 EARLY = 8
 #: Rows of branches, with their samples, in one task.
 CELLS = 50_000
@@ -97,21 +97,21 @@ def samples(row: np.ndarray, token: np.ndarray, rows: int, bins: int = BINS) ->
 
 
 def _below(size: int, threshold: float):
-    """Paths one level down of (rep, z, parents)."""
+    """Paths one level down of (rep, component, z, parents)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for rep, z, parents in zip(batch.column("rep").to_pylist(), batch.column("z").to_pylist(), batch.column("parents"), strict=True):
+            for rep, component, z, parents in zip(*[batch.column(c).to_pylist() for c in ("rep", "component", "z")], batch.column("parents"), strict=True):
                 text = np.frombuffer(expand(z), np.uint8)
                 _, token = shingles(np.array([0, len(text)]), text, size)
                 own = parents.values.to_numpy().view(U)
                 for k in range(0, len(own), step := max(1, (1 << 20) // max(len(token), 1))):
                     _, path = next_paths(token, own[k : k + step], threshold)
                     path = np.unique(path).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(path), rep)), pa.array(path)], ["rep", "path"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(path), rep)), pa.array(np.full(len(path), component)), pa.array(path)], ["rep", "component", "path"])
 
     return go
 
@@ -285,9 +285,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     drop(found)
 
     def branches(steps: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-        """(leaves, large) of steps (rep, path): rows (rep, path, m) of branches with company, small ones and, unless last, those that split."""
+        """(leaves, large) of steps (rep, component, path): rows (rep, component, path, m) of branches that hold several components, small ones and, unless last, those that split."""
         same = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"s{k}") for k in (1, 2)]
-        sizes = steps.groupBy("path").agg(F.count("*").alias("m"), *same).where("m > 1")
+        sizes = steps.groupBy("path").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), *same).where("lo <> hi")
         # Branches of the same sets are compared once; a large one that still splits does so in each run anew.
         again = F.lit(0).cast("long") if last else F.when(F.col("m") > LEAF, F.col("path")).otherwise(0)
         sizes = stash(sizes.groupBy("m", "s1", "s2", again.alias("again")).agg(F.min("path").alias("path")).select("path", "m"), "sizes")
@@ -296,12 +296,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return (company, company.limit(0)) if last else (company.where(F.col("m") <= LEAF), company.where(F.col("m") > LEAF))
 
     def below(large: DataFrame) -> DataFrame:
-        """The leaves under large branches (rep, path); what is too large at the last level is compared in blocks."""
+        """The leaves under large branches; what is too large at the last level is compared in blocks."""
         out = None
         for level in range(1, LEVELS):
-            parents = stash(large.groupBy("rep").agg(F.collect_list("path").alias("parents")), "parents")
+            parents = stash(large.groupBy("rep", "component").agg(F.collect_list("path").alias("parents")), "parents")
             own = squeezed(docs, sieve(parents.select("rep"))).withColumnRenamed("doc_id", "rep").join(parents, "rep")
-            steps = stash(own.mapInArrow(_below(size, threshold), "rep long, path long"), "steps")
+            steps = stash(own.mapInArrow(_below(size, threshold), "rep long, component long, path long"), "steps")
             written.extend([parents, steps])
             leaves, large = branches(steps, level == LEVELS - 1)
             out = leaves if out is None else out.unionByName(leaves)
@@ -317,22 +317,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = cells.groupBy(F.pmod("cell", F.lit(packs)).alias("pack")).applyInArrow(_branch(threshold), "a long, b long")
         return stash(found.distinct(), "close")
 
+    def met(steps: DataFrame) -> DataFrame:
+        """(a, b): candidate links of sets that share a path of steps (rep, component, path)."""
+        leaves, large = branches(steps, False)
+        return compared(leaves if large.isEmpty() else leaves.unionByName(below(large)))
+
     written: list[DataFrame] = []
-    leaves, large = branches(classes.select("rep", F.explode("paths").alias("path")), False)
-    if large.isEmpty():
-        close = compared(leaves)
-    else:
-        # A few of the large branches go first. Sets that these bring into one component meet there, whole, in the end; so of the
-        # others only those go on that still hold sets of several components.
-        early = F.pmod(F.xxhash64("path"), F.lit(EARLY)) == 0
-        close = compared(leaves.unionByName(below(large.where(early))))
-        label = components(close).select(F.col("node").alias("rep"), "component")
-        rest = stash(large.where(~early).join(label, "rep", "left").select("path", "rep", F.coalesce("component", "rep").alias("component")), "rest")
-        open_ = rest.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("path")
-        rest = stash(rest.join(open_, "path", "left_semi").select("rep", "path"), "open")
-        written += [rest]
-        if not rest.isEmpty():
-            close = close.unionByName(compared(below(rest)))
+    early = F.pmod(F.xxhash64("path"), F.lit(EARLY)) == 0
+    steps = lambda rows: rows.select("rep", "component", F.explode("paths").alias("path"))
+    close = met(steps(classes.withColumn("component", F.col("rep"))).where(early))
+    # Sets that these branches bring into one component meet there, whole, in the end; a branch goes on only if it holds several components.
+    label = components(close).select(F.col("node").alias("rep"), "component")
+    rest = classes.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    close = close.unionByName(met(steps(rest).where(~early)))
     drop(*written)
     cluster = components(close)
 
