@@ -3,7 +3,7 @@
 How it scales. A text is cut at white space, and a worker asks the tokenizer once for each distinct chunk it
 meets (no token spans white space, so this is what the whole text gives). A document's ids are cut into full
 windows and a rest at once, so only (document, start, length, checksum) is shuffled. Pieces are dealt
-by a hash into shards of about SHARD pieces; each shard packs alone. Its last few windows are the only ones
+by a hash of their row, whatever their ids, into shards of about SHARD pieces; each shard packs alone. Its last few windows are the only ones
 badly filled, which at this size is far below one part in a hundred.
 
 Cases. Null text counts as empty, null ids stay null; an empty text has one id, the end mark. Rows that share an id are packed
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("a window holds at least one id")
     pieces = stash(texts(docs, id_col, text_col).mapInArrow(_pieces(path, window, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     shards = parts_for(pieces.count(), SHARD)
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return with_nulls(pieces.groupBy("shard").applyInArrow(_pack(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
 
 

@@ -495,6 +495,17 @@ def test_packing(docs, none, window):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_spreads_rows_without_ids(spark, monkeypatch):
+    """Rows without an id, or of one id, go to all shards as others do."""
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "SHARD", 50)
+    for i in (None, 7):
+        got = packing.pack(spark.createDataFrame([(i, "same text")] * 1000, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).collect()
+        assert len(got) == 1000 and len({r.sequence_id >> 32 for r in got}) >= 18
+        assert max(sum(r.sequence_id >> 32 == s for r in got) for s in {r.sequence_id >> 32 for r in got}) < 100
+
+
 def test_tokens_of_odd_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -635,11 +646,11 @@ def test_texts_longer_than_a_block(spark):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     other = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for r in byte_bpe.encode(df.where("doc_id <> 3"), path).collect():
+    for r in byte_bpe.encode(df, path).collect():
         assert r.ids == other.encode_ordinary(dict(rows)[r.doc_id])
     words = public_tokenizers.path("word_bpe_49k.json")
-    own = {i: len(Tokenizer.from_file(words).encode(t, add_special_tokens=False).ids) + 1 for i, t in rows if i != 3}
-    got = packing.pack(df.where("doc_id <> 3"), words).groupBy("doc_id").sum("length").collect()
+    own = {i: len(Tokenizer.from_file(words).encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    got = packing.pack(df, words).groupBy("doc_id").sum("length").collect()
     assert {r[0]: r[1] for r in got} == own
     model = {"ratio": np.linspace(-1, 1, 1 << quality.BITS), "weight": np.linspace(2, -1, 1 << quality.BITS), "line": np.array([1.0, 0.1])}
     together = {r.doc_id: r.score for r in quality.score(df.coalesce(1), model).collect()}
