@@ -6,7 +6,8 @@ branch of each. Two sets that are alike to the threshold share a chosen token, o
 or more; at the last level, when every branch before is large, a run still brings them together with more than a third, and the
 runs leave less than a pair in a million apart there. A branch of at most LEAF sets is compared by brute force; a larger one
 splits again, and what is still large at the last level is compared in blocks of pairs, so nothing is capped. One branch in EARLY goes
-first. Of the others, those whose sets are all in one candidate component by then go no further: these sets meet anyway when components are compared.
+first, a large one in blocks that are compared each in itself. Branches whose sets are all in one candidate component by then go no further: these sets meet anyway
+when components are compared. A large branch with at most FEW sets outside one component is not split either: these few meet all blocks of the rest.
 
 How it scales. Equal sets are one class and take part once. The first level's paths come from each text alone, in one pass;
 what is shuffled is one number per path. Deeper paths are made only for the sets of branches that split. Branches with one set go at once, and of small branches with the same
@@ -41,6 +42,8 @@ MISS = 1e-6
 LEVELS, LEAF, BINS = 3, 1000, 128
 #: One in so many branches is compared before the others.
 EARLY = 8
+#: Sets of a large branch outside its largest component that are compared with all of it.
+FEW = 250
 #: Rows of branches, with their samples, in one task.
 CELLS = 50_000
 #: Sets, and shingles, compared in one piece of work.
@@ -258,6 +261,11 @@ def shared(row: np.ndarray, token: np.ndarray, rows: int, wide: int = 4096) -> n
     return out.astype(np.int64)
 
 
+def celled(leaves: DataFrame, cells: DataFrame) -> DataFrame:
+    """cells (rep, cell), and a row for each block that a set of leaves (rep, path, m) meets."""
+    return cells.unionByName(in_blocks(leaves, F.ceil(F.col("m") / LEAF)).select("rep", F.xxhash64("path", "at").alias("cell")))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """One row per document.
 
@@ -295,41 +303,53 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         written.extend([sizes, company])
         return (company, company.limit(0)) if last else (company.where(F.col("m") <= LEAF), company.where(F.col("m") > LEAF))
 
-    def below(large: DataFrame) -> DataFrame:
-        """The leaves under large branches; what is too large at the last level is compared in blocks."""
-        out = None
-        for level in range(1, LEVELS):
+    def starred(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(cells, rest) of large branches (rep, component, path, m): rows (rep, cell) of those with few sets outside one component, and the other branches."""
+        held = large.groupBy("path", "component").agg(F.count("*").alias("n")).groupBy("path").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+        main = stash(held.where(F.col("all") - F.col("top.n") <= FEW).select("path", F.col("top.component").alias("main")), "main")
+        blocks = F.ceil(F.col("m") / LEAF).cast("int")
+        at = F.when(F.col("component") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+        cells = stash(large.join(main, "path").select("rep", "path", F.explode(at).alias("block")).select("rep", F.xxhash64("path", F.lit(-1), "block").alias("cell")), "cells")
+        written.extend([main, cells])
+        return cells, large.join(main, "path", "left_anti")
+
+    def below(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(leaves, cells) under large branches and of them; what is too large at the last level is compared in blocks."""
+        leaves, cells = large.limit(0), classes.select("rep", F.col("rep").alias("cell")).limit(0)
+        for level in range(1, LEVELS + 1):
+            if large.isEmpty():
+                break
+            star, large = starred(large)
+            cells = cells.unionByName(star)
+            if level == LEVELS or large.isEmpty():
+                break
             parents = stash(large.groupBy("rep", "component").agg(F.collect_list("path").alias("parents")), "parents")
             own = squeezed(docs, sieve(parents.select("rep"))).withColumnRenamed("doc_id", "rep").join(parents, "rep")
             steps = stash(own.mapInArrow(_below(size, threshold), "rep long, component long, path long"), "steps")
             written.extend([parents, steps])
-            leaves, large = branches(steps, level == LEVELS - 1)
-            out = leaves if out is None else out.unionByName(leaves)
-            if level < LEVELS - 1 and large.isEmpty():
-                break
-        return out
-
-    def compared(leaves: DataFrame) -> DataFrame:
-        """(a, b): a forest of the candidate links inside leaves (rep, path, m)."""
-        cells = in_blocks(leaves, F.ceil(F.col("m") / LEAF)).select("rep", F.xxhash64("path", "at").alias("cell"))
-        cells = cells.join(classes.select("rep", "n", "sample"), "rep")
-        packs = parts_for(leaves.agg(F.sum(F.ceil(F.col("m") / LEAF))).first()[0] or 0, CELLS)  # rows of cells: one for each block that a row meets
-        found = cells.groupBy(F.pmod("cell", F.lit(packs)).alias("pack")).applyInArrow(_branch(threshold), "a long, b long")
+            found, large = branches(steps, level == LEVELS - 1)
+            leaves = leaves.unionByName(found)
+        return leaves, cells
+
+    def compared(leaves: DataFrame, cells: DataFrame) -> DataFrame:
+        """(a, b): a forest of the candidate links inside leaves (rep, component, path, m) and cells (rep, cell)."""
+        rows = (leaves.agg(F.sum(F.ceil(F.col("m") / LEAF))).first()[0] or 0) + cells.count()  # a row for each block that a set meets
+        cells = celled(leaves, cells).join(classes.select("rep", "n", "sample"), "rep")
+        found = cells.groupBy(F.pmod("cell", F.lit(parts_for(rows, CELLS))).alias("pack")).applyInArrow(_branch(threshold), "a long, b long")
         return stash(found.distinct(), "close")
 
-    def met(steps: DataFrame) -> DataFrame:
-        """(a, b): candidate links of sets that share a path of steps (rep, component, path)."""
-        leaves, large = branches(steps, False)
-        return compared(leaves if large.isEmpty() else leaves.unionByName(below(large)))
-
     written: list[DataFrame] = []
     early = F.pmod(F.xxhash64("path"), F.lit(EARLY)) == 0
     steps = lambda rows: rows.select("rep", "component", F.explode("paths").alias("path"))
-    close = met(steps(classes.withColumn("component", F.col("rep"))).where(early))
+    leaves, first = branches(steps(classes.withColumn("component", F.col("rep"))).where(early), False)
+    block = F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("m") / LEAF))
+    close = compared(leaves, first.select("rep", F.xxhash64("path", F.lit(-2), block).alias("cell")))
     # Sets that these branches bring into one component meet there, whole, in the end; a branch goes on only if it holds several components.
     label = components(close).select(F.col("node").alias("rep"), "component")
-    rest = classes.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    close = close.unionByName(met(steps(rest).where(~early)))
+    named = lambda rows: rows.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    leaves, large = branches(steps(named(classes)).where(~early).unionByName(named(first.select("rep", "path"))), False)
+    under, cells = below(large)
+    close = close.unionByName(compared(leaves.unionByName(under), cells))
     drop(*written)
     cluster = components(close)
 

@@ -207,17 +207,18 @@ def test_packs_count_the_rows_of_cells(spark, monkeypatch):
     words = [f"w{k}" for k in range(300)]
     rows = [(i, " ".join([*words[: 5 * i], f"x{i}", *words[5 * i :]])) for i in range(40)]
     cells, counted = [], []
-    in_blocks, parts_for = jaccard_join.in_blocks, jaccard_join.parts_for
+    celled, parts_for = jaccard_join.celled, jaccard_join.parts_for
     monkeypatch.setattr(jaccard_join, "LEAF", 10)
-    monkeypatch.setattr(jaccard_join, "in_blocks", lambda *a: cells.append(in_blocks(*a)) or cells[-1])
+    monkeypatch.setattr(jaccard_join, "celled", lambda *a: cells.append(celled(*a)) or cells[-1])
     monkeypatch.setattr(jaccard_join, "parts_for", lambda n, each: (each == jaccard_join.CELLS and counted.append((n, cells[-1].count()))) or parts_for(n, each))
     got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r.kept for r in got) == 1 and all(n == rows for n, rows in counted) and max(n for n, _ in counted) > 40
 
 
-@pytest.mark.parametrize("early", [1, 2, 10**6])
-def test_large_branches_in_two_goes(spark, monkeypatch, early):
-    """Families that share a passage with all others meet in large branches only; whichever of these go first, no link is lost."""
+@pytest.mark.parametrize(("early", "few"), [(1, 250), (2, 250), (10**6, 250), (2, 0), (2, 8), (10**6, 0)])
+def test_large_branches_in_two_goes(spark, monkeypatch, early, few):
+    """Families that share a passage with all others meet in large branches only; whichever of these go first, split or compared with few, no link is lost."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
     monkeypatch.setattr(jaccard_join, "LEAF", 4)
     monkeypatch.setattr(jaccard_join, "EARLY", early)
     shared = [f"s{k}" for k in range(60)]
