@@ -1,9 +1,11 @@
 """Which registered components a session loaded or invoked.
 
 Components are (repo_id, id, type, name, source, path, states, hook_event, hook_commands, miss_when, missing, ...). Marks are
-(session_id, component_id, state, idx, seq, confidence, summary); a state is registered, loaded or invoked. What sessions did carries
+(session_id, component_id, state, idx, seq, confidence, summary, tokens, rank, sub); a state is registered, loaded or invoked, tokens are what the mark
+brought into context, and rank and sub tell the order of what one event gives. What sessions did carries
 the repo_id of its session, and meets the components of that repository only. Joins are by
-equality, so that the dimension may be broadcast when it is small and shuffled when it is not. ``attribute`` puts all of them together.
+equality, so that the dimension may be broadcast when it is small and shuffled when it is not. ``attribute`` puts all of them together but the registered
+state, which every component of the repository has in every session: ``registered`` gives it where it is asked for.
 """
 
 from __future__ import annotations
@@ -17,13 +19,25 @@ from . import shell
 
 #: Tools that change a file.
 EDITORS = ["Edit", "Write", "MultiEdit", "NotebookEdit"]
-MARK = ["session_id", "component_id", "state", "idx", "seq", "confidence", "summary"]
+MARK = ["session_id", "component_id", "state", "idx", "seq", "confidence", "summary", "tokens", "rank", "sub"]
+#: What one event gives, in order: guidance from the start, a line's skill, what was said, the call itself, what it invoked or read, where it worked.
+START, LINE, SAID, CALL, DONE, PLACE = range(6)
 
 
-def mark(rows: DataFrame, state: str, confidence: str | Column, summary: Column | str = "") -> DataFrame:
-    at = F.lit(confidence) if isinstance(confidence, str) else confidence
-    said = F.lit(summary) if isinstance(summary, str) else summary
-    return rows.select("session_id", "component_id", F.lit(state).alias("state"), "idx", "seq", at.alias("confidence"), F.left(said, F.lit(200)).alias("summary"))
+def mark(rows: DataFrame, state: str, confidence: str | Column, summary: Column | str = "", rank: int = START, tokens: Column | int = 0, sub: Column | int = 0) -> DataFrame:
+    c = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return rows.select("session_id", "component_id", F.lit(state).alias("state"), "idx", "seq", c(confidence).alias("confidence"), F.left(c(summary), F.lit(200)).alias("summary"), c(tokens).cast("long").alias("tokens"), F.lit(rank).alias("rank"), c(sub).cast("int").alias("sub"))
+
+
+def weight(components: DataFrame, body: bool = False) -> Column:
+    """Tokens of a component: of a skill's body where that is asked for and known, else of all of it."""
+    known = [F.nullif(F.col(c), F.lit(0)) if c == "tokens_body_est" else F.col(c) for c in (["tokens_body_est"] if body else []) + ["tokens_est"] if c in components.columns]
+    return F.coalesce(*known, F.lit(0)).cast("long")
+
+
+def spent(calls: DataFrame) -> Column:
+    """Tokens of a call's result, where rows have one."""
+    return F.coalesce(T.token_estimate("result_text"), F.lit(0)) if "result_text" in calls.columns else F.lit(0)
 
 
 def registered(first_events: DataFrame, components: DataFrame) -> DataFrame:
@@ -37,7 +51,7 @@ def resolved(calls: DataFrame, components: DataFrame, kind: str) -> DataFrame:
 
     For a name with a colon, plugins of the first part come before others. More than one candidate makes it heuristic.
     """
-    own = components.where(F.col("type") == kind).select("repo_id", F.col("id").alias("component_id"), F.col("name").alias("c_name"), "source")
+    own = components.where(F.col("type") == kind).select("repo_id", F.col("id").alias("component_id"), F.col("name").alias("c_name"), "source", weight(components).alias("whole"), weight(components, body=True).alias("body"))
     short = F.when(F.col("name").contains(":"), F.regexp_replace("name", "^[^:]*:", ""))
     names = calls.select("repo_id", "name").distinct().select("repo_id", "name", F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("rank"), F.col("name").alias("c_name")), F.when(short.isNotNull(), F.struct(F.lit(1).alias("rank"), short.alias("c_name")))))).alias("n")).select("repo_id", "name", "n.*")
     found = names.join(own, ["repo_id", "c_name"])
@@ -45,18 +59,20 @@ def resolved(calls: DataFrame, components: DataFrame, kind: str) -> DataFrame:
     found = found.withColumn("rank", F.when((F.col("rank") == 1) & ~F.col("source").eqNullSafe(plugin), 2).otherwise(F.col("rank")))
     best = Window.partitionBy("repo_id", "name")
     found = found.withColumn("best", F.min("rank").over(best)).where("rank = best").withColumn("candidates", F.count("*").over(best))
-    return calls.join(found.select("repo_id", "name", "component_id", F.when(F.col("candidates") > 1, "heuristic").otherwise("exact").alias("sure")), ["repo_id", "name"])
+    return calls.join(found.select("repo_id", "name", "component_id", "whole", "body", F.when(F.col("candidates") > 1, "heuristic").otherwise("exact").alias("sure")), ["repo_id", "name"])
 
 
 def invoked_by_name(calls: DataFrame, components: DataFrame, kind: str, summary: Column | None = None) -> DataFrame:
-    return mark(resolved(calls, components, kind), "invoked", F.col("sure"), F.col("name") if summary is None else summary)
+    """A command brings its own text into context, other calls their result."""
+    said = kind == "command"
+    return mark(resolved(calls, components, kind), "invoked", F.col("sure"), F.col("name") if summary is None else summary, SAID if said else DONE, F.col("whole") if said else spent(calls))
 
 
 def invoked_servers(calls: DataFrame, components: DataFrame) -> DataFrame:
     """Calls of a server's tool: the tool's name holds the server's."""
     own = calls.withColumn("server", T.server_tool("tool_name").server).where("server IS NOT NULL")
     named = components.where("type = 'server'").select("repo_id", F.col("name").alias("server"), F.col("id").alias("component_id"), F.count("*").over(Window.partitionBy("repo_id", "name")).alias("n"))
-    return mark(own.join(named, ["repo_id", "server"]), "invoked", F.when(F.col("n") > 1, "heuristic").otherwise("exact"), F.col("tool_name"))
+    return mark(own.join(named, ["repo_id", "server"]), "invoked", F.when(F.col("n") > 1, "heuristic").otherwise("exact"), F.col("tool_name"), DONE, spent(calls))
 
 
 def invoked_hooks(events: DataFrame, components: DataFrame) -> DataFrame:
@@ -67,26 +83,30 @@ def invoked_hooks(events: DataFrame, components: DataFrame) -> DataFrame:
     fits = F.coalesce(F.exists("hook_commands", lambda c: F.contains(c, F.col("text")) | F.contains(F.col("text"), c)), F.lit(False))
     each = Window.partitionBy("session_id", "idx", "seq")
     found = found.withColumn("fits", fits).withColumn("n", F.count("*").over(each)).withColumn("any", F.max("fits").over(each))
-    return mark(found.where("n = 1 OR NOT any OR fits"), "invoked", "heuristic", F.coalesce("text", "hook_event"))
+    return mark(found.where("n = 1 OR NOT any OR fits"), "invoked", "heuristic", F.coalesce("text", "hook_event"), SAID)
+
+
+def _told(reads: DataFrame) -> tuple[Column, Column]:
+    return tuple(F.col(c) if c in reads.columns else F.lit(0) for c in ("tokens", "sub"))
 
 
 def loaded_by_path(reads: DataFrame, components: DataFrame, confidence: str = "exact") -> DataFrame:
-    """Reads (..., path) of a component's own file."""
+    """Reads (..., path) of a component's own file; their tokens and places, sub, count where they have any."""
     own = components.where("path IS NOT NULL").select("repo_id", F.col("id").alias("component_id"), "path")
-    return mark(reads.join(own, ["repo_id", "path"]), "loaded", confidence, F.col("path"))
+    return mark(reads.join(own, ["repo_id", "path"]), "loaded", confidence, F.col("path"), DONE, *_told(reads))
 
 
 def loaded_by_directory(touched: DataFrame, components: DataFrame) -> DataFrame:
     """Paths touched, or directories worked in, at or below a directory whose guidance file is a component: each meets itself and its own ancestors, by equality."""
     own = components.where("path LIKE '%/%'").select("repo_id", F.col("id").alias("component_id"), F.regexp_replace("path", "/[^/]+$", "").alias("dir"))
-    return mark(touched.withColumn("dir", F.explode(F.concat(T.ancestors("path"), F.array("path")))).join(own, ["repo_id", "dir"]), "loaded", "heuristic", F.col("path"))
+    return mark(touched.withColumn("dir", F.explode(F.concat(T.ancestors("path"), F.array("path")))).join(own, ["repo_id", "dir"]), "loaded", "heuristic", F.col("path"), PLACE)
 
 
 def skill_file_reads(reads: DataFrame, components: DataFrame) -> DataFrame:
     """Reads of <name>/SKILL.md by the skill's name alone, wherever the file lies."""
     named = reads.where(F.endswith("path", F.lit("SKILL.md"))).withColumn("name", F.try_element_at(F.split("path", "/"), F.lit(-2)))
     own = components.where("type = 'skill'").select("repo_id", F.col("id").alias("component_id"), "name")
-    return mark(named.join(own, ["repo_id", "name"]), "loaded", "heuristic", F.col("path"))
+    return mark(named.join(own, ["repo_id", "name"]), "loaded", "heuristic", F.col("path"), DONE, _told(reads)[0], 1)
 
 
 def first_per_session(marks: DataFrame, extra: DataFrame) -> DataFrame:
@@ -166,7 +186,7 @@ def expanded_skills(events: DataFrame, components: DataFrame) -> DataFrame:
     said = events.where((F.col("kind") == "user_msg") & F.startswith(T.strip("text"), F.lit(EXPANSION)))
     given = F.regexp_extract(T.strip("text"), rf"^{EXPANSION}[ \t]*([^\r\n]*)", 1)
     said = said.withColumn("dir", F.regexp_replace(T.strip(given), "/+$", "")).withColumn("name", F.element_at(F.split("dir", "/"), -1))
-    own = components.where("type = 'skill'").select("repo_id", F.col("id").alias("component_id"), "name", F.regexp_replace("path", "/[^/]+$", "").alias("home"))
+    own = components.where("type = 'skill'").select("repo_id", F.col("id").alias("component_id"), "name", F.regexp_replace("path", "/[^/]+$", "").alias("home"), weight(components, body=True).alias("body"))
     each = Window.partitionBy("repo_id", "dir")
     dirs = said.where("dir <> ''").select("repo_id", "dir", "name").distinct()
     named = dirs.join(own, ["repo_id", "name"]).withColumn("fits", F.coalesce(F.endswith("dir", F.col("home")), F.lit(False)))
@@ -175,53 +195,50 @@ def expanded_skills(events: DataFrame, components: DataFrame) -> DataFrame:
     steps = F.split("dir", "/")
     ends = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, k, F.size(steps)), "/"))
     other = dirs.join(named.select("repo_id", "dir"), ["repo_id", "dir"], "left_anti").withColumn("home", F.explode(ends)).join(own.drop("name"), ["repo_id", "home"]).withColumn("n", F.count("*").over(each))
-    found = named.select("repo_id", "dir", "component_id", "n").unionByName(other.select("repo_id", "dir", "component_id", "n"))
-    return mark(said.join(found, ["repo_id", "dir"]), "loaded", F.when(F.col("n") > 1, "heuristic").otherwise("exact"), F.col("dir"))
+    found = named.select("repo_id", "dir", "component_id", "body", "n").unionByName(other.select("repo_id", "dir", "component_id", "body", "n"))
+    return mark(said.join(found, ["repo_id", "dir"]), "loaded", F.when(F.col("n") > 1, "heuristic").otherwise("exact"), F.col("dir"), SAID, F.col("body"))
 
 
 def always_loaded(first_events: DataFrame, components: DataFrame) -> DataFrame:
     """Guidance of the repository that is in context from the start, at each session's first event."""
-    own = components.where("type = 'guide' AND context = 'static' AND NOT missing").select("repo_id", F.col("id").alias("component_id"))
-    return mark(first_events.join(own, "repo_id"), "loaded", "exact")
+    own = components.where("type = 'guide' AND context = 'static' AND NOT missing").select("repo_id", F.col("id").alias("component_id"), weight(components).alias("whole"))
+    return mark(first_events.join(own, "repo_id"), "loaded", "exact", "always in context", START, F.col("whole"))
 
 
-def loaded_by_shell(reads: DataFrame, files: DataFrame, components: DataFrame) -> DataFrame:
-    """Paths (session_id, repo_id, idx, seq, path) that shell commands read, if the repository has such a file; heuristic."""
-    there = reads.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
-    return loaded_by_path(there, components, "heuristic")
+def first_events(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(session_id, repo_id, idx, seq): each session's first event; sessions: (session_id, repo_id)."""
+    first = events.groupBy("session_id").agg(F.min(F.struct("idx", "seq")).alias("at"))
+    return first.join(sessions.select("session_id", "repo_id"), "session_id").select("session_id", "repo_id", "at.idx", "at.seq")
 
 
-def attribute(events: DataFrame, results: DataFrame, components: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
-    """All marks of typed events and their first results.
+def attribute(events: DataFrame, results: DataFrame, components: DataFrame, sessions: DataFrame, reads: DataFrame) -> DataFrame:
+    """All marks of typed events and their first results, registered ones apart.
 
-    sessions: (session_id, repo_id, root). files: (repo_id, path) of what exists, against which paths read by shell commands are held.
+    sessions: (session_id, repo_id, root). reads: what ``timeline.file_reads`` finds.
     A component's own path is relative to its repository, and so are paths before they meet it; those outside meet nothing.
     """
     at = ["session_id", "repo_id", "root", "idx", "seq"]
     components = components.where("NOT missing")
+    first = first_events(events, sessions)
     events = events.join(sessions.select("session_id", "repo_id", "root"), "session_id")
-    first = events.groupBy("session_id", "repo_id").agg(F.min(F.struct("idx", "seq")).alias("at")).select("session_id", "repo_id", "at.idx", "at.seq")
     field = lambda p: F.get_json_object("tool_input", f"$.{p}")
     calls = events.where("kind = 'tool_use'").join(results, ["session_id", "tool_use_id"], "left").withColumn("ok", F.coalesce(~F.col("result_error"), F.lit(False)))
     tool = F.col("tool_name")
     inside = lambda c: T.path_under(c, F.col("root"))
 
-    skills = calls.where((tool == "Skill") & F.col("ok")).select(*at, field("skill").alias("name")).where("name IS NOT NULL")
-    agents = calls.where(tool.isin("Task", "Agent")).select(*at, "tool_name", field("subagent_type").alias("name")).where("name IS NOT NULL")
+    skills = calls.where((tool == "Skill") & F.col("ok")).select(*at, "result_text", field("skill").alias("name")).where("name IS NOT NULL")
+    agents = calls.where(tool.isin("Task", "Agent")).select(*at, "result_text", "tool_name", field("subagent_type").alias("name")).where("name IS NOT NULL")
     said = events.where("kind = 'user_msg' AND NOT is_sidechain").select(*at, T.command_name("text").alias("name")).where("name IS NOT NULL")
     marks = invoked_by_name(skills, components, "skill", F.format_string("Skill(%s) completed", "name"))
     marks = marks.unionByName(invoked_by_name(agents, components, "agent", F.format_string("%s(subagent_type=%s)", "tool_name", "name")))
     marks = marks.unionByName(invoked_by_name(said, components, "command", F.concat(F.lit("/"), "name")))
     marks = marks.unionByName(invoked_servers(calls, components)).unionByName(invoked_hooks(events, components))
 
-    read = calls.where((tool == "Read") & F.col("ok")).select(*at, field("file_path").alias("target")).where("target IS NOT NULL")
     own_path = components.where(F.col("type").isin("file", "guide"))
-    loaded = loaded_by_path(read.withColumn("path", inside(F.col("target"))).where("path IS NOT NULL"), own_path)
-    loaded = loaded.unionByName(skill_file_reads(read.withColumn("path", F.col("target")), components))
-    bash = calls.where(tool == "Bash").withColumn("command", field("command")).where("command IS NOT NULL")
-    segs = shell.segments(bash.where("ok"))
-    shelled = bash.where("ok").join(shell.read_paths(segs).select("command", "path"), "command").withColumn("path", inside(T.absolute_path("path", "cwd"))).where("path IS NOT NULL")
-    loaded = loaded.unionByName(loaded_by_shell(shelled.select(*at, "path").distinct(), files, own_path))
+    shown = reads.where("repo_id IS NOT NULL").drop("component_id")
+    loaded = loaded_by_path(shown.where("tool = 'Read' AND inside"), own_path).unionByName(loaded_by_path(shown.where("tool = 'Bash'"), own_path, "heuristic"))
+    loaded = loaded.unionByName(skill_file_reads(shown.where("tool = 'Read'").withColumn("path", F.col("target")), components))
+    bash = calls.where(tool == "Bash").where(field("command").isNotNull())
     target = F.coalesce(field("file_path"), field("notebook_path"))
     touched = calls.where(tool.isin(EDITORS)).select(*at, inside(target).alias("path")).unionByName(bash.select(*at, inside(F.col("cwd")).alias("path"))).where("path IS NOT NULL")
     loaded = loaded.unionByName(loaded_by_directory(touched, components.where("type = 'guide' AND context <> 'static'")))
@@ -229,6 +246,6 @@ def attribute(events: DataFrame, results: DataFrame, components: DataFrame, sess
 
     expansion = (F.col("kind") == "user_msg") & F.startswith("text", F.lit(EXPANSION))
     tagged = events.where(F.col("attribution_skill").isNotNull() & ~F.coalesce(expansion, F.lit(False))).select(*at, F.col("attribution_skill").alias("name"))
-    tagged = mark(resolved(tagged, components, "skill"), "loaded", F.col("sure"), F.concat(F.lit("attributionSkill="), "name"))
+    tagged = mark(resolved(tagged, components, "skill"), "loaded", F.col("sure"), F.concat(F.lit("attributionSkill="), "name"), LINE, F.col("body"))
     able = lambda rows: applicable(rows.join(sessions.select("session_id", "repo_id"), "session_id"), components).select(*MARK)
-    return able(marks).unionByName(first_per_session(able(loaded), able(tagged))).unionByName(registered(first, components))
+    return able(marks).unionByName(first_per_session(able(loaded), able(tagged)))

@@ -75,7 +75,7 @@ def looked_for(calls: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumnRenamed("of", "key").withColumn("tokens_est", T.even_share("tokens", "n"))
 
 
-def extract(events: DataFrame, results: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def extract(events: DataFrame, results: DataFrame, roots: DataFrame | None = None, segs: DataFrame | None = None) -> DataFrame:
     """All facts of typed events and their first results, merged and with occupancy; roots (session_id, root) make chain reads relative to their repository."""
     key = ["session_id", *SIDE, "idx", "seq"]
     field = lambda p: F.get_json_object("tool_input", f"$.{p}")
@@ -83,7 +83,7 @@ def extract(events: DataFrame, results: DataFrame, roots: DataFrame | None = Non
     calls = events.where("kind = 'tool_use'").join(results, ["session_id", "tool_use_id"], "left").withColumn("out", good)
     calls = calls.withColumn("tokens", F.coalesce(T.token_estimate("out"), F.lit(0))).withColumn("command", F.when(F.col("tool_name") == "Bash", field("command")))
     calls = calls.withColumn("pattern", F.when(F.col("tool_name").isin("Grep", "Glob"), F.nullif(field("pattern"), F.lit(""))))
-    said = shell.digest(shell.segments(calls.where("command IS NOT NULL"))).select("command", "items", "ls_only")
+    said = shell.digest(shell.segments(calls.where("command IS NOT NULL"), segs)).select("command", "items", "ls_only")
     asked = F.array(F.struct(F.lit(0).alias("seg_no"), F.lit(0).alias("probe_no"), F.col("tool_name").alias("label"), "pattern", (F.col("tool_name") == "Glob").alias("glob"), F.lit(None).cast("string").alias("layout"), F.lit("exact").alias("confidence")))
     calls = calls.join(said, "command", "left").withColumn("items", F.when(F.col("pattern").isNotNull(), asked).otherwise(F.col("items")))
     every = looked_for(calls, key)

@@ -41,7 +41,7 @@ def _looks_like_path(c: Column) -> Column:
 
 def candidates(carriers: DataFrame, text: str = "text") -> DataFrame:
     """carriers exploded to (raw, context, pos): links, inline code, words of prose that look like paths, and what stands in fences."""
-    # Fenced blocks, links, inline code.
+    # Fenced blocks, links, inline code; what separates words, and what is cut off their ends.
     fence, link, code = r"(?s)```.*?(?:```|\z)", r"\[[^\]]*\]\(([^)\s]+)\)", r"`([^`\n]+)`"
     words = lambda t: F.filter(
         F.transform(F.split(t, r"[\s,;()|]+"), lambda w: F.regexp_replace(F.regexp_replace(w, r"^[`*\"'<>\[\]]+|[`*\"'<>\[\]]+$", ""), r"/+$|[.,:;!?]+$", "")),
@@ -170,6 +170,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """rows as a table in the shared folder, read again: what several plans are made from is made once, and plans stay short."""
+    path = f"{shared_folder(rows.sparkSession)}/loomline/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def guide_chain(index: DataFrame, guide: str = GUIDE) -> DataFrame:
     """Free edges (repo_id, source, target): each node leads to the guidance files of the directories it lies in."""
     files = index.where((F.col("base") == guide) & ~F.col("is_dir")).select("repo_id", F.col("path").alias("target"), F.regexp_replace("path", _DIR, "").alias("dir"))
@@ -184,16 +191,24 @@ def listing(index: DataFrame) -> DataFrame:
 
 
 def imports(lines: DataFrame) -> DataFrame:
-    """(repo_id, carrier, target): @path words of lines that are not code."""
-    words = F.regexp_extract_all("text", F.lit(r"(?:^|\s)@([^\s`]+)"), 1)
-    own = lines.where("kind <> 'code'").select("repo_id", "carrier", F.explode(words).alias("raw")).withColumn("target", _normal(F.regexp_replace("carrier", _DIR, ""), F.regexp_replace("raw", r"[.,:;!?]+$", "")))
-    return own.where(F.col("target").isNotNull() & (F.contains("target", F.lit("/")) | _looks_like_path(F.col("target")))).select("repo_id", "carrier", "target").distinct()
+    """(repo_id, carrier, raw, target, far): what lines that are no code import, and where it would lie, from the carrier's directory and from the root; null outside the repository."""
+    # Fixed value: the pattern.
+    words = F.regexp_extract_all("text", F.lit(r"(?<!\S)@([A-Za-z0-9_~][A-Za-z0-9_./-]*)"), 1)
+    own = lines.where("kind <> 'code'").select("repo_id", "carrier", F.explode(words).alias("raw")).distinct()
+    own = own.where(F.contains("raw", F.lit("/")) | F.startswith("raw", F.lit("~")) | _looks_like_path(F.col("raw")))
+    inside = ~F.startswith("raw", F.lit("~"))
+    return own.withColumn("target", F.when(inside, _normal(F.regexp_replace("carrier", _DIR, ""), F.col("raw")))).withColumn("far", F.when(inside, _normal(F.lit(""), F.col("raw"))))
 
 
 def resolved_imports(links: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, external) of imports: those whose target is a file of the repository, and the others."""
-    files = index.where("NOT is_dir").select("repo_id", F.col("path").alias("target"))
-    return links.join(files, ["repo_id", "target"], "left_semi"), links.join(files, ["repo_id", "target"], "left_anti")
+    """(edges, external) of imports: those whose target, else whose place from the root, is a file of the repository, and the others."""
+    files = index.where("NOT is_dir").select("repo_id", F.col("path").alias("held"))
+    tries = F.array_compact(F.array(*[c for c in ("target", "far") if c in links.columns]))
+    rows = links.withColumn("word", F.col("raw") if "raw" in links.columns else F.col("target"))
+    hit = rows.select("repo_id", "carrier", "word", F.posexplode(tries).alias("rank", "held")).join(files, ["repo_id", "held"])
+    hit = hit.groupBy("repo_id", "carrier", "word").agg(F.min_by("held", "rank").alias("held"))
+    edges = hit.select("repo_id", "carrier", F.col("held").alias("target")).distinct()
+    return edges, rows.join(hit.drop("held"), ["repo_id", "carrier", "word"], "left_anti").drop("word")
 
 
 def imports_beyond(starts: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
@@ -268,11 +283,20 @@ def duplicate_routes(edges: DataFrame) -> DataFrame:
     return edges.where("target <> carrier").groupBy("repo_id", "carrier", "target").agg(F.countDistinct("line_no").alias("lines")).where("lines > 1")
 
 
-def dead_routes(dead: DataFrame, reached: DataFrame, audited: DataFrame, imported: DataFrame) -> DataFrame:
-    """Dead references of carriers that are reached or audited, without those that are imports."""
+def dead_routes(dead: DataFrame, reached: DataFrame, audited: DataFrame, imported: DataFrame, external: DataFrame | None = None) -> DataFrame:
+    """Dead references of carriers that are reached or audited, without those that are imports.
+
+    A reference that begins with @ is one if what follows, from its carrier's directory or from the root, is what any import of the repository leads to, or if
+    the same word stands among the external imports. Both are joins by equality.
+    """
     of = lambda df: dead.join(df.select("repo_id", F.col("node").alias("carrier")), ["repo_id", "carrier"], "left_semi")
     both = of(reached).unionByName(of(audited)).distinct()
-    return both.join(imported.select("repo_id", "carrier", F.col("target").alias("raw")), ["repo_id", "carrier", "raw"], "left_anti")
+    word = both.where(F.startswith("raw", F.lit("@"))).select("repo_id", "carrier", "raw").distinct().withColumn("bare", F.substr("raw", F.lit(2)))
+    places = F.array_distinct(F.array_compact(F.array(_normal(F.regexp_replace("carrier", _DIR, ""), F.col("bare")), _normal(F.lit(""), F.col("bare")))))
+    known = word.select("repo_id", "carrier", "raw", F.explode(places).alias("target")).join(imported.select("repo_id", "target"), ["repo_id", "target"], "left_semi").drop("target")
+    if external is not None:
+        known = known.unionByName(word.join(external.select("repo_id", F.concat(F.lit("@"), "raw").alias("raw")), ["repo_id", "raw"], "left_semi").select("repo_id", "carrier", "raw"))
+    return both.join(known, ["repo_id", "carrier", "raw"], "left_anti")
 
 
 def lazy_references(edges: DataFrame, audited: DataFrame, guide: str = GUIDE) -> DataFrame:

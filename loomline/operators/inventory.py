@@ -77,12 +77,47 @@ def servers(files: DataFrame, config: str = ".mcp.json") -> DataFrame:
     return _row(own, "server", F.col("server"), "static", T.token_estimate("text"))
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """All components of all repositories, with ids made unique."""
+def scan(files: DataFrame, plugins: DataFrame | None = None) -> DataFrame:
+    """All components of all repositories, with ids made unique: a repository's own come before those of plugins (``plugin_scan``)."""
     out = skills(files)
     for part in (commands, agents, guides, hooks, servers):
         out = out.unionByName(part(files))
-    return unique_ids(out, ["type", "path", "name"])
+    if plugins is not None:
+        out = out.unionByName(plugins)
+    return unique_ids(out.withColumn("late", F.col("provenance") != "local"), ["late", "type", "source", "path", "name"]).drop("late")
+
+
+#: Where a home keeps its settings and the list of installed plugins.
+HOME_SETTINGS, HOME_PLUGINS = ".claude/settings.json", ".claude/plugins/installed_plugins.json"
+
+
+def enabled_plugins(homes: DataFrame) -> DataFrame:
+    """(home_id, plugin, root): plugins that a home's settings enable and that its list says where to find; homes: files (home_id, path, text) below the home."""
+    on = homes.where(F.col("path") == HOME_SETTINGS).select("home_id", F.explode(F.expr("try_variant_get(try_parse_json(text), '$.enabledPlugins', 'map<string, boolean>')")).alias("full", "on")).where("on")
+    at = homes.where(F.col("path") == HOME_PLUGINS).select("home_id", F.explode(F.expr("try_variant_get(try_parse_json(text), '$.plugins', 'map<string, variant>')")).alias("full", "entries"))
+    at = at.withColumn("root", F.expr("try_variant_get(entries, '$[0].installPath', 'string')")).where("root <> ''")
+    return at.join(on, ["home_id", "full"], "left_semi").select("home_id", F.substring_index("full", "@", 1).alias("plugin"), F.regexp_replace("root", "/+$", "").alias("root"))
+
+
+def plugin_scan(homes: DataFrame, trees: DataFrame, repos: DataFrame) -> DataFrame:
+    """Components of the plugins that each repository's home has installed and enabled.
+
+    trees: files (home_id, path, text) with whole paths; repos: (repo_id, home_id). The settings decide which folders are scanned: a file meets the plugins' roots by its own
+    ancestors, by equality. A plugin is scanned once for its home, whatever repositories there are.
+    """
+    roots = enabled_plugins(homes)
+    above = F.transform(T.ancestors(F.substr("path", F.lit(2))), lambda p: F.concat(F.lit("/"), p))
+    own = trees.withColumn("root", F.explode(above)).join(roots, ["home_id", "root"])
+    # Each plugin of a home is a tree of its own, as a repository is.
+    key = F.to_json(F.struct(F.col("home_id").cast("string").alias("h"), "plugin", "root"))
+    own = own.select(key.alias("repo_id"), F.substr("path", F.length("root") + 2).alias("path"), "text")
+    out = skills(own, "skills/")
+    for part in (commands(own, "commands/"), agents(own, "agents/"), hooks(own, "hooks/hooks.json"), servers(own)):
+        out = out.unionByName(part)
+    of = lambda c: F.get_json_object("repo_id", f"$.{c}")
+    out = out.withColumns({"home": of("h"), "source": F.concat(F.lit("plugin:"), of("plugin")), "path": F.concat_ws("/", of("root"), "path"), "provenance": F.lit("plugin")})
+    owners = repos.select(F.col("repo_id").alias("owner"), F.col("home_id").cast("string").alias("home"))
+    return out.join(owners, "home").withColumn("repo_id", F.col("owner")).drop("home", "owner")
 
 
 def plugin_components(installed: DataFrame, enabled: DataFrame, components: DataFrame) -> DataFrame:
@@ -112,9 +147,11 @@ def refreshed(old: DataFrame, new: DataFrame, key: list[str], edited: list[str])
 
 
 def static_tokens(components: DataFrame) -> DataFrame:
-    """(id, static_tokens) of what is always in context, largest first: a skill's front matter, else all of a static component."""
-    tokens = F.when(F.col("type") == "skill", F.col("tokens_meta_est")).when(F.col("context") == "static", F.col("tokens_est"))
-    return components.where("NOT missing").select("id", F.coalesce(tokens, F.lit(0)).alias("static_tokens")).where("static_tokens > 0").orderBy(F.desc("static_tokens"), "id")
+    """(repo_id where known, id, static_tokens) of what is always in context, largest first: a skill's front matter, else all of a static component."""
+    key = ["repo_id"] if "repo_id" in components.columns else []
+    meta = F.col("tokens_meta_est") if "tokens_meta_est" in components.columns else F.lit(0)
+    tokens = F.when(F.col("type") == "skill", meta).when(F.col("context") == "static", F.col("tokens_est"))
+    return components.where("NOT missing").select(*key, "id", F.coalesce(tokens, F.lit(0)).alias("static_tokens")).where("static_tokens > 0").orderBy(F.desc("static_tokens"), *key, "id")
 
 
 def summary(components: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.functions import text as T
+
 LOW_USE = 2
 
 
@@ -18,12 +20,18 @@ def since(spec: str, as_of: datetime) -> datetime:
     return at.astimezone(UTC) if at.tzinfo else at.replace(tzinfo=UTC)
 
 
+def scope(*tables: DataFrame) -> list[str]:
+    """repo_id where all tables have it: components of one id in several repositories are then told apart."""
+    return ["repo_id"] if all("repo_id" in t.columns for t in tables) else []
+
+
 def window_usage(uses: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Per component: invocations, loads, whether any is heuristic, and when it was last used."""
-    joined = uses.join(sessions.select("session_id", "started_at"), "session_id")
+    """Per component, and repository where sessions have one: invocations, loads, whether any is heuristic, and when it was last used."""
+    key = scope(sessions)
+    joined = uses.join(sessions.select("session_id", "started_at", *key), "session_id")
     of = lambda state: F.sum(F.when(F.col("state") == state, F.col("count")).otherwise(0))
     used = F.col("state").isin("invoked", "loaded") & (F.col("count") > 0)
-    return joined.groupBy("component_id").agg(of("invoked").alias("invoked"), of("loaded").alias("loaded"), F.max("confidence").alias("confidence"), F.max(F.when(used, F.col("started_at"))).alias("last_used"))
+    return joined.groupBy(*key, "component_id").agg(of("invoked").alias("invoked"), of("loaded").alias("loaded"), F.max("confidence").alias("confidence"), F.max(F.when(used, F.col("started_at"))).alias("last_used"))
 
 
 def status(any_session: Column, as_of: Column, window_days: Column | float, low: int = LOW_USE) -> Column:
@@ -41,15 +49,40 @@ def status(any_session: Column, as_of: Column, window_days: Column | float, low:
 
 
 def window_report(sessions: DataFrame, uses: DataFrame, components: DataFrame, missed: DataFrame, start: datetime, as_of: datetime, low: int = LOW_USE) -> DataFrame:
-    """Every component with its use since ``start`` and its status; the window filter reaches the scan of sessions."""
+    """Every component with its use since ``start`` and its status; the window filter reaches the scan of sessions.
+
+    Where sessions and components name their repository, a component's row counts the sessions of its own repository only; missed has the same key.
+    """
+    key = scope(sessions, components)
     own = sessions.where(F.col("started_at") >= F.lit(start))
-    rolled = window_usage(uses, own)
-    any_session = own.agg((F.count("*") > 0).alias("any_session"))
-    rows = components.select(F.col("id").alias("component_id"), "type", "states").join(rolled, "component_id", "left").join(missed, "component_id", "left").join(any_session, how="cross")  # one row
+    rolled = window_usage(uses, own if key else own.drop("repo_id"))
+    rows = components.select(*key, F.col("id").alias("component_id"), "type", "states").join(rolled, [*key, "component_id"], "left").join(missed.select(*key, "component_id", "missed"), [*key, "component_id"], "left")
+    if key:
+        rows = rows.join(own.select(*key).distinct().withColumn("any_session", F.lit(True)), key, "left").withColumn("any_session", F.coalesce("any_session", F.lit(False)))
+    else:
+        rows = rows.join(own.agg((F.count("*") > 0).alias("any_session")), how="cross")  # one row
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("invoked", "loaded", "missed")})
     days = (as_of - start).total_seconds() / 86400
     primary = F.when(F.array_contains("states", "invoked"), F.col("invoked")).otherwise(F.col("loaded"))
-    return rows.select("component_id", "type", "invoked", "loaded", primary.alias("primary_count"), "last_used", "missed", "confidence", status(F.col("any_session"), F.lit(as_of), days, low).alias("status"))
+    return rows.select(*key, "component_id", "type", "invoked", "loaded", primary.alias("primary_count"), "last_used", "missed", "confidence", status(F.col("any_session"), F.lit(as_of), days, low).alias("status"))
+
+
+def session_components(sessions: DataFrame, uses: DataFrame, components: DataFrame) -> DataFrame:
+    """Every present component of a session's repository with its best state, registered at least, its counts, confidence, and whether a commit missed it.
+
+    sessions: (session_id, repo_id, version, commits). For reports on few sessions.
+    """
+    count = lambda state: F.coalesce(F.sum(F.when(F.col("state") == state, F.col("count"))), F.lit(0)).alias(state)
+    seen = uses.groupBy("session_id", "component_id").agg(count("invoked"), count("loaded"), F.max("confidence").alias("confidence"))
+    due = F.col("miss_when") == "git_commit" if "miss_when" in components.columns else F.lit(False)
+    every = components.where("NOT missing").select("repo_id", F.col("id").alias("component_id"), "type", "states", due.alias("due"))
+    rows = sessions.select("session_id", "repo_id", "commits", T.supported_version("version").alias("known")).join(every, "repo_id").join(seen, ["session_id", "component_id"], "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("invoked", "loaded")})
+    state = F.when(F.col("invoked") > 0, "invoked").when(F.col("loaded") > 0, "loaded").otherwise("registered")
+    able = F.when(F.array_contains("states", "invoked"), "invoked").when(F.array_contains("states", "loaded"), "loaded").otherwise("registered")
+    miss = F.coalesce((F.col("type") == "hook") & F.col("due") & (F.col("commits") > 0) & (F.col("invoked") == 0), F.lit(False))
+    sure = F.when(F.col("known"), F.coalesce("confidence", F.lit("exact"))).otherwise("heuristic")
+    return rows.select("session_id", "repo_id", "component_id", "type", state.alias("state"), "invoked", "loaded", sure.alias("confidence"), miss.alias("miss"), able.alias("most"))
 
 
 def best_states(uses: DataFrame, components: DataFrame) -> DataFrame:
@@ -72,7 +105,9 @@ def cost_totals(sessions: DataFrame) -> DataFrame:
 
 
 def file_loads(reads: DataFrame) -> DataFrame:
-    """Per (session, path): order of first load, loads in all and by tool, confidence, ranges read."""
+    """Per (session, path): order of first load, loads in all and by tool, confidence, ranges read. What subagents read is in their context, not in this one, and is left out."""
+    if "is_sidechain" in reads.columns:
+        reads = reads.where("NOT is_sidechain")
     tools = reads.groupBy("session_id", "path", "tool").agg(F.count("*").alias("n")).groupBy("session_id", "path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "n")))).alias("by_tool"))
     out = reads.groupBy("session_id", "path").agg(F.min(F.struct("idx", "seq")).alias("first"), F.count("*").alias("loads"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_list(F.when(F.col("range").isNotNull(), F.struct("idx", "seq", "range")))).alias("ranges"))
     order = Window.partitionBy("session_id").orderBy("first", "path")
@@ -92,7 +127,7 @@ def by_state(rows: DataFrame) -> DataFrame:
 
 
 def by_primary(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.desc("primary_count"), "component_id")
+    return rows.orderBy(F.desc("primary_count"), "component_id", *scope(rows))
 
 
 def newest(sessions: DataFrame, n: int) -> DataFrame:

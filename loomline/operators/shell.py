@@ -76,8 +76,13 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("command", pa.string()), ("seg_no", pa.int32()), ("sep", pa.string()), ("argv", pa.list_(pa.string()))]))
 
 
-def segments(commands: DataFrame) -> DataFrame:
-    """(command, seg_no, sep, argv, head, git) of the distinct commands: head is the program's base name, git the words from the subcommand on."""
+def segments(commands: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(command, seg_no, sep, argv, head, git) of the distinct commands: head is the program's base name, git the words from the subcommand on.
+
+    ``known`` stands in for them, where they have been made before; it may hold more.
+    """
+    if known is not None:
+        return known
     out = commands.select("command").distinct().mapInArrow(_split, "command string, seg_no int, sep string, argv array<string>")
     out = out.withColumn("head", F.element_at(F.split(F.col("argv")[0], "/"), -1))
     return out.withColumn("git", F.when(F.col("head") == "git", F.nullif(_after_flags(F.slice("argv", F.lit(2), F.size("argv")), GIT_VALUE_FLAGS), F.expr("cast(array() as array<string>)"))))
@@ -128,11 +133,11 @@ def _value_flags() -> Column:
 
 
 def read_paths(segs: DataFrame) -> DataFrame:
-    """(command, seg_no, path): files that a segment may read; grep's own pattern is not one of them."""
+    """(command, seg_no, pos, path): files that a segment may read, in order; grep's own pattern is not one of them."""
     words = _paths(plain_words(_args(), _value_flags()))
     pattern = F.col("head").isin("grep", "rg") & ~F.arrays_overlap(_args(), F.array(*map(F.lit, PATTERN_FLAGS)))
     words = F.when(pattern, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
-    return segs.where(F.col("head").isin(READERS)).select("command", "seg_no", F.explode(words).alias("path"))
+    return segs.where(F.col("head").isin(READERS)).select("command", "seg_no", F.posexplode(words).alias("pos", "path"))
 
 
 def whole_reads(segs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from .windows import SIDE
 OPS = ["session_id", *SIDE, "idx", "seq", "op", "path", "tokens", "partial", "exact", "tool"]
 
 
-def stale_ops(events: DataFrame, results: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def stale_ops(events: DataFrame, results: DataFrame, roots: DataFrame | None = None, segs: DataFrame | None = None) -> DataFrame:
     """Rows for windows.stale_windows: (session_id, window, idx, seq, op, path, tokens, partial, exact, tool).
 
     Only calls whose result is there and no error count. Paths are joined to cwd and resolved; with roots (session_id, root) they are given
@@ -43,7 +43,7 @@ def stale_ops(events: DataFrame, results: DataFrame, roots: DataFrame | None = N
     edited = edited.select(*at, F.lit("mutate").alias("op"), "path", F.lit(None).cast("long").alias("tokens"), no.alias("partial"), F.lit(True).alias("exact"), tool.alias("tool"))
 
     bash = calls.where(tool == "Bash").withColumn("command", field("command")).where("command IS NOT NULL").select(*at, "command", "cwd", "root", "tokens")
-    segs = shell.segments(bash)
+    segs = shell.segments(bash, segs)
     shown = resolved(bash.join(shell.whole_reads(segs), "command"))
     per = shown.groupBy("session_id", "idx", "seq").agg(F.count("*").alias("n"))
     shown = shown.join(per, ["session_id", "idx", "seq"])

@@ -104,6 +104,12 @@ def stale_windows(ops: DataFrame, window: list[str] = SIDE) -> DataFrame:
     return stale.select(*key, F.col("idx").alias("read_idx"), F.col("next.idx").alias("mutate_idx"), F.col("next.tool").alias("mutate_tool"), F.col("end.idx").alias("close_idx"), outcome.alias("outcome"), F.col("tokens").alias("read_tokens_est"), F.coalesce("partial", F.lit(False)).alias("read_partial"), F.when(sure, "exact").otherwise("heuristic").alias("confidence"))
 
 
+def stale_numbered(stale: DataFrame) -> DataFrame:
+    """Windows with their number in the session, from 1, by (mutation, read, path)."""
+    order = Window.partitionBy("session_id").orderBy("mutate_idx", "read_idx", "path")
+    return stale.withColumn("stale_no", F.row_number().over(order))
+
+
 def stale_summary(stale: DataFrame) -> DataFrame:
     """Per session: windows, those never read again, and their tokens."""
     never = F.col("outcome") == "never-re-read"
@@ -126,30 +132,44 @@ def timeline(sources: list[DataFrame]) -> DataFrame:
 
 
 def session_bounds(stats: DataFrame) -> DataFrame:
-    """Rows for a timeline at a session's two ends, before and behind all others; stats: (session_id, version, tokens)."""
-    start = stats.select("session_id", F.lit(-1).cast("long").alias("idx"), F.lit(0).alias("seq"), F.lit("session_start").alias("kind"), F.concat(F.lit("version "), F.coalesce("version", F.lit("?"))).alias("detail"))
-    end = stats.select("session_id", F.lit(10**9).cast("long").alias("idx"), F.lit(0).alias("seq"), F.lit("session_end").alias("kind"), F.format_string("%d tokens", F.coalesce("tokens", F.lit(0))).alias("detail"))
+    """Rows for a timeline at a session's two ends, before and behind all others; stats: (session_id, version, tokens), and times where known."""
+    time = lambda c: [F.col(c).alias("ts")] if c in stats.columns else []
+    start = stats.select("session_id", F.lit(-1).cast("long").alias("idx"), F.lit(0).alias("seq"), F.lit("session_start").alias("kind"), F.concat(F.lit("version "), F.coalesce("version", F.lit("?"))).alias("detail"), *time("started_at"))
+    end = stats.select("session_id", F.lit(10**9).cast("long").alias("idx"), F.lit(0).alias("seq"), F.lit("session_end").alias("kind"), F.format_string("%d tokens", F.coalesce("tokens", F.lit(0))).alias("detail"), *time("ended_at"))
     return start.unionByName(end)
 
 
 def with_stale_rows(rows: DataFrame, stale: DataFrame) -> DataFrame:
-    """A timeline (session_id, no, idx, detail) with a row after each mutating line's rows, and a note on the first row at each close."""
-    opened = stale.groupBy("session_id", F.col("mutate_idx").alias("idx")).agg(F.count("*").alias("n"))
-    opened = opened.select("session_id", "idx", F.lit(None).cast("int").alias("no"), F.concat(F.lit("stale: "), F.col("n").cast("string")).alias("detail"), F.lit(1).alias("after"))
-    every = rows.select("session_id", "idx", "no", "detail", F.lit(0).alias("after")).unionByName(opened)
-    closed = stale.where("close_idx IS NOT NULL").groupBy("session_id", F.col("close_idx").alias("idx")).agg(F.count("*").alias("closes"))
-    first = Window.partitionBy("session_id", "idx").orderBy("after", "no")
-    every = every.join(closed, ["session_id", "idx"], "left").withColumn("closes", F.when(F.row_number().over(first) == 1, F.col("closes")))
+    """A timeline (session_id, no, idx, kind, detail, confidence, ...) with a row for each stale copy behind the mutating line's rows, numbered anew.
+
+    Where a copy is read again, the first row of that line which is a file read or an action says so.
+    """
+    stale = stale_numbered(stale)
+    opened = stale.select(
+        "session_id", F.col("mutate_idx").alias("idx"), F.col("stale_no").alias("no"), F.lit("stale_open").alias("kind"), "confidence", F.lit(1).alias("after"),
+        F.format_string("S%d %s: copy read at %d, overturned by %s", "stale_no", "path", "read_idx", "mutate_tool").alias("detail"), *[c for c in SIDE if c in stale.columns and c in rows.columns],
+    )
+    closed = stale.where("outcome = 're-read' AND close_idx IS NOT NULL").groupBy("session_id", F.col("close_idx").alias("idx")).agg(F.array_sort(F.collect_list("stale_no")).alias("closes"))
+    first = F.row_number().over(Window.partitionBy("session_id", "idx", "able").orderBy("no"))
+    noted = rows.withColumn("able", F.col("kind").isin("file_read", "action")).withColumn("first", F.col("able") & (first == 1)).join(closed, ["session_id", "idx"], "left")
+    note = F.array_join(F.transform("closes", lambda n: F.format_string(" (closes S%d)", n)), "")
+    noted = noted.withColumn("detail", F.when(F.col("first") & F.col("closes").isNotNull(), F.concat("detail", note)).otherwise(F.col("detail"))).drop("able", "first", "closes")
+    every = noted.withColumn("after", F.lit(0)).unionByName(opened, allowMissingColumns=True)
     return every.withColumn("no", F.row_number().over(Window.partitionBy("session_id").orderBy("idx", "after", "no"))).drop("after")
 
 
-def binned(rows: DataFrame, width: int = 60) -> DataFrame:
-    """(session_id, lane, bin, est, last_no): a session's rows (session_id, lane, no, est) by rank in ``width`` equal bins, each lane summed."""
-    order = Window.partitionBy("session_id").orderBy("no")
+def binned(rows: DataFrame, width: int = 60, by: str = "no", scroll: bool = False) -> DataFrame:
+    """(session_id, lane, bin, est, last_no): a session's rows (session_id, lane, no, est) by rank of ``by`` in ``width`` equal bins, each lane summed.
+
+    With ``scroll`` each rank has a bin of its own from the left, and once they fill the width the oldest fall out; the largest sum counts these too.
+    """
+    order = Window.partitionBy("session_id").orderBy(by)
     ranked = rows.withColumn("rank", F.dense_rank().over(order) - 1).withColumn("n", F.max("rank").over(Window.partitionBy("session_id")) + 1)
-    at = F.least(F.lit(width - 1), F.floor(F.col("rank") * (width - 1) / F.greatest(F.lit(1), F.col("n") - 1))).cast("int")
-    out = ranked.withColumn("bin", at).groupBy("session_id", "lane", "bin").agg(F.sum("est").alias("est"), F.max("no").alias("last_no"))
-    return out.withColumn("largest", F.max("est").over(Window.partitionBy("session_id")))
+    spread = F.least(F.lit(width - 1), F.floor(F.col("rank") * (width - 1) / F.greatest(F.lit(1), F.col("n") - 1)))
+    at = F.col("rank") - F.greatest(F.lit(0), F.col("n") - width) if scroll else spread
+    out = ranked.withColumn("bin", at.cast("int")).groupBy("session_id", "lane", "bin").agg(F.sum("est").alias("est"), F.max("no").alias("last_no"))
+    out = out.withColumn("largest", F.max("est").over(Window.partitionBy("session_id")))
+    return out.where("bin >= 0") if scroll else out
 
 
 def last_marks(bins: DataFrame) -> DataFrame:

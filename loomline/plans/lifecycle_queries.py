@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
-from loomline.operators import attribution, facts, stale, windows
+from loomline.operators import attribution, facts, reports, stale, timeline, windows
+from loomline.operators.guidance import written
 from loomline.sources import transcripts
 
 from .registry import query, table
@@ -21,14 +22,14 @@ def root() -> Column:
     return F.format_string("/w/r%d", nth() % 3)
 
 
-def step(idx: int, kind: str, tool: str | None = None, given: dict[str, Column] | None = None, text: Column | str | None = None, result: Column | str | None = None, failed: Column | None = None, cwd: Column | None = None, skill: str | None = None, event: str | None = None, when: Column | None = None) -> Column:
+def step(idx: int, kind: str, tool: str | None = None, given: dict[str, Column] | None = None, text: Column | str | None = None, result: Column | str | None = None, failed: Column | None = None, cwd: Column | None = None, skill: str | None = None, event: str | None = None, when: Column | None = None, agent: str | None = None, usage: Column | None = None) -> Column:
     """The events of one step of a script, as an array: what happens at line 2 * idx, and the result of a call at the line after."""
     c = lambda v, t="string": (v if isinstance(v, Column) else F.lit(v)).cast(t)
     name = F.lit(f"t{idx}") if tool else F.lit(None).cast("string")
     given = F.to_json(F.struct(*[c(v).alias(k) for k, v in given.items()])) if given else F.lit(None).cast("string")
 
     def row(at: int, what: str, **own: Column) -> Column:
-        base = {"idx": c(at, "long"), "kind": c(what), "text": c(None), "tool_name": c(None), "tool_input": c(None), "tool_use_id": c(None), "is_error": c(None, "boolean"), "hook_event": c(None), "cwd": c(cwd), "attribution_skill": c(skill)}
+        base = {"idx": c(at, "long"), "kind": c(what), "text": c(None), "tool_name": c(None), "tool_input": c(None), "tool_use_id": c(None), "is_error": c(None, "boolean"), "hook_event": c(None), "cwd": c(cwd), "attribution_skill": c(skill), "agent": c(agent), "usage": (usage if usage is not None else F.lit(None)).cast(transcripts.USAGE)}
         return F.struct(*[v.alias(k) for k, v in {**base, **own}.items()])
 
     rows = [row(2 * idx, kind, text=c(text), tool_name=c(tool), tool_input=given, tool_use_id=name, hook_event=c(event))]
@@ -42,7 +43,7 @@ def played(spark: SparkSession, sf_dir: str, steps: list[Column]) -> DataFrame:
     """Events of all sessions, with what the readers of transcripts would give."""
     own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_custkey").alias("k"))
     rows = own.select("session_id", F.explode(F.concat(*steps)).alias("e")).select("session_id", "e.*")
-    return rows.withColumns({"seq": F.lit(0), "is_sidechain": F.lit(False), "agent": F.lit(None).cast("string")})
+    return rows.withColumns({"seq": F.lit(0), "is_sidechain": F.col("agent").isNotNull(), "ts": F.timestamp_seconds(F.col("idx"))})
 
 
 def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +91,17 @@ MARKS = """WITH c AS (SELECT c_custkey AS session_id, c_custkey % 3 AS r, c_cust
 ), m AS (SELECT session_id, r, component_id, state, CAST(2 * idx AS BIGINT) AS idx, confidence FROM c JOIN x ON contains(repos, CAST(r AS VARCHAR)) AND k % every = 0)"""
 
 
+def _attributed(events: DataFrame, found: DataFrame, owned: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, reads, marks) of played events, as a sync would write them."""
+    results = written(transcripts.first_results(events), "results")
+    reads = written(timeline.file_reads(events, results, owned, files, found), "reads")
+    return results, reads, written(attribution.attribute(events, results, found, owned, reads), "marks")
+
+
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _worked(spark, sf_dir)
+    events, owned = written(_worked(spark, sf_dir), "events"), _owned(spark, sf_dir)
     files = spark.createDataFrame([(f"r{k}", "docs/x.md") for k in range(3)], "repo_id string, path string")
-    return attribution.attribute(events, transcripts.first_results(events), components(spark), _owned(spark, sf_dir), files)
+    return _attributed(events, components(spark), owned, files)[2].unionByName(attribution.registered(attribution.first_events(events, owned), components(spark)))
 
 
 @query(MARKS + " SELECT session_id, component_id, state, idx, confidence FROM m")
@@ -119,6 +127,100 @@ def session_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.session_misses(sessions, attribution.usages(_marks(spark, sf_dir)), components(spark))
 
 
+# --- reports over repositories that share ids: each counts its own sessions ---
+
+CASES = """, k(repos, component_id, type, can_invoke, can_load) AS (VALUES ('012', 'command:go', 'command', true, false), ('01', 'skill:fmt', 'skill', true, true), ('1', 'skill:fmt@plugin', 'skill', true, true), ('02', 'skill:lint', 'skill', true, true), ('012', 'agent:scout', 'agent', true, false),
+  ('0', 'server:db', 'server', true, false), ('012', 'hook:pre', 'hook', true, false), ('012', 'file:a', 'file', false, true), ('01', 'file:x', 'file', false, true), ('012', 'guide:root', 'guide', false, true), ('1', 'guide:src', 'guide', false, true)),
+d AS (SELECT r, k.* FROM (SELECT unnest([0, 1, 2]) AS r), k WHERE contains(repos, CAST(r AS VARCHAR)))"""
+
+
+def _started() -> Column:
+    return F.date_add(F.lit("1996-06-01"), (nth() % 500).cast("int")).cast("timestamp")
+
+
+@query(MARKS + CASES + """, s AS (SELECT session_id, r, k, CAST(DATE '1996-06-01' + CAST(k % 500 AS INTEGER) AS TIMESTAMP) AS started_at FROM c),
+w AS (SELECT m.r, m.component_id, count(CASE WHEN state = 'invoked' THEN 1 END) AS invoked, count(CASE WHEN state = 'loaded' THEN 1 END) AS loaded, max(confidence) AS confidence, max(CASE WHEN state <> 'registered' THEN started_at END) AS last_used
+  FROM m JOIN s ON s.session_id = m.session_id GROUP BY m.r, m.component_id),
+y AS (SELECT r, count(*) FILTER (WHERE k % 5 <> 0) AS missed FROM s GROUP BY r),
+t AS (SELECT d.*, coalesce(w.invoked, 0) AS invoked, coalesce(w.loaded, 0) AS loaded, w.confidence, w.last_used, CASE WHEN type = 'hook' THEN coalesce(y.missed, 0) ELSE 0 END AS missed, CASE WHEN can_invoke THEN coalesce(w.invoked, 0) ELSE coalesce(w.loaded, 0) END AS primary_count,
+    coalesce(epoch(TIMESTAMP '1998-08-02') - epoch(w.last_used) > (epoch(TIMESTAMP '1998-08-02') - epoch(TIMESTAMP '1996-01-01')) * 2 / 3, false) AS stale, y.r IS NOT NULL AS seen
+  FROM d LEFT JOIN w ON w.r = d.r AND w.component_id = d.component_id LEFT JOIN y ON y.r = d.r),
+b AS (SELECT *, CASE WHEN NOT seen THEN 'no data' WHEN type = 'hook' THEN CASE WHEN invoked = 0 THEN 'never triggered' ELSE CASE WHEN primary_count <= 2 OR stale THEN 'low-use' ELSE 'active' END || CASE WHEN missed > 0 THEN ' (' || missed || ' MISS)' ELSE '' END END
+    WHEN invoked + loaded = 0 THEN 'unused' WHEN primary_count <= 2 OR stale THEN 'low-use' ELSE 'active' END AS base FROM t)
+SELECT 'r' || r AS repo_id, component_id, type, CAST(invoked AS BIGINT) AS invoked, CAST(loaded AS BIGINT) AS loaded, CAST(primary_count AS BIGINT) AS primary_count, last_used, CAST(missed AS BIGINT) AS missed, confidence,
+  base || CASE WHEN NOT can_invoke AND invoked + loaded > 0 AND base <> 'never triggered' THEN ' (loaded)' ELSE '' END AS status FROM b""")
+def repository_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of three repositories that share ids; hooks are missed in the commits of their own repository only."""
+    from .session_queries import AS_OF, START
+
+    sessions = _owned(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_custkey").alias("k")), "session_id")
+    sessions = sessions.withColumns({"started_at": _started(), "commits": F.lit(1)})
+    uses, own = attribution.usages(_marks(spark, sf_dir)), components(spark).where("NOT missing")
+    return reports.window_report(sessions, uses, own, attribution.missed_hooks(sessions, uses, own), START, AS_OF)
+
+
+@query(MARKS + CASES + """, n AS (SELECT m.session_id, m.component_id, count(CASE WHEN state = 'invoked' THEN 1 END) AS invoked, count(CASE WHEN state = 'loaded' THEN 1 END) AS loaded, max(confidence) AS confidence FROM m GROUP BY m.session_id, m.component_id)
+SELECT c.session_id, 'r' || c.r AS repo_id, d.component_id, d.type, CASE WHEN n.invoked > 0 THEN 'invoked' WHEN n.loaded > 0 THEN 'loaded' ELSE 'registered' END AS state, n.invoked, n.loaded, CASE WHEN c.k % 4 = 0 THEN n.confidence ELSE 'heuristic' END AS confidence,
+  d.type = 'hook' AND n.invoked = 0 AND c.k % 2 = 0 AS miss, CASE WHEN can_invoke THEN 'invoked' ELSE 'loaded' END AS most
+FROM c JOIN d ON d.r = c.r JOIN n ON n.session_id = c.session_id AND n.component_id = d.component_id""")
+def session_component_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component of a session's repository; every second session commits, and every fourth is of a supported version."""
+    sessions = _owned(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_custkey").alias("k")), "session_id")
+    sessions = sessions.withColumns({"version": F.when(nth() % 4 == 0, "2.1.7").otherwise("2.0.9"), "commits": (nth() % 2 == 0).cast("int")})
+    return reports.session_components(sessions, attribution.usages(_marks(spark, sf_dir)), components(spark))
+
+
+# --- the timeline of sessions with subagents, failed calls and stale copies ---
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda p: F.concat(root(), F.lit(p))
+    odd = nth() % 2 == 1
+    used = lambda n: F.struct((F.lit(n) + nth()).alias("input"), F.lit(5).alias("output"), F.lit(0).alias("cache_creation"), F.lit(0).alias("cache_read"))
+    return played(spark, sf_dir, [
+        step(0, "user_msg", text="/review:go now"), step(1, "assistant_msg", text="on it", usage=used(1000)), step(2, "tool_use", "Read", {"file_path": at("/src/a.py")}, result="x" * 20), step(3, "tool_use", "Read", {"file_path": at("/docs/y.md"), "limit": "5"}, result="y" * 16),
+        step(4, "tool_use", "Edit", {"file_path": at("/src/a.py")}, result="ok", failed=odd), step(5, "tool_use", "Bash", {"command": "cat docs/x.md docs/y.md\nls"}, result="z" * 40, cwd=root()), step(6, "tool_use", "Bash", {"command": "make"}, result="boom boom", failed=F.lit(True)),
+        step(7, "tool_use", "Read", {"file_path": at("/docs/y.md")}, result="y" * 8, agent="scout"), step(8, "compaction", when=~odd), step(9, "assistant_msg", text="more", usage=used(2000)), step(10, "tool_use", "Edit", {"file_path": at("/docs/y.md")}, result="ok"),
+        step(11, "tool_use", "Read", {"file_path": at("/docs/y.md")}, result="y" * 16), step(12, "tool_use", "Bash", {"command": "sleep 9"}),
+    ])
+
+
+@query("""WITH c AS (SELECT c_custkey AS session_id, c_custkey AS k, c_custkey % 3 AS r, c_custkey % 2 = 1 AS odd, length(CAST(c_custkey % 3 AS VARCHAR)) AS d FROM customer),
+x(repos, half, ord, idx, kind, component_id, state, detail, confidence, tokens, sample, side) AS (VALUES
+  ('012', 'eo', 1, -1, 'session_start', NULL, NULL, 'version ?', 'exact', 0, NULL, false), ('012', 'eo', 2, 0, 'guide', 'guide:root', 'loaded', 'always in context', 'exact', 10, NULL, false), ('012', 'eo', 3, 0, 'command', 'command:go', 'invoked', '/review:go', 'exact', 10, NULL, false),
+  ('012', 'eo', 4, 4, 'file', 'file:a', 'loaded', 'src/a.py', 'exact', 5, 1000, false), ('012', 'eo', 5, 6, 'file_read', NULL, NULL, 'Read docs/y.md', 'exact', 4, 1000, false),
+  ('012', 'e', 6, 8, 'action', NULL, NULL, 'src/a.py', 'exact', 5, 1000, false), ('012', 'o', 6, 8, 'action', NULL, NULL, 'src/a.py (failed)', 'exact', 5, 1000, false), ('1', 'eo', 7, 8, 'guide', 'guide:src', 'loaded', 'src/a.py', 'heuristic', 0, 1000, false),
+  ('012', 'eo', 8, 10, 'action', NULL, NULL, 'cat docs/x.md docs/y.md ⏎ ls', 'exact', 7, 1000, false), ('01', 'eo', 9, 10, 'file', 'file:x', 'loaded', 'docs/x.md', 'heuristic', 5, 1000, false), ('2', 'eo', 9, 10, 'file_read', NULL, NULL, 'Bash docs/x.md', 'heuristic', 5, 1000, false), ('012', 'eo', 10, 10, 'file_read', NULL, NULL, 'Bash docs/y.md', 'heuristic', 5, 1000, false),
+  ('012', 'eo', 11, 12, 'action', NULL, NULL, 'make (failed)', 'exact', 4, 1000, false), ('012', 'eo', 12, 14, 'file_read', NULL, NULL, '[subagent:scout] Read docs/y.md', 'exact', 2, NULL, true), ('012', 'e', 13, 16, 'compaction', NULL, NULL, 'compaction', 'exact', 0, NULL, false),
+  ('012', 'eo', 14, 20, 'action', NULL, NULL, 'docs/y.md', 'exact', 5, 2000, false), ('012', 'o', 15, 20, 'stale_open', NULL, NULL, 'S1 docs/y.md: copy read at 10, overturned by Edit', 'heuristic', NULL, 2000, false), ('012', 'o', 16, 20, 'stale_open', NULL, NULL, 'S2 docs/y.md: copy read at 14, overturned by Edit', 'heuristic', NULL, NULL, true),
+  ('012', 'e', 7.5, 8, 'stale_open', NULL, NULL, 'S1 src/a.py: copy read at 4, overturned by Edit', 'exact', NULL, 1000, false), ('012', 'e', 15, 20, 'stale_open', NULL, NULL, 'S2 docs/y.md: copy read at 14, overturned by Edit', 'heuristic', NULL, NULL, true), ('012', 'o', 17, 22, 'file_read', NULL, NULL, 'Read docs/y.md (closes S1)', 'exact', 4, 2000, false), ('012', 'e', 17, 22, 'file_read', NULL, NULL, 'Read docs/y.md', 'exact', 4, 2000, false),
+  ('012', 'eo', 18, 24, 'action', NULL, NULL, 'sleep 9', 'exact', 2, 2000, false), ('012', 'eo', 19, 1000000000, 'session_end', NULL, NULL, NULL, 'exact', 0, 2000, false))
+SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ord) AS INTEGER) AS no, CAST(idx AS BIGINT) AS idx, kind, component_id, state, coalesce(detail, (3010 + 2 * k) || ' tokens') AS detail, confidence, CAST(tokens AS BIGINT) AS tokens, CAST(sample + k AS BIGINT) AS occupancy, side AS is_sidechain
+FROM c JOIN x ON contains(repos, CAST(r AS VARCHAR)) AND contains(half, CASE WHEN odd THEN 'o' ELSE 'e' END)""")
+def session_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, owned, found = written(_timed(spark, sf_dir), "events"), _owned(spark, sf_dir), components(spark).withColumn("tokens_est", F.lit(10).cast("long"))
+    files = spark.createDataFrame([(f"r{k}", p) for k in range(3) for p in ("docs/x.md", "docs/y.md", "src/a.py")], "repo_id string, path string")
+    results, reads, marks = _attributed(events, found, owned, files)
+    rows = written(timeline.entries(events, results, found, owned, marks, reads), "entries")
+    stats = attribution.session_stats(events).withColumn("version", F.lit(None).cast("string"))
+    stats = stats.withColumn("tokens", sum(F.col(f"{c}_tokens") for c in ("input", "output", "cache_creation", "cache_read")))
+    copies = written(windows.stale_windows(stale.stale_ops(events, results, owned.select("session_id", "root"))), "stale")
+    out = timeline.session_timeline(rows, windows.session_bounds(stats), copies, windows.context_samples(events))
+    return out.select("session_id", "no", "idx", "kind", "component_id", "state", "detail", "confidence", "tokens", "occupancy", "is_sidechain")
+
+
+@query("""WITH c AS (SELECT c_custkey AS session_id, c_custkey % 3 AS r FROM customer), x(repos, no, path, first_idx, loads, injected, reads, bash, confidence) AS (VALUES
+  ('012', 1, 'CLAUDE.md', 0, 1, 1, 0, 0, 'exact'), ('012', 2, 'src/a.py', 4, 1, 0, 1, 0, 'exact'), ('012', 3, 'docs/y.md', 6, 3, 0, 2, 1, 'heuristic'), ('012', 4, 'docs/x.md', 10, 1, 0, 0, 1, 'heuristic'))
+SELECT session_id, CAST(no AS INTEGER) AS no, path, CAST(first_idx AS BIGINT) AS first_idx, CAST(loads AS BIGINT) AS loads, CAST(injected AS BIGINT) AS injected, CAST(reads AS BIGINT) AS reads, CAST(bash AS BIGINT) AS bash, confidence FROM c JOIN x ON contains(repos, CAST(r AS VARCHAR))""")
+def session_file_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in the main context; what the subagent read is not among them."""
+    events, owned = _timed(spark, sf_dir), _owned(spark, sf_dir)
+    files = spark.createDataFrame([(f"r{k}", p) for k in range(3) for p in ("docs/x.md", "docs/y.md")], "repo_id string, path string")
+    out = reports.file_loads(timeline.file_reads(events, transcripts.first_results(events), owned, files, components(spark)))
+    by = lambda tool: F.coalesce(F.try_element_at("by_tool", F.lit(tool)), F.lit(0))
+    return out.select("session_id", "no", "path", "first_idx", "loads", by(timeline.INJECTED).alias("injected"), by("Read").alias("reads"), by("Bash").alias("bash"), "confidence")
+
+
 # --- what sessions looked for, by mixed commands ---
 
 

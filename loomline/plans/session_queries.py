@@ -136,15 +136,23 @@ def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.timeline([one, two]).select("session_id", "idx", "detail", "no")
 
 
-@query(STALE + """, r0 AS (SELECT session_id, idx, event_type AS detail, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS no, 0 AS after FROM e WHERE event_type IN ('view', 'purchase', 'error')),
-u AS (SELECT session_id, idx, detail, no, after FROM r0 UNION ALL SELECT session_id, mutate_idx, 'stale: ' || count(*), NULL, 1 FROM stale GROUP BY session_id, mutate_idx),
-c AS (SELECT session_id, close_idx AS idx, count(*) AS closes FROM stale WHERE close_idx IS NOT NULL GROUP BY session_id, close_idx)
-SELECT u.session_id, u.idx, u.detail, CASE WHEN row_number() OVER (PARTITION BY u.session_id, u.idx ORDER BY after, no) = 1 THEN c.closes END AS closes,
-  CAST(row_number() OVER (PARTITION BY u.session_id ORDER BY u.idx, after, no) AS INTEGER) AS no FROM u LEFT JOIN c ON c.session_id = u.session_id AND c.idx = u.idx""")
+@query(STALE + """, numbered AS (SELECT stale.*, e.event_type AS tool, row_number() OVER (PARTITION BY stale.session_id ORDER BY mutate_idx, read_idx, path) AS s FROM stale JOIN e ON e.session_id = stale.session_id AND e.idx = mutate_idx),
+c AS (SELECT session_id, close_idx AS idx, string_agg(' (closes S' || s || ')', '' ORDER BY s) AS note FROM numbered WHERE outcome = 're-read' GROUP BY session_id, close_idx),
+u AS (
+  SELECT e.session_id, e.idx, CASE event_type WHEN 'view' THEN 'file_read' WHEN 'purchase' THEN 'action' ELSE 'other' END AS kind, event_type || CASE WHEN event_type = 'error' THEN '' ELSE coalesce(c.note, '') END AS detail, 0 AS s
+  FROM e LEFT JOIN c ON c.session_id = e.session_id AND c.idx = e.idx WHERE event_type IN ('view', 'purchase', 'error')
+  UNION ALL SELECT session_id, mutate_idx, 'stale_open', 'S' || s || ' ' || path || ': copy read at ' || read_idx || ', overturned by ' || tool, s FROM numbered)
+SELECT session_id, idx, kind, detail, CAST(row_number() OVER (PARTITION BY session_id ORDER BY idx, s) AS INTEGER) AS no FROM u""")
 def timeline_with_stale_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = session_events(spark, sf_dir).where("event_type IN ('view', 'purchase', 'error')")
-    rows = windows.timeline([e.select("session_id", "idx", "seq", F.col("event_type").alias("detail"))])
-    return windows.with_stale_rows(rows, windows.stale_windows(_ops(spark, sf_dir), ["w"])).select("session_id", "idx", "detail", "closes", "no")
+    kind = F.when(F.col("event_type") == "view", "file_read").when(F.col("event_type") == "purchase", "action").otherwise("other")
+    rows = windows.timeline([e.select("session_id", "idx", "seq", kind.alias("kind"), F.col("event_type").alias("detail"), F.lit("exact").alias("confidence"))])
+    return windows.with_stale_rows(rows, windows.stale_windows(_ops(spark, sf_dir), ["w"])).select("session_id", "idx", "kind", "detail", "no")
+
+
+@query(STALE + " SELECT session_id, w, path, read_idx, mutate_idx, CAST(row_number() OVER (PARTITION BY session_id ORDER BY mutate_idx, read_idx, path) AS INTEGER) AS stale_no FROM stale")
+def stale_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.stale_numbered(windows.stale_windows(_ops(spark, sf_dir), ["w"])).select("session_id", "w", "path", "read_idx", "mutate_idx", "stale_no")
 
 
 BINS = E + """, r AS (SELECT session_id, event_type AS lane, tokens AS est, idx, dense_rank() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS rank FROM e),
@@ -158,6 +166,14 @@ def timeline_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.binned(rows).withColumn("level", T.block_level("est", "largest"))
 
 
+@query(E + """, r AS (SELECT session_id, event_type AS lane, tokens AS est, idx, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS rank, count(*) OVER (PARTITION BY session_id) AS n FROM e),
+b AS (SELECT session_id, lane, CAST(rank - greatest(0, n - 20) AS INTEGER) AS bin, est, idx AS last_no, max(est) OVER (PARTITION BY session_id) AS largest FROM r) SELECT * FROM b WHERE bin >= 0""")
+def scrolled_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bin for each line; of longer sessions the last twenty, in proportion to the largest of all."""
+    rows = session_events(spark, sf_dir).select("session_id", F.col("event_type").alias("lane"), F.col("idx").alias("no"), F.col("tokens").alias("est"))
+    return windows.binned(rows, 20, scroll=True)
+
+
 @query(BINS + " SELECT session_id, lane, max(bin) AS bin, arg_max(last_no, bin) AS last_no FROM b GROUP BY session_id, lane")
 def last_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = session_events(spark, sf_dir).select("session_id", F.col("event_type").alias("lane"), F.col("idx").alias("no"), F.col("tokens").alias("est"))
@@ -275,6 +291,20 @@ def session_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.session_costs(_messages(spark, sf_dir), _prices(spark), 5000).withColumn("unpriced", F.array_join("unpriced", ","))
 
 
+@query("""WITH s AS (SELECT p_partkey % 3 AS r, sum(CASE WHEN p_size % 4 = 0 THEN 7 WHEN p_size % 2 = 0 THEN p_size ELSE 0 END) AS static FROM part WHERE p_size % 5 <> 0 GROUP BY 1),
+""" + COSTS.removeprefix("WITH ").replace("least(1.0, 5000::DOUBLE / context)", "least(1.0, coalesce((SELECT static FROM s WHERE s.r = session_id % 3), 0)::DOUBLE / context)").replace("s AS (SELECT session_id, round", "t AS (SELECT session_id, round") + """
+SELECT session_id, cost_usd, static_usd FROM t""")
+def repository_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is always in context is that of the session's own repository: a skill's front matter, all of other static components, nothing of missing ones."""
+    n, size = F.col("p_partkey"), F.col("p_size")
+    components = table(spark, sf_dir, "part").select(
+        F.format_string("r%d", n % 3).alias("repo_id"), n.cast("string").alias("id"), F.when(size % 4 == 0, "skill").otherwise("guide").alias("type"), F.when(size % 2 == 0, "static").otherwise("dynamic").alias("context"),
+        size.cast("long").alias("tokens_est"), F.lit(7).cast("long").alias("tokens_meta_est"), (size % 5 == 0).alias("missing"),
+    )
+    owned = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.format_string("r%d", F.col("o_orderkey") % 3).alias("repo_id"))
+    return costs.session_costs(_messages(spark, sf_dir), _prices(spark), costs.static_basis(components, owned)).drop("unpriced")
+
+
 @query(COSTS + " SELECT m.model, b.i AS in_usd, b.o AS out_usd FROM (SELECT DISTINCT model FROM m) m LEFT JOIN b ON b.model = m.model")
 def longest_prefix_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.priced_models(_messages(spark, sf_dir), _prices(spark))

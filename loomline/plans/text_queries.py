@@ -221,7 +221,7 @@ def applicable_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT l_orderkey % 50 AS session_id, CAST(l_partkey % 40 AS VARCHAR) AS component_id, l_orderkey AS idx, l_linenumber AS seq, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS own FROM lineitem WHERE l_returnflag <> 'N'),
-n AS (SELECT *, row_number() OVER (PARTITION BY session_id, component_id ORDER BY idx, seq, own) AS no FROM m) SELECT session_id, component_id, idx, seq FROM n WHERE own = 0 OR no = 1""")
+n AS (SELECT *, row_number() OVER (PARTITION BY session_id, component_id ORDER BY idx, seq, own DESC) AS no FROM m) SELECT session_id, component_id, idx, seq FROM n WHERE own = 0 OR no = 1""")
 def first_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("session_id"), (F.col("l_partkey") % 40).cast("string").alias("component_id"), F.col("l_orderkey").alias("idx"), F.col("l_linenumber").alias("seq"), "l_returnflag")
     return attribution.first_per_session(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag = 'A'")).select("session_id", "component_id", "idx", "seq")
@@ -312,7 +312,7 @@ def component_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT 'skill:s' || p_partkey AS id, CAST(ceil((octet_length(encode(p_name)) + 8) / 4.0) AS BIGINT) AS static_tokens FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'agent:a' || p_partkey, {EST.format('p_type')} FROM part WHERE p_partkey % 4 = 2""")
 def static_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.static_tokens(inventory.scan(_repo(spark, sf_dir)))
+    return inventory.static_tokens(inventory.scan(_repo(spark, sf_dir))).drop("repo_id")
 
 
 # --- guidance graph: pages lead to pages that share a link ---
@@ -463,3 +463,45 @@ def search_cost_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
   "SELECT repo_id, string_agg(top || ' (' || n || ')', chr(10) ORDER BY top) FROM (SELECT repo_id, top, count(*) AS n FROM (SELECT repo_id, split_part(path, '/', 1) || '/' AS top FROM f UNION ALL SELECT DISTINCT repo_id, 'CLAUDE.md' FROM f) GROUP BY repo_id, top) GROUP BY repo_id HAVING sum(n) > 300")
 def map_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guidance.skeleton(guidance.file_index(_tree(spark, sf_dir)))
+
+
+@query("""WITH f AS (SELECT p_partkey AS n, 'r' || (p_partkey % 10) AS repo_id, p_partkey % 3 = 0 OR p_partkey % 7 = 0 AS held FROM part)
+SELECT DISTINCT repo_id, 'auto-inject' AS what, 'CLAUDE.md' AS node, NULL AS raw FROM f UNION ALL SELECT DISTINCT repo_id, 'dir-entry', 'sub/CLAUDE.md', NULL FROM f
+UNION ALL SELECT repo_id, 'import', 'docs/p' || n || '.md', NULL FROM f WHERE held UNION ALL SELECT repo_id, 'import', 'docs/q' || n || '.md', NULL FROM f WHERE held AND n % 2 = 0
+UNION ALL SELECT repo_id, 'external', 'docs/p' || n || '.md', 'docs/q' || n || '.md' FROM f WHERE held AND n % 2 = 1 UNION ALL SELECT repo_id, 'dead', 'docs/p' || n || '.md', 'src/gone' || n || '.py' FROM f WHERE held
+UNION ALL SELECT repo_id, 'lazy', 'docs/x' || n || '.md', NULL FROM f WHERE held""")
+def import_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guidance that imports documents from its own directory and from the root: how each comes into context, imports that lead outside, dead routes, documents read on demand."""
+    from loomline.operators import routemap
+
+    n, part = F.col("p_partkey"), table(spark, sf_dir, "part")
+    repo = F.format_string("r%d", n % 10).alias("repo_id")
+    doc = lambda name, text, when=F.lit(True): part.where(when).select(repo, F.format_string(name, n).alias("path"), text.alias("text"))
+    files = doc("docs/p%d.md", F.format_string("see @docs/q%d.md\nand src/gone%d.py or docs/x%d.md", n, n, n)).unionByName(doc("docs/q%d.md", F.lit("end"), n % 2 == 0)).unionByName(doc("docs/x%d.md", F.lit("more")))
+    lead = lambda path, form, when: part.groupBy(repo).agg(F.concat(F.lit("what is where\n"), F.array_join(F.array_sort(F.collect_list(F.when(when, F.format_string(form, n)))), "\n")).alias("text")).select("repo_id", F.lit(path).alias("path"), "text")
+    files = files.unionByName(lead("CLAUDE.md", "@docs/p%d.md", n % 3 == 0)).unionByName(lead("sub/CLAUDE.md", "@docs/p%d.md", n % 7 == 0))
+    found = routemap.guidance_map(files)
+    row = lambda df, what, node, raw=None: df.select("repo_id", (F.col(what) if what in df.columns else F.lit(what)).alias("what"), F.col(node).alias("node"), (F.col(raw) if raw else F.lit(None).cast("string")).alias("raw"))
+    out = row(found["carriers"], "loading", "carrier").unionByName(row(found["imports_external"], "external", "carrier", "raw")).unionByName(row(found["dead_routes"], "dead", "carrier", "raw"))
+    return out.unionByName(row(found["lazy"], "lazy", "node"))
+
+
+@query("""WITH p AS (SELECT s_suppkey AS n, s_nationkey AS h FROM supplier WHERE s_suppkey % 2 = 0), r AS (SELECT n_nationkey AS h, 'r' || n_nationkey AS repo_id FROM nation UNION ALL SELECT n_nationkey, 'x' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0),
+c AS (SELECT h, 'skill:s' || n AS id, 'plugin:p' || n AS source, false AS own FROM p UNION ALL SELECT h, 'command:go', 'plugin:p' || n, false FROM p UNION ALL SELECT h, 'server:db', 'plugin:p' || n, false FROM p WHERE n % 4 = 0),
+a AS (SELECT r.repo_id, c.id, c.source, own FROM r JOIN c ON c.h = r.h UNION ALL SELECT repo_id, 'command:go', NULL, true FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY repo_id, id ORDER BY NOT own, source) AS no FROM a)
+SELECT repo_id, id || CASE WHEN no = 1 THEN '' WHEN no = 2 THEN '@plugin' ELSE '@plugin-' || (no - 1) END AS id, source FROM k""")
+def plugin_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers are plugins of their nation's home, every second one enabled; repositories have a command of their own that plugins have, too."""
+    s, n = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    home = F.col("s_nationkey").alias("home_id")
+    entry = F.format_string('"p%d@m": [{"installPath": "/plug/p%d/"}]', n, n)
+    on = F.format_string('"p%d@m": %s', n, F.when(n % 2 == 0, "true").otherwise("false"))
+    doc = lambda form, each: F.format_string(form, F.array_join(F.array_sort(F.collect_list(each)), ", ")).alias("text")
+    homes = s.groupBy(home).agg(doc('{"enabledPlugins": {%s}}', on)).withColumn("path", F.lit(inventory.HOME_SETTINGS)).unionByName(s.groupBy(home).agg(doc('{"plugins": {%s}}', entry)).withColumn("path", F.lit(inventory.HOME_PLUGINS)))
+    file = lambda form, text, *arg: s.select(home, F.format_string(form, *arg).alias("path"), text.alias("text"))
+    trees = file("/plug/p%d/skills/s%d/SKILL.md", F.col("s_name"), n, n).unionByName(file("/plug/p%d/commands/go.md", F.col("s_name"), n)).unionByName(file("/plug/p%d/.mcp.json", F.when(n % 4 == 0, F.lit('{"mcpServers": {"db": {"command": "x"}}}')).otherwise("{"), n)).unionByName(file("/other/skills/s%d/SKILL.md", F.col("s_name"), n))
+    k = F.col("n_nationkey")
+    repos = table(spark, sf_dir, "nation").select(k.alias("home_id"), F.explode(F.array_compact(F.array(F.format_string("r%d", k), F.when(k % 2 == 0, F.format_string("x%d", k))))).alias("repo_id"))
+    own = repos.select("repo_id", F.lit(".claude/commands/go.md").alias("path"), F.lit("go").alias("text"))
+    return inventory.scan(own, inventory.plugin_scan(homes, trees, repos)).select("repo_id", "id", "source")

@@ -4,7 +4,7 @@ A transcript is a text file per session, with further files of subagents beside
 unknown kinds, and are counted rather than refused. Time stamps without an offset are UTC, so sessions should run with
 ``spark.sql.session.timeZone`` set to UTC.
 
-Lines are (session_id, stream, line_no, raw): stream is null for the main chain and the agent's name for a subagent.
+Lines are (session_id, stream, file, line_no, raw): stream is null for the main chain and the agent's name for a subagent; file tells subagents of one name apart.
 """
 
 from __future__ import annotations
@@ -51,32 +51,57 @@ def session_units(files: DataFrame) -> DataFrame:
     return own.groupBy(_session("path").alias("session_id")).agg(F.max("modified").alias("modified"), F.sum("size").alias("size"), F.count("*").alias("files"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, raw) of the lines of all transcripts below ``path``, numbered from 0; a file may be read in many splits.
+
+    A split's rows stand together and in order in their task, so a line's number is its place in the split and the lines of the splits before it; the scan is run
+    once for the counts of splits and once for the lines.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    splits = splits.select("path", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    return rows.join(splits, ["path", "start"]).select("path", (F.col("ahead") + F.col("at") - F.col("first")).cast("int").alias("line_no"), "raw")
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """The small files beside subagents' transcripts, whole, as ``read_files`` gives them."""
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").load(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "value")
+
+
 def transcript_lines(files: DataFrame) -> DataFrame:
-    """Lines of all transcripts; blank lines are left out but counted in line_no, which starts at 0."""
+    """Lines of all transcripts among whole files; blank lines are left out but counted in line_no, which starts at 0."""
+    own = files.where(F.endswith("name", F.lit(".jsonl")))
+    return labelled_lines(own.select("path", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line_no", "raw")), files)
+
+
+def labelled_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Lines (path, line_no, raw) with their session, the name of the subagent that wrote them, and its file; blank lines are left out."""
     labels = files.where(F.endswith("name", F.lit(".meta.json"))).select(F.regexp_replace("path", r"\.meta\.json$", "").alias("stem"), F.get_json_object("value", "$.agentType").alias("label"))
-    own = files.where(F.endswith("name", F.lit(".jsonl"))).withColumn("stem", F.regexp_replace("path", r"\.jsonl$", ""))
-    own = own.join(labels, "stem", "left").withColumn("session_id", _session("path"))
+    own = lines.where(T.strip("raw") != "").withColumn("stem", F.regexp_replace("path", r"\.jsonl$", "")).join(labels, "stem", "left")
     name = F.regexp_replace(F.regexp_extract("path", r"([^/]+)\.jsonl$", 1), "^agent-", "")
-    stream = F.when(F.col("path").contains("/subagents/"), F.coalesce("label", name))
-    lines = own.select("session_id", stream.alias("stream"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line_no", "raw"))
-    return lines.where(T.strip("raw") != "")
+    below = F.col("path").contains("/subagents/")
+    return own.select(_session("path").alias("session_id"), F.when(below, F.coalesce("label", name)).alias("stream"), F.when(below, F.col("stem")).alias("file"), "line_no", "raw")
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """Lines with ``v`` (variant, null for a bad line), ``ts``, ``type`` and merged ``idx``.
 
     A session of one file keeps its line numbers. One with subagents is put in order of time, a line without time
-    taking that of the line before it, the main chain first on ties, and numbered anew; bad lines get no number.
+    taking that of the line before it in its file, the main chain first on ties, then file by file, and numbered anew; bad lines get no number.
     """
     v = F.try_parse_json("raw")
     lines = lines.withColumn("v", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
     lines = lines.withColumn("ts", F.expr("try_cast(try_variant_get(v, '$.timestamp', 'string') AS timestamp)"))
     lines = lines.withColumn("type", F.coalesce(F.expr("try_variant_get(v, '$.type', 'string')"), F.lit("")))
-    per_file = Window.partitionBy("session_id", "stream").orderBy("line_no")
+    file = "file" if "file" in lines.columns else "stream"
+    per_file = Window.partitionBy("session_id", file).orderBy("line_no")
     lines = lines.withColumn("at", F.last("ts", ignorenulls=True).over(per_file.rowsBetween(Window.unboundedPreceding, 0)))
     session = Window.partitionBy("session_id")
     merged = F.max(F.col("stream").isNotNull()).over(session)
-    good = Window.partitionBy("session_id", F.col("v").isNull()).orderBy(F.col("at").asc_nulls_first(), F.col("stream").asc_nulls_first(), "line_no")
+    good = Window.partitionBy("session_id", F.col("v").isNull()).orderBy(F.col("at").asc_nulls_first(), F.col(file).asc_nulls_first(), "line_no")
     return lines.withColumn("idx", F.when(F.col("v").isNull(), None).when(merged, F.row_number().over(good) - 1).otherwise(F.col("line_no")).cast("long")).drop("at")
 
 

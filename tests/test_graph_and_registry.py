@@ -97,14 +97,15 @@ def test_inventory(spark):
 
 
 def test_attribution(spark):
-    e = spark.createDataFrame([("s", 0, 0, "user_msg", "Base directory for this skill: /r/.claude/skills/k/\nrest"), ("s", 1, 0, "user_msg", "hello")], "session_id string, idx long, seq int, kind string, text string")
-    c = spark.createDataFrame([("skill:k", "skill", "k", ".claude/skills/k/SKILL.md", "dynamic", False), ("skill:k2", "skill", "k", "other/k/SKILL.md", "dynamic", False), ("guide:root", "guide", "root", "CLAUDE.md", "static", False)], "id string, type string, name string, path string, context string, missing boolean")
+    """Two repositories with the same ids: what a session does meets its own repository's components only."""
+    e = spark.createDataFrame([("s", "r", 0, 0, "user_msg", "Base directory for this skill: /r/.claude/skills/k/\nrest"), ("s", "r", 1, 0, "user_msg", "hello"), ("t", "q", 0, 0, "user_msg", "hi")], "session_id string, repo_id string, idx long, seq int, kind string, text string")
+    own = [("skill:k", "skill", "k", ".claude/skills/k/SKILL.md", "dynamic", False), ("skill:k2", "skill", "k", "other/k/SKILL.md", "dynamic", False), ("guide:root", "guide", "root", "CLAUDE.md", "static", False)]
+    c = spark.createDataFrame([("r", *x) for x in own] + [("q", *own[2]), ("q", "skill:q", "skill", "k", "q/k/SKILL.md", "dynamic", True)], "repo_id string, id string, type string, name string, path string, context string, missing boolean")
     assert [(r.component_id, r.confidence) for r in attribution.expanded_skills(e, c).collect()] == [("skill:k", "exact")]
-    first = e.where("idx = 0")
-    assert [r.component_id for r in attribution.always_loaded(first, c).collect()] == ["guide:root"] and attribution.registered(first, c).count() == 3
-    reads = e.where("idx = 1").select("session_id", "idx", "seq", F.lit("r").alias("repo_id"), F.lit("CLAUDE.md").alias("path"))
-    files = spark.createDataFrame([("r", "CLAUDE.md")], "repo_id string, path string")
-    assert attribution.loaded_by_shell(reads, files, c).count() == 1 and attribution.loaded_by_shell(reads, files.where("false"), c).count() == 0
+    first = attribution.first_events(e, e.select("session_id", "repo_id").distinct())
+    assert sorted((r.session_id, r.component_id) for r in attribution.always_loaded(first, c).collect()) == [("s", "guide:root"), ("t", "guide:root")] and attribution.registered(first, c).count() == 4
+    reads = e.where("session_id = 's' AND idx = 1").select("session_id", "idx", "seq", "repo_id", F.lit("CLAUDE.md").alias("path"))
+    assert attribution.loaded_by_path(reads, c, "heuristic").count() == 1 and attribution.loaded_by_path(reads.withColumn("repo_id", F.lit("x")), c).count() == 0
     assert [r.component_id for r in attribution.skill_file_reads(reads.withColumn("path", F.lit("x/k/SKILL.md")), c).orderBy("component_id").collect()] == ["skill:k", "skill:k2"]
 
 

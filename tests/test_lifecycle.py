@@ -7,7 +7,8 @@ import pytest
 
 from loomline.operators import guidance, lifecycle, shell, windows
 from loomline.plans.lifecycle_queries import components
-from loomline.sources import archive
+from loomline.sources import archive, transcripts
+from loomline.streaming import live
 from tests.test_graph_and_registry import graph  # noqa: F401
 
 
@@ -39,33 +40,114 @@ def result(text, n):
     return {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": f"t{n}", "content": text}]}}
 
 
-def test_sync_and_reports(spark, tmp_path):
-    src, out = tmp_path / "src", str(tmp_path / "archive")
-    src.mkdir()
+AS_OF = datetime.datetime(2026, 1, 3, tzinfo=datetime.UTC)
+
+
+def registry_of(spark):
+    """Three repositories that share ids, each with ten tokens always in context."""
+    from pyspark.sql import functions as F
+
+    repos = spark.createDataFrame([(f"r{k}", f"/w/r{k}") for k in range(3)], "repo_id string, root string")
+    files = spark.createDataFrame([("r0", "src/a.py"), ("r0", "docs/y.md")], "repo_id string, path string")
+    prices = spark.createDataFrame([("m", 1.0, 2.0)], "prefix string, in_usd double, out_usd double")
+    return lifecycle.Registry(components(spark).withColumn("tokens_est", F.lit(10).cast("long")), repos, files, prices)
+
+
+def session_lines():
     ask = {"type": "user", "cwd": "/w/r0", "message": {"content": "do it"}}
-    (src / "s1.jsonl").write_text(transcript(
+    return [
         ask, answer("Bash", {"command": "grep -rn needle src"}, 1), result("src/a.py: needle", 1), answer("Read", {"file_path": "/w/r0/src/a.py"}, 2), result("text", 2), answer("Edit", {"file_path": "/w/r0/src/a.py"}, 3), result("ok", 3),
-        answer("Bash", {"command": "git commit -m x; grep -r other src"}, 4), result("[main 1a2b3c4d] x", 4)))
-    (src / "s2.jsonl").write_text(transcript({**ask, "cwd": "/w/r1"}, {"type": "odd"}) + "\n{broken")
+        answer("Bash", {"command": "git commit -m x; cat docs/y.md"}, 4), result("[main 1a2b3c4d] x", 4), answer("Read", {"file_path": "/w/r0/src/a.py"}, 5)]
+
+
+def write_sessions(src):
+    """One whole session with a subagent, one in another repository, one of broken lines."""
+    src.mkdir()
+    (src / "s1.jsonl").write_text(transcript(*session_lines()) + "\n" + transcript(result("text", 5)))
+    (src / "s1/subagents").mkdir(parents=True)
+    (src / "s1/subagents/agent-q.jsonl").write_text(transcript(answer("Read", {"file_path": "/w/r0/docs/y.md"}, 8), result("text", 8)))
+    ask = {"type": "user", "cwd": "/w/r1", "message": {"content": "do it"}}
+    (src / "s2.jsonl").write_text(transcript(ask, answer("Read", {"file_path": "/w/r1/CLAUDE.md"}, 1), result("text", 1), {"type": "odd"}) + "\n{broken")
     (src / "s3.jsonl").write_text("{broken\n[1]")
-    repos = spark.createDataFrame([(f"r{k}", f"/w/r{k}") for k in range(3)], "repo_id string, root string")
-    files = spark.createDataFrame([("r0", "src/a.py")], "repo_id string, path string")
-    prices = spark.createDataFrame([("m", 1.0, 2.0)], "prefix string, in_usd double, out_usd double")
-    from pyspark.sql import functions as F
 
-    registry = lifecycle.Registry(components(spark).withColumn("tokens_est", F.lit(10).cast("long")), repos, files, prices)
+
+def test_sync_and_reports(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "archive")
+    write_sessions(src)
+    registry = registry_of(spark)
     first = lifecycle.sync(spark, str(src), out, registry).first()
     assert (first.new, first.updated, first.skipped, first.degraded) == (3, 0, 0, 2)
     again = lifecycle.sync(spark, str(src), out, registry).first()
     assert (again.new, again.updated, again.skipped) == (0, 0, 3)
-    assert {(r.session_id, r.line_no) for r in archive.current(spark, out, "quarantine").collect()} == {("s2", 2), ("s3", 0), ("s3", 1)}
+    assert {(r.session_id, r.line_no) for r in archive.current(spark, out, "quarantine").collect()} == {("s2", 4), ("s3", 0), ("s3", 1)}
 
     one = lifecycle.session_report(spark, out, registry, "s1")
     row = one["session"].first()
     assert (row.repo_id, row.turns, row.commits, row.parse_status) == ("r0", 1, 1, "ok") and row.cost_usd > 0
-    states = {r.component_id: r.state for r in one["components"].collect()}
-    assert states["file:a"] == "loaded" and states["guide:root"] == "loaded" and states["skill:fmt"] == "registered" and "skill:fmt@plugin" not in states
-    assert [(r.path, r.loads, r.confidence) for r in one["file_loads"].collect()] == [("src/a.py", 1, "exact")]
+    assert row.static_usd == pytest.approx(row.cost_usd * 10 / 100)  # ten tokens of the session's own repository in a context of a hundred
+    states = {r.component_id: (r.state, r.miss) for r in one["components"].collect()}
+    assert states["file:a"] == ("loaded", False) and states["guide:root"] == ("loaded", False) and states["skill:fmt"] == ("registered", False) and states["hook:pre"] == ("registered", True) and "skill:fmt@plugin" not in states
+    loads = [(r.no, r.path, r.loads, r.confidence, r.by_tool) for r in one["file_loads"].collect()]
+    assert sorted(loads) == [(1, "CLAUDE.md", 1, "exact", {"system-injected": 1}), (2, "src/a.py", 2, "exact", {"Read": 2}), (3, "docs/y.md", 1, "heuristic", {"Bash": 1})]
+    rows = one["timeline"].collect()
+    assert [r.no for r in rows] == list(range(1, len(rows) + 1)) and (rows[0].kind, rows[0].detail, rows[-1].kind) == ("session_start", "version 2.1.3", "session_end")
+    told = [(r.kind, r.state, r.detail, r.tokens) for r in rows[1:-1]]
+    assert ("guide", "loaded", "always in context", 10) == told[0] and ("action", None, "grep -rn needle src", 5 + 4) in told and ("file", "loaded", "src/a.py", 1) in told
+    assert ("action", None, "git commit -m x; cat docs/y.md", 8) in told and ("file_read", None, "Bash docs/y.md", 5) in told and ("file_read", None, "[subagent:q] Read docs/y.md", 1) in told
+    held = {r.detail: r.occupancy for r in rows}
+    assert held["[subagent:q] Read docs/y.md"] is None and held["src/a.py"] == 100 and rows[-1].occupancy == 100
+    assert [r.detail for r in rows if r.kind == "stale_open"] == ["S1 src/a.py: copy read at 4, overturned by Edit"] or len([r for r in rows if r.kind == "stale_open"]) == 1
+    assert [(r.stale_no, r.path, r.outcome) for r in one["stale_copies"].collect()] == [(1, "src/a.py", "re-read")]
+    assert {r.lane for r in one["bins"].collect()} == {"load", "act"} and one["static_total"].first().static_tokens == 10 and [r.id for r in one["static"].collect()] == ["guide:root"]
+    assert {r.key for r in one["needs"].collect()} == {"needle"} and [r.component_id for r in one["missed"].collect()] == ["hook:pre"]
+
+    window = lifecycle.window_report(spark, out, registry, "30d", AS_OF)
+    own = {(r.repo_id, r.component_id): r for r in window["components"].collect()}
+    assert len(own) == registry.components.where("NOT missing").count()
+    assert (own["r0", "guide:root"].loaded, own["r1", "guide:root"].loaded, own["r2", "guide:root"].loaded) == (1, 2, 0)
+    assert own["r2", "guide:root"].status == "no data" and own["r1", "file:a"].status == "unused" and own["r0", "file:a"].status == "low-use (loaded)"
+    assert (own["r0", "hook:pre"].missed, own["r1", "hook:pre"].missed) == (1, 0)
+    assert window["coverage"].first().sessions == 3 and {r.code: r.n for r in window["warnings"].collect()}["degraded"] == 2
+
+    (src / "s2.jsonl").write_text(transcript({"type": "user", "cwd": "/w/r1", "message": {"content": "again"}}))
+    third = lifecycle.sync(spark, str(src), out, registry).first()
+    assert (third.new, third.updated, third.skipped, third.degraded) == (0, 1, 2, 0)
+    assert {(r.session_id, r.line_no) for r in archive.current(spark, out, "quarantine").collect()} == {("s3", 0), ("s3", 1)}
+
+
+def test_live_ingest_equals_sync(spark, tmp_path):
+    """A session that comes in three batches, one of them twice, stands in the archive as one that was read whole."""
+    src, live_at, whole = tmp_path / "src", str(tmp_path / "live"), str(tmp_path / "whole")
+    src.mkdir()
+    (src / "s1.jsonl").write_text(transcript(*session_lines()))
+    registry = registry_of(spark)
+    lifecycle.sync(spark, str(src), whole, registry)
+    lines = transcripts.transcript_lines(transcripts.read_files(spark, str(src)))
+    write = live.ingest_writer(live_at, registry)
+    for number, bounds in enumerate(["line_no < 4", "line_no BETWEEN 4 AND 6", "line_no > 6"]):
+        write(lines.where(bounds), number)
+    write(lines.where("line_no > 6"), 2)
+    assert archive.committed(spark, live_at) == [0, 1, 2]
+    for name, volatile in [("uses", []), ("facts", []), ("stale", []), ("timeline", []), ("reads", []), ("samples", []), ("sessions", ["modified", "size", "files"])]:
+        assert archive.snapshot(archive.current(spark, live_at, name), volatile) == archive.snapshot(archive.current(spark, whole, name), volatile), name
+
+
+def test_guidance_map(spark, graph, tmp_path):  # noqa: F811
+    from loomline.operators import routemap
+
+    files = spark.createDataFrame([
+        ("r", "CLAUDE.md", "# Map\n- code: src/a.py\n- src/a.py\n@docs/one.md\n@~/mine.md and @else/where.md\nGone: src/gone.py\n"), ("r", "docs/one.md", "read @docs/two.md or @three.md\nsrc/lost.py"), ("r", "docs/two.md", "end"), ("r", "docs/three.md", "x"),
+        ("r", "docs/four.md", "@docs/five.md"), ("r", "docs/five.md", "y"), ("r", "src/CLAUDE.md", "see docs/four.md\n"), ("r", "src/a.py", "def f(): pass"), ("r", "lib/b.py", "x = 1"), ("q", "a.py", "x = 1")], "repo_id string, path string, text string")
+    got = routemap.guidance_map(files, folder=str(tmp_path / "reach"))
+    assert {(r.carrier, r.loading) for r in got["carriers"].collect()} == {("CLAUDE.md", "auto-inject"), ("src/CLAUDE.md", "dir-entry"), ("docs/one.md", "import"), ("docs/two.md", "import"), ("docs/three.md", "import")}
+    root = next(r for r in got["carriers"].collect() if r.carrier == "CLAUDE.md")
+    assert (root.routing, root.bare, root.heading) == (2, 1, 1)
+    assert {(r.carrier, r.raw) for r in got["imports_external"].collect()} == {("CLAUDE.md", "~/mine.md"), ("CLAUDE.md", "else/where.md")}
+    assert {(r.carrier, r.raw) for r in got["dead_routes"].collect()} == {("CLAUDE.md", "src/gone.py"), ("docs/one.md", "src/lost.py"), ("docs/four.md", "@docs/five.md")}  # imports of either base are none, but only carriers import
+    total = {r.repo_id: r for r in got["totals"].collect()}
+    assert total["r"].resident_tokens == sum(r.tokens for r in got["carriers"].collect() if r.loading != "dir-entry") and (total["r"].root_present, total["q"].root_present, total["q"].carriers) == (True, False, 0)
+    assert {r.node for r in got["lazy"].collect()} == {"docs/four.md"} and [(r.carrier, r.target, r.lines) for r in got["duplicates"].collect()] == [("CLAUDE.md", "src/a.py", 2)]
+    assert {r.path for r in got["unreached"].collect()} == {"lib/b.py", "a.py"} and got["imports_beyond"].count() == 0
 
 
 def test_session_bounds(spark):

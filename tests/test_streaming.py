@@ -5,10 +5,19 @@ import time
 from loomline.operators import facts, windows
 from loomline.plans.session_queries import _ops, session_events
 from loomline.streaming import live
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
+@pytest.fixture(autouse=True)
+def provider(spark):
+    """State by key needs the provider that keeps it so."""
+    spark.conf.set(*live.PROVIDER)
+    yield
+    spark.conf.unset(live.PROVIDER[0])
+
+
 def settle(q, rows, seconds=60):
     """Wait until the query has taken in so many rows; where timeouts are on, batches without rows never end, so there is no waiting for the last."""
     taken, end = {}, time.time() + seconds

@@ -119,3 +119,79 @@ def test_appended_ingests_replace_sessions(spark, tmp_path):
     assert now() == [("s2", 3)]
     archive.compact(spark, path, ["rows"], str(tmp_path / "u"))
     assert [tuple(r) for r in archive.current(spark, str(tmp_path / "u"), "rows").collect()] == [("s2", 3)]
+
+
+def test_subagents_of_one_name_keep_their_own_order(spark, tmp_path):
+    """Two scouts, each with a time on its first line only: their lines stay together, file by file."""
+    d = tmp_path / "s/subagents"
+    d.mkdir(parents=True)
+    line = lambda name, at=None: json.dumps({"type": "user", "message": {"content": name}} | ({"timestamp": f"2026-01-01T0{at}:00:00Z"} if at else {}))
+    (tmp_path / "s.jsonl").write_text(line("main", 1))
+    for agent, at in (("a", 1), ("b", 2)):
+        (d / f"agent-{agent}.jsonl").write_text("\n".join([line(f"{agent}0", at), line(f"{agent}1"), line(f"{agent}2")]))
+        (d / f"agent-{agent}.meta.json").write_text('{"agentType": "scout"}')
+    events = transcripts.events(transcripts.parsed_lines(transcripts.transcript_lines(transcripts.read_files(spark, str(tmp_path)))))
+    got = events.orderBy("idx").collect()
+    assert [r.text for r in got] == ["main", "a0", "a1", "a2", "b0", "b1", "b2"] and [r.agent for r in got] == [None] + ["scout"] * 6 and [r.idx for r in got] == list(range(7))
+
+
+def test_an_archive_reads_only_parts_with_current_rows(spark, tmp_path):
+    """Replaced parts are not opened, a few sessions open their own buckets, and compaction in place leaves one ingest of the older ones."""
+    path = str(tmp_path / "t")
+    rows = lambda v: spark.createDataFrame([(f"s{k}", v) for k in range(40)], "session_id string, v long")
+    for n in range(3):
+        archive.append(path, n, rows(n), {"rows": rows(n), "none": rows(n).where("false")})
+    one = spark.createDataFrame([("s7", 9)], "session_id string, v long")
+    archive.append(path, 3, one, {"rows": one, "none": one.where("false")})
+    files = lambda df: {"/".join(f.split("/")[-3:-1]) for f in df.inputFiles()}
+    every, few = archive.current(spark, path, "rows"), archive.current(spark, path, "rows", one)
+    assert {r.session_id: r.v for r in every.collect()} == {f"s{k}": 9 if k == 7 else 2 for k in range(40)}
+    scanned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scanned(every) and [tuple(r) for r in few.collect()] == [("s7", 9)] and archive.current(spark, path, "none").count() == 0
+    assert len(archive.latest(spark, path).where("ingest < 2").collect()) == 0 and files(every)
+    archive.compact(spark, path, ["rows", "none"], keep=1)
+    assert archive.committed(spark, path) == [3, 4]
+    assert {r.session_id: r.v for r in archive.current(spark, path, "rows").collect()} == {f"s{k}": 9 if k == 7 else 2 for k in range(40)}
+
+
+def test_what_a_crash_left_of_the_first_commit_hinders_nothing(spark, tmp_path):
+    path = tmp_path / "t"
+    (path / "ingests/ingest=0/_temporary/0").mkdir(parents=True)
+    assert archive.next_ingest(spark, str(path)) == 0 and archive.committed(spark, str(path)) == []
+    a = spark.createDataFrame([("s1", 1)], "session_id string, v long")
+    archive.append(str(path), 0, a, {"rows": a})
+    assert archive.current(spark, str(path), "rows").count() == 1
+
+
+def test_a_batch_tried_again_has_its_number(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert [archive.reserve(spark, path, o) for o in ("live-0", "live-0", "live-1")] == [0, 0, 1] and archive.next_ingest(spark, path) == 2
+
+
+def test_commands_are_taken_apart_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    of = lambda *c: spark.createDataFrame([(x,) for x in c], "command string")
+    first = archive.known_commands(spark, path, 0, of("cat a; ls b", "", "cat a; ls b"))
+    assert sorted((r.command, r.seg_no, r.head) for r in first.collect()) == [("cat a; ls b", 0, "cat"), ("cat a; ls b", 1, "ls")]
+    ids = spark.createDataFrame([("s",)], "session_id string")
+    archive.append(path, 0, ids, {})
+    again = archive.known_commands(spark, path, 1, of("cat a; ls b", "", "rm c"))
+    assert sorted((r.command, r.head) for r in again.collect()) == [("cat a; ls b", "cat"), ("cat a; ls b", "ls"), ("rm c", "rm")]
+    assert [r.command for r in spark.read.parquet(f"{path}/commands/ingest=1").collect()] == ["rm c"]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Files cut into splits of a few bytes give the numbers that whole files give."""
+    (tmp_path / "s1").mkdir()
+    rows = {"s1.jsonl": "\n".join(f'{{"n": {k}}}' + " " * (k % 7) if k % 5 else "" for k in range(200)), "s2.jsonl": '{"a": 1}\r\n\r\n{"b": 2}\n', "s1/s3.jsonl": "x" * 300 + "\nlast"}
+    for name, text in rows.items():
+        (tmp_path / name).write_text(text, newline="")
+    (tmp_path / "other.txt").write_text("no\n")
+    want = sorted(map(tuple, transcripts.transcript_lines(transcripts.read_files(spark, str(tmp_path))).collect()), key=str)
+    bytes_ = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(bytes_, "64b")
+    try:
+        got = transcripts.labelled_lines(transcripts.read_lines(spark, str(tmp_path)), transcripts.read_labels(spark, str(tmp_path)))
+        assert sorted(map(tuple, got.collect()), key=str) == want and len(want) > 160
+    finally:
+        spark.conf.unset(bytes_)
