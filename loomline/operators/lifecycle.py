@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -35,14 +36,15 @@ def shell_calls(events: DataFrame, results: DataFrame) -> DataFrame:
     return calls.select("session_id", "idx", F.get_json_object("tool_input", "$.command").alias("command"), "result_text").where("command IS NOT NULL")
 
 
-def extracted(events: DataFrame, results: DataFrame, health: DataFrame, units: DataFrame, registry: Registry, segs: DataFrame | None = None) -> dict[str, DataFrame]:
+def extracted(events: DataFrame, results: DataFrame, health: DataFrame, units: DataFrame, registry: Registry, segs: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> dict[str, DataFrame]:
     """The archive's tables from events, their first results and the sessions' health: sessions, uses, facts, stale, markers, reads, timeline, samples.
 
-    Each table is a plan of its own over events and results, so these should be written tables; segs are the segments of all commands, where they are known.
+    Each table is a plan of its own over events and results, so these should be written tables, and ``keep`` writes what several tables have in
+    common; segs are the segments of all commands, where they are known.
     """
-    owned = transcripts.owned_sessions(health.select("session_id", "cwd"), registry.repos).select("session_id", "repo_id", "root")
-    reads = timeline.file_reads(events, results, owned, registry.files, registry.components, segs)
-    marks = attribution.attribute(events, results, registry.components, owned, reads)
+    owned = keep(transcripts.owned_sessions(health.select("session_id", "cwd"), registry.repos).select("session_id", "repo_id", "root"), "owned")
+    reads = keep(timeline.file_reads(events, results, owned, registry.files, registry.components, segs), "reads")
+    marks = keep(attribution.attribute(events, results, registry.components, owned, reads), "marks")
     uses = archive.unsure_if_unsupported(attribution.usages(marks), health)
     found = facts.extract(events, results, owned, segs)
     copies = windows.stale_windows(stale.stale_ops(events, results, owned, segs))
@@ -75,7 +77,7 @@ def ingested(spark: SparkSession, path: str, ingest: int, lines: DataFrame, unit
     results = archive.staged(transcripts.first_results(events), path, ingest, "results")
     health = archive.staged(transcripts.session_health(lines, events), path, ingest, "health")
     segs = archive.known_commands(spark, path, ingest, shell_calls(events, results).select("command"))
-    tables = extracted(events, results, health, units, registry, segs) | {"quarantine": archive.quarantined(lines)}
+    tables = extracted(events, results, health, units, registry, segs, lambda rows, name: archive.staged(rows, path, ingest, name)) | {"quarantine": archive.quarantined(lines)}
     archive.append(path, ingest, units, tables | ({"lines": raw} if keep_lines else {}))
     return health
 
