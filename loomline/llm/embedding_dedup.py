@@ -3,13 +3,13 @@
 Unit vectors are rotated at random and cut into blocks of coordinates. If two lie within squared distance
 2 - 2 * threshold, then in some block they lie within that block's part of it. So each block is joined alone:
 vectors meet in cells, as wide as the block's radius, over one of its coordinates and one more each time the label's size
-doubles beyond GRID, and in half of the neighbouring cells. Inside a cell, pairs within the block's part are candidates, and
+doubles beyond GRID, as far as COPIES allows, and in half of the neighbouring cells. Inside a cell, pairs within the block's part are candidates, and
 each is verified on the original vectors in double precision. A pair counts in the first block that offers it.
 
-How it scales. A vector travels once per block and cell. A cell of more than CELL vectors is cut into blocks of rows
-that meet in pairs, so a large group of near copies is spread over tasks. Tasks return counts and a spanning
-forest, never pairs. The number of grid coordinates grows with the label's size, up to the block's width, so cells stay small where vectors spread. Rows with
-equal vectors under one label are one class, compared once, whose copies count as links.
+How it scales. A vector has at most COPIES cells (40 with eight blocks), whatever the label's size. Cells are counted and cut on narrow rows of numbers;
+the vector itself joins what is left once, and only cells where it has company. A cell of more than CELL numbers is cut into blocks of rows
+that meet in pairs, so a large group of near copies is spread over tasks and each of its rows travels once per block. Tasks return counts and a spanning
+forest, never pairs. Rows with equal vectors under one label are one class, compared once, whose copies count as links.
 
 Cases. Vectors that are null, zero, or hold null or non-finite components, and those without a label, link with
 nothing and stay. Vectors of different length never meet. Labels may be of any type that casts to text. Every row is a vector of its own, those
@@ -31,8 +31,10 @@ from ._spark import NO_ID, numbered, parts_for, stash, table, with_nulls
 from ._vectors import matrix, sound
 
 THRESHOLD, BLOCKS = 0.93, 8
-#: Vectors compared at a time, and the label size from which a cell goes by a second coordinate, by a third at twice that, and so on.
-CELL, GRID = 2048, 32_768
+#: Numbers (vectors times their length) in a block that is compared at a time, and the label size from which a cell goes by a second coordinate, by a third at twice that, and so on.
+CELL, GRID = 1 << 19, 32_768
+#: Cells of one vector over all blocks, at most (two per block in any case).
+COPIES = 64
 
 
 def rotation(size: int) -> np.ndarray:
@@ -46,6 +48,14 @@ def parts(size: int, blocks: int, threshold: float) -> list[tuple[slice, float]]
     return [(slice(a, b), (2 - 2 * threshold) * (b - a) / size + 1e-12) for a, b in itertools.pairwise(edges)]
 
 
+def finest(blocks: int) -> int:
+    """Most coordinates of a grid whose cells and later neighbours, over all blocks, are COPIES or less; one at least."""
+    g = 1
+    while blocks * (3 ** (g + 1) + 1) // 2 <= COPIES:
+        g += 1
+    return g
+
+
 def _cells(threshold: float, blocks: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +79,7 @@ def _cells(threshold: float, blocks: int):
                 n = len(key)
                 item = pa.StructArray.from_arrays([pa.array(np.stack(key, 1).ravel()), pa.array(np.tile(np.array(block, np.int32), len(x))), pa.array(np.tile(np.array(home), len(x)))], ["code", "block", "home"])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(x) + 1, n, dtype=np.int32)), item)
-                yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("rep", "copies", "label", "embedding")], lists], ["rep", "copies", "label", "embedding", "cells"])
+                yield pa.RecordBatch.from_arrays([own.column("rep"), own.column("label"), pa.array(np.full(len(x), size, np.int32)), lists], ["rep", "label", "size", "cells"])
 
     return go
 
@@ -152,18 +162,19 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.select("vec_id", "label", "embedding", *same)
     alone = numbered(rows, "vec_id", F.struct("label", "h1", "h2", F.xxhash64("embedding")))
     rows = rows.withColumn("row", F.col("vec_id")) if alone is None else alone.withColumnRenamed("__row", "row")
-    kind = vectors.schema[vector_col].dataType.simpleString()
     fit = rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     fit = stash(fit, "vectors")
     per_label = fit.groupBy("label").agg(F.count("*").alias("n"))
-    grid = (1 + F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / GRID)))).cast("int")
-    cells = fit.join(per_label.select("label", grid.alias("grid")), "label").select("rep", "copies", "label", "embedding", "grid")
-    cells = cells.mapInArrow(_cells(threshold, blocks), f"rep long, copies long, label string, embedding {kind}, cells array<struct<code:long,block:int,home:boolean>>")
-    cells = cells.select("rep", "copies", "label", "embedding", F.size("embedding").alias("size"), F.explode("cells").alias("c")).select("rep", "copies", "label", "embedding", "size", "c.*")
+    grid = F.least(F.lit(finest(blocks)), 1 + F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / GRID)))).cast("int")
+    cells = fit.join(per_label.select("label", grid.alias("grid")), "label").select("rep", "label", "embedding", "grid")
+    cells = cells.mapInArrow(_cells(threshold, blocks), "rep long, label string, size int, cells array<struct<code:long,block:int,home:boolean>>")
+    cells = cells.select("rep", "label", "size", F.explode("cells").alias("c")).select("rep", "label", "size", "c.*")
     key = ["label", "size", "block", "code"]
     sizes = stash(cells.groupBy(*key).agg(F.count("*").alias("m"), F.max("home").alias("lived")).where("m > 1 and lived").drop("lived"), "cells")
-    work = in_blocks(cells.join(sizes, key), F.ceil(F.col("m") / CELL)).select("rep", "copies", *key, "embedding", "home", "side", "pair", "at.lo", "at.hi")
-    packs = parts_for(sizes.agg(F.sum("m")).first()[0] or 0, CELL)
+    work = in_blocks(cells.join(sizes, key), F.ceil(F.col("m") * F.col("size") / CELL)).select("rep", *key, "home", "side", "pair", "at.lo", "at.hi")
+    # The vectors come last: until here a cell of a vector is a few numbers.
+    work = work.join(fit.select("rep", "copies", "embedding"), "rep")
+    packs = parts_for(sizes.agg(F.sum(F.col("m") * F.col("size"))).first()[0] or 0, CELL)
     # A cell that was cut has as many pieces as pairs of its blocks; a small one shares its task.
     piece = F.pmod(F.xxhash64(*key, "lo", "hi"), F.lit(4 * packs))
     found = stash(work.groupBy(piece.alias("piece")).applyInArrow(_compare(threshold, blocks), "rep long, links long, a long, b long, edge boolean"), "links")

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomline.llm import _arrays, byte_bpe, chat, embedding_dedup, jaccard_join, nearest, packing, quality, sharding, suffix_dedup, warc
@@ -249,7 +250,7 @@ def fine(v):
     return v is not None and len(v) > 0 and None not in v and np.isfinite(v).all() and np.any(v)
 
 
-@pytest.mark.parametrize(("cell", "grid"), [(2048, 32_768), (8, 4)])
+@pytest.mark.parametrize(("cell", "grid"), [(1 << 19, 32_768), (128, 4)])
 def test_embedding_dedup(spark, vecs, monkeypatch, cell, grid):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)
     monkeypatch.setattr(embedding_dedup, "GRID", grid)
@@ -267,6 +268,18 @@ def test_embedding_dedup(spark, vecs, monkeypatch, cell, grid):
     assert embedding_dedup.embedding_dedup(vecs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [4, 8, 12])
+def test_embedding_dedup_bounds_the_cells_of_a_vector(blocks):
+    """However large a label is, its grid goes no further than the finest one, and that gives a vector no more than COPIES cells."""
+    x = np.random.default_rng(6).standard_normal((20, 64))
+    g = embedding_dedup.finest(blocks)
+    batch = pa.RecordBatch.from_pydict({"rep": list(range(20)), "label": ["a"] * 20, "embedding": pa.array(x.tolist()), "grid": pa.array([g] * 20, pa.int32())})
+    (out,) = embedding_dedup._cells(0.93, blocks)(iter([batch]))
+    counts = {len(c) for c in out.column("cells").to_pylist()}
+    assert counts == {blocks * (3**g + 1) // 2} and max(counts) <= embedding_dedup.COPIES < blocks * (3 ** (g + 1) + 1) // 2
+    assert embedding_dedup.finest(1000) == 1
+
+
 def test_embedding_dedup_of_copies_and_shared_ids(spark):
     rng = np.random.default_rng(4)
     base, other = rng.standard_normal((2, 16))
@@ -543,6 +556,8 @@ def test_chat(spark):
     said = [r.rendered[slice(*map(int, s.split("-")))] for s in r.mask.split(",")]
     assert said == ["hi < |end|><|end|>", "<|end|>"]
     assert got[3, "ann"].rendered == "<|assistant|>\nme<|end|>\n" * 2 + "<|user name=unknown|>\nwho<|end|>\n"
+    long = chat.rotate(spark.createDataFrame([(1, k, "ab"[k % 2], "t") for k in range(2000)], "conv_id long, turn long, role string, text string")).collect()
+    assert [r.n_turns for r in long] == [2000, 2000] and all(r.mask.count("-") == 1000 for r in long)
     parts = chat.rotate(spark.createDataFrame([(1, k, "ab"[k % 2], "t") for k in range(10)], "conv_id long, turn long, role string, text string"), part=4).collect()
     assert sorted(r.n_turns for r in parts) == [2, 2, 4, 4, 4, 4]
 
