@@ -153,6 +153,13 @@ def evidence(facts: DataFrame, key: str) -> DataFrame:
     return facts.where(F.col("key") == key).select("session_id", "idx", "kind", "tool", "raw", "tokens_est")
 
 
+def variants(facts: DataFrame) -> DataFrame:
+    """(key, raw, n, spellings): the spellings in which each key was searched, how often each, for keys with two or more."""
+    each = facts.where("kind = 'search'").groupBy("key", "raw").agg(F.count("*").alias("n"))
+    many = each.groupBy("key").agg(F.count("*").alias("spellings")).where("spellings >= 2")
+    return each.join(many, "key").select("key", "raw", "n", "spellings")
+
+
 def picked(rows: DataFrame, which: str) -> DataFrame:
     """The need of that rank (by cost), key or label."""
     asked = which.strip().lower()

@@ -146,19 +146,36 @@ def refreshed(old: DataFrame, new: DataFrame, key: list[str], edited: list[str])
     return out.select(*key, *pick, F.col("here").isNull().alias("missing"))
 
 
+def in_context(components: DataFrame) -> tuple[Column, Column]:
+    """Tokens that are always in context, and those that come on use: a skill's front matter and its body, else all of a static or of a dynamic component."""
+    known = lambda c: F.col(c) if c in components.columns else F.lit(None)
+    skill, static = F.col("type") == "skill", F.col("context") == "static"
+    always = F.when(skill & known("tokens_meta_est").isNotNull(), known("tokens_meta_est")).when(~skill & static, F.col("tokens_est"))
+    used = F.when(skill, known("tokens_body_est")).when(F.col("context") == "dynamic", F.col("tokens_est"))
+    return F.coalesce(always, F.lit(0)).cast("long"), F.coalesce(used, F.lit(0)).cast("long")
+
+
 def static_tokens(components: DataFrame) -> DataFrame:
     """(repo_id where known, id, static_tokens) of what is always in context, largest first: a skill's front matter, else all of a static component."""
     key = ["repo_id"] if "repo_id" in components.columns else []
-    meta = F.col("tokens_meta_est") if "tokens_meta_est" in components.columns else F.lit(0)
-    tokens = F.when(F.col("type") == "skill", meta).when(F.col("context") == "static", F.col("tokens_est"))
-    return components.where("NOT missing").select(*key, "id", F.coalesce(tokens, F.lit(0)).alias("static_tokens")).where("static_tokens > 0").orderBy(F.desc("static_tokens"), *key, "id")
+    always, _ = in_context(components)
+    return components.where("NOT missing").select(*key, "id", always.alias("static_tokens")).where("static_tokens > 0").orderBy(F.desc("static_tokens"), *key, "id")
+
+
+def largest(components: DataFrame, n: int = 12) -> DataFrame:
+    """(repo_id, no, id, static_tokens, share): the n of each repository that hold most of what is always in context, and their percentage of all of it."""
+    rows = static_tokens(components)
+    total = rows.groupBy("repo_id").agg(F.sum("static_tokens").alias("total"))
+    top = rows.withColumn("no", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("static_tokens"), "id"))).where(F.col("no") <= n)
+    return top.join(total, "repo_id").select("repo_id", "no", "id", "static_tokens", F.round(F.col("static_tokens") * 100.0 / F.col("total"), 1).alias("share"))
 
 
 def summary(components: DataFrame) -> DataFrame:
-    """Counts and tokens by type, by provenance, and in all."""
-    g = components.groupingSets([["type"], ["provenance"], []], "type", "provenance")
-    static = F.sum(F.when(F.col("context") == "static", F.col("tokens_est")).otherwise(0))
-    return g.agg(F.count("*").alias("components"), static.alias("static_tokens"), F.sum(F.when(F.col("context") != "static", F.col("tokens_est")).otherwise(0)).alias("dynamic_tokens"))
+    """Counts and tokens by type, by provenance, and in all; what is missing does not count."""
+    rows = components.where("NOT missing") if "missing" in components.columns else components
+    always, used = in_context(rows)
+    g = rows.groupingSets([["type"], ["provenance"], []], "type", "provenance")
+    return g.agg(F.count("*").alias("components"), F.sum(always).alias("static_tokens"), F.sum(used).alias("dynamic_tokens"))
 
 
 def with_names(components: DataFrame) -> DataFrame:

@@ -220,6 +220,19 @@ def top_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.top_needs(facts.needs(_facts(spark, sf_dir), ["event_id"]), 5).select("key", "tokens", "times")
 
 
+@query(NEEDS + " SELECT key, label, tokens, times FROM (SELECT *, row_number() OVER (ORDER BY tokens DESC, times DESC, key) AS no FROM needs) WHERE no = 2 UNION ALL SELECT key, label, tokens, times FROM needs WHERE key = 'key4' UNION ALL SELECT key, label, tokens, times FROM needs WHERE lower(label) = 'raw1'")
+def picked_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One need by its rank, one by its key, and those of a label, as a user would ask for them."""
+    rows = facts.needs(_facts(spark, sf_dir), ["event_id"])
+    out = [facts.picked(rows, which).select("key", "label", "tokens", "times") for which in ("2", " KEY4 ", "raw1")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(FACTS + ", r AS (SELECT key, raw, count(*) AS n FROM f WHERE kind = 'search' GROUP BY key, raw), v AS (SELECT *, count(*) OVER (PARTITION BY key) AS spellings FROM r) SELECT key, raw, n, spellings FROM v WHERE spellings >= 2")
+def search_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.variants(_facts(spark, sf_dir))
+
+
 @query(NEEDS + " SELECT CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(tokens) * 100.0 / (SELECT sum(tokens) * 3 FROM e), 1) AS share FROM needs")
 def needs_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = session_events(spark, sf_dir).agg((F.sum("tokens") * 3).alias("total"))

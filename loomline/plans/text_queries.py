@@ -315,6 +315,24 @@ def static_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.static_tokens(inventory.scan(_repo(spark, sf_dir))).drop("repo_id")
 
 
+STATIC = f"""s AS (SELECT p_partkey % 10 AS repo_id, 'skill:s' || p_partkey AS id, 'skill' AS type, CAST(ceil((octet_length(encode(p_name)) + 8) / 4.0) AS BIGINT) AS always, CAST(ceil((octet_length(encode(p_type)) + 1) / 4.0) AS BIGINT) AS used FROM part WHERE p_partkey % 4 = 0
+  UNION ALL SELECT p_partkey % 10, CASE p_partkey % 4 WHEN 1 THEN 'command:g:c' WHEN 2 THEN 'agent:a' ELSE 'guide:d' END || p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'command' WHEN 2 THEN 'agent' ELSE 'guide' END,
+    CASE WHEN p_partkey % 4 = 2 THEN {EST.format('p_type')} ELSE 0 END, CASE WHEN p_partkey % 4 <> 2 THEN {EST.format('p_type')} ELSE 0 END FROM part WHERE p_partkey % 4 <> 0)"""
+
+
+@query(f"""WITH {STATIC}, n AS (SELECT repo_id, id, always, row_number() OVER (PARTITION BY repo_id ORDER BY always DESC, id) AS no, sum(always) OVER (PARTITION BY repo_id) AS total FROM s WHERE always > 0)
+SELECT repo_id, no, id, always AS static_tokens, round(always * 100.0 / total, 1) AS share FROM n WHERE no <= 12""")
+def inventory_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.largest(inventory.scan(_repo(spark, sf_dir)))
+
+
+@query(f"""WITH {STATIC} SELECT type, CASE WHEN grouping(provenance) = 0 THEN provenance END AS provenance, count(*) AS components, CAST(sum(always) AS BIGINT) AS static_tokens, CAST(sum(used) AS BIGINT) AS dynamic_tokens
+FROM (SELECT *, 'local' AS provenance FROM s) GROUP BY GROUPING SETS ((type), (provenance), ())""")
+def inventory_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary where skills stand with their front matter in one column and their body in the other."""
+    return inventory.summary(inventory.scan(_repo(spark, sf_dir)))
+
+
 # --- guidance graph: pages lead to pages that share a link ---
 
 
