@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from loomline.functions import text as T
 
 from . import shell
+from .joins import spread
 
 #: Tools that change a file.
 EDITORS = ["Edit", "Write", "MultiEdit", "NotebookEdit"]
@@ -132,7 +133,7 @@ def usages(marks: DataFrame, shown: int = 50) -> DataFrame:
     counts = marks.groupBy(*key).agg(F.count("*").alias("count"), F.max("confidence").alias("confidence"))
     order = Window.partitionBy(*key).orderBy("idx", "seq")
     few = marks.withColumn("no", F.row_number().over(order)).where(F.col("no") <= shown).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("idx", "seq", "summary"))).alias("evidence"))
-    return counts.join(few, key)
+    return counts.join(spread(few), key)
 
 
 def session_stats(events: DataFrame, digest: int = 80) -> DataFrame:
@@ -164,7 +165,7 @@ def missed_hooks(sessions: DataFrame, uses: DataFrame, components: DataFrame) ->
     due = components.where("type = 'hook' AND miss_when = 'git_commit'").select("repo_id", F.col("id").alias("component_id")).distinct()
     asked = sessions.where("commits > 0").select("session_id", "repo_id")
     total = asked.groupBy("repo_id").agg(F.countDistinct("session_id").alias("sessions"))
-    seen = uses.where("state = 'invoked' AND count > 0").select("session_id", "component_id").join(asked, "session_id").join(due, ["repo_id", "component_id"], "left_semi")
+    seen = uses.where("state = 'invoked' AND count > 0").select("session_id", "component_id").join(spread(asked), "session_id").join(due, ["repo_id", "component_id"], "left_semi")
     seen = seen.groupBy("repo_id", "component_id").agg(F.countDistinct("session_id").alias("seen"))
     out = due.join(total, "repo_id", "left").join(seen, ["repo_id", "component_id"], "left")
     return out.select("repo_id", "component_id", (F.coalesce("sessions", F.lit(0)) - F.coalesce("seen", F.lit(0))).alias("missed"))
@@ -174,7 +175,7 @@ def session_misses(sessions: DataFrame, uses: DataFrame, components: DataFrame)
     """(session_id, component_id): for sessions with commits, each due hook of the repository that never ran. For reports on few sessions; totals come from missed_hooks."""
     due = components.where("type = 'hook' AND miss_when = 'git_commit'").select("repo_id", F.col("id").alias("component_id"))
     seen = uses.where("state = 'invoked' AND count > 0").select("session_id", "component_id")
-    return sessions.where("commits > 0").select("session_id", "repo_id").join(due, "repo_id").join(seen, ["session_id", "component_id"], "left_anti").select("session_id", "component_id")
+    return sessions.where("commits > 0").select("session_id", "repo_id").join(due, "repo_id").join(spread(seen), ["session_id", "component_id"], "left_anti").select("session_id", "component_id")
 
 
 #: Fixed value: how a message begins that brings a skill's text into context.
@@ -208,7 +209,7 @@ def always_loaded(first_events: DataFrame, components: DataFrame) -> DataFrame:
 def first_events(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """(session_id, repo_id, idx, seq): each session's first event; sessions: (session_id, repo_id)."""
     first = events.groupBy("session_id").agg(F.min(F.struct("idx", "seq")).alias("at"))
-    return first.join(sessions.select("session_id", "repo_id"), "session_id").select("session_id", "repo_id", "at.idx", "at.seq")
+    return first.join(spread(sessions.select("session_id", "repo_id")), "session_id").select("session_id", "repo_id", "at.idx", "at.seq")
 
 
 def attribute(events: DataFrame, results: DataFrame, components: DataFrame, sessions: DataFrame, reads: DataFrame) -> DataFrame:
@@ -220,9 +221,9 @@ def attribute(events: DataFrame, results: DataFrame, components: DataFrame, sess
     at = ["session_id", "repo_id", "root", "idx", "seq"]
     components = components.where("NOT missing")
     first = first_events(events, sessions)
-    events = events.join(sessions.select("session_id", "repo_id", "root"), "session_id")
+    events = events.join(spread(sessions.select("session_id", "repo_id", "root")), "session_id")
     field = lambda p: F.get_json_object("tool_input", f"$.{p}")
-    calls = events.where("kind = 'tool_use'").join(results, ["session_id", "tool_use_id"], "left").withColumn("ok", F.coalesce(~F.col("result_error"), F.lit(False)))
+    calls = events.where("kind = 'tool_use'").join(spread(results), ["session_id", "tool_use_id"], "left").withColumn("ok", F.coalesce(~F.col("result_error"), F.lit(False)))
     tool = F.col("tool_name")
     inside = lambda c: T.path_under(c, F.col("root"))
 
@@ -247,5 +248,5 @@ def attribute(events: DataFrame, results: DataFrame, components: DataFrame, sess
     expansion = (F.col("kind") == "user_msg") & F.startswith("text", F.lit(EXPANSION))
     tagged = events.where(F.col("attribution_skill").isNotNull() & ~F.coalesce(expansion, F.lit(False))).select(*at, F.col("attribution_skill").alias("name"))
     tagged = mark(resolved(tagged, components, "skill"), "loaded", F.col("sure"), F.concat(F.lit("attributionSkill="), "name"), LINE, F.col("body"))
-    able = lambda rows: applicable(rows.join(sessions.select("session_id", "repo_id"), "session_id"), components).select(*MARK)
+    able = lambda rows: applicable(rows.join(spread(sessions.select("session_id", "repo_id")), "session_id"), components).select(*MARK)
     return able(marks).unionByName(first_per_session(able(loaded), able(tagged)))

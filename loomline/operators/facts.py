@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import text as T
 
 from . import shell, windows
+from .joins import spread
 from .windows import SIDE
 
 RAW = 200
@@ -50,7 +51,7 @@ def chain_reads(stream: DataFrame, window: list[str] = SIDE) -> DataFrame:
     narrow = narrow.withColumn("next", F.first("here", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
     reads = narrow.where("op = 'read' AND last IS NOT NULL AND next IS NOT NULL").withColumn("s_idx", F.col("last.idx")).withColumn("s_seq", F.col("last.seq"))
     found = stream.where("op = 'search'").select(F.col("session_id").alias("s_id"), F.col("idx").alias("s_idx"), F.col("seq").alias("s_seq"), F.col("key").alias("key"), F.col("text").alias("found"))
-    hit = reads.join(found, (reads.session_id == found.s_id) & (reads.s_idx == found.s_idx) & (reads.s_seq == found.s_seq))
+    hit = reads.join(spread(found), (reads.session_id == found.s_id) & (reads.s_idx == found.s_idx) & (reads.s_seq == found.s_seq))
     hit = hit.where(T.path_in_text(F.col("path"), F.col("found"), F.col("cwd")))
     raw = F.coalesce(T.relative_path("path", F.regexp_replace("root", "/+$", "")), "path")
     return hit.select(*key, reads.idx, reads.seq, F.lit("chain_read").alias("kind"), "key", F.left(T.scrub(raw), F.lit(RAW)).alias("raw"), F.lit("Read").alias("tool"), F.col("tokens").alias("tokens_est"), F.lit("heuristic").alias("confidence"))
@@ -80,7 +81,7 @@ def extract(events: DataFrame, results: DataFrame, roots: DataFrame | None = Non
     key = ["session_id", *SIDE, "idx", "seq"]
     field = lambda p: F.get_json_object("tool_input", f"$.{p}")
     good = F.when(~F.coalesce("result_error", F.lit(False)), F.col("result_text"))
-    calls = events.where("kind = 'tool_use'").join(results, ["session_id", "tool_use_id"], "left").withColumn("out", good)
+    calls = events.where("kind = 'tool_use'").join(spread(results), ["session_id", "tool_use_id"], "left").withColumn("out", good)
     calls = calls.withColumn("tokens", F.coalesce(T.token_estimate("out"), F.lit(0))).withColumn("command", F.when(F.col("tool_name") == "Bash", field("command")))
     calls = calls.withColumn("pattern", F.when(F.col("tool_name").isin("Grep", "Glob"), F.nullif(field("pattern"), F.lit(""))))
     said = shell.digest(shell.segments(calls.where("command IS NOT NULL"), segs)).select("command", "items", "ls_only")
@@ -92,7 +93,7 @@ def extract(events: DataFrame, results: DataFrame, roots: DataFrame | None = Non
     reads = calls.where("tool_name = 'Read' AND out IS NOT NULL").withColumn("path", field("file_path")).where("path IS NOT NULL")
     stream = anchor.withColumn("op", F.lit("search")).unionByName(reads.select(*key, "path", "cwd", "tokens", F.lit("read").alias("op")), allowMissingColumns=True)
     if roots is not None:
-        stream = stream.join(roots.select("session_id", "root"), "session_id", "left")
+        stream = stream.join(spread(roots.select("session_id", "root")), "session_id", "left")
     runs = windows.runs(calls.withColumn("ls", F.coalesce("ls_only", F.lit(False))), "ls", "NOT ls AND (tool_name <> 'Bash' OR command IS NOT NULL)")
     ritual = runs.select("session_id", *SIDE, "idx", F.lit(0).alias("seq"), F.lit("mapping").alias("kind"), F.lit(T.LAYOUT_KEY).alias("key"), F.lit("ls chain").alias("raw"), F.lit("Bash").alias("tool"), F.col("tokens").alias("tokens_est"), F.lit("heuristic").alias("confidence"))
     last = F.struct(F.lit(1 << 21).alias("seg_no"), F.lit(0).alias("probe_no"), F.lit(0).alias("part_no"))

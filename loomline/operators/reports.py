@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 
+from .joins import spread
+
 LOW_USE = 2
 
 
@@ -28,7 +30,7 @@ def scope(*tables: DataFrame) -> list[str]:
 def window_usage(uses: DataFrame, sessions: DataFrame) -> DataFrame:
     """Per component, and repository where sessions have one: invocations, loads, whether any is heuristic, and when it was last used."""
     key = scope(sessions)
-    joined = uses.join(sessions.select("session_id", "started_at", *key), "session_id")
+    joined = uses.join(spread(sessions.select("session_id", "started_at", *key)), "session_id")
     of = lambda state: F.sum(F.when(F.col("state") == state, F.col("count")).otherwise(0))
     used = F.col("state").isin("invoked", "loaded") & (F.col("count") > 0)
     return joined.groupBy(*key, "component_id").agg(of("invoked").alias("invoked"), of("loaded").alias("loaded"), F.max("confidence").alias("confidence"), F.max(F.when(used, F.col("started_at"))).alias("last_used"))
@@ -76,7 +78,7 @@ def session_components(sessions: DataFrame, uses: DataFrame, components: DataFra
     seen = uses.groupBy("session_id", "component_id").agg(count("invoked"), count("loaded"), F.max("confidence").alias("confidence"))
     due = F.col("miss_when") == "git_commit" if "miss_when" in components.columns else F.lit(False)
     every = components.where("NOT missing").select("repo_id", F.col("id").alias("component_id"), "type", "states", due.alias("due"))
-    rows = sessions.select("session_id", "repo_id", "commits", T.supported_version("version").alias("known")).join(every, "repo_id").join(seen, ["session_id", "component_id"], "left")
+    rows = sessions.select("session_id", "repo_id", "commits", T.supported_version("version").alias("known")).join(every, "repo_id").join(spread(seen), ["session_id", "component_id"], "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("invoked", "loaded")})
     state = F.when(F.col("invoked") > 0, "invoked").when(F.col("loaded") > 0, "loaded").otherwise("registered")
     able = F.when(F.array_contains("states", "invoked"), "invoked").when(F.array_contains("states", "loaded"), "loaded").otherwise("registered")
@@ -111,7 +113,7 @@ def file_loads(reads: DataFrame) -> DataFrame:
     tools = reads.groupBy("session_id", "path", "tool").agg(F.count("*").alias("n")).groupBy("session_id", "path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "n")))).alias("by_tool"))
     out = reads.groupBy("session_id", "path").agg(F.min(F.struct("idx", "seq")).alias("first"), F.count("*").alias("loads"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_list(F.when(F.col("range").isNotNull(), F.struct("idx", "seq", "range")))).alias("ranges"))
     order = Window.partitionBy("session_id").orderBy("first", "path")
-    return out.join(tools, ["session_id", "path"]).withColumn("no", F.row_number().over(order)).select("session_id", "path", "no", F.col("first.idx").alias("first_idx"), "loads", "by_tool", "confidence", F.transform("ranges", lambda r: r.range).alias("ranges"))
+    return out.join(spread(tools), ["session_id", "path"]).withColumn("no", F.row_number().over(order)).select("session_id", "path", "no", F.col("first.idx").alias("first_idx"), "loads", "by_tool", "confidence", F.transform("ranges", lambda r: r.range).alias("ranges"))
 
 
 def warnings(sessions: DataFrame, covered: DataFrame) -> DataFrame:

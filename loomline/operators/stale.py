@@ -9,6 +9,7 @@ from loomline.functions import text as T
 
 from . import shell
 from .attribution import EDITORS
+from .joins import spread
 from .windows import SIDE
 
 OPS = ["session_id", *SIDE, "idx", "seq", "op", "path", "tokens", "partial", "exact", "tool"]
@@ -24,8 +25,8 @@ def stale_ops(events: DataFrame, results: DataFrame, roots: DataFrame | None = N
     field = lambda p: F.get_json_object("tool_input", f"$.{p}")
     if roots is None:
         roots = events.select("session_id").distinct().withColumn("root", F.lit(None).cast("string"))
-    own = events.join(roots.select("session_id", F.regexp_replace("root", "/+$", "").alias("root")), "session_id", "left")
-    calls = own.where("kind = 'tool_use'").join(results, ["session_id", "tool_use_id"]).where("NOT coalesce(result_error, false)")
+    own = events.join(spread(roots.select("session_id", F.regexp_replace("root", "/+$", "").alias("root"))), "session_id", "left")
+    calls = own.where("kind = 'tool_use'").join(spread(results), ["session_id", "tool_use_id"]).where("NOT coalesce(result_error, false)")
     calls = calls.withColumn("tokens", F.coalesce(T.token_estimate("result_text"), F.lit(0))).withColumn("seq", F.col("seq").cast("long") * (1 << 20))
     at = ["session_id", *SIDE, "idx", "seq"]
     tool = F.col("tool_name")
@@ -46,7 +47,7 @@ def stale_ops(events: DataFrame, results: DataFrame, roots: DataFrame | None = N
     segs = shell.segments(bash, segs)
     shown = resolved(bash.join(shell.whole_reads(segs), "command"))
     per = shown.groupBy("session_id", "idx", "seq").agg(F.count("*").alias("n"))
-    shown = shown.join(per, ["session_id", "idx", "seq"])
+    shown = shown.join(spread(per), ["session_id", "idx", "seq"])
     shown = shown.select(*[c for c in at if c != "seq"], (F.col("seq") + F.col("seg_no")).alias("seq"), F.lit("read").alias("op"), "path", T.even_share("tokens", "n").alias("tokens"), F.lit(False).alias("partial"), F.lit(False).alias("exact"), F.lit("Bash").alias("tool"))
     changes = bash.join(shell.mutations(segs), "command")
     changes = resolved(changes.where("path IS NOT NULL")).withColumn("late", F.lit(1 << 18)).unionByName(changes.where("path IS NULL").withColumn("late", F.lit(1 << 19)))

@@ -13,6 +13,7 @@ from loomline.functions import text as T
 
 from . import attribution, shell, windows
 from .attribution import CALL, DONE, EDITORS, SAID, START
+from .joins import spread
 
 ENTRY = ["session_id", "idx", "seq", "rank", "sub", "kind", "component_id", "state", "tool", "detail", "confidence", "tokens", "is_sidechain", "agent", "ts"]
 READ = ["session_id", "repo_id", "idx", "seq", "sub", "path", "target", "inside", "tool", "confidence", "tokens", "range", "component_id", "is_sidechain", "agent"]
@@ -22,7 +23,7 @@ INJECTED = "system-injected"
 
 def calls_with_results(events: DataFrame, results: DataFrame, owned: DataFrame) -> DataFrame:
     """Tool calls with their first result, its tokens, whether it is there and whether it failed, and the session's repository."""
-    calls = events.where("kind = 'tool_use'").join(results, ["session_id", "tool_use_id"], "left").join(owned.select("session_id", "repo_id", "root"), "session_id", "left")
+    calls = events.where("kind = 'tool_use'").join(spread(results), ["session_id", "tool_use_id"], "left").join(spread(owned.select("session_id", "repo_id", "root")), "session_id", "left")
     failed = F.coalesce("result_error", F.lit(False))
     return calls.withColumns({"failed": F.col("result_idx").isNotNull() & failed, "ok": F.col("result_idx").isNotNull() & ~failed, "tokens": F.coalesce(T.token_estimate("result_text"), F.lit(0))})
 
@@ -54,7 +55,7 @@ def file_reads(events: DataFrame, results: DataFrame, owned: DataFrame, files: D
     rows = rows.withColumn("component_id", F.coalesce(F.when(F.col("inside"), F.col("by_path")), "by_name"))
     always = present.where("type = 'guide' AND context = 'static'").select("repo_id", F.col("id").alias("component_id"), F.coalesce("path", "source", "name").alias("path"), attribution.weight(present).alias("tokens"))
     sides = events.groupBy("session_id").agg(F.min(F.struct("idx", "seq", "is_sidechain", "agent")).alias("e"))
-    always = attribution.first_events(events, owned).join(always, "repo_id").join(sides.select("session_id", "e.is_sidechain", "e.agent"), "session_id")
+    always = attribution.first_events(events, owned).join(always, "repo_id").join(spread(sides.select("session_id", "e.is_sidechain", "e.agent")), "session_id")
     always = always.withColumns({"sub": F.lit(0), "target": F.col("path"), "inside": F.lit(True), "tool": F.lit(INJECTED), "confidence": F.lit("exact")})
     return rows.select(READ).unionByName(always.select([c for c in READ if c != "range"]), allowMissingColumns=True).withColumn("path", T.scrub("path"))
 
@@ -71,7 +72,7 @@ def actions(events: DataFrame, results: DataFrame, owned: DataFrame, reads: Data
     calls = calls_with_results(events, results, owned).where(F.col("tool_name").isin(*EDITORS, "Bash"))
     field = lambda p: F.get_json_object("tool_input", f"$.{p}")
     shown = reads.where("tool = 'Bash'").select("session_id", "idx", "seq").distinct().withColumn("shown", F.lit(True))
-    calls = calls.join(shown, ["session_id", "idx", "seq"], "left")
+    calls = calls.join(spread(shown), ["session_id", "idx", "seq"], "left")
     target = F.coalesce(field("file_path"), field("notebook_path"), F.lit(""))
     path = F.coalesce(T.path_under(F.nullif(target, F.lit("")), F.col("root")), target)
     bash = F.col("tool_name") == "Bash"
@@ -83,14 +84,14 @@ def actions(events: DataFrame, results: DataFrame, owned: DataFrame, reads: Data
 def entries(events: DataFrame, results: DataFrame, components: DataFrame, owned: DataFrame, marks: DataFrame, reads: DataFrame) -> DataFrame:
     """All entries of sessions, in no order: marks other than registered, actions, files read that are no component's, compactions."""
     kinds = components.groupBy("repo_id", F.col("id").alias("component_id")).agg(F.min("type").alias("kind"))
-    of = marks.where("state <> 'registered'").join(owned.select("session_id", "repo_id"), "session_id").join(kinds, ["repo_id", "component_id"])
+    of = marks.where("state <> 'registered'").join(spread(owned.select("session_id", "repo_id")), "session_id").join(kinds, ["repo_id", "component_id"])
     twice = F.when(F.col("rank") == DONE, 2 * F.col("sub")).otherwise(F.col("sub"))
     of = of.select("session_id", "idx", "seq", "rank", twice.alias("sub"), "kind", "component_id", "state", F.col("summary").alias("detail"), "confidence", "tokens")
     read = reads.where((F.col("tool") != INJECTED) & F.col("component_id").isNull())
     read = read.select("session_id", "idx", "seq", F.lit(DONE).alias("rank"), (2 * F.col("sub") + 1).alias("sub"), F.lit("file_read").alias("kind"), F.concat_ws(" ", "tool", "path").alias("detail"), "confidence", "tokens", "tool")
     left = events.where("kind = 'compaction'").select("session_id", "idx", "seq", F.lit(SAID).alias("rank"), F.lit(0).alias("sub"), F.lit("compaction").alias("kind"), F.lit("compaction").alias("detail"), F.lit("exact").alias("confidence"), F.lit(0).cast("long").alias("tokens"))
     rows = of.unionByName(actions(events, results, owned, reads), allowMissingColumns=True).unionByName(read, allowMissingColumns=True).unionByName(left, allowMissingColumns=True)
-    rows = rows.join(events.select("session_id", "idx", "seq", "is_sidechain", "agent", "ts"), ["session_id", "idx", "seq"])
+    rows = rows.join(spread(events.select("session_id", "idx", "seq", "is_sidechain", "agent", "ts")), ["session_id", "idx", "seq"])
     return rows.withColumn("detail", T.agent_tagged("detail", "is_sidechain", "agent")).select(ENTRY)
 
 
@@ -105,7 +106,7 @@ def session_timeline(entries: DataFrame, bounds: DataFrame, stale: DataFrame, sa
     rows = rows.withColumn("no", F.row_number().over(order)).withColumn("is_sidechain", F.coalesce("is_sidechain", F.lit(False))).drop("early")
     rows = windows.with_stale_rows(rows, stale)
     times = entries.groupBy("session_id", "idx").agg(F.min("ts").alias("at"))
-    rows = rows.join(times, ["session_id", "idx"], "left").withColumn("ts", F.coalesce("ts", "at")).drop("at")
+    rows = rows.join(spread(times), ["session_id", "idx"], "left").withColumn("ts", F.coalesce("ts", "at")).drop("at")
     return windows.measured(rows, samples, rows.where("kind = 'compaction'"))
 
 

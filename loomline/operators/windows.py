@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import spread
+
 SIDE = ["is_sidechain", "agent"]
 BEFORE = (Window.unboundedPreceding, -1)
 SO_FAR = (Window.unboundedPreceding, 0)
@@ -82,15 +84,15 @@ def stale_windows(ops: DataFrame, window: list[str] = SIDE) -> DataFrame:
     same = F.lit(True)
     for w in window:
         same = same & F.col(w).eqNullSafe(F.col(f"m_{w}"))
-    named = held.join(mutations.where("path IS NOT NULL"), ["session_id", "path"]).select(*key, "idx", "seq", phase(1), F.lit("M").alias("op"), "tool", (F.col("exact") & same).alias("exact"))
+    named = held.join(spread(mutations.where("path IS NOT NULL")), ["session_id", "path"]).select(*key, "idx", "seq", phase(1), F.lit("M").alias("op"), "tool", (F.col("exact") & same).alias("exact"))
     wild = mutations.where("path IS NULL").groupBy("session_id", "idx").agg(F.min_by("tool", "seq").alias("tool"), F.min("seq").alias("seq"))
-    wild = held.join(wild, "session_id").select(*key, "idx", "seq", phase(2), F.lit("M").alias("op"), "tool", F.lit(False).alias("exact"))
+    wild = held.join(spread(wild), "session_id").select(*key, "idx", "seq", phase(2), F.lit("M").alias("op"), "tool", F.lit(False).alias("exact"))
     # A compaction ends what its window holds; it joins only paths that the window has read.
     compact = ops.where("op = 'compact'").select("session_id", *window, "idx", "seq")
     cond = F.col("h.session_id") == F.col("c.session_id")
     for w in window:
         cond = cond & F.col(f"h.{w}").eqNullSafe(F.col(f"c.{w}"))
-    compact = held.alias("h").join(compact.alias("c"), cond).select(*[F.col(f"h.{k}") for k in key], "c.idx", "c.seq", phase(0), F.lit("C").alias("op"), F.lit(None).cast("string").alias("tool"), F.lit(True).alias("exact"))
+    compact = held.alias("h").join(spread(compact.alias("c")), cond).select(*[F.col(f"h.{k}") for k in key], "c.idx", "c.seq", phase(0), F.lit("C").alias("op"), F.lit(None).cast("string").alias("tool"), F.lit(True).alias("exact"))
     read = reads.select(*key, "idx", "seq", phase(0), F.lit("R").alias("op"), "tool", "exact", "tokens", "partial")
     stream = read.unionByName(named, allowMissingColumns=True).unionByName(wild, allowMissingColumns=True).unionByName(compact, allowMissingColumns=True)
     order = Window.partitionBy(*key).orderBy("idx", "seq", "phase")
@@ -151,7 +153,7 @@ def with_stale_rows(rows: DataFrame, stale: DataFrame) -> DataFrame:
     )
     closed = stale.where("outcome = 're-read' AND close_idx IS NOT NULL").groupBy("session_id", F.col("close_idx").alias("idx")).agg(F.array_sort(F.collect_list("stale_no")).alias("closes"))
     first = F.row_number().over(Window.partitionBy("session_id", "idx", "able").orderBy("no"))
-    noted = rows.withColumn("able", F.col("kind").isin("file_read", "action")).withColumn("first", F.col("able") & (first == 1)).join(closed, ["session_id", "idx"], "left")
+    noted = rows.withColumn("able", F.col("kind").isin("file_read", "action")).withColumn("first", F.col("able") & (first == 1)).join(spread(closed), ["session_id", "idx"], "left")
     note = F.array_join(F.transform("closes", lambda n: F.format_string(" (closes S%d)", n)), "")
     noted = noted.withColumn("detail", F.when(F.col("first") & F.col("closes").isNotNull(), F.concat("detail", note)).otherwise(F.col("detail"))).drop("able", "first", "closes")
     every = noted.withColumn("after", F.lit(0)).unionByName(opened, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
-from loomline.operators import attribution, facts, reports, stale, timeline, windows
+from loomline.operators import attribution, facts, reports, shell, stale, timeline, windows
 from loomline.operators.guidance import written
 from loomline.sources import transcripts
 
@@ -42,6 +42,8 @@ def step(idx: int, kind: str, tool: str | None = None, given: dict[str, Column]
 def played(spark: SparkSession, sf_dir: str, steps: list[Column]) -> DataFrame:
     """Events of all sessions, with what the readers of transcripts would give."""
     own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_custkey").alias("k"))
+    # Sessions are played by all cores: their table is so small that one task would read it.
+    own = own.repartition(spark.sparkContext.defaultParallelism, "session_id")
     rows = own.select("session_id", F.explode(F.concat(*steps)).alias("e")).select("session_id", "e.*")
     return rows.withColumns({"seq": F.lit(0), "is_sidechain": F.col("agent").isNotNull(), "ts": F.timestamp_seconds(F.col("idx"))})
 
@@ -67,7 +69,19 @@ def components(spark: SparkSession) -> DataFrame:
     rows = [(r, *c[1:]) for c in COMPONENTS for r in c[0].split()]
     out = spark.createDataFrame(rows, "repo_id string, id string, type string, name string, source string, path string, context string, states array<string>, missing boolean")
     hook = F.col("type") == "hook"
-    return out.withColumns({"hook_event": F.when(hook, "PreToolUse"), "hook_commands": F.when(hook, F.array(F.lit("lint"))), "miss_when": F.when(hook, "git_commit")})
+    # A list of this module, of the same size for any tables.
+    return F.broadcast(out.withColumns({"hook_event": F.when(hook, "PreToolUse"), "hook_commands": F.when(hook, F.array(F.lit("lint"))), "miss_when": F.when(hook, "git_commit")}))
+
+
+def listed(spark: SparkSession, *paths: str) -> DataFrame:
+    """These files in each of the three repositories."""
+    return F.broadcast(spark.createDataFrame([(f"r{k}", p) for k in range(3) for p in paths], "repo_id string, path string"))
+
+
+def said(events: DataFrame) -> DataFrame:
+    """Segments of the distinct commands as a table, so that joins know whether they are few."""
+    command = F.get_json_object("tool_input", "$.command").alias("command")
+    return written(shell.segments(events.where("tool_name = 'Bash'").select(command).where("command IS NOT NULL")), "segments")
 
 
 def _worked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,14 +108,13 @@ MARKS = """WITH c AS (SELECT c_custkey AS session_id, c_custkey % 3 AS r, c_cust
 def _attributed(events: DataFrame, found: DataFrame, owned: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, reads, marks) of played events, as a sync would write them."""
     results = written(transcripts.first_results(events), "results")
-    reads = written(timeline.file_reads(events, results, owned, files, found), "reads")
+    reads = written(timeline.file_reads(events, results, owned, files, found, said(events)), "reads")
     return results, reads, written(attribution.attribute(events, results, found, owned, reads), "marks")
 
 
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, owned = written(_worked(spark, sf_dir), "events"), _owned(spark, sf_dir)
-    files = spark.createDataFrame([(f"r{k}", "docs/x.md") for k in range(3)], "repo_id string, path string")
-    return _attributed(events, components(spark), owned, files)[2].unionByName(attribution.registered(attribution.first_events(events, owned), components(spark)))
+    return _attributed(events, components(spark), owned, listed(spark, "docs/x.md"))[2].unionByName(attribution.registered(attribution.first_events(events, owned), components(spark)))
 
 
 @query(MARKS + " SELECT session_id, component_id, state, idx, confidence FROM m")
@@ -153,7 +166,7 @@ def repository_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of three repositories that share ids; hooks are missed in the commits of their own repository only."""
     from .session_queries import AS_OF, START
 
-    sessions = _owned(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_custkey").alias("k")), "session_id")
+    sessions = _owned(spark, sf_dir).withColumn("k", F.col("session_id"))
     sessions = sessions.withColumns({"started_at": _started(), "commits": F.lit(1)})
     uses, own = attribution.usages(_marks(spark, sf_dir)), components(spark).where("NOT missing")
     return reports.window_report(sessions, uses, own, attribution.missed_hooks(sessions, uses, own), START, AS_OF)
@@ -165,7 +178,7 @@ SELECT c.session_id, 'r' || c.r AS repo_id, d.component_id, d.type, CASE WHEN n.
 FROM c JOIN d ON d.r = c.r JOIN n ON n.session_id = c.session_id AND n.component_id = d.component_id""")
 def session_component_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every component of a session's repository; every second session commits, and every fourth is of a supported version."""
-    sessions = _owned(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_custkey").alias("k")), "session_id")
+    sessions = _owned(spark, sf_dir).withColumn("k", F.col("session_id"))
     sessions = sessions.withColumns({"version": F.when(nth() % 4 == 0, "2.1.7").otherwise("2.0.9"), "commits": (nth() % 2 == 0).cast("int")})
     return reports.session_components(sessions, attribution.usages(_marks(spark, sf_dir)), components(spark))
 
