@@ -227,9 +227,10 @@ def session_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT session_id, CAST(no AS INTEGER) AS no, path, CAST(first_idx AS BIGINT) AS first_idx, CAST(loads AS BIGINT) AS loads, CAST(injected AS BIGINT) AS injected, CAST(reads AS BIGINT) AS reads, CAST(bash AS BIGINT) AS bash, confidence FROM c JOIN x ON contains(repos, CAST(r AS VARCHAR))""")
 def session_file_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in the main context; what the subagent read is not among them."""
-    events, owned = _timed(spark, sf_dir), _owned(spark, sf_dir)
-    files = spark.createDataFrame([(f"r{k}", p) for k in range(3) for p in ("docs/x.md", "docs/y.md")], "repo_id string, path string")
-    out = reports.file_loads(timeline.file_reads(events, transcripts.first_results(events), owned, files, components(spark)))
+    events, owned = written(_timed(spark, sf_dir), "events"), _owned(spark, sf_dir)
+    results = written(transcripts.first_results(events), "results")
+    reads = timeline.file_reads(events, results, owned, listed(spark, "docs/x.md", "docs/y.md"), components(spark), said(events))
+    out = reports.file_loads(written(reads, "reads"))
     by = lambda tool: F.coalesce(F.try_element_at("by_tool", F.lit(tool)), F.lit(0))
     return out.select("session_id", "no", "path", "first_idx", "loads", by(timeline.INJECTED).alias("injected"), by("Read").alias("reads"), by("Bash").alias("bash"), "confidence")
 
