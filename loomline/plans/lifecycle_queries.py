@@ -287,9 +287,9 @@ s AS (
   UNION ALL SELECT session_id, 'n.ipynb', 20, 20, NULL, 'never-re-read', 1, 'echo', false, 'heuristic' FROM c
 ) SELECT session_id, path, CAST(read_idx AS BIGINT) AS read_idx, CAST(mutate_idx AS BIGINT) AS mutate_idx, CAST(close_idx AS BIGINT) AS close_idx, outcome, CAST(tokens AS BIGINT) AS read_tokens_est, mutate_tool, partial AS read_partial, confidence FROM s""")
 def session_stale_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _changed(spark, sf_dir)
-    ops = stale.stale_ops(events, transcripts.first_results(events), _owned(spark, sf_dir).select("session_id", "root"))
-    return windows.stale_windows(ops).select("session_id", "path", "read_idx", "mutate_idx", "close_idx", "outcome", "read_tokens_est", "mutate_tool", "read_partial", "confidence")
+    events = written(_changed(spark, sf_dir), "events")
+    ops = stale.stale_ops(events, written(transcripts.first_results(events), "results"), _owned(spark, sf_dir).select("session_id", "root"), said(events))
+    return windows.stale_windows(written(ops, "ops")).select("session_id", "path", "read_idx", "mutate_idx", "close_idx", "outcome", "read_tokens_est", "mutate_tool", "read_partial", "confidence")
 
 
 # --- the rest of what a sync writes, on orders ---
