@@ -212,12 +212,11 @@ SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ord)
 FROM c JOIN x ON contains(repos, CAST(r AS VARCHAR)) AND contains(half, CASE WHEN odd THEN 'o' ELSE 'e' END)""")
 def session_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, owned, found = written(_timed(spark, sf_dir), "events"), _owned(spark, sf_dir), components(spark).withColumn("tokens_est", F.lit(10).cast("long"))
-    files = spark.createDataFrame([(f"r{k}", p) for k in range(3) for p in ("docs/x.md", "docs/y.md", "src/a.py")], "repo_id string, path string")
-    results, reads, marks = _attributed(events, found, owned, files)
+    results, reads, marks = _attributed(events, found, owned, listed(spark, "docs/x.md", "docs/y.md", "src/a.py"))
     rows = written(timeline.entries(events, results, found, owned, marks, reads), "entries")
     stats = attribution.session_stats(events).withColumn("version", F.lit(None).cast("string"))
     stats = stats.withColumn("tokens", sum(F.col(f"{c}_tokens") for c in ("input", "output", "cache_creation", "cache_read")))
-    copies = written(windows.stale_windows(stale.stale_ops(events, results, owned.select("session_id", "root"))), "stale")
+    copies = written(windows.stale_windows(stale.stale_ops(events, results, owned.select("session_id", "root"), said(events))), "stale")
     out = timeline.session_timeline(rows, windows.session_bounds(stats), copies, windows.context_samples(events))
     return out.select("session_id", "no", "idx", "kind", "component_id", "state", "detail", "confidence", "tokens", "occupancy", "is_sidechain")
 
