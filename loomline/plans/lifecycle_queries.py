@@ -256,8 +256,8 @@ def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_custkey AS session_id, CAST(2 * idx AS BIGINT) AS idx, kind, replace(key, '#', CAST(c_custkey AS VARCHAR)) AS key, replace(raw, '#', CAST(c_custkey AS VARCHAR)) AS raw, tool,
   CAST(CASE WHEN tokens_est < 0 THEN ceil(length('src/f' || c_custkey || '.py') / 4.0) ELSE tokens_est END AS BIGINT) AS tokens_est, confidence FROM customer, x""")
 def session_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _searched(spark, sf_dir)
-    out = facts.extract(events, transcripts.first_results(events), _owned(spark, sf_dir))
+    events = written(_searched(spark, sf_dir), "events")
+    out = facts.extract(events, written(transcripts.first_results(events), "results"), _owned(spark, sf_dir), said(events))
     return out.select("session_id", "idx", "kind", "key", "raw", "tool", "tokens_est", "confidence")
 
 
