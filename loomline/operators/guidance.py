@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 
+from .joins import spread
+
 #: Directories left out of the index besides hidden ones, and endings that make a word look like a path.
 SKIPPED = [".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "build"]
 ENDINGS = [".py", ".md", ".yaml", ".yml", ".toml", ".json", ".sql", ".txt", ".sh", ".cfg", ".ini"]
@@ -83,23 +85,25 @@ def references(found: DataFrame, index: DataFrame, all_files: DataFrame) -> tupl
 
     A path counts from the carrier's directory, else from the root; a lone file name with one owner in the repository counts as
     a guess. Wild cards match the index. What lies on disk outside the index, and a name with several owners,
-    is neither. edges: (repo_id, carrier, target, is_dir, context, raw, confidence); dead: (repo_id, carrier, raw, context).
+    is neither. What was asked and what it hit are written once, as edges and dead references are made from both; found should be a written
+    table. edges: (repo_id, carrier, target, is_dir, context, raw, confidence); dead: (repo_id, carrier, raw, context).
     """
     key = ["repo_id", "dir", "clean"]
     rows = found.withColumn("clean", cleaned("raw")).where("clean <> ''").withColumn("dir", F.regexp_replace("carrier", _DIR, ""))
     # What a candidate means depends on its directory and text alone, so each is resolved once.
     asked = rows.select(*key).distinct().withColumn("wild", F.col("clean").rlike(r"[*?\[]")).withColumn("near", _normal(F.col("dir"), F.col("clean"))).withColumn("far", _normal(F.lit(""), F.col("clean")))
+    asked = written(asked, "asked")
     here = index.select("repo_id", "path", "is_dir")
     hit = lambda df, target, is_dir, sure: df.select(*key, "rank", target.alias("target"), is_dir.alias("is_dir"), F.lit(sure).alias("confidence"))
     nothing, no = F.lit(None).cast("string"), F.lit(False)
     tries = asked.where("NOT wild").select(*key, F.posexplode(F.array("near", "far")).alias("rank", "path")).where("path IS NOT NULL")
-    direct = hit(tries.join(here, ["repo_id", "path"]), F.col("path"), F.col("is_dir"), "exact")
+    direct = hit(tries.join(spread(here), ["repo_id", "path"]), F.col("path"), F.col("is_dir"), "exact")
     names = index.where("NOT is_dir").groupBy("repo_id", "base").agg(F.count("*").alias("owners"), F.min("path").alias("owner"))
     lone = ~F.contains("clean", F.lit("/")) & _looks_like_path(F.col("clean"))
-    named = asked.where(~F.col("wild") & lone).withColumn("base", F.col("clean")).withColumn("rank", F.lit(2)).join(names, ["repo_id", "base"])
+    named = asked.where(~F.col("wild") & lone).withColumn("base", F.col("clean")).withColumn("rank", F.lit(2)).join(spread(names), ["repo_id", "base"])
     named = hit(named, F.when(F.col("owners") == 1, F.col("owner")), no, "heuristic")
     disk = all_files.select("repo_id", "path").unionByName(all_files.select("repo_id", F.explode(T.ancestors("path")).alias("path"))).distinct()
-    excluded = hit(tries.withColumn("rank", F.lit(3)).join(disk, ["repo_id", "path"]), nothing, no, "exact")
+    excluded = hit(tries.withColumn("rank", F.lit(3)).join(spread(disk), ["repo_id", "path"]), nothing, no, "exact")
     # A wild card meets only files with its own literal beginning's first directory, or all of its repository without one.
     pattern = lambda p: F.concat(F.lit("^"), F.replace(F.replace(F.replace(F.regexp_replace(p, r"([.+^$(){}|\\])", r"\\$1"), F.lit("**/"), F.lit("\u0001")), F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("$"))
     globs = asked.where("wild").select(*key, F.posexplode(F.array("near", "far")).alias("rank", "glob")).where("glob IS NOT NULL")
@@ -107,17 +111,18 @@ def references(found: DataFrame, index: DataFrame, all_files: DataFrame) -> tupl
     fixed = F.substring_index("glob", "/", 1)
     globs = globs.withColumn("top", F.when(F.contains("glob", F.lit("/")) & ~fixed.rlike(r"[*?\[]"), fixed).otherwise(""))
     tops = here.withColumn("top", F.explode(F.array_distinct(F.array(F.lit(""), F.substring_index("path", "/", 1)))))
-    matched = hit(globs.join(tops, ["repo_id", "top"]).where(F.rlike("path", F.col("re"))), F.col("path"), F.col("is_dir"), "exact")
+    matched = hit(globs.join(spread(tops), ["repo_id", "top"]).where(F.rlike("path", F.col("re"))), F.col("path"), F.col("is_dir"), "exact")
     hits = direct.unionByName(named).unionByName(excluded).unionByName(matched)
     hits = hits.withColumn("best", F.min("rank").over(Window.partitionBy(*key))).where("rank = best").drop("rank", "best").distinct()
-    edges = rows.join(hits.where("target IS NOT NULL"), key)
+    hits = written(hits, "hits")
+    edges = rows.join(spread(hits.where("target IS NOT NULL")), key)
     edges = edges.groupBy("repo_id", "carrier", "target", "context").agg(F.min_by(F.struct("raw", "confidence", "is_dir"), "pos").alias("e")).select("repo_id", "carrier", "target", "context", "e.*")
-    missed = asked.where(~F.contains("clean", F.lit("<")) & ~F.contains("clean", F.lit(">"))).select(*key).join(hits.select(*key).distinct(), key, "left_anti")
+    missed = asked.where(~F.contains("clean", F.lit("<")) & ~F.contains("clean", F.lit(">"))).select(*key).join(spread(hits.select(*key).distinct()), key, "left_anti")
     start = F.substring_index("clean", "/", 1)
     first = missed.select(*key, F.explode(F.array_distinct(F.array_compact(F.array(_normal(F.col("dir"), start), start)))).alias("path"))
-    rooted = first.join(here, ["repo_id", "path"], "left_semi").select(*key).distinct().withColumn("rooted", F.lit(True))
-    dead = missed.join(rooted, key, "left").where(_looks_like_path(F.col("clean")) | (F.contains("clean", F.lit("/")) & F.col("rooted")))
-    return edges, rows.join(dead.select(*key), key).select("repo_id", "carrier", F.col("clean").alias("raw"), "context").distinct()
+    rooted = first.join(spread(here), ["repo_id", "path"], "left_semi").select(*key).distinct().withColumn("rooted", F.lit(True))
+    dead = missed.join(spread(rooted), key, "left").where(_looks_like_path(F.col("clean")) | (F.contains("clean", F.lit("/")) & F.col("rooted")))
+    return edges, rows.join(spread(dead.select(*key)), key).select("repo_id", "carrier", F.col("clean").alias("raw"), "context").distinct()
 
 
 def reach(starts: DataFrame, edges: DataFrame, free: DataFrame | None = None, folder: str | None = None, most: int | None = None) -> DataFrame:
@@ -142,13 +147,13 @@ def reach(starts: DataFrame, edges: DataFrame, free: DataFrame | None = None, fo
         seen = spark.read.schema(schema).option("basePath", folder).parquet(folder).select(*schema_names(schema))
         new = None
         if free is not None:
-            new = frontier.join(free.withColumnRenamed("source", "node"), key).select("repo_id", F.col("target").alias("node"), "hop", F.col("node").alias("via"), F.lit("chain").alias("kind"))
-            new = typed(best(new.join(seen, key, "left_anti")))
+            new = frontier.join(spread(free.withColumnRenamed("source", "node")), key).select("repo_id", F.col("target").alias("node"), "hop", F.col("node").alias("via"), F.lit("chain").alias("kind"))
+            new = typed(best(new.join(spread(seen), key, "left_anti")))
         if new is None or new.isEmpty():
             hop += 1
             newest = seen.where(F.col("hop") == hop - 1)
-            new = newest.join(edges.withColumnRenamed("source", "node").withColumnRenamed("kind", "how"), key).select("repo_id", F.col("target").alias("node"), F.lit(hop).alias("hop"), F.col("node").alias("via"), F.col("how").alias("kind"))
-            new = typed(best(new.join(seen, key, "left_anti")))
+            new = newest.join(spread(edges.withColumnRenamed("source", "node").withColumnRenamed("kind", "how")), key).select("repo_id", F.col("target").alias("node"), F.lit(hop).alias("hop"), F.col("node").alias("via"), F.col("how").alias("kind"))
+            new = typed(best(new.join(spread(seen), key, "left_anti")))
             if (most is not None and hop > most) or new.isEmpty():
                 return seen
         frontier, step = new, step + 1
@@ -181,7 +186,7 @@ def guide_chain(index: DataFrame, guide: str = GUIDE) -> DataFrame:
     """Free edges (repo_id, source, target): each node leads to the guidance files of the directories it lies in."""
     files = index.where((F.col("base") == guide) & ~F.col("is_dir")).select("repo_id", F.col("path").alias("target"), F.regexp_replace("path", _DIR, "").alias("dir"))
     above = F.concat(F.array(F.lit("")), T.ancestors("path"), F.when(F.col("is_dir"), F.array("path")).otherwise(F.expr("cast(array() as array<string>)")))
-    return index.select("repo_id", F.col("path").alias("source"), F.explode(above).alias("dir")).join(files, ["repo_id", "dir"]).where("source <> target").select("repo_id", "source", "target")
+    return index.select("repo_id", F.col("path").alias("source"), F.explode(above).alias("dir")).join(spread(files), ["repo_id", "dir"]).where("source <> target").select("repo_id", "source", "target")
 
 
 def listing(index: DataFrame) -> DataFrame:
@@ -324,7 +329,7 @@ def symbol_counts(all_files: DataFrame) -> DataFrame:
 def coverage(index: DataFrame, reached: DataFrame, symbols: DataFrame, costs: DataFrame) -> DataFrame:
     """Code files with their symbols, what sessions spent to find them, and whether guidance leads to them."""
     seen = reached.select("repo_id", F.col("node").alias("path"), "hop")
-    out = index.where("NOT is_dir").join(symbols, ["repo_id", "path"]).join(costs, ["repo_id", "path"], "left").join(seen, ["repo_id", "path"], "left")
+    out = index.where("NOT is_dir").join(spread(symbols), ["repo_id", "path"]).join(spread(costs), ["repo_id", "path"], "left").join(spread(seen), ["repo_id", "path"], "left")
     return out.select("repo_id", "path", "defs", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("searches", F.lit(0)).alias("searches"), "hop", F.col("hop").isNotNull().alias("reachable"))
 
 
@@ -339,11 +344,11 @@ def map_rollup(cover: DataFrame) -> DataFrame:
 
 def file_rollup(index: DataFrame, reached: DataFrame) -> DataFrame:
     """Per repository: all files, those that guidance leads to, how many at each hop, the deepest, and those beyond three."""
-    hops = index.where("NOT is_dir").select("repo_id", "path").join(reached.select("repo_id", F.col("node").alias("path"), "hop"), ["repo_id", "path"], "left")
+    hops = index.where("NOT is_dir").select("repo_id", "path").join(spread(reached.select("repo_id", F.col("node").alias("path"), "hop")), ["repo_id", "path"], "left")
     at = hops.groupBy("repo_id", "hop").agg(F.count("*").alias("n"))
-    spread = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("hop").isNotNull(), F.struct("hop", "n")))))
+    each = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("hop").isNotNull(), F.struct("hop", "n")))))
     return at.groupBy("repo_id").agg(
-        F.sum("n").alias("files"), F.coalesce(F.sum(F.when(F.col("hop").isNotNull(), F.col("n"))), F.lit(0)).alias("reached"), spread.alias("hops"),
+        F.sum("n").alias("files"), F.coalesce(F.sum(F.when(F.col("hop").isNotNull(), F.col("n"))), F.lit(0)).alias("reached"), each.alias("hops"),
         F.max("hop").alias("deepest"), F.coalesce(F.sum(F.when(F.col("hop") > 3, F.col("n"))), F.lit(0)).alias("beyond_three"),
     )
 
@@ -362,7 +367,7 @@ def search_costs(facts: DataFrame, index: DataFrame) -> DataFrame:
     """(repo_id, path, tokens, searches): a file opened from a search takes on that key's searches and their tokens."""
     opened = facts.where("kind = 'chain_read'").select("repo_id", "key", F.col("raw").alias("path")).distinct()
     spent = facts.where("kind = 'search'").groupBy("repo_id", "key").agg(F.sum("tokens_est").alias("tokens"), F.count("*").alias("n"))
-    out = opened.join(spent, ["repo_id", "key"], "left").join(index.where("NOT is_dir").select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    out = opened.join(spread(spent), ["repo_id", "key"], "left").join(spread(index.where("NOT is_dir").select("repo_id", "path")), ["repo_id", "path"], "left_semi")
     return out.groupBy("repo_id", "path").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.sum(F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))).alias("searches"))
 
 

@@ -392,9 +392,9 @@ TREE = "WITH f AS (SELECT 'r' || (p_partkey % 10) AS repo_id, p_partkey AS n, 'm
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     files = _tree(spark, sf_dir)
-    index = guidance.file_index(files)
+    index = guidance.written(guidance.file_index(files), "index")
     carriers = files.where("path LIKE '%.md'").select("repo_id", F.col("path").alias("carrier"), "text")
-    edges, dead = guidance.references(guidance.candidates(carriers), index, files.select("repo_id", "path"))
+    edges, dead = guidance.references(guidance.written(guidance.candidates(carriers), "candidates"), index, files.select("repo_id", "path"))
     return index, edges, dead
 
 
@@ -420,7 +420,7 @@ def _reached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     index, edges, _ = _edges(spark, sf_dir)
     starts = index.where("path = 'CLAUDE.md'").select("repo_id", F.col("path").alias("node"))
     links = edges.select("repo_id", F.col("carrier").alias("source"), "target", F.lit("reference").alias("kind"))
-    return index, guidance.reach(starts, links, guidance.guide_chain(index))
+    return index, guidance.reach(starts, guidance.written(links, "links"), guidance.written(guidance.guide_chain(index), "chain"))
 
 
 COST = """, l AS (SELECT l_partkey AS n, l_returnflag = 'R' AS opened, CAST(l_quantity AS BIGINT) AS t FROM lineitem), cost AS (SELECT n, CAST(coalesce(sum(CASE WHEN NOT opened THEN t END), 0) AS BIGINT) AS tokens,
@@ -451,7 +451,7 @@ def routing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = own.select("repo_id", F.lit("CLAUDE.md").alias("carrier"), F.concat(F.lit("what lies where\n"), F.array_join(F.col("l.line"), "\n")).alias("text"))
     files = _tree(spark, sf_dir)
     lines = guidance.classified_lines(docs)
-    found = guidance.candidates(lines)
+    found = guidance.written(guidance.candidates(lines), "candidates")
     edges, _ = guidance.references(found, guidance.file_index(files), files.select("repo_id", "path"))
     per_line = found.join(edges.select("repo_id", "carrier", "raw", "target"), ["repo_id", "carrier", "raw"]).select("repo_id", "carrier", "line_no", "raw", "target").distinct()
     lines = guidance.labelled(guidance.routed(lines, per_line), per_line)
