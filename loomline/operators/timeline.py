@@ -13,7 +13,7 @@ from loomline.functions import text as T
 
 from . import attribution, shell, windows
 from .attribution import CALL, DONE, EDITORS, SAID, START
-from .joins import spread
+from .joins import dealt, met, spread, tasks_for
 
 ENTRY = ["session_id", "idx", "seq", "rank", "sub", "kind", "component_id", "state", "tool", "detail", "confidence", "tokens", "is_sidechain", "agent", "ts"]
 READ = ["session_id", "repo_id", "idx", "seq", "sub", "path", "target", "inside", "tool", "confidence", "tokens", "range", "component_id", "is_sidechain", "agent"]
@@ -23,7 +23,9 @@ INJECTED = "system-injected"
 
 def calls_with_results(events: DataFrame, results: DataFrame, owned: DataFrame) -> DataFrame:
     """Tool calls with their first result, its tokens, whether it is there and whether it failed, and the session's repository."""
-    calls = events.where("kind = 'tool_use'").join(spread(results), ["session_id", "tool_use_id"], "left").join(spread(owned.select("session_id", "repo_id", "root")), "session_id", "left")
+    tasks = tasks_for(events)
+    calls = met(events.where("kind = 'tool_use'"), results, ["session_id", "tool_use_id"], tasks, "left")
+    calls = met(calls, owned.select("session_id", "repo_id", "root"), ["session_id"], tasks, "left")
     failed = F.coalesce("result_error", F.lit(False))
     return calls.withColumns({"failed": F.col("result_idx").isNotNull() & failed, "ok": F.col("result_idx").isNotNull() & ~failed, "tokens": F.coalesce(T.token_estimate("result_text"), F.lit(0))})
 
@@ -42,8 +44,8 @@ def file_reads(events: DataFrame, results: DataFrame, owned: DataFrame, files: D
     bash = calls.where("tool_name = 'Bash'").withColumn("command", field("command")).where("command IS NOT NULL")
     named = bash.join(shell.read_paths(shell.segments(bash, segs)).select("command", "seg_no", "pos", F.col("path").alias("target")), "command")
     named = named.withColumn("path", T.path_under(T.absolute_path("target", "cwd"), F.col("root"))).join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
-    event = Window.partitionBy("session_id", "idx", "seq")
-    named = named.withColumn("sub", F.row_number().over(event.orderBy("seg_no", "pos")) - 1).withColumn("tokens", T.even_share("tokens", F.count("*").over(event)))
+    event, tasks = Window.partitionBy("session_id", "idx", "seq"), tasks_for(events)
+    named = dealt(named, tasks, "session_id", "idx", "seq").withColumn("sub", F.row_number().over(event.orderBy("seg_no", "pos")) - 1).withColumn("tokens", T.even_share("tokens", F.count("*").over(event)))
     named = named.withColumns({"inside": F.lit(True), "tool": F.lit("Bash"), "confidence": F.lit("heuristic"), "range": F.lit(None).cast(read.schema["range"].dataType)})
 
     present = components.where("NOT missing")
@@ -54,8 +56,8 @@ def file_reads(events: DataFrame, results: DataFrame, owned: DataFrame, files: D
     rows = rows.withColumn("name", F.when((F.col("tool") == "Read") & F.endswith("target", F.lit("SKILL.md")), F.try_element_at(F.split("target", "/"), F.lit(-2)))).join(skills, ["repo_id", "name"], "left")
     rows = rows.withColumn("component_id", F.coalesce(F.when(F.col("inside"), F.col("by_path")), "by_name"))
     always = present.where("type = 'guide' AND context = 'static'").select("repo_id", F.col("id").alias("component_id"), F.coalesce("path", "source", "name").alias("path"), attribution.weight(present).alias("tokens"))
-    sides = events.groupBy("session_id").agg(F.min(F.struct("idx", "seq", "is_sidechain", "agent")).alias("e"))
-    always = attribution.first_events(events, owned).join(always, "repo_id").join(spread(sides.select("session_id", "e.is_sidechain", "e.agent")), "session_id")
+    sides = dealt(events.select("session_id", "idx", "seq", "is_sidechain", "agent"), tasks, "session_id").groupBy("session_id").agg(F.min(F.struct("idx", "seq", "is_sidechain", "agent")).alias("e"))
+    always = met(attribution.first_events(events, owned).join(always, "repo_id"), sides.select("session_id", "e.is_sidechain", "e.agent"), ["session_id"], tasks)
     always = always.withColumns({"sub": F.lit(0), "target": F.col("path"), "inside": F.lit(True), "tool": F.lit(INJECTED), "confidence": F.lit("exact")})
     return rows.select(READ).unionByName(always.select([c for c in READ if c != "range"]), allowMissingColumns=True).withColumn("path", T.scrub("path"))
 

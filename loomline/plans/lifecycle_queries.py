@@ -114,7 +114,8 @@ def _attributed(events: DataFrame, found: DataFrame, owned: DataFrame, files: Da
 
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, owned = written(_worked(spark, sf_dir), "events"), _owned(spark, sf_dir)
-    return _attributed(events, components(spark), owned, listed(spark, "docs/x.md"))[2].unionByName(attribution.registered(attribution.first_events(events, owned), components(spark)))
+    marks = _attributed(events, components(spark), owned, listed(spark, "docs/x.md"))[2]
+    return marks.unionByName(written(attribution.registered(attribution.first_events(events, owned), components(spark)), "registered"))
 
 
 @query(MARKS + " SELECT session_id, component_id, state, idx, confidence FROM m")

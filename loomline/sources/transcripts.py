@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
+from loomline.operators.joins import dealt, tasks_for
 
 #: Line types that carry no event of their own and are no sign of a damaged transcript.
 AUXILIARY = [
@@ -175,7 +176,8 @@ def session_health(lines: DataFrame, evs: DataFrame, regression_seconds: int = 3
 def first_results(evs: DataFrame) -> DataFrame:
     """(session_id, tool_use_id, result_idx, is_error, text): the first result of each call; later ones repeat it."""
     order = Window.partitionBy("session_id", "tool_use_id").orderBy("idx", "seq")
-    results = evs.where("kind = 'tool_result' AND tool_use_id <> ''").withColumn("no", F.row_number().over(order)).where("no = 1")
+    results = dealt(evs.where("kind = 'tool_result' AND tool_use_id <> ''"), tasks_for(evs), "session_id", "tool_use_id")
+    results = results.withColumn("no", F.row_number().over(order)).where("no = 1")
     return results.select("session_id", "tool_use_id", F.col("idx").alias("result_idx"), F.col("is_error").alias("result_error"), F.col("text").alias("result_text"))
 
 

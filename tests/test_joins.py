@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomline.operators import attribution, facts, reports, stale, timeline, windows
+from loomline.operators import attribution, facts, joins, reports, stale, timeline, windows
 from loomline.operators.guidance import written
 from loomline.plans import lifecycle_queries as q
 from loomline.sources import transcripts
@@ -42,3 +42,38 @@ def test_usages_and_loads_without_broadcast(played, spark):
     assert broadcasts(attribution.usages(marks)) == 0
     reads = written(spark.createDataFrame([(1, "p", "Read", 0, 0, "exact", None)], "session_id long, path string, tool string, idx long, seq int, confidence string, range struct<first: long, last: long>"), "loads")
     assert broadcasts(reports.file_loads(reads)) == 0
+
+
+def marks_of(spark):
+    return written(spark.createDataFrame([(1, "c", "loaded", 0, 0, "exact", "s")] * 40, "session_id long, component_id string, state string, idx long, seq int, confidence string, summary string"), "marks")
+
+
+def test_tasks_grow_with_the_rows_of_sessions(played, spark, monkeypatch):
+    # Left alone, Spark puts partitions together until there is about one a core, and a task sorts rows that grow with the input.
+    monkeypatch.setattr(joins, "ROWS", 5)
+    events, _, owned = played
+    for df in (transcripts.first_results(events), timeline.calls_with_results(*played), attribution.first_events(events, owned), attribution.usages(marks_of(spark))):
+        exchanges = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+        assert exchanges and all("REPARTITION_BY_NUM" in x for x in exchanges)
+    assert joins.tasks_for(events) == -(-events.count() // 5)
+
+
+def test_calls_of_a_name_are_not_brought_into_one_task(played, spark):
+    calls = played[0].where("tool_name = 'Read'").select(q.F.lit("r0").alias("repo_id"), q.F.lit("fmt").alias("name"), "session_id")
+    found = attribution.resolved(calls, q.components(spark), "skill")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    assert found.count() == calls.count()
+
+
+def test_usages_keep_the_first_marks_and_count_all(spark):
+    got = attribution.usages(marks_of(spark), shown=3).first()
+    assert (got["count"], len(got["evidence"]), got["confidence"]) == (40, 3, "exact")
+
+
+def test_misses_and_states_deal_rows_by_their_number(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(joins, "ROWS", 5)
+    uses = attribution.usages(marks_of(spark))
+    sessions = q._owned(spark, sf_dir).withColumns({"commits": q.F.lit(1), "version": q.F.lit("2.1.7")})
+    for df in (attribution.session_misses(sessions, uses, q.components(spark)), reports.session_components(sessions, uses, q.components(spark))):
+        exchanges = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+        assert exchanges and all("REPARTITION_BY_NUM" in x for x in exchanges)
