@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 
-from .joins import spread
+from .joins import dealt, met, spread, tasks_for
 
 LOW_USE = 2
 
@@ -75,10 +75,12 @@ def session_components(sessions: DataFrame, uses: DataFrame, components: DataFra
     sessions: (session_id, repo_id, version, commits). For reports on few sessions.
     """
     count = lambda state: F.coalesce(F.sum(F.when(F.col("state") == state, F.col("count"))), F.lit(0)).alias(state)
-    seen = uses.groupBy("session_id", "component_id").agg(count("invoked"), count("loaded"), F.max("confidence").alias("confidence"))
     due = F.col("miss_when") == "git_commit" if "miss_when" in components.columns else F.lit(False)
     every = components.where("NOT missing").select("repo_id", F.col("id").alias("component_id"), "type", "states", due.alias("due"))
-    rows = sessions.select("session_id", "repo_id", "commits", T.supported_version("version").alias("known")).join(every, "repo_id").join(spread(seen), ["session_id", "component_id"], "left")
+    rows = sessions.select("session_id", "repo_id", "commits", T.supported_version("version").alias("known")).join(every, "repo_id")
+    key, tasks = ["session_id", "component_id"], tasks_for(rows)
+    seen = dealt(uses, tasks, *key).groupBy(*key).agg(count("invoked"), count("loaded"), F.max("confidence").alias("confidence"))
+    rows = met(rows, seen, key, tasks, "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("invoked", "loaded")})
     state = F.when(F.col("invoked") > 0, "invoked").when(F.col("loaded") > 0, "loaded").otherwise("registered")
     able = F.when(F.array_contains("states", "invoked"), "invoked").when(F.array_contains("states", "loaded"), "loaded").otherwise("registered")
