@@ -48,6 +48,8 @@ FEW = 250
 CELLS = 50_000
 #: Sets, and shingles, compared in one piece of work.
 PACK, TOKENS = 1500, 1 << 21
+#: Of these, sets taken apart together.
+SPAN = 200
 
 
 def runs_for(miss: float, levels: int = LEVELS) -> int:
@@ -209,27 +211,40 @@ def _exact(size: int, threshold: float):
         t = t.sort_by([("cluster", "ascending"), ("rep", "ascending")])
         cluster, ids, weight, side, pair = (t.column(c).to_numpy() for c in ("cluster", "rep", "copies", "side", "pair"))
         z = t.column("z").combine_chunks()
-        found = []
-        for k in range(0, len(z), 50):
-            raw = [expand(x.as_py()) for x in z.slice(k, 50)]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-            for i, _, offsets, part in blocks(at, np.frombuffer(b"".join(raw), np.uint8)):
-                row, token = shingles(offsets, part, size)
-                found.append((row + (k + i), token))
-        row, token = (np.concatenate(c) for c in zip(*found, strict=True))
-        n = np.bincount(row, minlength=len(z))
         links, near = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         a, b = [], []
+
+        def sets(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+            """(row, token) of rows i to j."""
+            found = []
+            for k in range(i, j, 50):
+                raw = [expand(x.as_py()) for x in z.slice(k, min(50, j - k))]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+                for first, _, offsets, part in blocks(at, np.frombuffer(b"".join(raw), np.uint8)):
+                    row, token = shingles(offsets, part, size)
+                    found.append(((row + (k + first)).astype(np.int32), token))
+            return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
         edges = np.append(np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1])), len(cluster))
+        upto = 0
         for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if j > upto:  # a large component alone, small ones together: no more than one span is taken apart at a time
+                row = token = None
+                upto = int(edges[max(np.searchsorted(edges, i + SPAN, "right") - 1, np.searchsorted(edges, j))])
+                row, token = sets(i, upto)
             lo, hi = np.searchsorted(row, (i, j))
+            n = np.bincount(row[lo:hi] - i, minlength=j - i)
             both = shared(row[lo:hi] - i, token[lo:hi], j - i)
-            union = n[i:j, None] + n[None, i:j] - both
-            link = (both >= threshold * union - 1e-9) & (n[i:j, None] > 0)
+            link = np.zeros(both.shape, bool)
+            for k in range(0, j - i, SPAN):
+                some = slice(k, k + SPAN)
+                union = n[some, None] + n[None, :] - both[some]
+                link[some] = (both[some] >= threshold * union - 1e-9) & (n[some, None] > 0)
             np.fill_diagonal(link, False)
             if pair[i]:
                 link &= side[i:j, None] != side[None, i:j]
-            links[i:j] = link @ weight[i:j]
+            for k in range(0, j - i, SPAN):
+                links[i + k : min(i + k + SPAN, j)] = link[k : k + SPAN] @ weight[i:j]
             near[i:j] = link.sum(1)
             root = forest(link)
             k = np.flatnonzero(root != np.arange(j - i))
@@ -244,21 +259,21 @@ def _exact(size: int, threshold: float):
     return go
 
 
-def shared(row: np.ndarray, token: np.ndarray, rows: int, wide: int = 4096) -> np.ndarray:
+def shared(row: np.ndarray, token: np.ndarray, rows: int, wide: int = 1024) -> np.ndarray:
     """Tokens that each two rows have in common: products of 0/1 blocks over the tokens in more than one row."""
-    _, name, times = np.unique(token, return_inverse=True, return_counts=True)
-    keep = times[name] > 1
-    row, name = row[keep], name[keep]
-    _, name = np.unique(name, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    same = token[1:] == token[:-1]
+    keep = np.append(same, False) | np.append(False, same) if len(token) else np.zeros(0, bool)
+    token, row = token[keep], row[keep]
+    name = np.cumsum(np.append(False, token[1:] != token[:-1]), dtype=np.int32)[: len(token)]
     out = np.zeros((rows, rows), np.float32)
-    order = np.argsort(name, kind="stable")
-    row, name = row[order], name[order]
     for lo in range(0, int(name[-1]) + 1 if len(name) else 0, wide):
         i, j = np.searchsorted(name, (lo, lo + wide))
         m = np.zeros((rows, wide), np.float32)
         m[row[i:j], name[i:j] - lo] = 1
         out += m @ m.T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def celled(leaves: DataFrame, cells: DataFrame) -> DataFrame:

@@ -671,3 +671,26 @@ def test_texts_longer_than_a_block(spark):
     model = {"ratio": np.linspace(-1, 1, 1 << quality.BITS), "weight": np.linspace(2, -1, 1 << quality.BITS), "line": np.array([1.0, 0.1])}
     together = {r.doc_id: r.score for r in quality.score(df.coalesce(1), model).collect()}
     assert all(abs(quality.score(df.where(f"doc_id = {i}"), model).first().score - together[i]) < 1e-12 for i, _ in rows)
+
+
+def test_exact_comparison_holds_few_components_at_once():
+    """A piece of work with many small components is taken apart in spans, not whole."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    from loomline.llm import jaccard_join
+
+    squeeze = zstandard.ZstdCompressor().compress
+    texts = [" ".join(f"w{(k // 2) * 1000 + i}" for i in range(400)) for k in range(1200)]
+    rows = pa.table({"cluster": np.arange(1200) // 2, "rep": np.arange(1200), "copies": np.full(1200, 3), "side": np.zeros(1200, np.int64), "pair": np.zeros(1200, bool), "z": pa.array([squeeze(t.encode()) for t in texts], pa.binary())})
+    tracemalloc.start()
+    out = jaccard_join._exact(5, 0.8)(rows).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    own = out[~out.edge]
+    assert (own.links == 3).all() and (own.texts == 1).all() and len(own) == 1200
+    assert sorted(out[out.edge][["a", "b"]].itertuples(index=False, name=None)) == [(k + 1, k) for k in range(0, 1200, 2)]
+    assert peak < 9 << 20
