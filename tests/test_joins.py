@@ -1,6 +1,7 @@
 """Tables that grow with the sessions are never sent whole to the driver, however small their files look."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.operators import attribution, facts, joins, reports, stale, timeline, windows
 from loomline.operators.guidance import written
@@ -77,3 +78,19 @@ def test_misses_and_states_deal_rows_by_their_number(spark, sf_dir, monkeypatch)
     for df in (attribution.session_misses(sessions, uses, q.components(spark)), reports.session_components(sessions, uses, q.components(spark))):
         exchanges = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
         assert exchanges and all("REPARTITION_BY_NUM" in x for x in exchanges)
+
+
+def test_calls_of_one_name_are_cut_into_shares(spark, monkeypatch):
+    """Pairs of one name and its candidates are made in many tasks, and are the same ones."""
+    calls = spark.range(4000).select(F.col("id").alias("session_id"), F.format_string("r%d", F.col("id") % 1).alias("repo_id"), F.lit(0).alias("idx"), F.lit(0).alias("seq"), F.when(F.col("id") % 4 == 0, "none").when(F.col("id") % 400 == 1, "p:one").otherwise("s").alias("name"))
+    own = spark.range(31).select(F.format_string("r%d", F.col("id") % 1).alias("repo_id"), F.col("id").cast("string").alias("id"), F.lit("skill").alias("type"), F.when(F.col("id") == 0, "one").otherwise("s").alias("name"), F.lit("plugin:p").alias("source"))
+    alike = lambda rows: sorted(map(tuple, rows.select("session_id", "component_id", "sure").collect()))
+    want = alike(attribution.resolved(calls, own, "skill"))
+    assert len(want) == 10 + 2990 * 30
+    monkeypatch.setattr(attribution, "PAIRS", 1000, raising=False)
+    for few in (0, 100_000):
+        monkeypatch.setattr(attribution, "FEW", few)
+        got = attribution.resolved(calls, own, "skill")
+        assert alike(got) == want
+        most = got.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+        assert most < len(want) / 8, (few, most)
