@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ._arrays import U, flat, mix
 from ._graph import components, in_blocks, roots
+from ._lean import lean, lean_group
 from ._sieve import may, sieve
 from ._spark import drop, numbered, parts_for, stash, table, texts, with_nulls
 from ._words import blocks, shingles
@@ -297,7 +298,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if rows is not None:  # from here to the end a row's number stands for its id
         docs = rows.select(F.col("__row").alias("doc_id"), "text")
     docs = docs.withColumn("text", F.lower("text"))
-    found = stash(docs.mapInArrow(_sets(size, threshold, runs_for(miss)), "doc_id long, k1 long, k2 long, n int, sample binary, paths array<long>"), "found")
+    found = stash(docs.mapInArrow(lean(_sets(size, threshold, runs_for(miss))), "doc_id long, k1 long, k2 long, n int, sample binary, paths array<long>"), "found")
     key = ["k1", "k2", "n"]
     sets = stash(found.select("doc_id", *key), "sets")
     reps = stash(sets.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
@@ -340,7 +341,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 break
             parents = stash(large.groupBy("rep", "component").agg(F.collect_list("path").alias("parents")), "parents")
             own = squeezed(docs, sieve(parents.select("rep"))).withColumnRenamed("doc_id", "rep").join(parents, "rep")
-            steps = stash(own.mapInArrow(_below(size, threshold), "rep long, component long, path long"), "steps")
+            steps = stash(own.mapInArrow(lean(_below(size, threshold)), "rep long, component long, path long"), "steps")
             written.extend([parents, steps])
             found, large = branches(steps, level == LEVELS - 1)
             leaves = leaves.unionByName(found)
@@ -350,7 +351,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """(a, b): a forest of the candidate links inside leaves (rep, component, path, m) and cells (rep, cell)."""
         rows = (leaves.agg(F.sum(F.ceil(F.col("m") / LEAF))).first()[0] or 0) + cells.count()  # a row for each block that a set meets
         cells = celled(leaves, cells).join(classes.select("rep", "n", "sample"), "rep")
-        found = cells.groupBy(F.pmod("cell", F.lit(parts_for(rows, CELLS))).alias("pack")).applyInArrow(_branch(threshold), "a long, b long")
+        found = cells.groupBy(F.pmod("cell", F.lit(parts_for(rows, CELLS))).alias("pack")).applyInArrow(lean_group(_branch(threshold)), "a long, b long")
         return stash(found.distinct(), "close")
 
     written: list[DataFrame] = []
@@ -377,7 +378,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     piece = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.xxhash64("cluster", "at"))
     work = work.select("rep", "cluster", "copies", "side", "pair", piece.alias("piece"))
     work = squeezed(docs, sieve(members.select("rep"))).withColumnRenamed("doc_id", "rep").join(work, "rep")
-    exact = stash(work.groupBy("piece").applyInArrow(_exact(size, threshold), "rep long, links long, texts long, a long, b long, edge boolean"), "links")
+    exact = stash(work.groupBy("piece").applyInArrow(lean_group(_exact(size, threshold)), "rep long, links long, texts long, a long, b long, edge boolean"), "links")
     counts = exact.where("not edge").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     tree = components(exact.where("edge").select("a", "b"))
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrays import flat, hashes
+from ._lean import kept, lean, lean_group
 from ._memo import Memo
 from ._spark import parts_for, stash, table, texts, with_nulls
 from ._words import blocks, words
@@ -29,7 +30,7 @@ WINDOW, END = 2048, 1
 #: Pieces packed together.
 SHARD = 40_000
 
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict[str, tuple] = kept("tokenizers")
 
 
 def tokenizer(path: str) -> tuple:
@@ -148,10 +149,10 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     if window < 1:
         raise ValueError("a window holds at least one id")
-    pieces = stash(texts(docs, id_col, text_col).mapInArrow(_pieces(path, window, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    pieces = stash(texts(docs, id_col, text_col).mapInArrow(lean(_pieces(path, window, end), "tokenizers"), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     shards = parts_for(pieces.count(), SHARD)
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    return with_nulls(pieces.groupBy("shard").applyInArrow(_pack(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
+    return with_nulls(pieces.groupBy("shard").applyInArrow(lean_group(_pack(window)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

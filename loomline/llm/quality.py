@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrays import U, flat, hashes, mix
+from ._lean import lean, lean_group, settle
 from ._spark import table, texts, with_nulls
 from ._words import blocks, words
 
@@ -167,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     n = labels.count()
     bar = int(min(1.0, sample / max(n, 1)) * (1 << 30))
     labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bar)
-    rows = docs.join(labels, "doc_id").mapInArrow(_features(bits), "doc_id long, label double, places array<int>")
-    got = {x["name"]: np.array(x["values"]) for x in rows.groupBy(F.lit(0).alias("one")).applyInArrow(_fit(bits), "name string, values array<double>").collect()}
+    rows = docs.join(labels, "doc_id").mapInArrow(lean(_features(bits)), "doc_id long, label double, places array<int>")
+    got = {x["name"]: np.array(x["values"]) for x in rows.groupBy(F.lit(0).alias("one")).applyInArrow(lean_group(_fit(bits)), "name string, values array<double>").collect()}
     return got or {"ratio": np.zeros(1 << bits), "weight": np.zeros(1 << bits), "line": np.zeros(2)}
 
 
@@ -178,6 +179,7 @@ def scores(model: dict[str, np.ndarray], spark: SparkSession, bits: int = BITS)
 
     @F.arrow_udf("double")
     def score(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        settle()
         r, w, (a, b) = (sent.value[k] for k in ("ratio", "weight", "line"))
         both, square = r * w, r * r
         for own in text:
@@ -189,6 +191,7 @@ def scores(model: dict[str, np.ndarray], spark: SparkSession, bits: int = BITS)
                 margin = np.bincount(row, both[place], minlength=j - i) / np.maximum(length, 1e-12)
                 out.append(1 / (1 + np.exp(-np.clip(a * margin + b, -700, 700))))
             yield pa.array(np.concatenate(out))
+        settle()
 
     return score
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrays import U, flat, groups, hashes, heads, prefix_hash, ranges, slice_hash, sliding
+from ._lean import lean, lean_group
 from ._sieve import Sieve, sieve
 from ._spark import drop, numbered, parts_for, stash, table, texts, with_nulls
 
@@ -296,7 +297,7 @@ def _compress(found: Sieve | None, inside: bool):
 
 def squeezed(docs: DataFrame, found: Sieve | None = None, inside: bool = True) -> DataFrame:
     """(doc_id, z): texts as they travel through a shuffle; with a sieve, those whose id may be in it, or else those whose id is not."""
-    return docs.mapInArrow(_compress(found, inside), "doc_id long, z binary")
+    return docs.mapInArrow(lean(_compress(found, inside)), "doc_id long, z binary")
 
 
 def _leaders(length: int):
@@ -323,9 +324,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """(doc_id, spans array<struct<a,b>>): the byte ranges of docs (doc_id, text), whose ids differ, that also occur earlier; rows without any are left out."""
     if not 0 < gram <= length:
         raise ValueError("a gram has 1 to length bytes")
-    seen = docs.select("text").mapInArrow(_values(length, gram), "value long, n int")
+    seen = docs.select("text").mapInArrow(lean(_values(length, gram)), "value long, n int")
     repeated = stash(seen.groupBy("value").agg(F.sum("n").alias("n")).where("n > 1").select("value"), "values")
-    found = docs.mapInArrow(_occurrences(length, gram, sieve(repeated)), "value long, key long, doc_id long, start long, n int, several boolean")
+    found = docs.mapInArrow(lean(_occurrences(length, gram, sieve(repeated))), "value long, key long, doc_id long, start long, n int, several boolean")
     found = stash(found.join(repeated, "value"), "runs")
     drop(repeated)
 
@@ -346,12 +347,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     own = classes.join(per_value, "value").select(F.col("lead.doc_id").alias("doc_id"), F.struct(shard.alias("shard"), cut.alias("cut"), F.col("lead.start").alias("start"), "n").alias("own"))
     own = stash(own.groupBy("doc_id").agg(F.collect_list("own").alias("own")), "own")
     drop(classes, per_value)
-    segments = squeezed(docs, sieve(own.select("doc_id"))).join(own, "doc_id").mapInArrow(_leaders(length), "shard long, cut boolean, doc_id long, start long, n int, bytes binary")
-    inside = stash(segments.groupBy("shard").applyInArrow(_shard(length), "doc_id long, a long, b long, digest binary, shard long"), "inside")
+    segments = squeezed(docs, sieve(own.select("doc_id"))).join(own, "doc_id").mapInArrow(lean(_leaders(length)), "shard long, cut boolean, doc_id long, start long, n int, bytes binary")
+    inside = stash(segments.groupBy("shard").applyInArrow(lean_group(_shard(length)), "doc_id long, a long, b long, digest binary, shard long"), "inside")
     drop(own)
     far = inside.where("digest is not null")
     ranges_ = parts_for(far.count(), 20_000)
-    across = far.withColumn("range", F.pmod(F.xxhash64("digest"), F.lit(ranges_))).groupBy("range").applyInArrow(_merge(length), "doc_id long, a long, b long")
+    across = far.withColumn("range", F.pmod(F.xxhash64("digest"), F.lit(ranges_))).groupBy("range").applyInArrow(lean_group(_merge(length)), "doc_id long, a long, b long")
     spans = copies.unionByName(inside.where("digest is null").select("doc_id", "a", "b")).unionByName(across)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("own"))
     spans = stash(spans.mapInArrow(_unite, "doc_id long, spans array<struct<a:long,b:long>>"), "spans")

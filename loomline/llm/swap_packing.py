@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrays import flat, hashes
+from ._lean import lean
 from ._spark import parts_for, stash, table, texts, with_nulls
 from ._words import blocks
 from .packing import best_fit, tokenizer
@@ -204,7 +205,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     if window < 1:
         raise ValueError("a window holds at least one id")
-    pieces = stash(texts(docs, id_col, text_col).mapInArrow(_pieces(path, window, end), PIECE), "pieces")
+    pieces = stash(texts(docs, id_col, text_col).mapInArrow(lean(_pieces(path, window, end), "tokenizers"), PIECE), "pieces")
     number = F.monotonically_increasing_id()
     out = pieces.where(F.col("length") == window).select("*", (-1 - number).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, level, last = pieces.where(F.col("length") < window), 0, False
