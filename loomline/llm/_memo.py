@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -88,7 +89,7 @@ class Memo:
             got = encode(pieces, names[new])
             count[new] = np.fromiter(map(len, got), np.int64, len(got))
             start[new] = len(ids) + np.cumsum(count[new]) - count[new]
-            fresh = np.fromiter((x for g in got for x in g), np.int32, int(count[new].sum()))
+            fresh = np.fromiter(chain.from_iterable(got), np.int32, int(count[new].sum()))
             ids = np.concatenate([ids, fresh])
             if self.at.n + len(new) <= self.most and not len(odd) and (entry[new] == -1).all():
                 self.keep(names[new], pieces, count[new], fresh)

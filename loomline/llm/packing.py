@@ -1,7 +1,7 @@
 """Packing documents into sequences by best-fit decreasing.
 
-How it scales. A text is cut at white space, and a worker asks the tokenizer once for each distinct chunk it
-meets (no token spans white space, so this is what the whole text gives). A document's ids are cut into full
+How it scales. A text is cut at white space and where letters, digits and other signs meet, and a worker asks the tokenizer once for each
+distinct chunk it meets (no token spans such a place, so this is what the whole text gives; a tokenizer that splits otherwise is asked by words). A document's ids are cut into full
 windows and a rest at once, so only (document, start, length, checksum) is shuffled. Pieces are dealt
 by a hash of their row, whatever their ids, into shards of about SHARD pieces; each shard packs alone. Its last few windows are the only ones
 badly filled, which at this size is far below one part in a hundred.
@@ -24,7 +24,7 @@ from ._arrays import flat, hashes
 from ._lean import kept, lean, lean_group
 from ._memo import Memo
 from ._spark import parts_for, stash, table, texts, with_nulls
-from ._words import blocks, words
+from ._words import SPACE, blocks, seams, words
 
 WINDOW, END = 2048, 1
 #: Pieces packed together.
@@ -41,13 +41,36 @@ def tokenizer(path: str) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), Memo()
+        _tokenizers[path] = Tokenizer.from_file(path), Memo(), by_kind(path)
     return _tokenizers[path]
 
 
+#: Splits that keep letters, digits and other signs apart.
+APART = [
+    [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}],
+    [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+]
+#: What may come before, as it neither joins nor parts what stands at a seam.
+BEFORE = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def by_kind(path: str) -> list[bytes] | None:
+    """For a tokenizer that splits as ``seams`` does: the texts that it takes whole. None for any other."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    parts, clean, whole = model["pre_tokenizer"] or {}, model["normalizer"] or {"normalizers": []}, model["added_tokens"]
+    known = parts.get("pretokenizers", [parts]) in APART and all(c in BEFORE for c in clean.get("normalizers", [clean])) and not any(t["normalized"] for t in whole)
+    return [t["content"].encode() for t in whole] if known else None
+
+
 def token_ids(path: str, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, number of ids per row) of flat texts."""
-    model, memo = tokenizer(path)
+    model, memo, whole = tokenizer(path)
 
     def encode(chunks: list[bytes], _: np.ndarray) -> list[list[int]]:
         return [e.ids for e in model.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
@@ -55,6 +78,12 @@ def token_ids(path: str, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray,
     start, end, row = words(at, data)
     if not len(start):
         return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
+    if whole is not None:
+        inner = seams(data, whole) & ~SPACE[data]
+        inner[start] = False
+        inner = np.flatnonzero(inner)
+        start, end = np.sort(np.append(start, inner)), np.sort(np.append(end, inner))
+        row = np.searchsorted(at, start, "right") - 1
     ids, per = memo.encode(hashes(data, start, end), start, end, data, encode)
     return ids, np.bincount(row, per, minlength=len(at) - 1).astype(np.int64)
 

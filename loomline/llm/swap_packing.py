@@ -5,8 +5,8 @@ documents away: a document moves to another underfull sequence, is exchanged for
 whose lengths together are less. Every step takes tokens from a sequence and puts them into a fuller one, so the sum of squared fills rises and the
 search ends; a sequence that has given all is gone.
 
-How it scales. A text is cut before white space, where no token of a byte-level vocabulary can reach across, and a worker asks the
-tokenizer once for each distinct chunk that it remembers. Only (document, piece, start, length, checksum) is shuffled. Pieces that fill a window need
+How it scales. A text is cut before white space and where letters, digits and other signs meet, where no token of a byte-level vocabulary can
+reach across, and a worker asks the tokenizer once for each distinct chunk that it remembers. Only (document, piece, start, length, checksum) is shuffled. Pieces that fill a window need
 no search; the others are dealt to shards of about SHARD by a hash of their row, whatever their ids, and each shard is
 packed alone. Its emptiest sequence goes on to the next round, with those of all other shards, until one shard is left or a round no longer halves what goes on. A sequence has at most 63
 lengths that differ, so the search looks at lengths and their sums, not at pairs of documents; EFFORT bounds its looks in a shard and
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._arrays import flat, hashes
 from ._lean import lean
 from ._spark import parts_for, stash, table, texts, with_nulls
-from ._words import blocks
+from ._words import blocks, seams
 from .packing import best_fit, tokenizer
 
 WINDOW, END = 2048, 0
@@ -42,11 +42,11 @@ GAP[[9, 10, 13, 32]] = True
 SOLID[0x21:0x7F] = True
 
 
-def chunks(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of pieces that byte-level vocabularies encode alike alone and in place: cut before white space that follows a visible ASCII sign."""
+def chunks(at: np.ndarray, data: np.ndarray, whole: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of pieces that byte-level vocabularies encode alike alone and in place: cut at seams, or, without ``whole``, before white space that follows a visible ASCII sign."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    cut = np.append(False, GAP[data[1:]] & SOLID[data[:-1]])
+    cut = np.append(False, GAP[data[1:]] & SOLID[data[:-1]]) if whole is None else seams(data, whole)
     cut[at[:-1][at[:-1] < len(data)]] = True
     start = np.flatnonzero(cut)
     return start, np.append(start[1:], len(data)), np.searchsorted(at, start, "right") - 1
@@ -54,12 +54,12 @@ def chunks(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def token_ids(path: str, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, number of ids per row) of flat texts."""
-    model, memo = tokenizer(path)
+    model, memo, whole = tokenizer(path)
 
     def encode(parts: list[bytes], _: np.ndarray) -> list[list[int]]:
         return [e.ids for e in model.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
 
-    start, end, row = chunks(at, data)
+    start, end, row = chunks(at, data, whole)
     if not len(start):
         return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
     ids, per = memo.encode(hashes(data, start, end), start, end, data, encode)
