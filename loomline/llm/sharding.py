@@ -99,7 +99,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
 
     whole = F.lit(total).cast("decimal(38,0)")
     large = rows.groupBy("k").agg(F.sum("size").cast("decimal(38,0)").alias("s")).where(F.col("s") * (shards * PARTS) > whole)
-    large = large.select("k", F.when(F.col("s") * shards > whole, F.ceil(F.col("s") * shards / whole)).otherwise(1).cast("long").alias("pieces"))
+    shares = F.call_function("div", F.col("s") * shards + whole - 1, whole)  # rounded up; a quotient of decimals keeps six places only
+    large = large.select("k", F.when(F.col("s") * shards > whole, shares).otherwise(1).cast("long").alias("pieces"))
     own = F.conv(F.substring(F.md5(F.coalesce(F.nullif("doc_id", F.lit((1 << 63) - 1)).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
     rows = rows.join(F.broadcast(large), "k", "left").withColumn("piece", F.pmod(own, F.col("pieces")))  # at most shards * PARTS groups
     items = rows.where("piece is not null").groupBy("k", "piece").agg(F.sum("size").alias("s")).orderBy(F.desc("s"), "k", "piece").collect()
@@ -118,7 +119,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     upto = Window.partitionBy("range").orderBy("k")  # with all rows of the same k
     local = placed.join(F.broadcast(offsets), "range").withColumn("begin", F.col("ahead") + F.sum("small").over(upto) - F.sum("small").over(group))  # a row per range
     at = F.col("begin").cast("decimal(38,0)") * F.lit(room[-1]).cast("decimal(20,0)")
-    beyond = sum((at >= F.lit(r * small).cast("decimal(38,0)")).cast("int") for r in room[:-1]) if shards > 1 else F.lit(0)
+    beyond = sum((at >= F.lit(str(r * small)).cast("decimal(38,0)")).cast("int") for r in room[:-1]) if shards > 1 else F.lit(0)  # past 1.1 GB beyond a long
     local = local.withColumn("shard", F.coalesce("home", beyond).cast("int"))
     number = F.row_number().over(Window.partitionBy("range", "shard").orderBy("k", "order")) - 1
     local = stash(local.select("doc_id", "size", "text_crc32", "range", "shard", number.cast("long").alias("number")), "sharded")

@@ -126,6 +126,26 @@ def test_sharding_is_even_and_keeps_groups_whole(spark, monkeypatch, share):
     assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in sharding.shard(spark.createDataFrame(rows[::-1], "doc_id long, text string")).collect()}
 
 
+def test_sharding_over_more_than_a_gigabyte(spark):
+    """Products of two sums of bytes outgrow a long."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(7000, numPartitions=16).select(F.col("id").alias("doc_id"), F.repeat(F.format_string("%08d", "id"), 25_000).alias("text"))
+    got = sharding.shard(texts).collect()
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+    assert sum(sizes) == 7000 * 200_001 and max(sizes) - min(sizes) <= 2 * 200_001
+    digest = {i: hashlib.md5(b"%08d" % i * 25_000).hexdigest() for i in range(7000)}
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(digest, key=digest.get)
+
+
+@pytest.mark.parametrize(("odd", "homes"), [(1, 2), (0, 1)])
+def test_sharding_cuts_a_group_that_is_a_byte_over_a_share(spark, odd, homes):
+    rows = [(i, "c" * 999 if i < 1000 else f"{i:04d}" + "z" * (995 - odd * (i == 1000))) for i in range(8000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.shard for r in got if r.doc_id < 1000}) == homes
+
+
 # --- 3 ---
 
 
