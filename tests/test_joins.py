@@ -94,3 +94,26 @@ def test_calls_of_one_name_are_cut_into_shares(spark, monkeypatch):
         assert alike(got) == want
         most = got.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
         assert most < len(want) / 8, (few, most)
+
+
+def test_pairs_of_a_name_with_many_candidates_take_little_room(spark, monkeypatch, tmp_path):
+    """The calls of a share repeat for each candidate; candidates repeated for each call took some four bytes a pair."""
+    monkeypatch.setattr(attribution, "FEW", 0)
+    calls = spark.range(150).select((F.col("id") * 7919 % 100_003).alias("session_id"), F.lit("r0").alias("repo_id"), F.lit(0).alias("idx"), F.lit(0).alias("seq"), F.lit("s").alias("name"))
+    own = spark.range(20_000).select(F.lit("r0").alias("repo_id"), (F.col("id") * 400).cast("string").alias("id"), F.lit("skill").alias("type"), F.lit("s").alias("name"), F.lit(None).cast("string").alias("source"))
+    attribution.resolved(calls, own, "skill").select("session_id", "component_id", "sure").write.option("compression", "snappy").parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 150 * 20_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 150 * 20_000
+
+
+def test_names_with_more_candidates_than_a_share_has_calls(spark, monkeypatch):
+    calls = spark.range(3000).select(F.col("id").alias("session_id"), F.format_string("r%d", F.col("id") % 2).alias("repo_id"), F.lit(0).alias("idx"), F.lit(0).alias("seq"), F.when(F.col("id") % 5 == 0, "p:s").when(F.col("id") % 7 == 0, "none").otherwise("s").alias("name"))
+    own = spark.range(60).select(F.format_string("r%d", F.col("id") % 2).alias("repo_id"), F.col("id").cast("string").alias("id"), F.lit("skill").alias("type"), F.lit("s").alias("name"), F.when(F.col("id") % 3 == 0, "plugin:p").alias("source"))
+    alike = lambda: sorted(map(tuple, attribution.resolved(calls, own, "skill").select("session_id", "component_id", "sure", "name", "repo_id").collect()))
+    want = alike()
+    assert len(want) == 600 * 10 + 2057 * 30
+    monkeypatch.setattr(attribution, "FEW", 0)
+    for most, copies in ((10, 2_000_000), (10, 100), (29, 1000), (30, 1000)):
+        monkeypatch.setattr(attribution, "CALLS", most, raising=False)
+        monkeypatch.setattr(attribution, "COPIES", copies, raising=False)
+        assert alike() == want
